@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from undertow.operators.statistics import TableStats, standardised
 RESTARTS = 10
 SEED = 42
 RESTART_ROWS = 100_000
+RUNS_AT_ONCE = 5
 TOLERANCE = 1e-4
 MOST_ROUNDS = 100
 
@@ -69,10 +72,13 @@ def fit_clusters(
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(part)
     assembled = assembled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = [
-            KMeans(k=k, seed=seed + run, maxIter=MOST_ROUNDS, tol=TOLERANCE).fit(assembled)
-            for run in range(restarts)
-        ]
+        kmeans = KMeans(k=k, maxIter=MOST_ROUNDS, tol=TOLERANCE)
+        runs = kmeans.fitMultiple(assembled, [{kmeans.seed: seed + r} for r in range(restarts)])
+        share_session = inheritable_thread_target(df.sparkSession)
+        # Restarts are independent small jobs: started together, they share the executors.
+        with ThreadPool(min(restarts, RUNS_AT_ONCE)) as pool:
+            fitted = pool.map(share_session(lambda _: next(runs)), range(restarts))
+        models = [model for _, model in sorted(fitted, key=lambda run: run[0])]
     finally:
         assembled.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions.cells import mean_or_zero, number, percent_change
+from undertow.session import small_frame
 
 MEANS_PER_SCAN = 160
 
@@ -23,7 +24,7 @@ def compare_groups(df: DataFrame, groups: dict[str, str], columns: list[str]) ->
         " rest_mean double, diff_pct double"
     )
     if not groups or not columns:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df.sparkSession, [], schema)
     per_scan = max(1, MEANS_PER_SCAN // (2 * len(groups)))
     frames = []
     for start in range(0, len(columns), per_scan):
@@ -60,7 +61,7 @@ def evidence(compared: DataFrame, pairs: dict[str, tuple[str, str]], extra: int
     (group, place, variable, group_mean, rest_mean, diff_pct, line)
     """
     spark = compared.sparkSession
-    own = spark.createDataFrame(
+    own = small_frame(spark,
         [(group, i, name) for group, pair in pairs.items() for i, name in enumerate(pair)],
         "group string, own int, variable string",
     )
@@ -90,7 +91,7 @@ def contributing_factor(
     `diff_pct` is the size of the difference; groups where it is below `least_pct` give no row.
     """
     spark = compared.sparkSession
-    own = spark.createDataFrame(
+    own = small_frame(spark,
         [(group, name) for group, pair in pairs.items() for name in pair],
         "group string, variable string",
     )

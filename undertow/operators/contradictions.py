@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions.cells import number, quoted, sql_double
 from undertow.operators.statistics import TableStats
+from undertow.session import small_frame
 
 PAIRS_PER_SCAN = 120
 
@@ -40,7 +41,7 @@ def correlations(df: DataFrame, stats: TableStats, columns: list[str] | None = N
         frames += _correlate(df, stats, pairs[start : start + PAIRS_PER_SCAN])
     schema = "pair int, col_a string, col_b string, r double"
     if not frames:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df.sparkSession, [], schema)
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -113,7 +114,7 @@ def contradiction_counts(
     )
     spark = df.sparkSession
     if len(names) < 2 or stats.rows < 10:
-        return spark.createDataFrame([], schema)
+        return small_frame(spark, [], schema)
     strong = (
         correlations(df, stats, names)
         .where((F.col("r") >= least_r) & ~F.isnan("r"))
@@ -141,7 +142,7 @@ def contradiction_counts(
                 )
         frames.append(df.agg(*masks).select(F.inline(F.array(*rows))))
     if not frames:
-        return spark.createDataFrame([], schema)
+        return small_frame(spark, [], schema)
     counted = reduce(DataFrame.unionByName, frames)
     return counted.where(F.col("matches") >= floor).withColumn(
         "pct", F.round(F.col("matches") / F.lit(stats.rows) * 100, 1)

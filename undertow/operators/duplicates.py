@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions.cells import column, flat_columns
+from undertow.session import settled
 
 DIRECT_ROWS = 2_000_000
 BROADCAST_HASHES = 1_000_000
@@ -35,10 +36,8 @@ def duplicate_rows(
             .where("copies > 1")
             .select("row_hash")
         )
-        sample = repeated.limit(broadcast_hashes + 1).collect()
-        if len(sample) <= broadcast_hashes:
-            spark = df.sparkSession
-            suspects = spark.createDataFrame(sample, "row_hash bigint")
+        suspects = settled(repeated.limit(broadcast_hashes + 1))
+        if suspects.count() <= broadcast_hashes:
             cells = marked.join(F.broadcast(suspects), "row_hash", "left_semi").drop("row_hash")
     copies = cells.groupBy([column(n) for n in names]).agg(F.count(F.lit(1)).alias("copies"))
     return copies.agg(

@@ -21,6 +21,7 @@ RULE_SCHEMA = (
     "rule_no int, rule string, col_a string, op string, col_b string, col_c string,"
     " valid_rows bigint, violations bigint, hold_rate double"
 )
+from undertow.session import small_frame
 
 
 @dataclass(frozen=True)
@@ -59,64 +60,66 @@ class Formula:
         )
 
 
+def formula_at(place: int, columns: list[str]) -> Formula:
+    """The formula at a place of the search order: by a, then b, then c, then operation."""
+    rest, op = divmod(place, len(OPERATIONS))
+    rest, c = divmod(rest, len(columns))
+    a, b = divmod(rest, len(columns))
+    return Formula(place, columns[a], OPERATIONS[op], columns[b], columns[c])
+
+
+def _place(columns: list[str], a: str, b: str, c: str, op: str) -> int:
+    slot, width = columns.index, len(columns)
+    triple = (slot(a) * width + slot(b)) * width + slot(c)
+    return triple * len(OPERATIONS) + OPERATIONS.index(op)
+
+
 def candidates(columns: list[str]) -> list[Formula]:
     """Every ordered triple and operation; mirrored sums and products come once, a before b."""
-    found = []
-    for triple, (a, b, c) in enumerate(permutations(range(len(columns)), 3)):
-        for i, op in enumerate(OPERATIONS):
-            if op in "+×" and a > b:
-                continue
-            found.append(Formula(4 * triple + i, columns[a], op, columns[b], columns[c]))
-    return found
+    return [
+        Formula(_place(columns, a, b, c, op), a, op, b, c)
+        for a, b, c in permutations(columns, 3)
+        for op in OPERATIONS
+        if op in "−÷" or columns.index(a) < columns.index(b)
+    ]
 
 
 def mirrored(rule: Formula, columns: list[str]) -> Formula | None:
     """The same sum or product with a and b swapped, at its own place in the search order."""
-    if rule.op not in "+×":
+    if rule.op in "−÷":
         return None
-    wanted = tuple(columns.index(n) for n in (rule.b, rule.a, rule.c))
-    triple = list(permutations(range(len(columns)), 3)).index(wanted)
-    place = 4 * triple + OPERATIONS.index(rule.op)
-    return Formula(place, rule.b, rule.op, rule.a, rule.c)
+    return formula_at(_place(columns, rule.b, rule.a, rule.c, rule.op), columns)
 
 
 def _checked(df: DataFrame, rules: list[Formula], columns: list[str], tol: Tolerance, keep=()):
     """One row per input row and rule that can be checked there: rule_no, recorded, expected, ok.
 
-    The rules are one literal array exploded inside the scan, so the plan stays small for any
-    number of them. Callers pass either a bounded sample or the few rules that survived it.
+    The rule numbers are one literal array exploded inside the scan, and a number spells out its
+    columns and operation, so the plan stays small for any number of rules. Callers pass either a
+    bounded sample or the few rules that survived it.
     """
-    slot = {name: i for i, name in enumerate(columns)}
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r.number).alias("rule_no"),
-                F.lit(OPERATIONS.index(r.op)).alias("op"),
-                F.lit(slot[r.a]).alias("a"),
-                F.lit(slot[r.b]).alias("b"),
-                F.lit(slot[r.c]).alias("c"),
-            )
-            for r in rules
-        ]
-    )
+    width, ops = len(columns), len(OPERATIONS)
+    numbers = F.expr(f"array({', '.join(str(r.number) for r in rules)})")
     cells = df.select(
-        *keep, F.array(*[number(n) for n in columns]).alias("v"), F.explode(table).alias("r")
+        *keep, F.array(*[number(n) for n in columns]).alias("v"), F.explode(numbers).alias("rule_no")
     )
-    a, b, c = (F.col("v")[F.col(f"r.{side}")] for side in "abc")
-    op = F.col("r.op")
+    a, b, c = (
+        F.expr(f"v[(rule_no div {ops * step}) % {width}]") for step in (width * width, width, 1)
+    )
+    op = F.expr(f"rule_no % {ops}")
     expected = (
         F.when(op == 0, a + b)
         .when(op == 1, a - b)
         .when(op == 2, a * b)
         .when(F.abs(b) > 1e-9, a / F.when(F.abs(b) > 1e-9, b))
     )
-    kept = [k for k in cells.columns if k not in ("v", "r")]
+    kept = [k for k in cells.columns if k not in ("v", "rule_no")]
     off = F.abs(F.col("recorded") - F.col("expected"))
     ok = (off / F.greatest(F.abs("recorded"), F.lit(1.0)) <= tol.relative) | (off <= tol.absolute)
     return (
         cells.select(
             *kept,
-            F.col("r.rule_no").alias("rule_no"),
+            "rule_no",
             c.alias("recorded"),
             F.when(F.abs(expected) < math.inf, expected).alias("expected"),
         )
@@ -153,7 +156,7 @@ def formula_rules(
     """
     names = searched_columns(stats) if columns is None else columns
     spark = df.sparkSession
-    empty = spark.createDataFrame([], RULE_SCHEMA)
+    empty = small_frame(spark, [], RULE_SCHEMA)
     if len(names) < 3 or stats.rows < 8:
         return empty
     rules = [r for r in candidates(names) if stats[r.c].spread]
@@ -176,7 +179,7 @@ def formula_rules(
                 described.append(
                     (rule.number, form.number, form.text, form.a, form.op, form.b, form.c)
                 )
-    forms = spark.createDataFrame(
+    forms = small_frame(spark,
         described,
         "checked_no int, rule_no int, rule string, col_a string, op string, col_b string,"
         " col_c string",
@@ -273,7 +276,7 @@ def violating_rows(
 ) -> DataFrame:
     """Every row breaking a rule: (rule_no, row_id, label, recorded, expected)."""
     if not rules:
-        return df.sparkSession.createDataFrame(
+        return small_frame(df.sparkSession,
             [], "rule_no int, row_id string, label string, recorded double, expected double"
         )
     broken = reduce(

@@ -9,6 +9,7 @@ from undertow.functions import vocabulary as words
 from undertow.functions.cells import flat_columns
 from undertow.operators.frequencies import column_counts, top_values, value_counts
 from undertow.operators.profile import column_names
+from undertow.session import small_frame
 
 
 def key_columns(
@@ -50,7 +51,7 @@ def key_examples(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The most repeated values of the chosen columns: (column, place, value, freq, example)."""
     if not columns:
         schema = "column string, place int, value string, freq bigint, example string"
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df.sparkSession, [], schema)
     labels = F.broadcast(column_names(df, columns).select("ordinal", "column"))
     example = F.concat(F.col("value"), F.lit(" ×"), F.col("freq").cast("string"))
     return (

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from undertow.functions.cells import column, flat_columns, role_of
 from undertow.operators.frequencies import column_counts, top_values, value_counts
 from undertow.operators.statistics import TableStats
+from undertow.session import small_frame
 
 
 def column_names(df: DataFrame, names: list[str]) -> DataFrame:
     """(ordinal, column, dtype) of the named columns: as many rows as the schema is wide."""
     position = {name: i for i, name in enumerate(df.columns)}
     rows = [(position[n], n, df.schema[n].dataType.simpleString()) for n in names]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, column string, dtype string")
+    return small_frame(df.sparkSession, rows, "ordinal int, column string, dtype string")
 
 
 def column_profile(
@@ -83,7 +84,7 @@ def number_profile(df: DataFrame, stats: TableStats) -> DataFrame:
         rows.append((i, name, c.mean, c.median, std, c.low, c.high, c.q25, c.q75))
     labels = ("mean", "median", "std", "low", "high", "q25", "q75")
     schema = "ordinal int, column string, " + ", ".join(f"{n} double" for n in labels)
-    frame = df.sparkSession.createDataFrame(rows, schema)
+    frame = small_frame(df.sparkSession, rows, schema)
     return frame.select("ordinal", "column", *[F.round(n, 2).alias(n) for n in labels])
 
 

@@ -16,6 +16,7 @@ ISSUE_SCHEMA = (
     "seq int, column string, rule string, issue string, bad_rows bigint,"
     " examples array<double>, predicate string"
 )
+from undertow.session import small_frame
 ROW_ISSUE = "(rows)"
 
 
@@ -63,7 +64,7 @@ def count_rules(df: DataFrame, rules: list[Rule], also: list | None = None) -> d
 def rule_examples(df: DataFrame, rules: list[Rule], row_id: str, most: int = 5) -> DataFrame:
     """The first values, in row order, that break each rule: (rule_no, place, value)."""
     if not rules:
-        return df.sparkSession.createDataFrame([], "rule_no int, place int, value double")
+        return small_frame(df.sparkSession, [], "rule_no int, place int, value double")
     hits = F.array(
         *[
             F.when(
@@ -129,4 +130,4 @@ def quality_issues(
             wording = "Constant column — no analytical value"
             issues.append((name, "constant", wording, stats.rows, [], None))
     rows = [(seq, *issue) for seq, issue in enumerate(issues)]
-    return spark.createDataFrame(rows if most is None else rows[:most], ISSUE_SCHEMA)
+    return small_frame(spark, rows if most is None else rows[:most], ISSUE_SCHEMA)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from undertow.functions import vocabulary as words
 from undertow.functions.cells import column, number
 from undertow.operators.statistics import TableStats
+from undertow.session import small_frame
 
 
 def judged_columns(stats: TableStats, skip: tuple[str, ...] = words.SEGMENT_SKIP) -> list[str]:
@@ -33,7 +34,7 @@ def group_means(
         " num_ordinal int, mean double"
     )
     if not numbers or not categories:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df.sparkSession, [], schema)
     cells = df.select(
         *[number(n).alias(f"n{i}") for i, n in enumerate(numbers)],
         *[column(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)],
@@ -87,7 +88,7 @@ def segment_gaps(
         " groups array<struct<grp:string,mean:double,size:bigint>>"
     )
     if not numbers:
-        return means.sparkSession.createDataFrame([], schema)
+        return small_frame(means.sparkSession, [], schema)
     overall = F.element_at(
         F.create_map(*[x for n in numbers for x in (F.lit(n), F.lit(stats[n].mean))]), F.col("number")
     )

@@ -14,7 +14,7 @@ from undertow.operators.frequencies import column_counts, value_counts
 from undertow.operators.ingest import repair, with_row_id
 from undertow.operators.statistics import TableStats, measure
 from undertow.plans import charts, findings, investigate, report
-from undertow.session import written
+from undertow.session import settled, small_frame, written
 
 ROW_ID = "row_id"
 MOST_GROUPS = 20
@@ -99,7 +99,7 @@ class Audit:
             self.name, self.stats.rows, len(self.columns), self.scores.first()
         )
         spark = self.table.sparkSession
-        first = spark.createDataFrame(
+        first = small_frame(spark,
             [(self.name, -1, top)], "dataset string, ordinal int, text string"
         )
         return first.unionByName(report.finding_blocks(self.findings, self.name))
@@ -109,11 +109,6 @@ class Audit:
         return report.preview(shown, self.row_id)
 
 
-def _local(frame: DataFrame) -> DataFrame:
-    """A small frame with its rows fixed, so later uses do not repeat the work behind it."""
-    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
-
-
 def audit(
     df: DataFrame,
     row_id: str | None = None,
@@ -134,7 +129,7 @@ def audit(
         notes, table = fixed.log_frame(), fixed.table
         changed = bool(fixed.log) or row_id is None
     else:
-        notes = df.sparkSession.createDataFrame(
+        notes = small_frame(df.sparkSession,
             [], "seq int, step string, column string, detail string"
         )
         table, changed = df, row_id is None
@@ -150,7 +145,7 @@ def audit(
     numbers = stats.numeric
     rows = stats.rows
 
-    counted = _local(column_counts(value_counts(table, columns)))
+    counted = settled(column_counts(value_counts(table, columns)))
     profiled = profile.column_profile(table, columns, counted)
     varied = {r["ordinal"]: r["distinct_values"] for r in counted.collect()}
     place = {n: i for i, n in enumerate(table.columns)}
@@ -164,7 +159,7 @@ def audit(
     breaks = contradictions.contradictions(table, stats)
     groups = {str(i): c.predicate for i, c in enumerate(breaks)}
     pairs = {str(i): (c.col_a, c.col_b) for i, c in enumerate(breaks)}
-    compared = _local(compare.compare_groups(table, groups, numbers))
+    compared = settled(compare.compare_groups(table, groups, numbers))
     lines: dict[str, list[str]] = {}
     factors: dict[str, tuple[str, float]] = {}
     if breaks:
@@ -184,7 +179,7 @@ def audit(
         )
 
     means = segments.group_means(table, segments.judged_columns(stats), categories)
-    gaps = _local(segments.top_segments(segments.segment_gaps(means, stats)))
+    gaps = settled(segments.top_segments(segments.segment_gaps(means, stats)))
     for s in gaps.collect():
         worst = s["worst"].replace("\\", "\\\\").replace("'", "\\'")
         rule = f"CAST({quoted(s['category'])} AS STRING) = '{worst}'"
@@ -198,15 +193,15 @@ def audit(
     used = method or (
         anomalies.FOREST if len(numbers) >= 2 and rows >= 10 else anomalies.ZSCORE
     )
-    summary = _local(anomalies.anomaly_summary(scored, used))
-    top = _local(anomalies.top_rows(scored, key))
+    summary = settled(anomalies.anomaly_summary(scored, used))
+    top = settled(anomalies.top_rows(scored, key))
     outliers = summary.first()
     if outliers["anomaly_count"] >= 3 and len(found) < 6:
         found.append(
             findings.outlier_finding(outliers, [r.asDict() for r in top.collect()], numbers[:4])
         )
 
-    missing = _local(profile.missing_columns(table.select(*columns)))
+    missing = settled(profile.missing_columns(table.select(*columns)))
     gaps_found = missing.orderBy("ordinal").collect()
     found += [findings.missing_finding(m, rows) for m in gaps_found]
 
@@ -217,7 +212,7 @@ def audit(
     clustered = None
     grouping = clusters.fit_clusters(table, stats, numbers, seed=seed) if with_clusters else None
     if grouping is not None:
-        clustered = _local(clusters.cluster_profile(table, grouping.label, numbers, rows))
+        clustered = settled(clusters.cluster_profile(table, grouping.label, numbers, rows))
         scored = scored.withColumn("cluster", grouping.label)
         best = clusters.hidden_subgroup(clustered, stats).first()
         if best is not None and len(found) < 8:
@@ -230,7 +225,7 @@ def audit(
     )
     broken = [formulas.as_formula(r) for r in rules if r["violations"]]
     shown = table.select(column(key), *[column(n) for n in columns if n != key])
-    examples = _local(
+    examples = settled(
         formulas.violation_examples(formulas.violating_rows(shown, broken, searched, key))
     )
     for rule in rules:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from undertow.functions import vocabulary as words
 from undertow.functions.cells import column, number
 from undertow.operators.statistics import TableStats
+from undertow.session import small_frame
 
 SCATTER_ROWS = 600
 TREND_POINTS = 24
@@ -89,7 +90,7 @@ def histogram(df: DataFrame, name: str, stats: TableStats) -> DataFrame:
     c = stats[name]
     schema = "bin int, label double, rows bigint"
     if c.non_null < 10:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df.sparkSession, [], schema)
     bins = min(20, max(8, c.non_null // 10))
     low, high = (c.low, c.high) if c.low < c.high else (c.low - 0.5, c.high + 0.5)
     place = F.floor((number(name) - F.lit(low)) / F.lit(high - low) * bins)

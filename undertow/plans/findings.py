@@ -15,6 +15,7 @@ SCHEMA = (
     " evidence array<string>, matches bigint, pct double, confidence int, factor string,"
     " factor_pct double, columns array<string>, predicate string, source string, note string"
 )
+from undertow.session import small_frame
 SEVERITIES = ("critical", "moderate", "info")
 CORRELATION_NOTE = "Indicates correlation, not causation."
 
@@ -259,7 +260,7 @@ def findings_frame(spark: SparkSession, findings: list[Finding]) -> DataFrame:
         )
         for i, f in enumerate(findings)
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return small_frame(spark, rows, SCHEMA)
 
 
 def severity_rank():

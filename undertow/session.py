@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -59,3 +62,17 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of a few driver-side rows. It goes through Arrow, so using it starts no job."""
+    fields = T.DataType.fromDDL(schema)
+    records = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(
+        pa.Table.from_pylist(records, schema=to_arrow_schema(fields)), fields
+    )
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """A frame known to be small, with its rows fixed: later uses do not repeat the work."""
+    return frame.sparkSession.createDataFrame(frame.toArrow(), frame.schema)
