@@ -209,6 +209,7 @@ FORMULA = """rule AS (SELECT count(*) AS valid, count(*) FILTER (WHERE NOT
   (abs(line_total - units * unit_value) / greatest(abs(line_total), 1) <= 0.02
    OR abs(line_total - units * unit_value) <= 0.05)) AS broken FROM planted)"""
 FOUND = f"""{COUNTS},\n{TOP},\n{GROUP_B},\n{GAPS},
+{FORMULA},
 best_gaps AS (SELECT * FROM gaps ORDER BY spread_pct DESC, cat_ordinal, num_ordinal LIMIT 4),
 n_rows AS (SELECT count(*) AS total FROM planted),
 moments AS (SELECT {MOMENTS} FROM planted),

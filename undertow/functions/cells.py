@@ -29,6 +29,20 @@ def sql_double(value: float) -> str:
     return f"CAST('{value!r}' AS DOUBLE)"
 
 
+def sql_text(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listed(frame: DataFrame, fields: list[str], rows: list[list[str]]) -> DataFrame:
+    """Turn a one-row frame into many rows, each given as one SQL expression per field."""
+    structs = [
+        "named_struct(" + ", ".join(f"'{f}', {cell}" for f, cell in zip(fields, row)) + ")"
+        for row in rows
+    ]
+    return frame.select(F.expr(f"inline(array({', '.join(structs)}))"))
+
+
 def numeric_columns(df: DataFrame, leave_out: tuple[str, ...] = ()) -> list[str]:
     """Number columns in schema order. Booleans are categories, not numbers."""
     return [

@@ -16,16 +16,22 @@ from undertow.session import written
 FOREST = "isolation-forest"
 ZSCORE = "zscore-ensemble"
 TOP_ROWS = 25
+RESCUE_SCORE = 0.55
 
 
 @dataclass(frozen=True)
 class Scoring:
-    """Three expressions over the input columns: nothing is attached or joined until asked."""
+    """Expressions over the input columns: nothing is attached or joined until asked.
+
+    `any_flagged` and `best` (an upper bound of the scores) are known without another scan.
+    """
 
     method: str
     score: Column
     zmax: Column
     is_anomaly: Column
+    any_flagged: bool
+    best: float
 
     def attach(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
@@ -43,13 +49,26 @@ def zmax(stats: TableStats, columns: list[str]) -> Column:
     return F.greatest(F.lit(0.0), F.lit(0.0), *distances)
 
 
+def farthest_zscore(stats: TableStats, columns: list[str]) -> float:
+    """The table's largest z-score, from each column's extremes."""
+    ends = [
+        abs((end - c.mean) / c.spread)
+        for c in (stats[n] for n in columns)
+        if c.spread
+        for end in (c.low, c.high)
+    ]
+    return max(ends, default=0.0)
+
+
 def _clipped(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
 def zscore_scoring(stats: TableStats, columns: list[str]) -> Scoring:
     distance = zmax(stats, columns)
-    return Scoring(ZSCORE, _clipped(distance / 4), distance, distance > 3)
+    farthest = farthest_zscore(stats, columns)
+    best = min(farthest / 4, 1.0)
+    return Scoring(ZSCORE, _clipped(distance / 4), distance, distance > 3, farthest > 3, best)
 
 
 def forest_scoring(
@@ -65,14 +84,13 @@ def forest_scoring(
     scores = df.select(raw.alias("raw"))
     if stats.rows > DIRECT_ROWS:
         scores = written(scores, "scores")
-    edges = scores.agg(F.min("raw").alias("low"), F.max("raw").alias("high")).first()
     share = 1 - contamination(stats.rows)
-    cut = exact_quantiles(scores, {"raw": stats.rows}, (share,))["raw"][0]
-    low, high = edges["low"], edges["high"]
+    ends = (0.0, share, 1.0)
+    low, cut, high = exact_quantiles(scores, {"raw": stats.rows}, ends)["raw"]
     scaled = (raw - F.lit(low)) / F.lit(high - low) if high > low else raw
     distance = zmax(stats, columns)
     score = _clipped(F.lit(0.7) * scaled + F.lit(0.3) * _clipped(distance / 4))
-    return Scoring(FOREST, score, distance, raw > F.lit(cut))
+    return Scoring(FOREST, score, distance, raw > F.lit(cut), high > cut, 1.0)
 
 
 def score_rows(
@@ -91,22 +109,20 @@ def score_rows(
         scoring = forest_scoring(df, stats, names, row_id, seed)
     else:
         scoring = zscore_scoring(stats, names)
-    return rescue(scoring.attach(df), stats.rows, row_id)
+    scored = scoring.attach(df)
+    if scoring.any_flagged or scoring.best <= RESCUE_SCORE or not stats.rows:
+        return scored
+    return rescue(scored, stats.rows, row_id)
 
 
-def rescue(scored: DataFrame, rows: int, row_id: str, least_score: float = 0.55) -> DataFrame:
-    """Flag the top few rows when nothing is flagged although some score is high."""
-    if rows == 0:
-        return scored
-    seen = scored.agg(
-        F.count_if("is_anomaly").alias("flagged"), F.max("score").alias("best")
-    ).first()
-    if seen["flagged"] or seen["best"] is None or seen["best"] <= least_score:
-        return scored
+def rescue(scored: DataFrame, rows: int, row_id: str) -> DataFrame:
+    """Flag the top few rows of a table with no flagged row, if the best score is high."""
     most = max(1, min(5, rows // 20))
-    top = scored.orderBy(F.desc("score"), column(row_id)).limit(most).select(column(row_id))
-    keys = [row[0] for row in top.collect()]
-    return scored.withColumn("is_anomaly", column(row_id).isin(keys))
+    top = scored.select(column(row_id), "score").orderBy(F.desc("score"), column(row_id))
+    found = top.limit(most).collect()
+    if not found or found[0]["score"] <= RESCUE_SCORE:
+        return scored
+    return scored.withColumn("is_anomaly", column(row_id).isin([row[0] for row in found]))
 
 
 def top_rows(scored: DataFrame, row_id: str, most: int = TOP_ROWS, keep: int = 10) -> DataFrame:

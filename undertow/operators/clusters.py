@@ -18,7 +18,8 @@ from undertow.operators.statistics import TableStats, standardised
 RESTARTS = 10
 SEED = 42
 RESTART_ROWS = 100_000
-RUNS_AT_ONCE = 5
+RUNS_AT_ONCE = 10
+RESTART_ROUNDS = 20
 TOLERANCE = 1e-4
 MOST_ROUNDS = 100
 
@@ -72,7 +73,7 @@ def fit_clusters(
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(part)
     assembled = assembled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        kmeans = KMeans(k=k, maxIter=MOST_ROUNDS, tol=TOLERANCE)
+        kmeans = KMeans(k=k, maxIter=RESTART_ROUNDS, tol=TOLERANCE)
         runs = kmeans.fitMultiple(assembled, [{kmeans.seed: seed + r} for r in range(restarts)])
         share_session = inheritable_thread_target(df.sparkSession)
         # Restarts are independent small jobs: started together, they share the executors.
@@ -83,9 +84,7 @@ def fit_clusters(
         assembled.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
     centres = sorted([float(v) for v in centre] for centre in best.clusterCenters())
-    if stats.rows > restart_rows:
-        centres = settle(cells, names, centres)
-    return Clustering(centres, features)
+    return Clustering(settle(cells, names, centres), features)
 
 
 def settle(cells: DataFrame, names: list[str], centres: list[list[float]]) -> list[list[float]]:

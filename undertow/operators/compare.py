@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.functions.cells import mean_or_zero, number, percent_change
+from undertow.functions.cells import listed, percent_change, quoted, sql_text
 from undertow.session import small_frame
 
 MEANS_PER_SCAN = 160
@@ -31,28 +31,22 @@ def compare_groups(df: DataFrame, groups: dict[str, str], columns: list[str]) ->
         block = list(enumerate(columns))[start : start + per_scan]
         means, rows = [], []
         for g, (label, rule) in enumerate(groups.items()):
-            inside = F.coalesce(F.expr(rule), F.lit(False))
-            means.append(F.count_if(inside).alias(f"size_{g}"))
+            inside = f"coalesce({rule}, false)"
+            means.append(f"count_if({inside}) AS size_{g}")
             for i, name in block:
+                value = f"avg(CAST({quoted(name)} AS DOUBLE))"
                 means += [
-                    mean_or_zero(F.when(inside, number(name))).alias(f"in_{g}_{i}"),
-                    mean_or_zero(F.when(~inside, number(name))).alias(f"out_{g}_{i}"),
+                    f"coalesce({value} FILTER (WHERE {inside}), 0D) AS in_{g}_{i}",
+                    f"coalesce({value} FILTER (WHERE NOT {inside}), 0D) AS out_{g}_{i}",
                 ]
-                rows.append(
-                    F.struct(
-                        F.lit(label).alias("group"),
-                        F.lit(i).alias("ordinal"),
-                        F.lit(name).alias("variable"),
-                        F.col(f"size_{g}").alias("group_size"),
-                        F.col(f"in_{g}_{i}").alias("group_mean"),
-                        F.col(f"out_{g}_{i}").alias("rest_mean"),
-                        percent_change(F.col(f"in_{g}_{i}"), F.col(f"out_{g}_{i}")).alias(
-                            "diff_pct"
-                        ),
-                    )
-                )
-        frames.append(df.agg(*means).select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, frames)
+                place = [sql_text(label), str(i), sql_text(name)]
+                rows.append([*place, f"size_{g}", f"in_{g}_{i}", f"out_{g}_{i}"])
+        measured = df.agg(*[F.expr(mean) for mean in means])
+        fields = ["group", "ordinal", "variable", "group_size", "group_mean", "rest_mean"]
+        frames.append(listed(measured, fields, rows))
+    compared = reduce(DataFrame.unionByName, frames)
+    change = percent_change(F.col("group_mean"), F.col("rest_mean"))
+    return compared.withColumn("diff_pct", change)
 
 
 def evidence(compared: DataFrame, pairs: dict[str, tuple[str, str]], extra: int = 3) -> DataFrame:

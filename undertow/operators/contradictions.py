@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.functions.cells import number, quoted, sql_double
+from undertow.functions.cells import listed, quoted, sql_double, sql_text
 from undertow.operators.statistics import TableStats
 from undertow.session import small_frame
 
@@ -45,46 +45,47 @@ def correlations(df: DataFrame, stats: TableStats, columns: list[str] | None = N
     return reduce(DataFrame.unionByName, frames)
 
 
-def _scaled(stats: TableStats, name: str):
-    return (number(name) - F.lit(stats[name].mean)) / F.lit(stats[name].spread)
-
-
 def _correlate(df: DataFrame, stats: TableStats, pairs: list) -> list[DataFrame]:
+    varying = [n for n in stats.numeric if stats[n].spread]
+    slot = {n: f"z{i}" for i, n in enumerate(varying)}
+    scaled = df.selectExpr(
+        *[
+            f"(CAST({quoted(n)} AS DOUBLE) - {sql_double(stats[n].mean)})"
+            f" / {sql_double(stats[n].spread)} AS {z}"
+            for n, z in slot.items()
+        ]
+    )
     sums, rows = [], []
     for pair, (a, b) in pairs:
-        result = F.lit(None).cast("double")
-        if stats[a].spread and stats[b].spread:
-            x, y = _scaled(stats, a), _scaled(stats, b)
-            tag = str(pair)
-            sums.append(F.sum(x * y).alias("xy" + tag))
+        result = "CAST(NULL AS DOUBLE)"
+        if a in slot and b in slot:
+            x, y = slot[a], slot[b]
+            sums.append(f"sum({x} * {y}) AS xy{pair}")
             if stats[a].non_null == stats[b].non_null == stats.rows:
-                result = F.col("xy" + tag) / F.lit(float(stats.rows - 1))
+                result = f"xy{pair} / {stats.rows - 1}D"
             else:
-                both = x.isNotNull() & y.isNotNull()
+                both = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
                 sums += [
-                    F.count_if(both).alias("n" + tag),
-                    F.sum(F.when(both, x)).alias("x" + tag),
-                    F.sum(F.when(both, y)).alias("y" + tag),
-                    F.sum(F.when(both, x * x)).alias("xx" + tag),
-                    F.sum(F.when(both, y * y)).alias("yy" + tag),
+                    f"count(1) {both} AS n{pair}",
+                    f"sum({x}) {both} AS x{pair}",
+                    f"sum({y}) {both} AS y{pair}",
+                    f"sum({x} * {x}) {both} AS xx{pair}",
+                    f"sum({y} * {y}) {both} AS yy{pair}",
                 ]
-                n = F.nullif(F.col("n" + tag), F.lit(0)).cast("double")
-                sx, sy = F.col("x" + tag), F.col("y" + tag)
-                var_x = F.col("xx" + tag) - sx * sx / n
-                var_y = F.col("yy" + tag) - sy * sy / n
-                varies = (var_x > F.col("xx" + tag) * 1e-14) & (var_y > F.col("yy" + tag) * 1e-14)
-                covered = F.col("xy" + tag) - sx * sy / n
-                result = F.when(varies, covered / F.sqrt(F.when(varies, var_x * var_y)))
-        rows.append(
-            F.struct(
-                F.lit(pair).alias("pair"),
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                result.alias("r"),
-            )
-        )
-    totals = df.agg(*(sums or [F.count(F.lit(1)).alias("rows")]))
-    return [totals.select(F.inline(F.array(*rows)))]
+                n = f"nullif(n{pair}, 0)"
+                var_x = f"(xx{pair} - x{pair} * x{pair} / {n})"
+                var_y = f"(yy{pair} - y{pair} * y{pair} / {n})"
+                # What rounding leaves of a constant is no variance.
+                varies = f"{var_x} > xx{pair} * 1e-14 AND {var_y} > yy{pair} * 1e-14"
+                result = (
+                    f"CASE WHEN {varies} THEN (xy{pair} - x{pair} * y{pair} / {n})"
+                    f" / sqrt({var_x} * {var_y}) END"
+                )
+        rows.append([str(pair), sql_text(a), sql_text(b), result])
+    if not sums:
+        scaled, sums = df, ["count(1) AS rows"]
+    totals = scaled.agg(*[F.expr(s) for s in sums])
+    return [listed(totals, ["pair", "col_a", "col_b", "r"], rows)]
 
 
 def predicate(stats: TableStats, a: str, b: str, direction: str) -> str:
@@ -126,21 +127,15 @@ def contradiction_counts(
     for start in range(0, len(strong), PAIRS_PER_SCAN):
         masks, rows = [], []
         for row in strong[start : start + PAIRS_PER_SCAN]:
+            pair, a, b = row["pair"], row["col_a"], row["col_b"]
             for direction in ("high", "low"):
-                label = f"m{row['pair']}_{direction}"
-                rule = predicate(stats, row["col_a"], row["col_b"], direction)
-                masks.append(F.count_if(F.expr(rule)).alias(label))
-                rows.append(
-                    F.struct(
-                        F.lit(row["pair"]).alias("pair"),
-                        F.lit(row["col_a"]).alias("col_a"),
-                        F.lit(row["col_b"]).alias("col_b"),
-                        F.lit(row["r"]).alias("r"),
-                        F.lit(direction).alias("direction"),
-                        F.col(label).alias("matches"),
-                    )
-                )
-        frames.append(df.agg(*masks).select(F.inline(F.array(*rows))))
+                label = f"m{pair}_{direction}"
+                masks.append(f"count_if({predicate(stats, a, b, direction)}) AS {label}")
+                names = [str(pair), sql_text(a), sql_text(b)]
+                rows.append([*names, sql_double(row["r"]), f"'{direction}'", label])
+        counted = df.agg(*[F.expr(mask) for mask in masks])
+        fields = ["pair", "col_a", "col_b", "r", "direction", "matches"]
+        frames.append(listed(counted, fields, rows))
     if not frames:
         return small_frame(spark, [], schema)
     counted = reduce(DataFrame.unionByName, frames)

@@ -73,6 +73,14 @@ def missing_columns(df: DataFrame, least_pct: float = 5.0) -> DataFrame:
     )
 
 
+def columns_with_gaps(profiled: DataFrame, least_pct: float = 5.0) -> DataFrame:
+    """The same from a column profile measured before."""
+    share = F.col("missing") / F.greatest(F.col("rows"), F.lit(1)) * 100
+    return profiled.where(share >= least_pct).select(
+        "ordinal", "column", "missing", F.round(share, 1).alias("pct")
+    )
+
+
 def number_profile(df: DataFrame, stats: TableStats) -> DataFrame:
     """Mean, median, sample deviation, extremes and quartiles per number column, two decimals."""
     rows = []

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.functions.cells import column, flat_columns, numeric_columns, quoted
+from undertow.functions.cells import column, flat_columns, numeric_columns, quoted, sql_text
 from undertow.operators import anomalies, clusters, compare, contradictions, formulas, keys
 from undertow.operators import profile, quality, segments
 from undertow.operators.frequencies import column_counts, value_counts
 from undertow.operators.ingest import repair, with_row_id
 from undertow.operators.statistics import TableStats, measure
 from undertow.plans import charts, findings, investigate, report
-from undertow.session import settled, small_frame, written
+from undertow.session import settled, side_by_side, small_frame, written
 
 ROW_ID = "row_id"
 MOST_GROUPS = 20
@@ -145,109 +145,171 @@ def audit(
     numbers = stats.numeric
     rows = stats.rows
 
-    counted = settled(column_counts(value_counts(table, columns)))
-    profiled = profile.column_profile(table, columns, counted)
-    varied = {r["ordinal"]: r["distinct_values"] for r in counted.collect()}
-    place = {n: i for i, n in enumerate(table.columns)}
-    categories = [
-        n
-        for n in columns
-        if n not in numeric_columns(table) and varied.get(place[n], 0) <= MOST_GROUPS
-    ]
-    found: list[findings.Finding] = []
-
-    breaks = contradictions.contradictions(table, stats)
-    groups = {str(i): c.predicate for i, c in enumerate(breaks)}
-    pairs = {str(i): (c.col_a, c.col_b) for i, c in enumerate(breaks)}
-    compared = settled(compare.compare_groups(table, groups, numbers))
-    lines: dict[str, list[str]] = {}
-    factors: dict[str, tuple[str, float]] = {}
-    if breaks:
-        for row in compare.evidence(compared, pairs).orderBy("group", "place").collect():
-            lines.setdefault(row["group"], []).append(row["line"])
-        for row in compare.contributing_factor(compared, pairs).collect():
-            factors[row["group"]] = (row["variable"], row["diff_pct"])
-    by_group: dict[str, dict] = {}
-    for row in compared.collect():
-        by_group.setdefault(row["group"], {})[row["variable"]] = row
-    for i, c in enumerate(breaks):
-        label = str(i)
-        found.append(
-            findings.contradiction_finding(
-                c, stats[c.col_b].mean, by_group[label], lines[label], factors.get(label)
-            )
-        )
-
-    means = segments.group_means(table, segments.judged_columns(stats), categories)
-    gaps = settled(segments.top_segments(segments.segment_gaps(means, stats)))
-    for s in gaps.collect():
-        worst = s["worst"].replace("\\", "\\\\").replace("'", "\\'")
-        rule = f"CAST({quoted(s['category'])} AS STRING) = '{worst}'"
-        found.append(findings.segment_finding(s, rows, rule))
-
-    scored = anomalies.score_rows(table, stats, key, numbers, method, seed) if numbers else None
-    if scored is None:
-        scored = table.withColumns(
-            {"score": F.lit(0.0), "zmax": F.lit(0.0), "is_anomaly": F.lit(False)}
-        )
-    used = method or (
-        anomalies.FOREST if len(numbers) >= 2 and rows >= 10 else anomalies.ZSCORE
+    part = _Part(table, key, columns, stats, method, with_clusters, seed)
+    done = side_by_side(
+        spark,
+        {
+            "columns": part.columns_and_segments,
+            "breaks": part.contradictions,
+            "rows": part.anomalies,
+            "issues": part.quality,
+            "clusters": part.clusters,
+            "formulas": part.formulas,
+        },
     )
-    summary = settled(anomalies.anomaly_summary(scored, used))
-    top = settled(anomalies.top_rows(scored, key))
+    profiled, categories, gaps, missing, key_list = done["columns"]
+    scored, summary, top = done["rows"]
     outliers = summary.first()
+    found: list[findings.Finding] = list(done["breaks"])
+    found += [findings.segment_finding(s, rows, _segment_rule(s)) for s in gaps.collect()]
     if outliers["anomaly_count"] >= 3 and len(found) < 6:
-        found.append(
-            findings.outlier_finding(outliers, [r.asDict() for r in top.collect()], numbers[:4])
-        )
-
-    missing = settled(profile.missing_columns(table.select(*columns)))
-    gaps_found = missing.orderBy("ordinal").collect()
-    found += [findings.missing_finding(m, rows) for m in gaps_found]
-
-    issues = quality.quality_issues(table, stats, key, columns=columns)
+        shown = [r.asDict() for r in top.collect()]
+        found.append(findings.outlier_finding(outliers, shown, numbers[:4]))
+    missed = missing.orderBy("ordinal").collect()
+    found += [findings.missing_finding(m, rows) for m in missed]
+    issues = done["issues"]
     issue_rows = issues.orderBy("seq").collect()
     found += [findings.quality_finding(q, rows) for q in issue_rows]
-
     clustered = None
-    grouping = clusters.fit_clusters(table, stats, numbers, seed=seed) if with_clusters else None
-    if grouping is not None:
-        clustered = settled(clusters.cluster_profile(table, grouping.label, numbers, rows))
-        scored = scored.withColumn("cluster", grouping.label)
-        best = clusters.hidden_subgroup(clustered, stats).first()
+    if done["clusters"] is not None:
+        label, clustered, best, own = done["clusters"]
+        scored = scored.withColumn("cluster", label)
         if best is not None and len(found) < 8:
-            own = clustered.where(F.col("cluster") == best["cluster"]).orderBy("ordinal").collect()
             found.append(findings.cluster_finding(best, own, stats))
-
-    searched = formulas.searched_columns(stats, (key,))
-    rules = formulas.ranked_rules(
-        table, formulas.formula_rules(table, stats, searched), searched
-    )
-    broken = [formulas.as_formula(r) for r in rules if r["violations"]]
-    shown = table.select(column(key), *[column(n) for n in columns if n != key])
-    examples = settled(
-        formulas.violation_examples(formulas.violating_rows(shown, broken, searched, key))
-    )
-    for rule in rules:
-        own = examples.where(F.col("rule_no") == rule["rule_no"]).orderBy("place").collect()
-        condition = formulas.as_formula(rule).predicate()
-        found.append(findings.formula_finding(rule, own, rows, condition))
-
-    repeated = keys.key_columns(table, counted).orderBy("ordinal").collect()
-    samples: dict[str, list[str]] = {}
-    names = [r["column"] for r in repeated]
-    for row in keys.key_examples(table, names).orderBy("column", "place").collect():
-        samples.setdefault(row["column"], []).append(row["example"])
-    found += [findings.key_finding(r, samples[r["column"]]) for r in repeated]
+    examples, formula_list = done["formulas"]
+    found += formula_list + key_list
 
     frame = findings.findings_frame(spark, found)
     scores = findings.table_scores(
-        frame,
-        float(sum(m["pct"] for m in gaps_found)),
-        len(issue_rows),
-        outliers["anomaly_pct"],
+        frame, float(sum(m["pct"] for m in missed)), len(issue_rows), outliers["anomaly_pct"]
     )
     return Audit(
         name, table, key, columns, numbers, categories, stats, notes, profiled, scored, summary,
         top, gaps, missing, issues, clustered, examples, findings.ranked(frame), scores,
     )
+
+
+def _segment_rule(gap) -> str:
+    return f"CAST({quoted(gap['category'])} AS STRING) = {sql_text(gap['worst'])}"
+
+
+@dataclass(frozen=True)
+class _Part:
+    """The detectors of one audit. None needs another's result, so they can run side by side."""
+
+    table: DataFrame
+    key: str
+    names: list[str]
+    stats: TableStats
+    method: str | None
+    with_clusters: bool
+    seed: int
+
+    def columns_and_segments(self):
+        """Profile, categories, segment gaps, missing columns and repeating keys."""
+        table, stats = self.table, self.stats
+        counted = settled(column_counts(value_counts(table, self.names)))
+        profiled = settled(profile.column_profile(table, self.names, counted))
+        by_column = profiled.orderBy("ordinal").collect()
+        numeric = numeric_columns(table)
+        categories = [
+            r["column"]
+            for r in by_column
+            if r["column"] not in numeric and r["distinct_values"] <= MOST_GROUPS
+        ]
+        judged = segments.judged_columns(stats)
+        means = segments.group_means(table, judged, categories)
+        gaps = settled(segments.top_segments(segments.segment_gaps(means, stats)))
+        missing = profile.columns_with_gaps(profiled)
+        repeated = keys.key_columns(table, counted).orderBy("ordinal").collect()
+        samples: dict[str, list[str]] = {}
+        chosen = keys.key_examples(table, [r["column"] for r in repeated])
+        for row in chosen.collect():
+            samples.setdefault(row["column"], []).append((row["place"], row["example"]))
+        found = [
+            findings.key_finding(r, [text for _, text in sorted(samples[r["column"]])])
+            for r in repeated
+        ]
+        return profiled, categories, gaps, missing, found
+
+    def contradictions(self) -> list[findings.Finding]:
+        table, stats = self.table, self.stats
+        breaks = contradictions.contradictions(table, stats)
+        groups = {str(i): c.predicate for i, c in enumerate(breaks)}
+        pairs = {str(i): (c.col_a, c.col_b) for i, c in enumerate(breaks)}
+        if not breaks:
+            return []
+        compared = settled(compare.compare_groups(table, groups, stats.numeric))
+        lines: dict[str, list[str]] = {}
+        for row in compare.evidence(compared, pairs).orderBy("group", "place").collect():
+            lines.setdefault(row["group"], []).append(row["line"])
+        factors = {
+            row["group"]: (row["variable"], row["diff_pct"])
+            for row in compare.contributing_factor(compared, pairs).collect()
+        }
+        by_group: dict[str, dict] = {}
+        for row in compared.collect():
+            by_group.setdefault(row["group"], {})[row["variable"]] = row
+        return [
+            findings.contradiction_finding(
+                c, stats[c.col_b].mean, by_group[g], lines[g], factors.get(g)
+            )
+            for g, c in zip(groups, breaks)
+        ]
+
+    def anomalies(self):
+        """The scored table, its summary and its top rows."""
+        table, stats = self.table, self.stats
+        if stats.numeric:
+            scored = anomalies.score_rows(
+                table, stats, self.key, stats.numeric, self.method, self.seed
+            )
+        else:
+            scored = table.withColumns(
+                {"score": F.lit(0.0), "zmax": F.lit(0.0), "is_anomaly": F.lit(False)}
+            )
+        enough = len(stats.numeric) >= 2 and stats.rows >= 10
+        used = self.method or (anomalies.FOREST if enough else anomalies.ZSCORE)
+        summary = settled(anomalies.anomaly_summary(scored, used))
+        return scored, summary, settled(anomalies.top_rows(scored, self.key))
+
+    def quality(self) -> DataFrame:
+        return quality.quality_issues(self.table, self.stats, self.key, columns=self.names)
+
+    def clusters(self):
+        """The label, the profile, and the hidden subgroup with its means, if there is one."""
+        table, stats = self.table, self.stats
+        if not self.with_clusters:
+            return None
+        fitted = clusters.fit_clusters(table, stats, stats.numeric, seed=self.seed)
+        if fitted is None:
+            return None
+        profiled = settled(
+            clusters.cluster_profile(table, fitted.label, stats.numeric, stats.rows)
+        )
+        best = clusters.hidden_subgroup(profiled, stats).first()
+        own = []
+        if best is not None:
+            mine = profiled.where(F.col("cluster") == best["cluster"])
+            own = mine.orderBy("ordinal").collect()
+        return fitted.label, profiled, best, own
+
+    def formulas(self):
+        """Example rows and findings of the broken and verified rules."""
+        table, stats = self.table, self.stats
+        searched = formulas.searched_columns(stats, (self.key,))
+        rules = formulas.formula_rules(table, stats, searched)
+        rules = formulas.ranked_rules(table, rules, searched)
+        broken = [formulas.as_formula(r) for r in rules if r["violations"]]
+        shown = table.select(column(self.key), *[column(n) for n in self.names if n != self.key])
+        violating = formulas.violating_rows(shown, broken, searched, self.key)
+        examples = settled(formulas.violation_examples(violating))
+        by_rule: dict[int, list] = {}
+        for row in examples.orderBy("rule_no", "place").collect():
+            by_rule.setdefault(row["rule_no"], []).append(row)
+        return examples, [
+            findings.formula_finding(
+                r, by_rule.get(r["rule_no"], []), stats.rows, formulas.as_formula(r).predicate()
+            )
+            for r in rules
+        ]

@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,3 +80,11 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def settled(frame: DataFrame) -> DataFrame:
     """A frame known to be small, with its rows fixed: later uses do not repeat the work."""
     return frame.sparkSession.createDataFrame(frame.toArrow(), frame.schema)
+
+
+def side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], Any]]) -> dict[str, Any]:
+    """Run jobs that do not need each other at the same time; they share the executors."""
+    share_session = inheritable_thread_target(spark)
+    with ThreadPool(max(1, len(jobs))) as pool:
+        started = {name: pool.apply_async(share_session(job)) for name, job in jobs.items()}
+        return {name: result.get() for name, result in started.items()}
