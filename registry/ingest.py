@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import derived, load, on_planted, planted, register, union_all
-from undertow.functions.cells import missing_to_null, role_of
-from undertow.operators.ingest import best_header, header_score, repair
+from undertow.functions.cells import role_of
+from undertow.operators.ingest import best_header, header_score, normalised, repair
 
 TOKENS = "('', '-', 'NA', 'N/A', 'n/a', 'null', 'NULL')"
 
@@ -21,7 +21,7 @@ TOKENS = "('', '-', 'NA', 'N/A', 'n/a', 'null', 'NULL')"
 )
 def missing_words(spark, folder):
     table = planted(spark, folder)
-    return table.select("order_id", missing_to_null(F.col("amount_text")).alias("amount"))
+    return normalised(table.select("order_id", F.col("amount_text").alias("amount")))
 
 
 PADDED = """SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey END AS " order_id ",

@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from undertow.functions import vocabulary as words
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+EDGE_SPACE = f"^{SPACE}|{SPACE}$"
+DRESSED = r"[$€₹,\\()%]|" + SPACE
 HEADER_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 
 
@@ -67,12 +70,12 @@ def flat_columns(df: DataFrame, leave_out: tuple[str, ...] = ()) -> list[str]:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(words.WHITESPACE))
+    """Without white space at either end. Most cells have none, and a test is cheaper than a cut."""
+    return F.when(c.rlike(EDGE_SPACE), F.btrim(c, F.lit(words.WHITESPACE))).otherwise(c)
 
 
-def missing_to_null(c: Column) -> Column:
-    """Trim a text cell and turn the words for "missing" into NULL."""
-    trimmed = strip(c)
+def missing_to_null(trimmed: Column) -> Column:
+    """Turn the words for "missing" into NULL. Expects a stripped cell."""
     return F.when(~trimmed.isin(*words.NULL_TOKENS), trimmed)
 
 
@@ -83,13 +86,14 @@ def nan_to_null(c: Column) -> Column:
 def number_from_text(c: Column) -> Column:
     """Read `$1,200`, `72,000`, `85%` or `(12)` as a double; NULL when it is no number.
 
-    The pattern test comes first because a plain cast also takes `1d` or `1.5f`.
+    The pattern keeps out what only a cast takes for a number, such as `1d` or `NaN`; words for
+    "missing" fail it too.
     """
-    trimmed = strip(c)
-    digits = F.rtrim(F.regexp_replace(trimmed, r"[$€₹,\\\s()]", ""), F.lit("%"))
-    value = F.when(digits.rlike(NUMBER), digits.try_cast("double"))
-    signed = F.when(trimmed.rlike(r"(?s)^\(.*\)$"), -value).otherwise(value)
-    return F.when(~trimmed.isin(*words.NON_NUMBERS), signed)
+    bare = F.rtrim(F.translate(c, words.MONEY_SIGNS + words.WHITESPACE, ""), F.lit("%"))
+    digits = F.regexp_extract(F.when(c.rlike(DRESSED), bare).otherwise(c), NUMBER, 0)
+    value = digits.try_cast("double")
+    bracketed = F.contains(c, F.lit("(")) & strip(c).rlike(r"(?s)^\(.*\)$")
+    return F.when(bracketed, -value).otherwise(value)
 
 
 def reads_as_number(c: Column) -> Column:

@@ -6,8 +6,8 @@ They are parameters of the operators; nothing here is computed.
 # Cells that mean "missing" after trimming.
 NULL_TOKENS = ("", "-", "NA", "N/A", "n/a", "null", "NULL")
 
-# Cells that are never a number when a text column is tried as numeric.
-NON_NUMBERS = ("", "nan", "None", "NA", "N/A", "n/a", "-", "null", "NULL", "NoneType")
+# Characters left out when text is read as a number, besides white space.
+MONEY_SIGNS = "$€₹,\\()"
 
 # Words (lower case) that a header search does not take for a number.
 HEADER_NON_NUMBERS = ("", "-", "na", "n/a", "null", "none")

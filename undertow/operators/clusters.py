@@ -17,10 +17,11 @@ from undertow.operators.statistics import TableStats, standardised
 
 RESTARTS = 10
 SEED = 42
-RESTART_ROWS = 100_000
+RESTART_ROWS = 20_000
 RUNS_AT_ONCE = 10
 RESTART_ROUNDS = 20
-TOLERANCE = 1e-4
+# Centres have settled once they move by less than this, in deviations.
+TOLERANCE = 0.01
 MOST_ROUNDS = 100
 
 
@@ -99,7 +100,7 @@ def settle(cells: DataFrame, names: list[str], centres: list[list[float]]) -> li
         moved = [list(c) for c in centres]
         for row in means:
             moved[row["cluster"]] = [row[n] for n in names]
-        step = max(sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(centres, moved))
+        step = sum((a - b) ** 2 for x, y in zip(centres, moved) for a, b in zip(x, y))
         centres = moved
         if step <= TOLERANCE**2:
             break

@@ -22,20 +22,19 @@ from undertow.operators.statistics import TableStats, imputed
 TREES = 100
 SAMPLE_ROWS = 256
 BUCKETS = 1 << 40
-TREE_SCHEMA = (
-    "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>,"
-    " depth array<double>"
-)
+TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, depth array<double>"
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Node arrays of all trees: leaves have feature -1 and carry their expected path length."""
+    """All trees as complete binary trees: the children of node i are 2i + 1 and 2i + 2.
+
+    A branch that ends early goes left down to the last level, where `depth` holds the expected
+    path length. One row per tree.
+    """
 
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
     depth: np.ndarray
     levels: int
     sample_rows: int
@@ -69,7 +68,7 @@ def tree_samples(df: DataFrame, features: list[Column], row_id: str, rows: int,
     key = column(row_id)
     rows = max(rows, 1)
     cells = df.select(key.alias("row_key"), F.array(*features).alias("features"))
-    if rows >= 4 * wanted * TREES:
+    if rows >= wanted * TREES:
         share = int(BUCKETS * wanted * TREES / rows)
         drawn = (
             cells.where(_unit(seed, F.col("row_key")) < share)
@@ -78,12 +77,9 @@ def tree_samples(df: DataFrame, features: list[Column], row_id: str, rows: int,
         )
     else:
         share = int(BUCKETS * min(1.0, wanted / rows))
-        draws = F.transform(
-            F.sequence(F.lit(0), F.lit(TREES - 1)),
-            lambda t: F.struct(t.alias("tree"), _unit(seed, F.col("row_key"), t).alias("draw")),
-        )
-        chosen = F.filter(draws, lambda d: d["draw"] < share)
-        drawn = cells.select("row_key", "features", F.inline(chosen))
+        each = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+        draw = _unit(seed, F.col("row_key"), F.col("tree"))
+        drawn = cells.select("*", each).withColumn("draw", draw).where(F.col("draw") < share)
     order = Window.partitionBy("tree").orderBy("draw", "row_key")
     return (
         drawn.withColumn("place", F.row_number().over(order))
@@ -92,34 +88,27 @@ def tree_samples(df: DataFrame, features: list[Column], row_id: str, rows: int,
     )
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator, levels: int) -> list[tuple]:
-    """Split at random until a node holds one row, equal rows, or the depth is reached.
-
-    Returns (feature, threshold, left, right, depth) per node, root first.
-    """
-    nodes: list[tuple] = []
-    pending = [(np.arange(len(points)), 0, None)]
+def grow_tree(points: np.ndarray, rng: np.random.Generator, levels: int) -> tuple:
+    """Split at random until a node holds one row, equal rows, or the last level is reached."""
+    feature = np.zeros(2**levels - 1, dtype=np.int32)
+    threshold = np.full(2**levels - 1, np.inf)
+    depth = np.zeros(2**levels)
+    pending = [(0, 0, points)]
     while pending:
-        members, level, link = pending.pop()
-        here = len(nodes)
-        if link is not None:
-            parent, side = link
-            node = list(nodes[parent])
-            node[2 + side] = here
-            nodes[parent] = tuple(node)
-        block = points[members]
+        node, level, block = pending.pop()
         low, high = block.min(axis=0), block.max(axis=0)
         usable = np.flatnonzero(high > low)
-        if len(members) <= 1 or level >= levels or not len(usable):
-            nodes.append((-1, 0.0, here, here, level + average_path(len(members))))
+        if level == levels or not len(usable):
+            leaf = ((node + 1) << (levels - level)) - 2**levels
+            depth[leaf] = level + average_path(len(block))
             continue
-        feature = int(rng.choice(usable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        goes_left = block[:, feature] <= threshold
-        nodes.append((feature, threshold, here, here, 0.0))
-        pending.append((members[~goes_left], level + 1, (here, 1)))
-        pending.append((members[goes_left], level + 1, (here, 0)))
-    return nodes
+        chosen = rng.choice(usable)
+        cut = rng.uniform(low[chosen], high[chosen])
+        feature[node], threshold[node] = chosen, cut
+        goes_left = block[:, chosen] <= cut
+        pending.append((2 * node + 2, level + 1, block[~goes_left]))
+        pending.append((2 * node + 1, level + 1, block[goes_left]))
+    return feature, threshold, depth
 
 
 def grow_forest(
@@ -134,29 +123,16 @@ def grow_forest(
         ordered = group.sort_values("place")
         points = np.array(ordered["features"].tolist(), dtype=float)
         rng = np.random.default_rng([seed, tree])
-        feature, threshold, left, right, depth = zip(*grow_tree(points, rng, levels))
-        return pd.DataFrame(
-            [(tree, list(feature), list(threshold), list(left), list(right), list(depth))],
-            columns=["tree", "feature", "threshold", "left", "right", "depth"],
-        )
+        arrays = [part.tolist() for part in grow_tree(points, rng, levels)]
+        return pd.DataFrame([(tree, *arrays)], columns=["tree", "feature", "threshold", "depth"])
 
     samples = tree_samples(df, imputed(stats, columns), row_id, stats.rows, seed)
     grown = samples.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).collect()
     trees = sorted(grown, key=lambda row: row["tree"])
-    width = max(len(t["feature"]) for t in trees)
-
-    def packed(field: str, fill, kind) -> np.ndarray:
-        block = np.full((len(trees), width), fill, dtype=kind)
-        for i, t in enumerate(trees):
-            block[i, : len(t[field])] = t[field]
-        return block
-
     return Forest(
-        packed("feature", -1, np.int32),
-        packed("threshold", 0.0, float),
-        packed("left", 0, np.int32),
-        packed("right", 0, np.int32),
-        packed("depth", 0.0, float),
+        np.array([t["feature"] for t in trees], dtype=np.int32),
+        np.array([t["threshold"] for t in trees]),
+        np.array([t["depth"] for t in trees]),
         levels,
         sample_rows,
     )
@@ -165,16 +141,15 @@ def grow_forest(
 def path_lengths(forest: Forest, points: np.ndarray) -> np.ndarray:
     """Mean path length of each point over all trees."""
     total = np.zeros(len(points))
-    everyone = np.arange(len(points))
-    for tree in range(len(forest.feature)):
-        feature, threshold = forest.feature[tree], forest.threshold[tree]
-        left, right = forest.left[tree], forest.right[tree]
+    cells = np.ascontiguousarray(points).ravel()
+    start = np.arange(len(points), dtype=np.int32) * points.shape[1]
+    for feature, threshold, depth in zip(forest.feature, forest.threshold, forest.depth):
         node = np.zeros(len(points), dtype=np.int32)
         for _ in range(forest.levels):
-            split = feature[node]
-            goes_left = points[everyone, np.maximum(split, 0)] <= threshold[node]
-            node = np.where(goes_left, left[node], right[node])
-        total += forest.depth[tree][node]
+            value = cells.take(start + feature.take(node))
+            right = value > threshold.take(node)
+            node = 2 * node + 1 + right
+        total += depth.take(node - len(feature))
     return total / len(forest.feature)
 
 
