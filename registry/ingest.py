@@ -200,5 +200,6 @@ def header_lines(spark, folder):
     """Each customer's orders read as one file: which of the first twelve lines is the header?"""
     order = Window.partitionBy("file").orderBy("o_orderkey")
     grid = derived(spark, folder, GRID, "orders")
-    early = grid.withColumn("line", F.row_number().over(order) - 1).where("line < 12")
+    early = grid.withColumn("nth", F.row_number().over(order)).where("nth <= 12")
+    early = early.withColumn("line", F.col("nth") - 1)
     return best_header(early, "file", "line", ["c0", "c1", "c2", "c3"])

@@ -45,6 +45,25 @@ def correlations(spark, folder):
     return found.withColumn("r", F.round("r", 6))
 
 
+PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register(
+    "correlations_without_gaps",
+    union_all(
+        [
+            f"SELECT {i} AS pair, '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r"
+            " FROM lineitem"
+            for i, (a, b) in enumerate(combinations(PRICES, 2))
+        ]
+    ),
+)
+def correlations_without_gaps(spark, folder):
+    table = load(spark, folder, "lineitem").select(*PRICES)
+    found = c.correlations(table, measure(table, quartiles=False))
+    return found.withColumn("r", F.round("r", 6))
+
+
 QUARTILES = "q AS (SELECT count(*) AS n, " + ", ".join(
     f"quantile_cont({x}, {p}) AS {x}_{s}" for x in NUMBERS for p, s in ((0.25, "lo"), (0.75, "hi"))
 ) + " FROM planted)"

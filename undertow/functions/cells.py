@@ -37,6 +37,15 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def long_numbers(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row and column: (slot, value). Plans built on it do not grow with the width."""
+    slots = [f"{i}" for i in range(len(names))]
+    kept = [column(k).alias(k) for k in keep]
+    wide = df.select(*kept, *[number(n).alias(s) for n, s in zip(names, slots)])
+    long = wide.unpivot(list(keep), slots, "slot", "value")
+    return long.withColumn("slot", F.col("slot").cast("int"))
+
+
 def listed(frame: DataFrame, fields: list[str], rows: list[list[str]]) -> DataFrame:
     """Turn a one-row frame into many rows, each given as one SQL expression per field."""
     structs = [

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.functions.cells import listed, percent_change, quoted, sql_text
+from undertow.functions.cells import long_numbers, percent_change
 from undertow.session import small_frame
 
-MEANS_PER_SCAN = 160
-
 
 def compare_groups(df: DataFrame, groups: dict[str, str], columns: list[str]) -> DataFrame:
     """Group mean and rest mean of every column, for every predicate.
@@ -19,34 +15,48 @@ def compare_groups(df: DataFrame, groups: dict[str, str], columns: list[str]) ->
     (group, ordinal, variable, group_size, group_mean, rest_mean, diff_pct). A row whose
     predicate is unknown belongs to the rest.
     """
-    schema = (
-        "group string, ordinal int, variable string, group_size bigint, group_mean double,"
-        " rest_mean double, diff_pct double"
-    )
+    spark = df.sparkSession
     if not groups or not columns:
-        return small_frame(df.sparkSession, [], schema)
-    per_scan = max(1, MEANS_PER_SCAN // (2 * len(groups)))
-    frames = []
-    for start in range(0, len(columns), per_scan):
-        block = list(enumerate(columns))[start : start + per_scan]
-        means, rows = [], []
-        for g, (label, rule) in enumerate(groups.items()):
-            inside = f"coalesce({rule}, false)"
-            means.append(f"count_if({inside}) AS size_{g}")
-            for i, name in block:
-                value = f"avg(CAST({quoted(name)} AS DOUBLE))"
-                means += [
-                    f"coalesce({value} FILTER (WHERE {inside}), 0D) AS in_{g}_{i}",
-                    f"coalesce({value} FILTER (WHERE NOT {inside}), 0D) AS out_{g}_{i}",
-                ]
-                place = [sql_text(label), str(i), sql_text(name)]
-                rows.append([*place, f"size_{g}", f"in_{g}_{i}", f"out_{g}_{i}"])
-        measured = df.agg(*[F.expr(mean) for mean in means])
-        fields = ["group", "ordinal", "variable", "group_size", "group_mean", "rest_mean"]
-        frames.append(listed(measured, fields, rows))
-    compared = reduce(DataFrame.unionByName, frames)
-    change = percent_change(F.col("group_mean"), F.col("rest_mean"))
-    return compared.withColumn("diff_pct", change)
+        schema = (
+            "group string, ordinal int, variable string, group_size bigint, group_mean double,"
+            " rest_mean double, diff_pct double"
+        )
+        return small_frame(spark, [], schema)
+    flags = {f"_in_{g}": F.coalesce(F.expr(rule), F.lit(False)) for g, rule in enumerate(groups.values())}
+    flagged = df.withColumns(flags)
+    measured = long_numbers(flagged, columns, tuple(flags)).groupBy("slot").agg(
+        *[
+            expression
+            for flag in flags
+            for expression in (
+                F.count_if(flag).alias(f"size{flag}"),
+                F.avg(F.when(F.col(flag), F.col("value"))).alias(f"group{flag}"),
+                F.avg(F.when(~F.col(flag), F.col("value"))).alias(f"rest{flag}"),
+            )
+        ]
+    )
+    per_group = F.array(
+        *[
+            F.struct(
+                F.lit(label).alias("group"),
+                F.col(f"size{flag}").alias("group_size"),
+                F.coalesce(f"group{flag}", F.lit(0.0)).alias("group_mean"),
+                F.coalesce(f"rest{flag}", F.lit(0.0)).alias("rest_mean"),
+            )
+            for label, flag in zip(groups, flags)
+        ]
+    )
+    names = F.array(*[F.lit(n) for n in columns])
+    compared = measured.select(F.col("slot").alias("ordinal"), F.inline(per_group))
+    return compared.select(
+        "group",
+        "ordinal",
+        names[F.col("ordinal")].alias("variable"),
+        "group_size",
+        "group_mean",
+        "rest_mean",
+        percent_change(F.col("group_mean"), F.col("rest_mean")).alias("diff_pct"),
+    )
 
 
 def evidence(compared: DataFrame, pairs: dict[str, tuple[str, str]], extra: int = 3) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from undertow.operators.statistics import TableStats
 from undertow.session import small_frame
 
 PAIRS_PER_SCAN = 120
+SUMS_PER_SCAN = 40
 
 
 @dataclass(frozen=True)
@@ -30,62 +34,79 @@ class Contradiction:
 def correlations(df: DataFrame, stats: TableStats, columns: list[str] | None = None) -> DataFrame:
     """Pearson r of each column pair over the rows holding both: (pair, col_a, col_b, r).
 
-    Values are centred and scaled by the measured mean and deviation. For two columns without
-    gaps that leaves a single sum per pair; gaps need the sums over the shared rows as well.
-    Pairs with a constant side give NULL.
+    Values are centred and scaled by the measured mean and deviation, so one scan is enough. A few
+    columns without gaps need a single sum per pair. Otherwise each task multiplies its batches as
+    matrices and passes on one row per pair: hundreds of sums in one aggregate would be slower by
+    far. Pairs with a constant side give NULL.
     """
     names = stats.numeric if columns is None else columns
-    pairs = list(enumerate(combinations(names, 2)))
-    frames = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        frames += _correlate(df, stats, pairs[start : start + PAIRS_PER_SCAN])
+    pairs = list(combinations(names, 2))
     schema = "pair int, col_a string, col_b string, r double"
-    if not frames:
-        return small_frame(df.sparkSession, [], schema)
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _correlate(df: DataFrame, stats: TableStats, pairs: list) -> list[DataFrame]:
-    varying = [n for n in stats.numeric if stats[n].spread]
-    slot = {n: f"z{i}" for i, n in enumerate(varying)}
+    varying = [n for n in names if stats[n].spread]
+    listed_pairs = small_frame(
+        df.sparkSession, [(i, a, b, None) for i, (a, b) in enumerate(pairs)], schema
+    )
+    if len(varying) < 2:
+        return listed_pairs
     scaled = df.selectExpr(
         *[
             f"(CAST({quoted(n)} AS DOUBLE) - {sql_double(stats[n].mean)})"
-            f" / {sql_double(stats[n].spread)} AS {z}"
-            for n, z in slot.items()
+            f" / {sql_double(stats[n].spread)} AS z{i}"
+            for i, n in enumerate(varying)
         ]
     )
-    sums, rows = [], []
-    for pair, (a, b) in pairs:
-        result = "CAST(NULL AS DOUBLE)"
-        if a in slot and b in slot:
-            x, y = slot[a], slot[b]
-            sums.append(f"sum({x} * {y}) AS xy{pair}")
-            if stats[a].non_null == stats[b].non_null == stats.rows:
-                result = f"xy{pair} / {stats.rows - 1}D"
-            else:
-                both = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
-                sums += [
-                    f"count(1) {both} AS n{pair}",
-                    f"sum({x}) {both} AS x{pair}",
-                    f"sum({y}) {both} AS y{pair}",
-                    f"sum({x} * {x}) {both} AS xx{pair}",
-                    f"sum({y} * {y}) {both} AS yy{pair}",
-                ]
-                n = f"nullif(n{pair}, 0)"
-                var_x = f"(xx{pair} - x{pair} * x{pair} / {n})"
-                var_y = f"(yy{pair} - y{pair} * y{pair} / {n})"
-                # What rounding leaves of a constant is no variance.
-                varies = f"{var_x} > xx{pair} * 1e-14 AND {var_y} > yy{pair} * 1e-14"
-                result = (
-                    f"CASE WHEN {varies} THEN (xy{pair} - x{pair} * y{pair} / {n})"
-                    f" / sqrt({var_x} * {var_y}) END"
-                )
-        rows.append([str(pair), sql_text(a), sql_text(b), result])
-    if not sums:
-        scaled, sums = df, ["count(1) AS rows"]
-    totals = scaled.agg(*[F.expr(s) for s in sums])
-    return [listed(totals, ["pair", "col_a", "col_b", "r"], rows)]
+    complete = all(stats[n].non_null == stats.rows for n in varying)
+    slots = list(combinations(range(len(varying)), 2))
+    if complete and len(slots) <= SUMS_PER_SCAN:
+        totals = scaled.agg(*[F.expr(f"sum(z{a} * z{b}) AS xy_{a}_{b}") for a, b in slots])
+        rows = [[str(a), str(b), f"xy_{a}_{b} / {stats.rows - 1}D"] for a, b in slots]
+        found = listed(totals, ["a", "b", "r"], rows)
+    else:
+        found = _matrix_correlations(scaled, len(varying))
+    place = {pair: i for i, pair in enumerate(pairs)}
+    numbered = small_frame(
+        df.sparkSession,
+        [(a, b, place[varying[a], varying[b]]) for a, b in slots],
+        "a int, b int, pair int",
+    )
+    known = found.join(F.broadcast(numbered), ["a", "b"]).select("pair", "r")
+    return F.broadcast(listed_pairs.drop("r")).join(known, "pair", "left")
+
+
+def _matrix_correlations(scaled: DataFrame, width: int) -> DataFrame:
+    """(a, b, r) from the sums over shared rows, added up by matrix products within each task."""
+    first, second = np.triu_indices(width, 1)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x, xx, xy = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            held = ~np.isnan(cells)
+            cells[~held] = 0.0
+            held = held.astype(float)
+            n += held.T @ held
+            x += cells.T @ held
+            xx += (cells * cells).T @ held
+            xy += cells.T @ cells
+        upper, lower = (first, second), (second, first)
+        sums = [n[upper], x[upper], x[lower], xx[upper], xx[lower], xy[upper]]
+        names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
+        pair = [pa.array(side.astype(np.int32)) for side in upper]
+        yield pa.RecordBatch.from_arrays([*pair, *map(pa.array, sums)], names=names)
+
+    schema = "a int, b int, n double, x double, y double, xx double, yy double, xy double"
+    sums = scaled.mapInArrow(add_up, schema).groupBy("a", "b").agg(
+        *[F.sum(s).alias(s) for s in ("n", "x", "y", "xx", "yy", "xy")]
+    )
+    # What rounding leaves of a constant is no variance.
+    return sums.selectExpr(
+        "a", "b", "xy - x * y / nullif(n, 0D) AS shared", "xx - x * x / nullif(n, 0D) AS var_x",
+        "yy - y * y / nullif(n, 0D) AS var_y", "xx", "yy",
+    ).selectExpr(
+        "a", "b",
+        "CASE WHEN var_x > xx * 1e-14D AND var_y > yy * 1e-14D"
+        " THEN shared / sqrt(var_x * var_y) END AS r",
+    )
 
 
 def predicate(stats: TableStats, a: str, b: str, direction: str) -> str:

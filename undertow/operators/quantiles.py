@@ -2,26 +2,30 @@
 
 Spark's `percentile` merges every distinct value of a column into one aggregation buffer. That is
 fine up to a few hundred thousand rows. Above that, each wanted rank is searched for: an approximate
-sketch proposes two values that should enclose it, one scan counts the rows below, at, between and
-above them, and the search goes on in the zone that really holds the rank. The counts are exact, so
-the answer is exact whatever the sketch says. Both values leave the zone, so a heavily repeated
-value cannot stall the search. A zone shrinks by about the sketch's accuracy per round; once it is
-small its values are grouped and ranked. All ranks of all columns share each scan.
+sketch proposes two values that should enclose it, one scan counts the rows at each proposed value
+and between them, and the search goes on in the zone that really holds the rank. The counts are
+exact, so the answer is exact whatever the sketch says. The proposed values leave the zone, so a
+heavily repeated value cannot stall the search. A zone shrinks by about the sketch's accuracy per
+round; once it is small its values are grouped and ranked. All ranks of all columns share each scan.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.functions.cells import number
+from undertow.functions.cells import long_numbers, number
+from undertow.session import small_frame
 
 DIRECT_ROWS = 500_000
 SKETCH_ACCURACY = 10_000
-ZONE_ROWS = 200_000
+ZONE_ROWS = 500_000
 
 
 @dataclass
@@ -58,22 +62,21 @@ class Rank:
             min(1.0, max(0.0, (place + 1 + slack) / self.inside)),
         ]
 
-    def settle(self, low: float, high: float, counts: tuple[int, int, int, int]) -> None:
-        """Move to the zone holding the rank, given the rows (< low, = low, between, = high)."""
-        under, at_low, between, at_high = counts
-        start = self.below
-        if self.rank < start + under:
-            self.before, self.inside = low, under
-        elif self.rank < start + under + at_low:
-            self.value = low
-        elif self.rank < start + under + at_low + between:
-            self.below = start + under + at_low
-            self.after, self.before, self.inside = low, high, between
-        elif self.rank < start + under + at_low + between + at_high:
-            self.value = high
-        else:
-            passed = under + at_low + between + at_high
-            self.below, self.after, self.inside = start + passed, high, self.inside - passed
+    def settle(self, cuts: list[float], counts: dict[int, int]) -> None:
+        """Move to the zone holding the rank. Zone 2j + 1 is the value cuts[j], 2j lies below it."""
+        passed = 0
+        for zone in range(2 * len(cuts) + 1):
+            held = counts.get(zone, 0)
+            if self.rank < passed + held:
+                break
+            passed += held
+        place, on_cut = divmod(zone, 2)
+        if on_cut:
+            self.value = cuts[place]
+            return
+        self.below, self.inside = passed, held
+        self.after = cuts[place - 1] if place else None
+        self.before = cuts[place] if place < len(cuts) else None
 
 
 def interpolate(position: float, lower: float, upper: float) -> float:
@@ -98,11 +101,10 @@ def exact_quantiles(
         return found
     if max(counts.values()) <= direct_rows:
         wanted = F.array(*[F.lit(p) for p in fractions])
-        got = df.agg(
-            *[F.percentile(number(c), wanted).alias(f"q{i}") for i, c in enumerate(filled)]
-        ).first()
-        for i, c in enumerate(filled):
-            found[c] = list(got[f"q{i}"])
+        cells = long_numbers(df, filled).groupBy("slot")
+        for row in cells.agg(F.percentile("value", wanted).alias("cuts")).collect():
+            if row["cuts"] is not None:
+                found[filled[row["slot"]]] = list(row["cuts"])
         return found
 
     positions = {(c, p): p * (counts[c] - 1) for c in filled for p in fractions}
@@ -133,55 +135,108 @@ def _search(df: DataFrame, ranks: list[Rank], accuracy: int, zone_rows: int) ->
             value = F.when(members[0].mask(), number(members[0].column))
             sketches.append(F.percentile_approx(value, F.array(*cuts), accuracy).alias(f"z{i}"))
         got = df.agg(*sketches).first()
-        tried = []
+        cuts: dict[str, set[float]] = {r.column: set() for r in wide}
         for i, members in enumerate(zones.values()):
-            ends = got[f"z{i}"]
-            tried += [(r, ends[2 * j], ends[2 * j + 1]) for j, r in enumerate(members)]
-        counted = df.agg(
-            *[
-                F.count_if(r.mask() & test).alias(f"n{i}_{j}")
-                for i, (r, low, high) in enumerate(tried)
-                for j, test in enumerate(_tests(number(r.column), low, high))
-            ]
-        ).first()
-        for i, (r, low, high) in enumerate(tried):
-            r.settle(low, high, tuple(counted[f"n{i}_{j}"] for j in range(4)))
+            known = {members[0].after, members[0].before} - {None}
+            cuts[members[0].column] |= known | set(got[f"z{i}"])
+        sorted_cuts = {name: sorted(values) for name, values in cuts.items()}
+        counts = _zone_counts(df, sorted_cuts)
+        for r in wide:
+            r.settle(sorted_cuts[r.column], counts[r.column])
     _rank_small_zones(df, [r for r in ranks if r.value is None])
 
 
-def _tests(c: Column, low: float, high: float) -> list[Column]:
-    return [
-        c < F.lit(low),
-        c == F.lit(low),
-        (c > F.lit(low)) & (c < F.lit(high)),
-        (c == F.lit(high)) & F.lit(high > low),
-    ]
+def _doubles(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[number(n).alias(f"c{i}") for i, n in enumerate(names)])
+
+
+def _present(cells: pa.Array) -> np.ndarray:
+    values = cells.to_numpy(zero_copy_only=False)
+    return values[~np.isnan(values)]
+
+
+def _zone_counts(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[int, int]]:
+    """Rows per zone of each column: a task passes on one number per zone.
+
+    Each value is placed among the cuts by binary search, batch by batch.
+    """
+    names = list(cuts)
+    ends = [np.array(cuts[name]) for name in names]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(2 * len(e) + 1, dtype=np.int64) for e in ends]
+        for batch in batches:
+            for slot, (edges, cells) in enumerate(zip(ends, batch.columns)):
+                values = _present(cells)
+                zone = np.searchsorted(edges, values, "left") + np.searchsorted(
+                    edges, values, "right"
+                )
+                held[slot] += np.bincount(zone, minlength=len(held[slot]))
+        slots = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        zones = np.concatenate([np.arange(len(h)) for h in held])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slots), pa.array(zones), pa.array(np.concatenate(held))],
+            names=["slot", "zone", "rows"],
+        )
+
+    counted = (
+        _doubles(df, names)
+        .mapInArrow(place, "slot bigint, zone bigint, rows bigint")
+        .groupBy("slot", "zone")
+        .agg(F.sum("rows").alias("rows"))
+    )
+    found: dict[str, dict[int, int]] = {name: {} for name in names}
+    for row in counted.collect():
+        found[names[row["slot"]]][row["zone"]] = row["rows"]
+    return found
 
 
 def _rank_small_zones(df: DataFrame, ranks: list[Rank]) -> None:
-    """Group the values of each remaining zone and read the wanted rank off the running count."""
+    """Group the values of each remaining zone and read the wanted ranks off the running count."""
     if not ranks:
         return
-    tagged = F.array(
-        *[
-            F.when(r.mask(), F.struct(F.lit(i).alias("zone"), number(r.column).alias("value")))
-            for i, r in enumerate(ranks)
-        ]
+    zones = list(dict.fromkeys(r.zone for r in ranks))
+    names = list(dict.fromkeys(name for name, _, _ in zones))
+    bounds = [
+        (names.index(name), -np.inf if a is None else a, np.inf if b is None else b, a, b)
+        for name, a, b in zones
+    ]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [_present(cells) for cells in batch.columns]
+            for zone, (slot, low, high, after, before) in enumerate(bounds):
+                values = columns[slot]
+                inside = (values > low) & (values < high)
+                # An open end also takes in an infinite value.
+                if after is None:
+                    inside |= values == -np.inf
+                if before is None:
+                    inside |= values == np.inf
+                picked = values[inside]
+                if len(picked):
+                    number_of = np.full(len(picked), zone, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(number_of), pa.array(picked)], names=["zone", "value"]
+                    )
+
+    through = F.sum("freq").over(
+        Window.partitionBy("zone").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     )
-    values = (
-        df.select(F.inline(F.array_compact(tagged)))
+    running = (
+        _doubles(df, names)
+        .mapInArrow(pick, "zone int, value double")
         .groupBy("zone", "value")
         .agg(F.count(F.lit(1)).alias("freq"))
+        .withColumn("through", through)
     )
-    through = F.sum("freq").over(
-        Window.partitionBy("zone").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    place = F.element_at(F.array(*[F.lit(r.rank - r.below) for r in ranks]), F.col("zone") + 1)
+    wanted = [(zones.index(r.zone), i, r.rank - r.below) for i, r in enumerate(ranks)]
+    places = small_frame(df.sparkSession, wanted, "zone int, wanted int, place bigint")
     picked = (
-        values.withColumn("through", through)
-        .where(F.col("through") > place)
-        .groupBy("zone")
+        running.join(F.broadcast(places), "zone")
+        .where(F.col("through") > F.col("place"))
+        .groupBy("wanted")
         .agg(F.min("value").alias("value"))
     )
     for row in picked.collect():
-        ranks[row["zone"]].value = row["value"]
+        ranks[row["wanted"]].value = row["value"]

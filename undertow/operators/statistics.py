@@ -11,10 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.functions.cells import number, numeric_columns
+from undertow.functions.cells import long_numbers, number, numeric_columns
 from undertow.operators.quantiles import DIRECT_ROWS, exact_quantiles
 
-COLUMNS_PER_SCAN = 60
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -70,32 +69,25 @@ def measure(
     direct_rows: int = DIRECT_ROWS,
 ) -> TableStats:
     names = numeric_columns(df) if columns is None else list(columns)
+    if not names:
+        return TableStats(df.count(), {})
+    moments = long_numbers(df, names).groupBy("slot").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("value").alias("non_null"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    )
+    by_slot = {row["slot"]: row for row in moments.collect()}
+    rows = by_slot[0]["rows"] if by_slot else 0
     measured: dict[str, ColumnStats] = {}
-    rows = 0
-    for start in range(0, max(len(names), 1), COLUMNS_PER_SCAN):
-        block = names[start : start + COLUMNS_PER_SCAN]
-        wanted = [F.count(F.lit(1)).alias("rows")]
-        for i, name in enumerate(block):
-            c = number(name)
-            wanted += [
-                F.count(c).alias(f"count_{i}"),
-                F.avg(c).alias(f"mean_{i}"),
-                F.stddev_samp(c).alias(f"std_{i}"),
-                F.min(c).alias(f"low_{i}"),
-                F.max(c).alias(f"high_{i}"),
-            ]
-        got = df.agg(*wanted).first()
-        rows = got["rows"]
-        for i, name in enumerate(block):
-            measured[name] = ColumnStats(
-                name,
-                got[f"count_{i}"],
-                got[f"mean_{i}"],
-                got[f"std_{i}"],
-                got[f"low_{i}"],
-                got[f"high_{i}"],
-            )
-    if quartiles and names:
+    for slot, name in enumerate(names):
+        got = by_slot.get(slot)
+        parts = ("mean", "std", "low", "high")
+        values = [got[p] for p in parts] if got else [None] * len(parts)
+        measured[name] = ColumnStats(name, got["non_null"] if got else 0, *values)
+    if quartiles:
         counts = {name: measured[name].non_null for name in names}
         cuts = exact_quantiles(df, counts, QUARTILES, direct_rows)
         for name in names:
