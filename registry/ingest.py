@@ -202,4 +202,4 @@ def header_lines(spark, folder):
     grid = derived(spark, folder, GRID, "orders")
     early = grid.withColumn("nth", F.row_number().over(order)).where("nth <= 12")
     early = early.withColumn("line", F.col("nth") - 1)
-    return best_header(early, "file", "line", ["c0", "c1", "c2", "c3"])
+    return best_header(early, "file", "line", ["c0", "c1", "c2", "c3"]).drop("header")

@@ -18,6 +18,9 @@ def db():
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, db, name):
     frame = queries()[name](spark, SMALL)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for slow in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython"):
+        assert slow not in plan
     found = [tuple(row) for row in frame.collect()]
     if name in oracle_sql():
         assert differences(frame.columns, found, db, oracle_sql()[name]) == []

@@ -80,9 +80,12 @@ def tree_samples(df: DataFrame, features: list[Column], row_id: str, rows: int,
         each = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
         draw = _unit(seed, F.col("row_key"), F.col("tree"))
         drawn = cells.select("*", each).withColumn("draw", draw).where(F.col("draw") < share)
+    # An explicit number of partitions keeps small samples from being merged into one slow task.
+    spread = min(TREES, df.sparkSession.sparkContext.defaultParallelism)
     order = Window.partitionBy("tree").orderBy("draw", "row_key")
     return (
-        drawn.withColumn("place", F.row_number().over(order))
+        drawn.repartition(spread, "tree")
+        .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= SAMPLE_ROWS)
         .select(F.col("tree").cast("int").alias("tree"), "place", "features")
     )

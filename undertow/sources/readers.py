@@ -19,6 +19,7 @@ from undertow.operators.ingest import (
     needs_header_search,
     unique_names,
 )
+from undertow.session import settled
 from undertow.sources.sniff import folder_formats
 from undertow.sources.validate import UnusableTable
 
@@ -153,17 +154,17 @@ def _below_header(grid: DataFrame, raw: list[str]) -> tuple[DataFrame, list, int
     early = starts.where(F.col(LINE).isNotNull() & column(EXTRA).isNull())
     # The first line of a file is never searched: it was already found unfit.
     shifted = early.where(F.col(LINE) >= 1).withColumn("_at", F.col(LINE) - 1)
-    found = best_header(shifted, FILE, "_at", raw)
-    sample = shifted.join(found, FILE).where("_at = header_line").orderBy(FILE).first()
-    if sample is None:
-        return None
     # One row per input file, fewer bytes than the file listing the driver already holds.
+    found = settled(best_header(shifted, FILE, "_at", raw))
+    first = found.orderBy(FILE).first()
+    if first is None:
+        return None
     below = (
-        numbered.join(F.broadcast(found), FILE, "left")
+        numbered.join(F.broadcast(found.drop("header")), FILE, "left")
         .where(F.col(LINE).isNull() | (F.col(LINE) - 1 > F.coalesce("header_line", F.lit(-1))))
         .where(column(EXTRA).isNull())
     )
-    return below, [sample[n] for n in raw], sample["_at"] + 1
+    return below, list(first["header"]), first["header_line"] + 1
 
 
 def read_json(spark: SparkSession, path: str) -> Loaded:
