@@ -69,7 +69,7 @@ def event_scores(spark, folder):
 )
 def zscore_scores(spark, folder):
     return event_scores(spark, folder).select(
-        "event_id", F.round("zmax", 4).alias("zmax"), F.round("score", 4).alias("score"),
+        "event_id", F.round("anomaly_zmax", 4).alias("zmax"), F.round("anomaly_score", 4).alias("score"),
         "is_anomaly",
     )
 
@@ -90,7 +90,7 @@ def zscore_many_columns(spark, folder):
     table = planted(spark, folder)
     names = ["spend_plan", "attendance_pct", "line_total"]
     scored = score_rows(table, measure(table, names), "order_id", names, ZSCORE)
-    return scored.select("order_id", F.round("zmax", 4).alias("zmax"), "is_anomaly")
+    return scored.select("order_id", F.round("anomaly_zmax", 4).alias("zmax"), "is_anomaly")
 
 
 # No label lies three deviations out, so the few highest scores are flagged instead.
@@ -112,7 +112,7 @@ def anomaly_rescue(spark, folder):
     labels = load(spark, folder, "labels")
     names = ["quality", "toxic"]
     scored = score_rows(labels, measure(labels, names), "doc_id", names, ZSCORE)
-    return scored.select("doc_id", F.round("score", 4).alias("score"), "is_anomaly")
+    return scored.select("doc_id", F.round("anomaly_score", 4).alias("score"), "is_anomaly")
 
 
 @register(
@@ -122,7 +122,8 @@ def anomaly_rescue(spark, folder):
     JOIN events e ON e.event_id = s.event_id WHERE score >= 0.45 OR is_anomaly""",
 )
 def anomaly_top_rows(spark, folder):
-    return top_rows(event_scores(spark, folder), "event_id")
+    top = top_rows(event_scores(spark, folder), "event_id")
+    return top.withColumnsRenamed({"anomaly_score": "score", "anomaly_zmax": "zmax"})
 
 
 @register(
@@ -143,7 +144,7 @@ def isolation_forest(spark, folder):
     names = ["spend_plan", "final_result", "attendance_pct", "delivery_time", "line_total"]
     scored = score_rows(table, measure(table, names), "order_id", names)
     return scored.select(
-        "order_id", F.round("score", 3).alias("score"), F.round("zmax", 2).alias("zmax"),
+        "order_id", F.round("anomaly_score", 3).alias("score"), F.round("anomaly_zmax", 2).alias("zmax"),
         "is_anomaly",
     )
 

@@ -311,7 +311,7 @@ def test_zscore_scores(rows):
     scored = score_rows(frame, stats, "k", method=ZSCORE)
     got = {r["k"]: r for r in scored.collect()}
     expected = (90 - stats["x"].mean) / stats["x"].std
-    assert got[40]["zmax"] == pytest.approx(expected) and got[40]["score"] == 1.0
+    assert got[40]["anomaly_zmax"] == pytest.approx(expected) and got[40]["anomaly_score"] == 1.0
     assert [k for k, r in got.items() if r["is_anomaly"]] == [40]
     top = top_rows(scored, "k").collect()
     assert [r["k"] for r in top] == [40]
@@ -331,7 +331,7 @@ def test_no_rescue_of_even_rows(rows):
 
 def test_constants_score_nothing(rows):
     frame = rows([(i, 3.0) for i in range(12)], "k int, x double")
-    got = score_rows(frame, measure(frame), "k", ["x"], ZSCORE).agg(F.max("score")).first()[0]
+    got = score_rows(frame, measure(frame), "k", ["x"], ZSCORE).agg(F.max("anomaly_score")).first()[0]
     assert got == 0.0
 
 
@@ -345,7 +345,7 @@ def cloud(rows, n=1200, odd=6):
 def test_forest_finds_planted_outliers(rows):
     frame = cloud(rows)
     scored = score_rows(frame, measure(frame, ["x", "y", "z"]), "k", method=FOREST)
-    top = {r["k"] for r in scored.orderBy(F.desc("score")).limit(6).collect()}
+    top = {r["k"] for r in scored.orderBy(F.desc("anomaly_score")).limit(6).collect()}
     assert top == set(range(6))
     flagged = scored.where("is_anomaly").count()
     assert flagged == pytest.approx(1200 * contamination(1200), abs=2)
@@ -356,7 +356,7 @@ def test_forest_repeats_itself_on_other_partitions(rows):
     stats = measure(frame, ["x", "y", "z"])
     one = score_rows(frame, stats, "k", method=FOREST).orderBy("k").collect()
     two = score_rows(frame.repartition(5), stats, "k", method=FOREST).orderBy("k").collect()
-    assert [r["score"] for r in one] == pytest.approx([r["score"] for r in two])
+    assert [r["anomaly_score"] for r in one] == pytest.approx([r["anomaly_score"] for r in two])
 
 
 def test_forest_on_a_table_large_enough_for_one_tree_per_row(spark):
@@ -368,7 +368,7 @@ def test_forest_on_a_table_large_enough_for_one_tree_per_row(spark):
         (F.when(odd, 50.0).otherwise(0.0) + F.pmod(F.hash("k"), F.lit(1000)) / 500).alias("y"),
     )
     scored = score_rows(frame, measure(frame, ["x", "y"]), "k", method=FOREST)
-    top = {r["k"] for r in scored.orderBy(F.desc("score"), "k").limit(300).collect()}
+    top = {r["k"] for r in scored.orderBy(F.desc("anomaly_score"), "k").limit(300).collect()}
     assert top == set(range(0, 60000, 200))
 
 

@@ -51,6 +51,10 @@ def test_names():
     ]
 
 
+def test_names_spark_cannot_tell_apart():
+    assert unique_names(["Name", "name", "a", "a_1", "a"]) == ["Name", "name_1", "a", "a_1", "a_2"]
+
+
 def test_when_a_header_is_searched():
     assert needs_header_search(["Report", None, "", None])
     assert needs_header_search(["1", "2", "3"])

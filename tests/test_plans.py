@@ -160,7 +160,7 @@ def test_whole_audit_with_its_seeded_parts(spark):
     one = undertow.audit(school(spark), "Student_ID", name="school")
     kinds = {r["kind"] for r in one.findings.collect()}
     assert "outliers" in kinds
-    assert one.clusters is not None and "cluster" in one.scored.columns
+    assert one.clusters is not None and "cluster_label" in one.scored.columns
     two = undertow.audit(school(spark).repartition(5), "Student_ID", name="school")
     assert one.findings.collect() == two.findings.collect()
 
@@ -185,3 +185,12 @@ def test_awkward_column_names(spark):
     got = undertow.audit(frame, "the key", repaired=True, method=ZSCORE)
     for row in got.findings.where("predicate IS NOT NULL").collect():
         assert got.scored.where(row["predicate"]).count() == row["matches"], row["title"]
+
+
+def test_a_table_may_have_columns_named_like_ours(spark):
+    values = [(i, i * 1.0, 5.0 if i % 2 else 9.0, i % 3) for i in range(40)]
+    frame = spark.createDataFrame(values, "row_id int, score double, zmax double, cluster int")
+    got = undertow.audit(frame, repaired=True, method=ZSCORE)
+    rows = investigate.investigate(got.scored, "score >= 20", got.numbers).rows
+    means = {r["variable"]: r for r in rows.collect()}
+    assert means["score"]["group_mean"] == 29.5 and means["score"]["rest_mean"] == 9.5

@@ -35,7 +35,7 @@ def skewed(spark):
 def test_a_score_reads_only_its_columns(spark):
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     scored = score_rows(events, measure(events, ["value"]), "event_id", ["value"], ZSCORE)
-    text = plan(scored.select("event_id", "score"))
+    text = plan(scored.select("event_id", "anomaly_score"))
     assert "ReadSchema: struct<event_id:bigint,value:double>" in text
     assert "Exchange" not in text
 

@@ -16,6 +16,8 @@ from undertow.session import written
 FOREST = "isolation-forest"
 ZSCORE = "zscore-ensemble"
 TOP_ROWS = 25
+# Columns added to the table; the names leave a table's own "score" alone.
+SCORE, ZMAX, FLAG = "anomaly_score", "anomaly_zmax", "is_anomaly"
 RESCUE_SCORE = 0.55
 
 
@@ -35,7 +37,7 @@ class Scoring:
 
     def attach(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
-            {"score": self.score, "zmax": self.zmax, "is_anomaly": self.is_anomaly}
+            {SCORE: self.score, ZMAX: self.zmax, FLAG: self.is_anomaly}
         )
 
 
@@ -101,7 +103,7 @@ def score_rows(
     method: str | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """The table with `score` (0..1), `zmax` and `is_anomaly` per row."""
+    """The table with `anomaly_score` (0..1), `anomaly_zmax` and `is_anomaly` per row."""
     names = stats.numeric if columns is None else columns
     if method is None:
         method = FOREST if len(names) >= 2 and stats.rows >= 10 else ZSCORE
@@ -118,30 +120,30 @@ def score_rows(
 def rescue(scored: DataFrame, rows: int, row_id: str) -> DataFrame:
     """Flag the top few rows of a table with no flagged row, if the best score is high."""
     most = max(1, min(5, rows // 20))
-    top = scored.select(column(row_id), "score").orderBy(F.desc("score"), column(row_id))
+    top = scored.select(column(row_id), SCORE).orderBy(F.desc(SCORE), column(row_id))
     found = top.limit(most).collect()
-    if not found or found[0]["score"] <= RESCUE_SCORE:
+    if not found or found[0][SCORE] <= RESCUE_SCORE:
         return scored
-    return scored.withColumn("is_anomaly", column(row_id).isin([row[0] for row in found]))
+    return scored.withColumn(FLAG, column(row_id).isin([row[0] for row in found]))
 
 
 def top_rows(scored: DataFrame, row_id: str, most: int = TOP_ROWS, keep: int = 10) -> DataFrame:
     """The highest scores with the first columns; low ones stay only when flagged."""
-    added = ("score", "zmax", "is_anomaly")
+    added = (SCORE, ZMAX, FLAG)
     shown = [c for c in scored.columns if c not in added and c != row_id][:keep]
     return (
         scored.select(column(row_id), *added, *[column(c) for c in shown])
-        .orderBy(F.desc("score"), column(row_id))
+        .orderBy(F.desc(SCORE), column(row_id))
         .limit(most)
-        .where((F.col("score") >= 0.45) | F.col("is_anomaly"))
-        .withColumn("score", F.round("score", 3))
-        .withColumn("zmax", F.round("zmax", 2))
+        .where((F.col(SCORE) >= 0.45) | F.col(FLAG))
+        .withColumn(SCORE, F.round(SCORE, 3))
+        .withColumn(ZMAX, F.round(ZMAX, 2))
     )
 
 
 def anomaly_summary(scored: DataFrame, method: str) -> DataFrame:
     """One row: method, flagged rows, their share in percent."""
-    flagged = F.count_if("is_anomaly")
+    flagged = F.count_if(FLAG)
     return scored.agg(
         F.lit(method).alias("method"),
         flagged.alias("anomaly_count"),

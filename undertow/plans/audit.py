@@ -134,7 +134,7 @@ def audit(
         )
         table, changed = df, row_id is None
     spark = table.sparkSession
-    key = row_id or ROW_ID
+    key = row_id or (ROW_ID if ROW_ID not in table.columns else "_" + ROW_ID)
     if row_id is None:
         table = with_row_id(table, key)
     if changed:
@@ -173,7 +173,7 @@ def audit(
     clustered = None
     if done["clusters"] is not None:
         label, clustered, best, own = done["clusters"]
-        scored = scored.withColumn("cluster", label)
+        scored = scored.withColumn(findings.CLUSTER, label)
         if best is not None and len(found) < 8:
             found.append(findings.cluster_finding(best, own, stats))
     examples, formula_list = done["formulas"]
@@ -266,7 +266,11 @@ class _Part:
             )
         else:
             scored = table.withColumns(
-                {"score": F.lit(0.0), "zmax": F.lit(0.0), "is_anomaly": F.lit(False)}
+                {
+                    anomalies.SCORE: F.lit(0.0),
+                    anomalies.ZMAX: F.lit(0.0),
+                    anomalies.FLAG: F.lit(False),
+                }
             )
         enough = len(stats.numeric) >= 2 and stats.rows >= 10
         used = self.method or (anomalies.FOREST if enough else anomalies.ZSCORE)

@@ -16,6 +16,8 @@ SCHEMA = (
     " factor_pct double, columns array<string>, predicate string, source string, note string"
 )
 from undertow.session import small_frame
+# The column of the scored table that holds the cluster of each row.
+CLUSTER = "cluster_label"
 SEVERITIES = ("critical", "moderate", "info")
 CORRELATION_NOTE = "Indicates correlation, not causation."
 
@@ -175,7 +177,7 @@ def cluster_finding(best, means: list, stats) -> Finding:
         pct=best["pct"],
         confidence=74,
         columns=[name for name, _ in shown[:3]],
-        predicate=f"cluster = {best['cluster']}",
+        predicate=f"{CLUSTER} = {best['cluster']}",
         source="clustering (k-means)",
         note="A descriptive grouping: check before acting on it.",
     )

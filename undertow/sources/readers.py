@@ -21,7 +21,7 @@ from undertow.operators.ingest import (
 )
 from undertow.session import settled
 from undertow.sources.sniff import folder_formats
-from undertow.sources.validate import UnusableTable
+from undertow.sources.validate import UnusableTable, check_usable
 
 SEPARATORS = (",", "\t", ";", "|")
 HEAD_LINES = 20
@@ -212,17 +212,20 @@ def one_format(spark: SparkSession, path: str) -> str:
     return kinds[0]
 
 
-def read_table(
-    spark: SparkSession, path: str, kind: str | None = None, **options
-) -> Loaded:
-    """Read a file or folder; the format comes from its first bytes and name unless given."""
-    kind = kind or one_format(spark, path)
-    if kind == "csv":
-        return read_delimited(spark, path, **options)
-    if kind == "tsv":
-        return read_delimited(spark, path, separator="\t", **options)
-    if kind == "txt":
-        return read_delimited(spark, path, separator=None, **options)
+def read_table(spark: SparkSession, path: str, kind: str | None = None, **options) -> Loaded:
+    """Read a file or folder and refuse what is no table.
+
+    The format comes from the first bytes and the name unless `kind` gives it.
+    """
+    loaded = _read(spark, path, kind or one_format(spark, path), options)
+    check_usable(loaded.table, path)
+    return loaded
+
+
+def _read(spark: SparkSession, path: str, kind: str, options: dict) -> Loaded:
+    if kind in ("csv", "tsv", "txt"):
+        separator = {"csv": ",", "tsv": "\t", "txt": None}[kind]
+        return read_delimited(spark, path, **{"separator": separator, **options})
     if kind == "json":
         return read_json(spark, path)
     if kind == "parquet":
