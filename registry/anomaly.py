@@ -101,7 +101,7 @@ def zscore_many_columns(spark, folder):
     z AS (SELECT doc_id, n, greatest(abs((quality - m1) / s1), abs((toxic - m2) / s2)) AS zmax
           FROM labels, s),
     scored AS (SELECT doc_id, n, zmax, least(zmax / 4, 1) AS score FROM z),
-    placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+    placed AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place,
                max(score) OVER () AS best, sum(CASE WHEN zmax > 3 THEN 1 ELSE 0 END) OVER () AS hits
                FROM scored)
     SELECT doc_id, round(score, 4) AS score,
@@ -118,7 +118,7 @@ def anomaly_rescue(spark, folder):
 @register(
     "anomaly_top_rows",
     f"""WITH {EVENT_SCORES} SELECT s.event_id, round(score, 3) AS score, round(zmax, 2) AS zmax,
-    is_anomaly, value FROM (SELECT * FROM scored ORDER BY score DESC, event_id LIMIT 25) s
+    is_anomaly, value FROM (SELECT * FROM scored ORDER BY round(score, 9) DESC, event_id LIMIT 25) s
     JOIN events e ON e.event_id = s.event_id WHERE score >= 0.45 OR is_anomaly""",
 )
 def anomaly_top_rows(spark, folder):

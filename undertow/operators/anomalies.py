@@ -117,10 +117,16 @@ def score_rows(
     return rescue(scored, stats.rows, row_id)
 
 
+def highest_first(row_id: str) -> list[Column]:
+    """By score, then row id. The last digits of a score depend on the order rows were summed in,
+    so scores equal to nine decimals count as ties."""
+    return [F.desc(F.round(SCORE, 9)), column(row_id)]
+
+
 def rescue(scored: DataFrame, rows: int, row_id: str) -> DataFrame:
     """Flag the top few rows of a table with no flagged row, if the best score is high."""
     most = max(1, min(5, rows // 20))
-    top = scored.select(column(row_id), SCORE).orderBy(F.desc(SCORE), column(row_id))
+    top = scored.select(column(row_id), SCORE).orderBy(*highest_first(row_id))
     found = top.limit(most).collect()
     if not found or found[0][SCORE] <= RESCUE_SCORE:
         return scored
@@ -133,7 +139,7 @@ def top_rows(scored: DataFrame, row_id: str, most: int = TOP_ROWS, keep: int = 1
     shown = [c for c in scored.columns if c not in added and c != row_id][:keep]
     return (
         scored.select(column(row_id), *added, *[column(c) for c in shown])
-        .orderBy(F.desc(SCORE), column(row_id))
+        .orderBy(*highest_first(row_id))
         .limit(most)
         .where((F.col(SCORE) >= 0.45) | F.col(FLAG))
         .withColumn(SCORE, F.round(SCORE, 3))
