@@ -45,10 +45,11 @@ def profile_columns(spark, folder):
     return column_profile(planted(spark, folder)).drop("dtype")
 
 
-NUMBER_SQL = """SELECT {i} AS ordinal, '{c}' AS "column", round(avg({c}), 2) AS mean,
-    round(quantile_cont({c}, 0.5), 2) AS median, round(stddev_samp({c}), 2) AS std,
-    round(min({c})::DOUBLE, 2) AS low, round(max({c})::DOUBLE, 2) AS high,
-    round(quantile_cont({c}, 0.25), 2) AS q25, round(quantile_cont({c}, 0.75), 2) AS q75
+# Quartiles of values with two decimals have up to four; fewer would compare how ties are rounded.
+NUMBER_SQL = """SELECT {i} AS ordinal, '{c}' AS "column", round(avg({c}), 4) AS mean,
+    round(quantile_cont({c}, 0.5), 4) AS median, round(stddev_samp({c}), 4) AS std,
+    round(min({c})::DOUBLE, 4) AS low, round(max({c})::DOUBLE, 4) AS high,
+    round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.75), 4) AS q75
     FROM {t}"""
 
 
@@ -62,7 +63,7 @@ NUMBER_SQL = """SELECT {i} AS ordinal, '{c}' AS "column", round(avg({c}), 2) AS
 )
 def profile_numbers(spark, folder):
     table = planted(spark, folder)
-    return number_profile(table, measure(table))
+    return number_profile(table, measure(table), decimals=4)
 
 
 PRICED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -77,7 +78,7 @@ PRICED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def profile_numbers_large_table(spark, folder):
     """The path a large table takes: quantiles searched for, never one column in one task."""
     table = load(spark, folder, "lineitem").select(*PRICED)
-    return number_profile(table, measure(table, direct_rows=0))
+    return number_profile(table, measure(table, direct_rows=0), decimals=4)
 
 
 SHARES = (0.01, 0.5, 0.99)

@@ -81,8 +81,8 @@ def columns_with_gaps(profiled: DataFrame, least_pct: float = 5.0) -> DataFrame:
     )
 
 
-def number_profile(df: DataFrame, stats: TableStats) -> DataFrame:
-    """Mean, median, sample deviation, extremes and quartiles per number column, two decimals."""
+def number_profile(df: DataFrame, stats: TableStats, decimals: int = 2) -> DataFrame:
+    """Mean, median, sample deviation, extremes and quartiles per number column."""
     rows = []
     for i, name in enumerate(df.columns):
         if name not in stats.columns or not stats[name].non_null:
@@ -93,7 +93,7 @@ def number_profile(df: DataFrame, stats: TableStats) -> DataFrame:
     labels = ("mean", "median", "std", "low", "high", "q25", "q75")
     schema = "ordinal int, column string, " + ", ".join(f"{n} double" for n in labels)
     frame = small_frame(df.sparkSession, rows, schema)
-    return frame.select("ordinal", "column", *[F.round(n, 2).alias(n) for n in labels])
+    return frame.select("ordinal", "column", *[F.round(n, decimals).alias(n) for n in labels])
 
 
 def common_values(df: DataFrame, names: list[str], k: int = 5) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact linear-interpolated quantiles that never hold a whole column in one task.
 
-Spark's `percentile` merges every distinct value of a column into one aggregation buffer. That is
-fine up to a few hundred thousand rows. Above that, each wanted rank is searched for: an approximate
+A column of a few hundred thousand values is grouped, sorted and read off. Above that, sorting whole
+columns would be too much for one task, so each wanted rank is searched for: an approximate
 sketch proposes two values that should enclose it, one scan counts the rows at each proposed value
 and between them, and the search goes on in the zone that really holds the rank. The counts are
 exact, so the answer is exact whatever the sketch says. The proposed values leave the zone, so a
@@ -82,8 +82,7 @@ class Rank:
 def interpolate(position: float, lower: float, upper: float) -> float:
     if lower == upper:
         return lower
-    base = math.floor(position)
-    return (base + 1 - position) * lower + (position - base) * upper
+    return lower + (upper - lower) * (position - math.floor(position))
 
 
 def exact_quantiles(
@@ -99,20 +98,18 @@ def exact_quantiles(
     filled = [c for c, count in counts.items() if count > 0]
     if not filled:
         return found
-    if max(counts.values()) <= direct_rows:
-        wanted = F.array(*[F.lit(p) for p in fractions])
-        cells = long_numbers(df, filled).groupBy("slot")
-        for row in cells.agg(F.percentile("value", wanted).alias("cuts")).collect():
-            if row["cuts"] is not None:
-                found[filled[row["slot"]]] = list(row["cuts"])
-        return found
-
     positions = {(c, p): p * (counts[c] - 1) for c in filled for p in fractions}
     ranks: dict[tuple[str, int], Rank] = {}
     for (c, _), position in positions.items():
         for rank in (math.floor(position), math.ceil(position)):
             ranks[c, rank] = Rank(c, rank, counts[c])
-    _search(df, list(ranks.values()), accuracy, zone_rows)
+    if max(counts.values()) <= direct_rows:
+        slots = {c: i for i, c in enumerate(filled)}
+        values = long_numbers(df, filled).withColumnRenamed("slot", "zone")
+        known = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
+        _read_off(known, [(slots[r.column], r) for r in ranks.values()])
+    else:
+        _search(df, list(ranks.values()), accuracy, zone_rows)
     for c in filled:
         for slot, p in enumerate(fractions):
             position = positions[c, p]
@@ -220,23 +217,27 @@ def _rank_small_zones(df: DataFrame, ranks: list[Rank]) -> None:
                         [pa.array(number_of), pa.array(picked)], names=["zone", "value"]
                     )
 
+    picked = _doubles(df, names).mapInArrow(pick, "zone int, value double")
+    _read_off(picked, [(zones.index(r.zone), r) for r in ranks])
+
+
+def _read_off(values: DataFrame, ranks: list[tuple[int, Rank]]) -> None:
+    """Group the (zone, value) rows and read each wanted rank off its zone's running count."""
     through = F.sum("freq").over(
         Window.partitionBy("zone").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     )
     running = (
-        _doubles(df, names)
-        .mapInArrow(pick, "zone int, value double")
-        .groupBy("zone", "value")
+        values.groupBy("zone", "value")
         .agg(F.count(F.lit(1)).alias("freq"))
         .withColumn("through", through)
     )
-    wanted = [(zones.index(r.zone), i, r.rank - r.below) for i, r in enumerate(ranks)]
-    places = small_frame(df.sparkSession, wanted, "zone int, wanted int, place bigint")
-    picked = (
+    wanted = [(zone, i, r.rank - r.below) for i, (zone, r) in enumerate(ranks)]
+    places = small_frame(values.sparkSession, wanted, "zone int, wanted int, place bigint")
+    found = (
         running.join(F.broadcast(places), "zone")
         .where(F.col("through") > F.col("place"))
         .groupBy("wanted")
         .agg(F.min("value").alias("value"))
     )
-    for row in picked.collect():
-        ranks[row["wanted"]].value = row["value"]
+    for row in found.collect():
+        ranks[row["wanted"]][1].value = row["value"]
