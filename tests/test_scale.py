@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from undertow.operators import contradictions, keys, quality, segments
 from undertow.operators.anomalies import ZSCORE, score_rows
@@ -84,3 +85,7 @@ def test_both_ways_to_correlate_agree(skewed, monkeypatch):
 def test_scratch_files_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert new_path(spark, "x").startswith(folder + "/")
+
+
+def test_task_code_travels_with_the_job():
+    assert "undertow" in cloudpickle.list_registry_pickle_by_value()
