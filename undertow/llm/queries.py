@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import rules
+from undertow.llm import mixing, rules
+from undertow.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,47 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "failed",
     )
+
+
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS key,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+totals AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS s,
+         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM sized GROUP BY source),
+pairs AS (  -- a source is capped if capping it and all with less room per weight leaves no less
+  SELECT a.source, a.s, a.w, sum(b.s) AS everything, sum(b.w) AS weights,
+         sum(CASE WHEN b.s * a.w < a.s * b.w THEN 2 * b.s ELSE 0 END) AS taken,
+         sum(CASE WHEN b.s * a.w < a.s * b.w THEN b.w ELSE 0 END) AS out
+  FROM totals a, totals b GROUP BY a.source, a.s, a.w),
+capped AS (
+  SELECT *, 4 * s * (weights - out) <= (3 * everything - 2 * taken) * w AS held FROM pairs),
+shared AS (
+  SELECT source, CAST(s AS BIGINT) AS source_size,
+         CASE WHEN held THEN CAST(2 * s AS DOUBLE)
+              ELSE CAST(w * (3 * everything - sum(CASE WHEN held THEN 4 * s ELSE 0 END) OVER ()) AS DOUBLE)
+                   / CAST(2 * sum(CASE WHEN held THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target
+  FROM capped),
+ordered AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS whole,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size
+                         ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM sized d JOIN shared t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0
+            ELSE whole // source_size * size
+                 + greatest(0, least(size, whole % source_size - start)) END AS BIGINT) AS taken
+FROM ordered
+"""
+
+
+@register("op2_source_mixing", MIX_SQL)
+def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    docs = load(spark, folder, "documents").select(
+        "doc_id", "source", word_count(F.col("text")).alias("size")
+    )
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and U+0009 to U+000D.
@@ -31,13 +31,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def with_bounded(big: DataFrame, small: DataFrame, on: list[str], rows: int = 20_000) -> DataFrame:
-    """Inner join that broadcasts `small` only if it is counted to have at most `rows` rows."""
-    if len(small.select(*on).head(rows + 1)) <= rows:
-        small = F.broadcast(small)
-    return big.join(small, on)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds about `size` bytes, or a single row."""
     for batch in batches:
