@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import mixing, rules
+from undertow.llm import bpe, mixing, rules
 from undertow.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +120,10 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "source", word_count(F.col("text")).alias("size")
     )
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op9_bpe_encoding")
+def bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's token ids and of the text they decode to."""
+    docs = load(spark, folder, "documents")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
