@@ -95,6 +95,13 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, tuple[str, str, int]] = {}
 
+    @classmethod
+    def of(cls, tables: dict) -> Codec:
+        """A codec over the attributes of another: what Spark broadcasts is plain data."""
+        codec = cls.__new__(cls)
+        codec.__dict__ = tables
+        return codec
+
     def set_parts(self, merges: np.ndarray) -> None:
         """Per token the parts at its right and left edge, itself first, and when each goes."""
         left, right, rank = (np.full(self.size, -1, dtype=np.int64) for _ in range(3))
@@ -352,13 +359,13 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     The ids' digest is that of the decimal ids joined by one space.
     """
 
-    tables = docs.sparkSession.sparkContext.broadcast(Codec(path))
+    tables = docs.sparkSession.sparkContext.broadcast(vars(Codec(path)))
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = tables.value
+        codec = Codec.of(tables.value)
         for batch in pieces(batches, BATCH_BYTES):
             texts = [codec.split_words(text or "") for text in batch.column("text").to_pylist()]
             codec.keep({word for text in texts for word in text})
