@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, mixing, rules
+from undertow.llm import bpe, mixing, rules, token_counts
 from undertow.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,15 @@ def bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of the text they decode to."""
     docs = load(spark, folder, "documents")
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+#: Documents with more tokens than this do not fit a training sequence.
+TOKEN_LIMIT = 4_096
+
+
+@register("op5_token_counts")
+def token_counts_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = load(spark, folder, "documents")
+    counted = token_counts.count(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
