@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, mixing, rules, token_counts
+from undertow.llm import bpe, mixing, rules, secrets, token_counts
 from undertow.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,25 @@ def token_counts_of_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
     counted = token_counts.count(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@register("op7_secret_scan")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of each base kind of secret in every document, and where the findings stand."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    spans = F.col("spans")
+    base = F.filter(spans, lambda span: span["kind"].isin(*secrets.BASE))
+
+    def joined(found: Column) -> Column:
+        parts = F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda span: span["kind"] == kind)).cast("long")
+
+    return secrets.scan(docs, secrets.Ledger(spark)).select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
