@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, mixing, rules, secrets, token_counts
+from undertow.llm import bpe, mixing, rules, secrets, simhash, token_counts
 from undertow.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,11 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
+
+
+@register("op6_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint and the component of near copies it belongs to."""
+    return simhash.link(load(spark, folder, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
