@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, mixing, rules, secrets, simhash, token_counts
-from undertow.llm.words import word_count
+from undertow.llm import bpe, mixing, quality, rules, secrets, simhash, token_counts
+from undertow.llm.words import fold, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,12 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.link(load(spark, folder, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@register("op1_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's chance of being marked as good."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    trees = quality.learn(docs, load(spark, folder, "labels"))
+    scored = quality.score(docs, trees)  # the texts are read for their statistics only
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
