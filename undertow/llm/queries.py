@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, mixing, quality, rules, secrets, simhash, token_counts
+from undertow.llm import bpe, lines, mixing, quality, rules, secrets, simhash, token_counts
 from undertow.llm.words import fold, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,41 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     trees = quality.learn(docs, load(spark, folder, "labels"))
     scored = quality.score(docs, trees)  # the texts are read for their statistics only
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+# An independent way: pairs of equal lines, followed along their diagonals.
+LINES_SQL = r"""
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+numbered AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS nr, unnest(lines) AS line FROM split),
+worded AS (
+  SELECT doc_id, nr, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS j
+  FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.j AS i, b.j AS j, b.n, b.nr
+  FROM worded a JOIN worded b
+  ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.j < b.j)),
+islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY a, b, j - i ORDER BY i) AS island FROM pairs),
+gone AS (
+  SELECT DISTINCT b AS doc_id, nr FROM (
+    SELECT b, nr, sum(n) OVER (PARTITION BY a, b, j - i, island) AS words FROM islands)
+  WHERE words >= 50),
+marked AS (
+  SELECT n.doc_id, n.nr, n.line, g.nr IS NOT NULL AS deleted,
+         regexp_matches(n.line, '[^\x20\x09-\x0D]') AS worded
+  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.nr = g.nr)
+SELECT doc_id, CAST(count(*) FILTER (worded) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (deleted) AS BIGINT) AS n_deleted,
+       coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT deleted), '') AS text
+FROM marked GROUP BY doc_id
+"""
+
+
+@register("op4_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the later copies of runs of at least 50 words."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedupe_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
