@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, lines, mixing, quality, rules, secrets, simhash, token_counts
+from undertow.llm import bpe, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
 from undertow.llm.words import fold, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,9 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the later copies of runs of at least 50 words."""
     docs = load(spark, folder, "documents").select("doc_id", "text")
     return lines.dedupe_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@register("op3_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return neighbours.nearest(load(spark, folder, "embeddings"))
