@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
+from undertow.llm import bpe, language, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
 from undertow.llm.words import fold, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,13 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     return neighbours.nearest(load(spark, folder, "embeddings"))
+
+
+@register("op8_lm_scoring")
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability under a unigram base and the interpolated model."""
+    scored = language.score(load(spark, folder, "documents"))
+    return scored.select(
+        "doc_id", (F.col("fold") == language.HELD_OUT).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score",
+    )
