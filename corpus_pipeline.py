@@ -1,13 +1,79 @@
-"""From raw documents to token ids: the stages that a training corpus passes, in their order."""
+"""From raw documents to token ids: the stages that a training corpus passes, in their order.
+
+Each stage works on what the one before kept. Rows are packed before an operator sees them, so extra
+columns keep their names and values whatever they are called. Where a stage changes a text, `n_chars`
+follows it. Null and empty texts pass the stages as empty ones; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from undertow.llm import bpe, lines, mixing, quality, simhash
+from undertow.llm.words import word_count
+from undertow.session import written
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """`row` holds the whole document; only what an operator reads stands beside it."""
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), "doc_id", "text", *more)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, new_text: bool = False) -> DataFrame:
+    """The columns of `docs`, with the text that stands beside the row if it is new."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")} if new_text else {}
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(packed(docs), quality.learn(docs, labels))
+    return unpacked(scored.where("predicted = 1"), docs)
+
+
+def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of long runs of lines, and documents of which nothing else is left."""
+    deduped = lines.dedupe_lines(packed(docs))
+    return unpacked(deduped.where("n_deleted = 0 or n_deleted < n_lines"), docs, new_text=True)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return unpacked(simhash.dedupe(packed(docs)), docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source by its target: a row per use of a document, the last one cut at the budget."""
+    rows = packed(docs, F.col("source"), word_count(F.col("text")).alias("size"))
+    return unpacked(mixing.copies(mixing.mix(rows)), docs, new_text=True)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the token ids of every text."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ("ids",))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", without_copied_lines),
+    ("SimHash near-dedup", one_of_near_copies),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", encoded),
+]
+
+#: SQL has neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what a stage returns is written once, for the next reads it often."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = written(docs, f"stage-{number}")
     return docs

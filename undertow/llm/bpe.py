@@ -349,41 +349,50 @@ class Codec:
         return " ".join(map(self.names.__getitem__, tokens))
 
 
-SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+OUTPUTS = {
+    "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string",
+}
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """Token ids of every whole text and the text they decode to, or the SHA-256 of both.
+def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens and the wanted outputs of every whole text.
 
-    The ids' digest is that of the decimal ids joined by one space.
+    `ids` are the tokens, `decoded` is the text they decode to; the digests are those of the decimal
+    ids joined by one space, and of the decoded text.
     """
-
     tables = docs.sparkSession.sparkContext.broadcast(vars(Codec(path)))
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
+    def numbers(text: str) -> np.ndarray:
+        return np.array(text.split(), dtype=np.int32)
+
+    makers = {
+        "ids": (1, numbers, pa.list_(pa.int32())),
+        "decoded": (2, str, pa.string()),
+        "ids_sha256": (1, digest, pa.string()),
+        "decoded_sha256": (2, digest, pa.string()),
+    }
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tables.value)
         for batch in pieces(batches, BATCH_BYTES):
             texts = [codec.split_words(text or "") for text in batch.column("text").to_pylist()]
             codec.keep({word for text in texts for word in text})
-            counts, ids, decoded = [], [], []
+            rows = []
             for text in texts:
                 tokens = [codec.words[word] for word in text]
-                counts.append(sum(n for _, _, n in tokens))
-                ids.append(" ".join([x for x, _, _ in tokens]))
-                decoded.append(" ".join([x for _, x, _ in tokens]))
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64())]
-            if digests:
-                columns += [pa.array(map(digest, ids)), pa.array(map(digest, decoded))]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            else:
-                numbers = [np.array(x.split(), dtype=np.int32) for x in ids]
-                columns += [pa.array(numbers, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names = ["doc_id", "n_tokens", "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    read = docs.select(docs["doc_id"].cast("long"), docs["text"])
-    return read.mapInArrow(run, DIGESTS if digests else SCHEMA)
+                rows.append((
+                    sum([n for _, _, n in tokens]),
+                    " ".join([ids for ids, _, _ in tokens]),
+                    " ".join([names for _, names, _ in tokens]),
+                ))
+            columns = [batch.column("doc_id"), pa.array([row[0] for row in rows], pa.int64())]
+            for name in outputs:
+                place, make, kind = makers[name]
+                columns.append(pa.array([make(row[place]) for row in rows], kind))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *outputs])
+
+    schema = "doc_id long, n_tokens long, " + ", ".join(f"{x} {OUTPUTS[x]}" for x in outputs)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)

@@ -126,7 +126,8 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of the text they decode to."""
     docs = load(spark, folder, "documents")
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+    model = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(docs, model, ("ids_sha256", "decoded_sha256"))
 
 
 #: Documents with more tokens than this do not fit a training sequence.
