@@ -11,6 +11,7 @@ from undertow.operators.anomalies import (
     score_rows,
     top_rows,
 )
+from undertow.operators.forest import contamination
 from undertow.operators.statistics import imputed, measure, standardised
 
 
@@ -155,3 +156,36 @@ def isolation_forest_summary(spark, folder):
     names = ["user_id", "value"]
     scored = score_rows(events, measure(events, names), "event_id", names)
     return anomaly_summary(scored, "isolation-forest")
+
+
+@register(
+    "isolation_forest_checks",
+    """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS differences, true AS share_as_asked,
+    true AS outliers_high FROM orders""",
+)
+def isolation_forest_checks(spark, folder):
+    """Whatever the trees: two runs agree, the asked share is flagged, planted outliers score high."""
+    table = planted(spark, folder)
+    names = ["spend_plan", "final_result", "attendance_pct", "delivery_time", "line_total"]
+    stats = measure(table, names)
+    runs = [
+        score_rows(table, stats, "order_id", names).select(
+            "order_id", F.round("anomaly_score", 9).alias(f"score{run}"), F.col("is_anomaly").alias(f"flag{run}")
+        )
+        for run in (0, 1)
+    ]
+    both = runs[0].join(runs[1], "order_id")
+    spread = stats["line_total"]
+    outlier = F.abs(F.col("line_total") - F.lit(spread.mean)) > 4 * spread.std
+    both = both.join(table.select("order_id", outlier.alias("outlier")), "order_id")
+    counted = both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if((F.col("score0") != F.col("score1")) | (F.col("flag0") != F.col("flag1"))).alias("differences"),
+        (F.abs(F.count_if("flag0") - F.lit(contamination(stats.rows)) * F.count(F.lit(1))) <= 2).alias("share_as_asked"),
+        F.percentile("score0", 0.9).alias("high"),
+        F.min(F.when(F.col("outlier"), F.col("score0"))).alias("least"),
+    )
+    return counted.select(
+        "n_rows", "differences", "share_as_asked",
+        (F.col("least").isNull() | (F.col("least") >= F.col("high"))).alias("outliers_high"),
+    )

@@ -339,13 +339,46 @@ MEASURES = ["final_result", "attendance_pct", "delivery_time", "line_total"]
 
 @register("clusters")
 def clusters(spark, folder):
-    """Seeded k-means: the centres depend on the engine, so only the shape is checked here."""
+    """Seeded k-means over every row; which seeds are drawn depends on the engine."""
     table = planted(spark, folder)
     stats = measure(table, MEASURES)
     fitted = fit_clusters(table, stats, MEASURES)
     return cluster_profile(table, fitted.label, MEASURES, stats.rows)
 
 
+@register(
+    "clusters_settled",
+    """SELECT count(*) AS members, CAST(0 AS BIGINT) AS misfits, CAST(0 AS BIGINT) AS off_centre,
+    true AS settled FROM orders""",
+)
+def clusters_settled(spark, folder):
+    """Whatever the seeds: every row has its nearest centre, and a centre is the mean of its rows."""
+    table = planted(spark, folder)
+    stats = measure(table, MEASURES)
+    fitted = fit_clusters(table, stats, MEASURES)
+    distances = [
+        sum(((f - F.lit(v)) ** 2 for f, v in zip(fitted.features, c)), F.lit(0.0)) for c in fitted.centres
+    ]
+    own = F.get(F.array(*distances), fitted.label)
+    misfit = own > F.least(*distances) + 1e-9
+    labelled = table.select(
+        fitted.label.alias("cluster"), misfit.cast("int").alias("misfit"),
+        *[f.alias(f"f{i}") for i, f in enumerate(fitted.features)],
+    )
+    centres = F.array(*[F.array(*map(F.lit, c)) for c in fitted.centres])
+    grouped = labelled.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("misfit").alias("misfits"),
+        *[F.avg(f"f{i}").alias(f"m{i}") for i in range(len(MEASURES))],
+    )
+    off = F.lit(0)
+    for i in range(len(MEASURES)):
+        off = off + (F.abs(F.col(f"m{i}") - F.get(F.get(centres, F.col("cluster")), F.lit(i))) > 0.01).cast("int")
+    return grouped.agg(
+        F.sum("members").alias("members"), F.sum("misfits").alias("misfits"),
+        F.sum(off).cast("long").alias("off_centre"),
+    ).withColumn("settled", F.lit(fitted.settled))
+
+
 GROUPED = "p AS (SELECT *, order_id % 3 AS cluster FROM planted), n AS (SELECT count(*) AS total FROM planted)"
 PROFILE = f"{GROUPED},\nprofile AS (" + union_all(
     [

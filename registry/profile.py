@@ -152,11 +152,7 @@ def duplicates(spark, folder):
     AS duplicate_rows FROM lineitem""",
 )
 def duplicates_large_table(spark, folder):
-    """The path a large table takes: hashes first, whole rows only where a hash repeats."""
-    table = load(spark, folder, "lineitem")
-    return duplicate_rows(
-        table, ["l_partkey", "l_quantity", "l_discount"], rows=table.count(), direct_rows=0
-    )
+    return duplicate_rows(load(spark, folder, "lineitem"), ["l_partkey", "l_quantity", "l_discount"])
 
 
 @register(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from undertow.functions.cells import number_from_text, reads_as_number, role_of, strip
@@ -110,3 +111,27 @@ def test_an_empty_row_changes_nothing(spark):
     padded = repair(spark.createDataFrame(values + [(" ", "N/A")], schema)).table
     assert sorted(plain.collect()) == sorted(padded.collect())
     assert plain.schema == padded.schema
+
+
+def test_a_late_layout_decides_and_lost_cells_are_logged(rows):
+    values = [("2024-01-05",)] * 25 + [("1/15/2024",)] * 2000
+    fixed = repair(rows(values, "d string").repartition(3))
+    assert fixed.table.where("d is not null").count() == 2000
+    assert fixed.log == [(0, "date", "d", "2000 text cell(s) read as dates (M/d/yyyy), 25 emptied")]
+
+
+@pytest.mark.parametrize("text", [
+    "1/15/24", "2024-01-05 10:00:00.123", "2024-01-05T10:00:00Z", "2024-01-05T10:00:00.5+02:00",
+    "Jan 5 2024", "1/15/2024 3:05 PM", "12/31/2024 11:59:59 am", "5-Mar-2024",
+])
+def test_common_layouts(rows, text):
+    table = repair(rows([(text,)] * 6, "d string")).table
+    assert dict(table.dtypes)["d"] == "timestamp_ntz" and table.where("d is null").count() == 0
+
+
+def test_nan_counts_as_missing_everywhere(rows):
+    from undertow.operators.statistics import measure
+
+    values = [(float(i),) for i in range(1, 21)] + [(float("nan"),)] * 10
+    stats = measure(rows(values, "x double"))["x"]
+    assert (stats.non_null, stats.mean, stats.median, stats.q75) == (20, 10.5, 10.5, 15.25)

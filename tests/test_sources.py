@@ -132,3 +132,50 @@ def test_binary_cells(spark):
     frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
     got = frame.select("i", is_binary(F.col("c")).alias("b")).orderBy("i").collect()
     assert [r["b"] for r in got] == list(cases.values())
+
+
+def cells(loaded):
+    return sorted(tuple(row) for row in loaded.table.collect())
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    loaded = read_table(spark, put(tmp_path / "q.csv", 'a,b\n1,"two\nlines"\n2,"say ""hi"""\n'))
+    assert cells(loaded) == [("1", "two\nlines"), ("2", 'say "hi"')]
+
+
+def test_long_lines_are_counted(spark, tmp_path):
+    loaded = read_table(spark, put(tmp_path / "l.csv", "a,b\n1,x\n2,y,z\n" + "3,w\n" * 30 + "4,v,u\n"))
+    assert loaded.table.columns == ["a", "b"] and loaded.table.count() == 31
+    assert [note[1:] for note in loaded.log] == [("long lines", None, "2 line(s) with more than 2 fields left out")]
+
+
+@pytest.mark.parametrize("titled", ["a", "b", ""])
+def test_titled_and_plain_files_of_a_folder(spark, tmp_path, titled):
+    for name in "ab":
+        title = "Report of the year,,\n,,\n" if name == titled else ""
+        body = "".join(f"{name}{i},{i},x\n" for i in range(20))
+        put(tmp_path / "f" / f"{name}.csv", f"{title}key,value,kind\n{body}")
+    loaded = read_table(spark, str(tmp_path / "f"))
+    assert loaded.table.columns == ["key", "value", "kind"]
+    assert cells(loaded) == sorted((f"{n}{i}", str(i), "x") for n in "ab" for i in range(20))
+
+
+def test_files_with_other_column_orders(spark, tmp_path):
+    put(tmp_path / "o" / "a.csv", "key,value\nk1,1\nk2,2\n")
+    put(tmp_path / "o" / "b.csv", "value,key\n3,k3\n4,k4\n")
+    loaded = read_table(spark, str(tmp_path / "o"))
+    assert cells(loaded.__class__(loaded.table.select("key", "value"))) == [(f"k{i}", str(i)) for i in range(1, 5)]
+    put(tmp_path / "o" / "c.csv", "key,other\nk5,5\n")
+    with pytest.raises(UnusableTable, match="other"):
+        read_table(spark, str(tmp_path / "o"))
+
+
+def test_folders_of_json_documents(spark, tmp_path):
+    put(tmp_path / "d" / "a.json", '{"columns": ["a", "b"], "data": [[1, "x"], [2, "y"]]}')
+    put(tmp_path / "d" / "b.json", '{"columns": ["b", "a"], "data": [["z", 3]]}')
+    table = read_table(spark, str(tmp_path / "d"), kind="json").table
+    assert sorted((int(r["a"]), r["b"]) for r in table.collect()) == [(1, "x"), (2, "y"), (3, "z")]
+    put(tmp_path / "e" / "a.json", '{"a": [1, 2], "b": ["x", "y"]}')
+    put(tmp_path / "e" / "b.json", '{"a": [3], "b": ["z"]}')
+    table = read_table(spark, str(tmp_path / "e"), kind="json").table
+    assert sorted((r["a"], r["b"]) for r in table.collect()) == [(1, "x"), (2, "y"), (3, "z")]

@@ -24,7 +24,8 @@ def column(name: str) -> Column:
 
 
 def number(name: str) -> Column:
-    return column(name).cast("double")
+    """A number column as doubles; NaN is missing."""
+    return nan_to_null(column(name).cast("double"))
 
 
 def sql_double(value: float) -> str:

@@ -30,15 +30,23 @@ DATE_FORMATS = (
     "yyyy-M-d H:m:s",
     "yyyy-M-d H:m",
     "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m:sXXX",
+    "yyyy-M-d'T'H:m:s.SSSSSSXXX",
     "yyyy/M/d",
     "yyyy/M/d H:m:s",
     "M/d/yyyy",
     "M/d/yyyy H:m",
     "M/d/yyyy H:m:s",
+    "M/d/yyyy h:m a",
+    "M/d/yyyy h:m:s a",
+    "M/d/yy",
     "M-d-yyyy",
     "d/M/yyyy",
     "d-M-yyyy",
     "MMM d, yyyy",
+    "MMM d yyyy",
     "MMMM d, yyyy",
     "d MMM yyyy",
     "d MMMM yyyy",

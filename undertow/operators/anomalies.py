@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions.cells import column, number
 from undertow.operators.forest import contamination, grow_forest, isolation_score
-from undertow.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from undertow.operators.quantiles import exact_quantiles
 from undertow.operators.statistics import TableStats, imputed
 from undertow.session import written
 
@@ -18,6 +18,7 @@ ZSCORE = "zscore-ensemble"
 TOP_ROWS = 25
 # Columns added to the table; the names leave a table's own "score" alone.
 SCORE, ZMAX, FLAG = "anomaly_score", "anomaly_zmax", "is_anomaly"
+RAW = "_isolation"
 RESCUE_SCORE = 0.55
 
 
@@ -75,24 +76,22 @@ def zscore_scoring(stats: TableStats, columns: list[str]) -> Scoring:
 
 def forest_scoring(
     df: DataFrame, stats: TableStats, columns: list[str], row_id: str, seed: int = 42
-) -> Scoring:
-    """Train on small samples, then find the score range and the cut over all rows.
+) -> tuple[DataFrame, Scoring]:
+    """The table with its raw scores, written once, and the scoring built on them.
 
-    The raw scores are written once for those two statistics. Attaching the result scores each
-    row again, which costs less than a join of the whole table by row id.
+    Scoring a row walks 100 trees, so it happens once; the range and the cut are found over all rows
+    of what was written, and every later use reads it.
     """
     forest = grow_forest(df, stats, columns, row_id, seed)
     raw = isolation_score(forest, imputed(stats, columns))
-    scores = df.select(raw.alias("raw"))
-    if stats.rows > DIRECT_ROWS:
-        scores = written(scores, "scores")
+    scored = written(df.select("*", raw.alias(RAW)), "scores")
     share = 1 - contamination(stats.rows)
-    ends = (0.0, share, 1.0)
-    low, cut, high = exact_quantiles(scores, {"raw": stats.rows}, ends)["raw"]
+    low, cut, high = exact_quantiles(scored, {RAW: stats.rows}, (0.0, share, 1.0))[RAW]
+    raw = F.col(RAW)
     scaled = (raw - F.lit(low)) / F.lit(high - low) if high > low else raw
     distance = zmax(stats, columns)
     score = _clipped(F.lit(0.7) * scaled + F.lit(0.3) * _clipped(distance / 4))
-    return Scoring(FOREST, score, distance, raw > F.lit(cut), high > cut, 1.0)
+    return scored, Scoring(FOREST, score, distance, raw > F.lit(cut), high > cut, 1.0)
 
 
 def score_rows(
@@ -108,10 +107,10 @@ def score_rows(
     if method is None:
         method = FOREST if len(names) >= 2 and stats.rows >= 10 else ZSCORE
     if method == FOREST:
-        scoring = forest_scoring(df, stats, names, row_id, seed)
+        df, scoring = forest_scoring(df, stats, names, row_id, seed)
     else:
         scoring = zscore_scoring(stats, names)
-    scored = scoring.attach(df)
+    scored = scoring.attach(df).drop(RAW)
     if scoring.any_flagged or scoring.best <= RESCUE_SCORE or not stats.rows:
         return scored
     return rescue(scored, stats.rows, row_id)

@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from undertow.functions.cells import number, percent_change
 from undertow.operators.statistics import TableStats, standardised
+from undertow.session import written
 
 RESTARTS = 10
 SEED = 42
-RESTART_ROWS = 20_000
-RUNS_AT_ONCE = 10
-RESTART_ROUNDS = 20
+# Rows that starting centres are drawn from: those with the smallest hash.
+START_ROWS = 1_000
 # Centres have settled once they move by less than this, in deviations.
-TOLERANCE = 0.01
+TOLERANCE = 0.001
 MOST_ROUNDS = 100
 
 
 @dataclass(frozen=True)
 class Clustering:
-    """Centres in scaled units, in a fixed order, and the label they give each row."""
+    """Centres in scaled units, in a fixed order, and the label they give each row.
+
+    `settled` says whether the centres stopped moving before the last round.
+    """
 
     centres: list[list[float]]
     features: list[Column]
+    settled: bool = True
 
     @property
     def label(self) -> Column:
@@ -54,57 +56,83 @@ def fit_clusters(
     k: int | None = None,
     restarts: int = RESTARTS,
     seed: int = SEED,
-    restart_rows: int = RESTART_ROWS,
+    most_rounds: int = MOST_ROUNDS,
+    tolerance: float = TOLERANCE,
 ) -> Clustering | None:
-    """Best of several seeded k-means runs, refined over every row.
+    """Best of several k-means runs, all of them over every row.
 
-    The restarts only choose a starting point, so on a large table they run on a uniform sample.
-    The centres are then moved over all rows until they settle: each round is one scan with a
-    k-row aggregate.
+    The scaled columns are written once. Each round is one scan of them that moves the centres of
+    all restarts together: a task passes on a row of sums per restart and cluster.
     """
     if len(columns) < 2 or stats.rows < 12:
         return None
     k = k or (3 if stats.rows >= 30 else 2)
     features = standardised(stats, columns)
     names = [f"f{i}" for i in range(len(columns))]
-    cells = df.select(*[f.alias(n) for f, n in zip(features, names)])
-    part = cells
-    if stats.rows > restart_rows:
-        part = cells.sample(restart_rows / stats.rows, seed)
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(part)
-    assembled = assembled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        kmeans = KMeans(k=k, maxIter=RESTART_ROUNDS, tol=TOLERANCE)
-        runs = kmeans.fitMultiple(assembled, [{kmeans.seed: seed + r} for r in range(restarts)])
-        share_session = inheritable_thread_target(df.sparkSession)
-        # Restarts are independent small jobs: started together, they share the executors.
-        with ThreadPool(min(restarts, RUNS_AT_ONCE)) as pool:
-            fitted = pool.map(share_session(lambda _: next(runs)), range(restarts))
-        models = [model for _, model in sorted(fitted, key=lambda run: run[0])]
-    finally:
-        assembled.unpersist()
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    centres = sorted([float(v) for v in centre] for centre in best.clusterCenters())
-    return Clustering(settle(cells, names, centres), features)
-
-
-def settle(cells: DataFrame, names: list[str], centres: list[list[float]]) -> list[list[float]]:
-    """Move each centre to the mean of its rows until none moves noticeably."""
-    inputs = [F.col(n) for n in names]
-    for _ in range(MOST_ROUNDS):
-        means = (
-            cells.groupBy(nearest(inputs, centres).alias("cluster"))
-            .agg(*[F.avg(n).alias(n) for n in names])
-            .collect()
-        )
-        moved = [list(c) for c in centres]
-        for row in means:
-            moved[row["cluster"]] = [row[n] for n in names]
-        step = sum((a - b) ** 2 for x, y in zip(centres, moved) for a, b in zip(x, y))
-        centres = moved
-        if step <= TOLERANCE**2:
+    cells = written(df.select(*[f.alias(n) for f, n in zip(features, names)]), "scaled")
+    start = cells.orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(START_ROWS).toArrow()
+    points = np.stack([start[n].to_numpy() for n in names], 1)
+    centres = np.stack([spread_out(points, k, np.random.default_rng([seed, r])) for r in range(restarts)])
+    moving, costs = np.ones(restarts, dtype=bool), np.zeros(restarts)
+    for _ in range(most_rounds):
+        moved, counted = one_round(cells, centres)
+        step = ((moved - centres) ** 2).sum((1, 2))
+        centres, costs, moving = moved, counted, step > tolerance**2
+        if not moving.any():
             break
-    return sorted(centres)
+    best = int(costs.argmin())
+    return Clustering(sorted(centres[best].tolist()), features, not moving[best])
+
+
+def spread_out(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centres (k-means++): each next one is likelier the further it is from the others."""
+    chosen = [points[rng.integers(len(points))]]
+    while len(chosen) < k:
+        apart = np.min([((points - c) ** 2).sum(1) for c in chosen], axis=0)
+        total = apart.sum()
+        chosen.append(points[rng.choice(len(points), p=apart / total if total else None)])
+    return np.array(chosen)
+
+
+def one_round(cells: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of each centre's rows, and the cost of each restart's present centres."""
+    restarts, k, width = centres.shape
+    names = cells.columns
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, members = np.zeros((restarts, k, width)), np.zeros((restarts, k), dtype=np.int64)
+        costs = np.zeros((restarts, k))
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            for r in range(restarts):
+                distances = ((rows[:, None, :] - centres[r]) ** 2).sum(2)
+                label = distances.argmin(1)
+                members[r] += np.bincount(label, minlength=k)
+                costs[r] += np.bincount(label, distances.min(1), k)
+                for f in range(width):
+                    sums[r, :, f] += np.bincount(label, rows[:, f], k)
+        place = np.arange(restarts * k, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(place), pa.array(members.ravel()), pa.array(costs.ravel()),
+                *(pa.array(sums[:, :, f].ravel()) for f in range(width)),
+            ],
+            names=["place", "members", "cost", *names],
+        )
+
+    schema = "place int, members long, cost double, " + ", ".join(f"{n} double" for n in names)
+    totals = cells.mapInArrow(add_up, schema).groupBy("place").agg(
+        F.sum("members").alias("members"),
+        F.sum("cost").alias("cost"),
+        *[F.sum(n).alias(n) for n in names],
+    )
+    moved, costs = centres.copy(), np.zeros(restarts)
+    for row in totals.collect():
+        r, cluster = divmod(row["place"], k)
+        costs[r] += row["cost"]
+        if row["members"]:
+            moved[r, cluster] = [row[n] / row["members"] for n in names]
+    return moved, costs
 
 
 def cluster_profile(df: DataFrame, label: Column, columns: list[str], rows: int) -> DataFrame:

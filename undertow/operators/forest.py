@@ -59,27 +59,44 @@ def _unit(seed: int, *parts: Column) -> Column:
 
 
 def tree_samples(df: DataFrame, features: list[Column], row_id: str, rows: int, seed: int):
-    """(tree, features): up to 256 rows for each tree, the same rows on every run.
+    """(tree, place, features): up to 256 rows for each tree, the same rows on every run.
 
-    Each task passes on about 512 rows per tree over the whole table. In a large table a row
-    serves at most one tree, so one hash per row decides; in a small one every tree draws anew.
+    Every tree draws on its own, so a row may serve several. A row's first hash says how many trees
+    it joins, as if each tree had asked it in turn, and further hashes which; rows that join none,
+    nearly all of a large table, go no further. About 512 rows per tree pass on.
     """
     wanted = 2 * SAMPLE_ROWS
     key = column(row_id)
-    rows = max(rows, 1)
+    chance = min(1.0, wanted / max(rows, 1))
+    # How likely it is that at most n trees draw a row, in parts of BUCKETS.
+    joins = np.cumsum([math.comb(TREES, n) * chance**n * (1 - chance) ** (TREES - n) for n in range(TREES)])
+    limits = F.array(*[F.lit(int(BUCKETS * min(1.0, x))) for x in joins])
+    first = _unit(seed, F.col("row_key"))
+    turns = F.when(first < F.get(limits, F.lit(0)), 0).otherwise(
+        F.size(F.filter(limits, lambda limit: limit <= first))
+    )
+    trees = F.slice(
+        F.sort_array(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(TREES - 1)),
+                lambda tree: F.struct(
+                    _unit(seed + 1, F.col("row_key"), tree).alias("turn"), tree.alias("tree")
+                ),
+            )
+        ),
+        F.lit(1),
+        F.col("turns"),
+    )
     cells = df.select(key.alias("row_key"), F.array(*features).alias("features"))
-    if rows >= wanted * TREES:
-        share = int(BUCKETS * wanted * TREES / rows)
-        drawn = (
-            cells.where(_unit(seed, F.col("row_key")) < share)
-            .withColumn("draw", _unit(seed + 1, F.col("row_key")))
-            .withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 2), F.col("row_key")), F.lit(TREES)))
+    drawn = (
+        cells.withColumn("turns", turns)
+        .where("turns > 0")
+        .select("row_key", "features", F.explode(trees).alias("drawn"))
+        .select(
+            "row_key", "features", F.col("drawn.tree").alias("tree"),
+            _unit(seed + 2, F.col("row_key"), F.col("drawn.tree")).alias("draw"),
         )
-    else:
-        share = int(BUCKETS * min(1.0, wanted / rows))
-        each = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-        draw = _unit(seed, F.col("row_key"), F.col("tree"))
-        drawn = cells.select("*", each).withColumn("draw", draw).where(F.col("draw") < share)
+    )
     # An explicit number of partitions keeps small samples from being merged into one slow task.
     spread = min(TREES, df.sparkSession.sparkContext.defaultParallelism)
     order = Window.partitionBy("tree").orderBy("draw", "row_key")

@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions.cells import column, number, quoted, text_columns
 from undertow.operators.statistics import TableStats
+from undertow.session import small_frame
 
 OPERATIONS = ("+", "−", "×", "÷")
-SAMPLE_ROWS = 20_000
-# A rule needs this many valid rows in the sample before the sample may rule it out.
-TRUSTED_ROWS = 2_000
 RULE_SCHEMA = (
     "rule_no int, rule string, col_a string, op string, col_b string, col_c string,"
     " valid_rows bigint, violations bigint, hold_rate double"
 )
-from undertow.session import small_frame
 
 
 @dataclass(frozen=True)
@@ -95,8 +95,7 @@ def _checked(df: DataFrame, rules: list[Formula], columns: list[str], tol: Toler
     """One row per input row and rule that can be checked there: rule_no, recorded, expected, ok.
 
     The rule numbers are one literal array exploded inside the scan, and a number spells out its
-    columns and operation, so the plan stays small for any number of rules. Callers pass either a
-    bounded sample or the few rules that survived it.
+    columns and operation, so the plan stays small. Callers pass only the few rules that hold.
     """
     width, ops = len(columns), len(OPERATIONS)
     numbers = F.expr(f"array({', '.join(str(r.number) for r in rules)})")
@@ -128,11 +127,56 @@ def _checked(df: DataFrame, rules: list[Formula], columns: list[str], tol: Toler
     )
 
 
-def _tally(checked: DataFrame) -> DataFrame:
-    return checked.groupBy("rule_no").agg(
-        F.count_if("valid").alias("valid_rows"),
-        F.count_if("ok").alias("held"),
-        F.stddev_samp("expected").alias("deviation"),
+def _tally(cells: DataFrame, rules: list[Formula], columns: list[str], tol: Tolerance) -> DataFrame:
+    """rule_no, valid_rows, held, and the range of what the rule expects, over every row.
+
+    Each task counts all rules over its batches of columns and passes on one row per rule, so
+    neither rows nor plan are multiplied by the number of rules.
+    """
+    sides: dict[tuple[int, int, str], list[tuple[int, int]]] = {}
+    for at, rule in enumerate(rules):
+        side = (columns.index(rule.a), columns.index(rule.b), rule.op)
+        sides.setdefault(side, []).append((at, columns.index(rule.c)))
+    numbers = [rule.number for rule in rules]
+
+    def expect(a: np.ndarray, b: np.ndarray, op: str) -> np.ndarray:
+        if op == "÷":
+            b = np.where(np.abs(b) > 1e-9, b, np.nan)
+        value = {"+": np.add, "−": np.subtract, "×": np.multiply, "÷": np.divide}[op](a, b)
+        return np.where(np.isfinite(value), value, np.nan)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        valid, held = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64)
+        low, high = np.full(len(numbers), np.inf), np.full(len(numbers), -np.inf)
+        for batch in batches:
+            grid = [np.array(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
+            with np.errstate(all="ignore"):
+                for (a, b, op), recorded in sides.items():
+                    expected = expect(grid[a], grid[b], op)
+                    if np.isnan(expected).all():
+                        continue
+                    bounds = np.nanmin(expected), np.nanmax(expected)
+                    for at, c in recorded:
+                        off = np.abs(grid[c] - expected)
+                        size = np.maximum(np.abs(grid[c]), 1.0)
+                        ok = (off / size <= tol.relative) | (off <= tol.absolute)
+                        valid[at] += np.count_nonzero(~np.isnan(off))
+                        held[at] += np.count_nonzero(ok)
+                        low[at], high[at] = min(low[at], bounds[0]), max(high[at], bounds[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (np.array(numbers, dtype=np.int32), valid, held, low, high)],
+            names=["rule_no", "valid_rows", "held", "low", "high"],
+        )
+
+    grid = cells.select(*[number(n).alias(f"c{i}") for i, n in enumerate(columns)])
+    counted = grid.mapInArrow(
+        count, "rule_no int, valid_rows long, held long, low double, high double"
+    )
+    return counted.groupBy("rule_no").agg(
+        F.sum("valid_rows").alias("valid_rows"),
+        F.sum("held").alias("held"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
 
 
@@ -146,13 +190,10 @@ def formula_rules(
     columns: list[str] | None = None,
     least_rate: float = 0.90,
     tolerance: Tolerance = Tolerance(),
-    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """Every rule that holds for at least `least_rate` of its rows, with exact counts.
+    """Every rule that holds for at least `least_rate` of its rows, counted over every row.
 
-    A uniform sample first drops the rules that clearly fail: those holding for less than
-    `least_rate - 0.1` of at least 2,000 sampled rows. A rule that really reaches `least_rate` is
-    lost that way with probability below exp(-40). All others are counted over every row.
+    What a rule expects must vary; a rule that expects one number says nothing.
     """
     names = searched_columns(stats) if columns is None else columns
     spark = df.sparkSession
@@ -161,15 +202,6 @@ def formula_rules(
         return empty
     rules = [r for r in candidates(names) if stats[r.c].spread]
     cells = df.select(*[column(n) for n in names])
-    if stats.rows > sample_rows:
-        part = cells.sample(min(1.0, sample_rows / stats.rows), seed=42)
-        hopeless = (
-            _tally(_checked(part, rules, names, tolerance))
-            .where(F.col("valid_rows") >= TRUSTED_ROWS)
-            .where(F.col("held") < (least_rate - 0.1) * F.col("valid_rows"))
-        )
-        dropped = {row["rule_no"] for row in hopeless.select("rule_no").collect()}
-        rules = [r for r in rules if r.number not in dropped]
     if not rules:
         return empty
     described = []
@@ -184,11 +216,10 @@ def formula_rules(
         "checked_no int, rule_no int, rule string, col_a string, op string, col_b string,"
         " col_c string",
     )
-    tally = _tally(_checked(cells, rules, names, tolerance)).where(
+    tally = _tally(cells, rules, names, tolerance).where(
         (F.col("valid_rows") >= 8)
         & (F.col("held") >= least_rate * F.col("valid_rows"))
-        & (F.col("deviation") > 0)
-        & (F.col("deviation") < math.inf)
+        & (F.col("low") < F.col("high"))
     )
     return (
         tally.withColumnRenamed("rule_no", "checked_no")

@@ -122,7 +122,7 @@ def quality_issues(
         (rule.column, rule.name, f"{bad} {rule.wording}", bad, examples.get(i, []), rule.predicate)
         for i, (rule, bad) in enumerate(broken)
     ]
-    copies = duplicate_rows(df, flat, rows=stats.rows).first()["duplicate_rows"]
+    copies = duplicate_rows(df, flat).first()["duplicate_rows"]
     if copies:
         issues.append((ROW_ISSUE, "copies", f"{copies} duplicate row(s)", copies, [], None))
     for i, name in enumerate(flat):

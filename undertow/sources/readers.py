@@ -37,15 +37,25 @@ class Loaded:
     log: list[tuple[int, str, str | None, str]] = field(default_factory=list)
 
 
-def text_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not valid UTF-8; then Latin-1, which accepts every byte."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if broken else "UTF-8"
+def text_facts(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The encoding, and whether a line ends inside quotes, from one look at every line.
+
+    UTF-8 unless some line is not valid UTF-8; then Latin-1, which accepts every byte.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = spark.read.text(path).agg(
+        F.max(~F.is_valid_utf8("value")).alias("broken"), F.max(quotes % 2 == 1).alias("open")
+    ).first()
+    return "ISO-8859-1" if found["broken"] else "UTF-8", bool(found["open"])
 
 
 def head_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    lines = spark.read.option("encoding", encoding).text(path).limit(HEAD_LINES).collect()
-    return [row[0] for row in lines]
+    """The first lines of one file: the first by name."""
+    reader = spark.read.option("encoding", encoding)
+    files = sorted(reader.text(path).inputFiles())
+    if not files:
+        return []
+    return [row[0] for row in reader.text(files[0]).limit(HEAD_LINES).collect()]
 
 
 def guess_separator(lines: list[str]) -> str:
@@ -60,22 +70,29 @@ def read_delimited(
     path: str,
     separator: str | None = ",",
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> Loaded:
     """Delimited text as string columns under the header of the file.
 
-    Short lines are filled with NULL; lines with more fields than the widest of the first lines
-    are skipped. If the first line cannot be a header, the most header-like of the next ones is
-    used and the title lines above it are left out, file by file. `multi_line` allows line breaks
-    inside quotes at the price of one task per file.
+    Short lines are filled with NULL; lines with more fields than the header are left out, and the
+    log says how many. Each file of a folder has its own header: if its first line cannot be one,
+    the most header-like of the next ones is, and the title lines above it are left out. Files may
+    order their columns differently; a file with other columns is refused. Where quotes span lines,
+    a file is read by one task, unless `multi_line` says otherwise.
     """
-    encoding = encoding or text_encoding(spark, path)
+    found_encoding, open_quotes = text_facts(spark, path)
+    encoding = encoding or found_encoding
+    multi_line = open_quotes if multi_line is None else multi_line
     lines = [line for line in head_lines(spark, path, encoding) if line.strip()]
     if not lines:
-        raise UnusableTable(f"'{path}' has no usable tabular data")
+        raise UnusableTable(f"No table in '{path}'")
     separator = separator or guess_separator(lines)
     rows = list(csv.reader(lines, delimiter=separator))
-    width = max(len(row) for row in rows)
+    widths = [len(row) for row in rows]
+    usual = max(set(widths), key=lambda width: (widths.count(width), width))
+    first = rows[0] + [None] * (usual - len(rows[0]))
+    titled = needs_header_search(first)
+    width = usual if titled else len(rows[0])
     raw = [f"_c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, EXTRA]])
     reader = (
@@ -87,26 +104,26 @@ def read_delimited(
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
-    first = rows[0] + [None] * (width - len(rows[0]))
+    plain = reader.option("header", True).csv(path)
     log: list[tuple[int, str, str | None, str]] = []
-    names = unique_names(first)
-    table = reader.option("header", True).csv(path).where(column(EXTRA).isNull())
-    if needs_header_search(first) and len(rows) > 4:
-        searched = _below_header(reader.option("header", False).csv(path), raw)
-        if searched is not None:
-            table, header, skipped = searched
-            names = unique_names(header)
-            if skipped:
-                log.append(
-                    (
-                        0,
-                        "header",
-                        None,
-                        f"Header detected at row {skipped + 1}: skipped {skipped} title row(s)"
-                        " above it",
-                    )
-                )
-    return Loaded(table.select(*raw).toDF(*names), log)
+    names = unique_names(first[:width])
+    table = plain.where(column(EXTRA).isNull()).select(*raw)
+    many = len(plain.inputFiles()) > 1
+    if many or titled and len(rows) > 4:
+        grid = reader.option("header", False).csv(path)
+        headers = settled(file_headers(grid, raw))
+        shown = headers.orderBy(FILE).collect()
+        plainly = all(row["header_line"] == 0 and row["header"] == first[:width] for row in shown)
+        if shown and not plainly:
+            names = unique_names(shown[0]["header"])
+            table = below_headers(grid, raw, headers, shown, names)
+            if top := max(row["header_line"] for row in shown):
+                log.append((0, "header", None, f"Header in line {top + 1}; {top} line(s) above it left out"))
+    too_long = plain.where(column(EXTRA).isNotNull()).count()
+    if too_long:
+        text = f"{too_long} line(s) with more than {width} fields left out"
+        log.append((len(log), "long lines", None, text))
+    return Loaded(table.toDF(*names), log)
 
 
 def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
@@ -147,24 +164,48 @@ def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
     return located.mapInArrow(number, schema)
 
 
-def _below_header(grid: DataFrame, raw: list[str]) -> tuple[DataFrame, list, int] | None:
-    """The lines below each file's header, one header row, and the title rows above it."""
-    numbered = numbered_lines(grid, HEADER_LINES + 1)
+def file_headers(grid: DataFrame, raw: list[str]) -> DataFrame:
+    """(file, header_line, header) of each file: its first line if that can be a header."""
     starts = numbered_lines(grid.where("_metadata.file_block_start = 0"), HEADER_LINES + 1)
     early = starts.where(F.col(LINE).isNotNull() & column(EXTRA).isNull())
-    # The first line of a file is never searched: it was already found unfit.
+    cells = F.transform(F.array(*[column(c) for c in raw]), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    digits = F.forall(cells, lambda c: c.rlike("^[0-9]+$"))
+    blank = F.size(F.filter(cells, lambda c: c.isin("", "nan", "None") | c.startswith("Unnamed")))
+    fit = ~digits & (blank < 0.4 * len(raw))
+    first = early.where(F.col(LINE) == 0).select(
+        FILE, fit.alias("fit"), F.array(*[column(c) for c in raw]).alias("own")
+    )
+    # A first line that is found unfit is not searched again.
     shifted = early.where(F.col(LINE) >= 1).withColumn("_at", F.col(LINE) - 1)
-    # One row per input file, fewer bytes than the file listing the driver already holds.
-    found = settled(best_header(shifted, FILE, "_at", raw))
-    first = found.orderBy(FILE).first()
-    if first is None:
-        return None
-    below = (
-        numbered.join(F.broadcast(found.drop("header")), FILE, "left")
-        .where(F.col(LINE).isNull() | (F.col(LINE) - 1 > F.coalesce("header_line", F.lit(-1))))
-        .where(column(EXTRA).isNull())
+    searched = best_header(shifted, FILE, "_at", raw)
+    use_own = F.col("fit") | F.col("header").isNull()
+    return first.join(searched, FILE, "left").select(
+        FILE,
+        F.when(use_own, 0).otherwise(F.col("header_line") + 1).alias("header_line"),
+        F.when(use_own, F.col("own")).otherwise(F.col("header")).alias("header"),
+    )
+
+
+def below_headers(
+    grid: DataFrame, raw: list[str], headers: DataFrame, shown: list, names: list[str]
+) -> DataFrame:
+    """The lines below each file's header, with the columns of every file in the same order."""
+    orders = {tuple(row["header"]) for row in shown}
+    wanted = [name.strip() for name in names]
+    for header in orders:
+        if sorted(unique_names(list(header))) != sorted(wanted):
+            raise UnusableTable(f"Files with different columns: {wanted} and {unique_names(list(header))}")
+    numbered = numbered_lines(grid, HEADER_LINES + 1).where(column(EXTRA).isNull())
+    kept = numbered.join(headers, FILE, "left").where(
+        F.col(LINE).isNull() | (F.col(LINE) > F.coalesce("header_line", F.lit(-1)))
+    )
+    if len(orders) == 1:
+        return kept.select(*raw)
+    cells = F.array(*[column(c) for c in raw])
+    own = F.transform("header", lambda c: F.trim(c))
+    return kept.select(
+        *[F.get(cells, (F.array_position(own, n) - 1).cast("int")).alias(c) for c, n in zip(raw, wanted)]
     )
-    return below, list(first["header"]), first["header_line"] + 1
 
 
 def read_json(spark: SparkSession, path: str) -> Loaded:
@@ -174,18 +215,21 @@ def read_json(spark: SparkSession, path: str) -> Loaded:
     """
     head = [line.strip() for line in head_lines(spark, path, "UTF-8") if line.strip()]
     if not head:
-        raise UnusableTable(f"'{path}' has no usable tabular data")
+        raise UnusableTable(f"No table in '{path}'")
     start = head[0].lstrip("\ufeff")
-    by_line = start.startswith("{") and start.endswith("}") and len(head) > 1
+    whole = [line for line in head if line.startswith("{") and line.endswith("}")]
+    by_line = start.startswith("{") and len(whole) == len(head) > 1
     table = spark.read.option("multiLine", not by_line).json(path)
     if by_line or start.startswith("["):
         return Loaded(table)
     if {"columns", "data"} <= set(table.columns):
-        names = [str(n) for n in table.select("columns").first()[0]]
-        cells = table.select(F.explode("data").alias("cells"))
-        return Loaded(
-            cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
-        )
+        # Documents may order their columns differently: a cell goes by its document's own names.
+        orders = sorted(row[0] for row in table.select("columns").distinct().collect())
+        names = list(dict.fromkeys(str(name) for order in orders for name in order))
+        cells = table.select("columns", F.explode("data").alias("cells"))
+        at = [(F.array_position("columns", n) - 1).cast("int") for n in names]
+        values = [F.when(place >= 0, F.get("cells", place)) for place in at]
+        return Loaded(cells.select(*[v.alias(n) for n, v in zip(names, values)]))
     lists = [f.name for f in table.schema.fields if isinstance(f.dataType, T.ArrayType)]
     if lists and len(lists) == len(table.columns):
         return Loaded(table.select(F.inline(F.arrays_zip(*[column(n) for n in lists]))))
