@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm import bpe, lines, mixing, quality, simhash
-from undertow.llm.words import word_count
+from undertow.llm.words import columns, word_count
 from undertow.session import written
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """`row` holds the whole document; only what an operator reads stands beside it."""
-    columns = [F.col(f"`{name}`") for name in docs.columns]
-    return docs.select(F.struct(*columns).alias("row"), "doc_id", "text", *more)
+    return docs.select(F.struct(*columns(docs)).alias("row"), "doc_id", "text", *more)
 
 
 def unpacked(rows: DataFrame, docs: DataFrame, new_text: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.words import WORD, let, words
+from undertow.llm.words import WORD, columns, let, words
 from undertow.session import written
 
 LEAST = 50  # words
@@ -143,8 +143,8 @@ def dedupe_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
         return let(lines, join)
 
     return marked.select(
-        *(F.col(c) for c in docs.columns if c != "text"),
+        *columns(docs, "text"),
         F.when(gone.isNull(), text).otherwise(let(numbered(text), without)).alias("text"),
         F.coalesce(F.size(numbered(text)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_deleted"),
-    ).select(*docs.columns, "n_lines", "n_deleted")
+    ).select(*columns(docs), "n_lines", "n_deleted")

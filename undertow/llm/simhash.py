@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.components import components
+from undertow.llm.words import columns
 from undertow.session import written
 
 SHINGLE, SEED = 3, 42
@@ -211,4 +212,4 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame
     least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least"))
     kept = grouped(least, hot).groupBy("root").agg(F.min("least").alias("least"))
     kept = written(kept.select(F.col("least.uid").alias("_uid")), "kept")
-    return rows.join(kept, "_uid", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_uid", "left_semi").select(*columns(docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and U+0009 to U+000D.
@@ -26,6 +26,11 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(-1)).cast("int")
 
 
+def columns(docs: DataFrame, *but: str) -> list[Column]:
+    """All columns by name, however they are called."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in docs.columns if name not in but]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
