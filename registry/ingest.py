@@ -203,3 +203,25 @@ def header_lines(spark, folder):
     early = grid.withColumn("nth", F.row_number().over(order)).where("nth <= 12")
     early = early.withColumn("line", F.col("nth") - 1)
     return best_header(early, "file", "line", ["c0", "c1", "c2", "c3"]).drop("header")
+
+
+@register(
+    "dates_late_layout",
+    """SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS VARCHAR) END
+    AS ordered, count(*) FILTER (WHERE o_orderkey % 50 = 0) OVER () AS emptied FROM orders""",
+)
+def dates_late_layout(spark, folder):
+    """The layout that most cells follow decides, wherever they stand; the log counts the others."""
+    orders = load(spark, folder, "orders")
+    other = F.col("o_orderkey") % 50 == 0
+    text = F.when(other, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+        F.date_format("o_orderdate", "M/d/yyyy H:m:s")
+    )
+    table = orders.select(F.col("o_orderkey").alias("order_id"), text.alias("ordered"))
+    fixed = repair(table)
+    emptied = F.regexp_extract("detail", "([0-9]+) emptied", 1).cast("bigint").alias("emptied")
+    lost = fixed.log_frame().where("step = 'date'").select(emptied).first()
+    return fixed.table.select(
+        "order_id", F.col("ordered").cast("string").alias("ordered"),
+        F.lit(lost["emptied"] if lost else 0).cast("bigint").alias("emptied"),
+    )

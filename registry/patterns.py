@@ -302,15 +302,15 @@ s AS (SELECT avg(line_total) AS m, stddev_samp(line_total) AS sd FROM t),
 issues AS (SELECT * FROM (
   SELECT 0 AS seq, 'attendance_pct' AS "column", 'range' AS rule,
     count(*) FILTER (WHERE attendance_pct < 0 OR attendance_pct > 100) AS bad_rows,
-    'value(s) outside expected range' AS wording FROM t
+    'value(s) beyond the scale' AS wording FROM t
   UNION ALL
   SELECT 1, 'line_total', 'extreme', count(*) FILTER (WHERE abs((line_total - m) / sd) > 4),
-    'extreme outlier(s), possible entry error' FROM t, s
+    'value(s) over four deviations out' FROM t, s
   UNION ALL
   SELECT 2, '(rows)', 'copies', (SELECT count(*) FROM t) - (SELECT count(*) FROM
-    (SELECT DISTINCT * FROM t)), 'duplicate row(s)'
+    (SELECT DISTINCT * FROM t)), 'further copies of rows'
   UNION ALL
-  SELECT 3, 'currency', 'constant', count(*), 'Constant column — no analytical value' FROM t
+  SELECT 3, 'currency', 'constant', count(*), 'one value in every row' FROM t
   HAVING count(DISTINCT currency) <= 1) WHERE bad_rows > 0)"""
 
 

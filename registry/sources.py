@@ -198,3 +198,46 @@ def binary_cells(spark, folder):
         F.count(F.lit(1)).alias("cells"),
         F.count_if(is_binary(F.col("cell"))).alias("binary_cells"),
     )
+
+
+@register(
+    "read_csv_long_lines",
+    """SELECT count(*) FILTER (WHERE o_orderkey % 97 <> 0) AS kept,
+    count(*) FILTER (WHERE o_orderkey % 97 = 0) AS left_out FROM orders""",
+)
+def read_csv_long_lines(spark, folder):
+    """Lines with more fields than the header are left out wherever they stand, and counted."""
+    lines = load(spark, folder, "orders").select(
+        F.concat_ws(
+            ",", F.col("o_orderkey"), "o_orderstatus", F.when(F.col("o_orderkey") % 97 == 0, "stray")
+        ).alias("line")
+    )
+    path = new_path(spark, "long-lines")
+    header = spark.range(1).select(F.lit("Order Key,Status").alias("line"))
+    header.coalesce(1).union(lines).coalesce(1).write.text(path)
+    loaded = read_table(spark, path, "csv")
+    counted = sum(int(detail.split()[0]) for _, step, _, detail in loaded.log if step == "long lines")
+    return loaded.table.agg(F.count("Order Key").alias("kept")).withColumn(
+        "left_out", F.lit(counted).cast("bigint")
+    )
+
+
+@register("read_csv_mixed_files", ORDER_TOTALS)
+def read_csv_mixed_files(spark, folder):
+    """Every second file has title rows, and every third another order of columns."""
+    orders = order_text(spark, folder).withColumn("file", F.floor(F.col("Order Key").cast("bigint") / 1000))
+    plain, turned = ("Order Key", "Status", "Total", "Day"), ("Day", "Total", "Status", "Order Key")
+
+    def line(names):
+        return F.concat_ws(",", *[F.concat(F.lit('"'), F.col(n), F.lit('"')) for n in names])
+
+    other = F.col("file") % 3 == 0
+    lines = orders.select("file", F.when(other, line(turned)).otherwise(line(plain)).alias("line"))
+    files = lines.groupBy("file").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    header = F.when(other, ",".join(turned)).otherwise(",".join(plain))
+    top = F.when(F.col("file") % 2 == 0, F.array(F.lit("Order export,,,"), F.lit(",,,"))).otherwise(F.array())
+    path = new_path(spark, "mixed")
+    text = F.array_join(F.concat(top, F.array(header), "lines"), "\n")
+    files.select("file", text.alias("text")).repartition("file").write.partitionBy("file").text(path)
+    loaded = read_table(spark, f"{path}/*/*.txt", "csv")
+    return order_totals(repair(loaded.table.select(*plain), loaded.log).table)

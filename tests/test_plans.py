@@ -43,7 +43,7 @@ def test_findings_of_a_table_with_planted_patterns(done):
     assert {"contradiction", "segment", "missing", "quality"} <= set(found)
     first = done.findings.first()
     assert first["severity"] == "critical"
-    assert first["title"] == "Internal_Marks high but Final_Marks unexpectedly low"
+    assert first["title"] == "Final_Marks is low although Internal_Marks is high"
     assert first["factor"] == "Study_Hours" and first["matches"] >= 14
     assert found["missing"]["columns"] == ["Attendance"]
     assert done.issues.first()["examples"] == [147.0]
@@ -135,9 +135,11 @@ def test_months_follow_the_calendar(spark):
 
 def test_report(done, spark):
     blocks = [r["text"] for r in done.report().orderBy("ordinal").collect()]
-    assert blocks[0].startswith("# Audit report: school")
-    assert len(blocks) == 1 + done.findings.count()
-    assert any("Possible contributing factor: **Study_Hours**" in b for b in blocks)
+    assert blocks[0].startswith("# What school hides")
+    titles = [r["title"] for r in done.findings.collect()]
+    assert [b.split("\n")[0].split(". ", 1)[1] for b in blocks[1 : 1 + len(titles)]] == titles
+    assert [b.startswith("## Repairs") for b in blocks[1 + len(titles) :]] == [True] * (done.log.count() > 0)
+    assert any("Also different there: **Study_Hours**" in b for b in blocks)
     path = new_path(spark, "report")
     report.write_blocks(done.report(), path)
     assert spark.read.text(path).select("dataset").distinct().first()[0] == "school"
@@ -151,6 +153,34 @@ def test_json_has_no_nan(spark):
     assert sorted(lines, key=lambda r: r["i"]) == [{"i": 1}, {"i": 2, "x": 1.5}]
 
 
+def test_nested_values_have_no_nan_either(spark):
+    path = new_path(spark, "json")
+    nan = float("nan")
+    frame = spark.createDataFrame(
+        [(1, [1.0, nan], {"x": nan}, (nan, 2.0))], "i int, a array<double>, m map<string,double>, s struct<p:double,q:double>"
+    )
+    report.write_json(frame, path)
+    assert json.loads(spark.read.text(path).first()[0]) == {"i": 1, "a": [1.0, None], "m": {"x": None}, "s": {"q": 2.0}}
+
+
+@pytest.mark.parametrize("minutes", [100_000, 30, 600, 5_000_000])
+def test_trends_cover_the_whole_span(spark, minutes):
+    frame = spark.range(minutes).selectExpr(
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int)) as at", "double(id) as v"
+    )
+    got = charts.trend(frame, "at", "v").collect()
+    assert 3 <= len(got) <= charts.TREND_POINTS
+    assert got[-1]["value"] > minutes * 0.8
+
+
+def test_ties_between_cited_columns_go_by_rank(spark):
+    found = [
+        findings.Finding("missing", "info", "one", "", [], 1, 1.0, 99, ["x"]),
+        findings.Finding("segment", "critical", "two", "", [], 1, 1.0, 80, ["z"]),
+    ]
+    assert charts.most_cited(findings.findings_frame(spark, found), ["x", "z"]) == "z"
+
+
 def test_preview(done):
     rows = done.preview().collect()
     assert len(rows) == 8 and rows[0]["Attendance"] == "" and rows[1]["Student_ID"] == "S001"

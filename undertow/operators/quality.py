@@ -42,14 +42,14 @@ def value_rules(stats: TableStats) -> list[Rule]:
             five_stars = "rating" in tokens and c.high <= 5
             low, high = (1, 5) if five_stars else (0, 100)
             rules.append(
-                Rule(name, "range", "value(s) outside expected range", outside(name, low, high))
+                Rule(name, "range", "value(s) beyond the scale", outside(name, low, high))
             )
         if words.has_word(name, ("age",)):
-            rules.append(Rule(name, "age", "implausible age value(s)", outside(name, 0, 120)))
+            rules.append(Rule(name, "age", "age(s) nobody reaches", outside(name, 0, 120)))
         if c.spread:
             z = f"abs(({quoted(name)} - {sql_double(c.mean)}) / {sql_double(c.spread)})"
             rules.append(
-                Rule(name, "extreme", "extreme outlier(s), possible entry error", f"{z} > 4")
+                Rule(name, "extreme", "value(s) over four deviations out", f"{z} > 4")
             )
     return rules
 
@@ -124,10 +124,10 @@ def quality_issues(
     ]
     copies = duplicate_rows(df, flat).first()["duplicate_rows"]
     if copies:
-        issues.append((ROW_ISSUE, "copies", f"{copies} duplicate row(s)", copies, [], None))
+        issues.append((ROW_ISSUE, "copies", f"{copies} further copies of rows", copies, [], None))
     for i, name in enumerate(flat):
         if counted[f"low{i}"] == counted[f"high{i}"]:
-            wording = "Constant column — no analytical value"
+            wording = "one value in every row"
             issues.append((name, "constant", wording, stats.rows, [], None))
     rows = [(seq, *issue) for seq, issue in enumerate(issues)]
     return small_frame(spark, rows if most is None else rows[:most], ISSUE_SCHEMA)

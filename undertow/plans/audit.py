@@ -70,7 +70,7 @@ class Audit:
             a, b = top["contradiction"]["columns"]
             rule = top["contradiction"]["predicate"]
             drawn["contradiction"] = charts.scatter_points(self.scored, a, b, rule, self.row_id)
-        elif "outliers" in top and len(self.numbers) >= 2:
+        elif self.anomalies.first()["anomaly_count"] >= 3 and len(self.numbers) >= 2:
             a, b = self.numbers[:2]
             drawn["outliers"] = charts.scatter_points(
                 self.scored, a, b, "is_anomaly", self.row_id
@@ -78,7 +78,15 @@ class Audit:
         if "segment" in top:
             drawn["segment"] = charts.segment_bars(self.segments.limit(1))
         if "formula" in top:
-            drawn["formula"] = charts.formula_pairs(self.formula_examples)
+            names = top["formula"]["columns"]
+            searched = formulas.searched_columns(self.stats)
+            first = [
+                row["rule_no"] for row in self.formula_examples.select("rule_no").distinct().collect()
+                if formulas.formula_at(row["rule_no"], searched).text in top["formula"]["title"]
+                and set(names) <= set(searched)
+            ]
+            own = self.formula_examples.where(F.col("rule_no").isin(first[:1]))
+            drawn["formula"] = charts.formula_pairs(own)
         if "cluster" in top:
             number = int(top["cluster"]["predicate"].rsplit(" ", 1)[1])
             drawn["cluster"] = charts.cluster_bars(self.clusters, self.stats, number)
@@ -90,11 +98,13 @@ class Audit:
             drawn["distribution"] = charts.histogram(self.table, target, self.stats)
             time = charts.time_column(self.table)
             if time:
-                drawn["trend"] = charts.trend(self.table, time, cited or self.numbers[0])
+                points = settled(charts.trend(self.table, time, cited or self.numbers[0]))
+                if points.count() >= charts.LEAST_TREND_POINTS:
+                    drawn["trend"] = points
         return drawn
 
     def report(self) -> DataFrame:
-        """(dataset, ordinal, text): a heading, then one block per finding."""
+        """(dataset, ordinal, text): a heading, a block per finding by rank, and the repairs made."""
         top = report.heading(
             self.name, self.stats.rows, len(self.columns), self.scores.first()
         )
@@ -102,7 +112,8 @@ class Audit:
         first = small_frame(spark,
             [(self.name, -1, top)], "dataset string, ordinal int, text string"
         )
-        return first.unionByName(report.finding_blocks(self.findings, self.name))
+        blocks = first.unionByName(report.finding_blocks(self.findings, self.name))
+        return blocks.unionByName(report.repair_block(self.log, self.name))
 
     def preview(self) -> DataFrame:
         shown = self.table.select(column(self.row_id), *[column(n) for n in self.columns])

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undertow.functions import vocabulary as words
 from undertow.functions.cells import column, number
 from undertow.operators.statistics import TableStats
+from undertow.plans.findings import severity_rank
 from undertow.session import small_frame
 
 SCATTER_ROWS = 600
 TREND_POINTS = 24
+LEAST_TREND_POINTS = 3
+# Grains that a trend may be drawn at, with their (shortest) length in seconds.
+GRAINS = (
+    ("second", 1), ("minute", 60), ("hour", 3_600), ("day", 86_400), ("week", 604_800),
+    ("month", 2_419_200), ("quarter", 7_776_000), ("year", 31_536_000),
+)
 
 
 def scatter_points(
@@ -73,12 +80,17 @@ def missing_bars(missing: DataFrame) -> DataFrame:
 
 
 def most_cited(findings: DataFrame, numbers: list[str]) -> str | None:
-    """The number column most findings name; ties go to the one named first."""
+    """The number column most findings name; ties go to the one that ranks first.
+
+    The findings are a few rows, numbered here by rank.
+    """
+    rank = Window.orderBy(severity_rank(), F.desc("confidence"), "ordinal")
     cited = (
-        findings.select("ordinal", F.posexplode("columns").alias("place", "column"))
+        findings.withColumn("rank", F.row_number().over(rank))
+        .select("rank", F.posexplode("columns").alias("place", "column"))
         .where(F.col("column").isin(numbers))
         .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ordinal", "place")).alias("at"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "place")).alias("at"))
         .orderBy(F.desc("n"), "at")
         .first()
     )
@@ -111,16 +123,31 @@ def time_column(df: DataFrame) -> str | None:
     return next((n for n in df.columns if words.has_word(n, words.TIME_WORDS)), None)
 
 
+def fitting_grain(df: DataFrame, time: str, most: int) -> Column:
+    """The column rounded down to the finest grain whose whole span has at most `most` points."""
+    at = column(time)
+    ends = df.agg(F.min(at).cast("timestamp_ntz").alias("low"), F.max(at).cast("timestamp_ntz").alias("high")).first()
+    if ends["low"] is None:
+        return at
+    seconds = (ends["high"] - ends["low"]).total_seconds()
+    for grain, length in GRAINS:
+        if seconds / length < most - 1:
+            return F.date_trunc(grain, at)
+    years = -(-(ends["high"].year - ends["low"].year + 1) // most)
+    return F.make_date(F.floor(F.year(at) / years) * years, F.lit(1), F.lit(1))
+
+
 def trend(
     df: DataFrame, time: str, metric: str, grain: str | None = None, most: int = TREND_POINTS
 ) -> DataFrame:
     """(label, value): the metric's mean per point in time, earliest first.
 
-    `grain` (such as "month") rounds timestamps down. Month names follow the calendar.
+    `grain` (such as "month") rounds timestamps down; without one, the finest grain is taken that
+    covers the whole span. Month names follow the calendar.
     """
     at = column(time)
-    if grain:
-        at = F.date_trunc(grain, at)
+    if isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        at = F.date_trunc(grain, at) if grain else fitting_grain(df, time, most)
     means = df.groupBy(at.alias("at")).agg(F.avg(number(metric)).alias("mean"))
     means = means.where("at IS NOT NULL")
     order = [F.col("at")]

@@ -19,7 +19,7 @@ from undertow.session import small_frame
 # The column of the scored table that holds the cluster of each row.
 CLUSTER = "cluster_label"
 SEVERITIES = ("critical", "moderate", "info")
-CORRELATION_NOTE = "Indicates correlation, not causation."
+CORRELATION_NOTE = "The columns move together; which one drives the other is open."
 
 
 @dataclass
@@ -59,14 +59,14 @@ def share(count: int, rows: int) -> float:
 def contradiction_finding(c, overall_b: float, compared: dict, lines: list[str], factor) -> Finding:
     effect = change(compared[c.col_b]["group_mean"], overall_b)
     high, low = ("high", "low") if c.direction == "high" else ("low", "high")
-    title = f"{c.col_a} {high} but {c.col_b} unexpectedly {low}"
+    title = f"{c.col_b} is {low} although {c.col_a} is {high}"
     return Finding(
         kind="contradiction",
         severity="critical" if c.pct >= 5 and abs(effect) >= 20 else "moderate",
         title=title[0].upper() + title[1:],
         description=(
-            f"{c.count} records ({c.pct}%) have {high} {c.col_a} and {low} {c.col_b}, although the"
-            f" two usually rise together (r={c.r:.2f}). The overall averages do not show them."
+            f"Over the table {c.col_a} and {c.col_b} rise together (r={c.r:.2f}), yet {c.count} row(s)"
+            f" ({c.pct}%) go the other way, which no mean of a column reveals."
         ),
         evidence=lines,
         matches=c.count,
@@ -85,13 +85,13 @@ def segment_finding(s, rows: int, predicate: str) -> Finding:
     return Finding(
         kind="segment",
         severity="critical" if s["spread_pct"] >= 25 else "moderate",
-        title=f"{s['category']}={s['worst']} underperforms on {s['number']}",
+        title=f"{s['number']} is weakest where {s['category']} is {s['worst']}",
         description=(
-            f"'{s['worst']}' averages {s['worst_mean']} on {s['number']} against {s['overall']}"
-            f" overall; the groups of {s['category']} lie {s['spread_pct']}% apart."
+            f"Its mean there is {s['worst_mean']}, while the whole table has {s['overall']};"
+            f" between the groups of {s['category']} means differ by {s['spread_pct']}%."
         ),
         evidence=[
-            f"{g['grp']}: {round(g['mean'], 2)} (overall {s['overall']})" for g in s["groups"]
+            f"{g['grp']}: {round(g['mean'], 2)} (table: {s['overall']})" for g in s["groups"]
         ],
         matches=s["worst_size"],
         pct=share(s["worst_size"], rows),
@@ -108,12 +108,12 @@ def outlier_finding(summary, top: list, columns: list[str]) -> Finding:
         kind="outliers",
         severity="moderate",
         title=(
-            f"{summary['anomaly_count']} statistically unusual records detected"
+            f"{summary['anomaly_count']} rows far from the others"
             f" ({summary['method']})"
         ),
         description=(
-            f"{summary['anomaly_count']} records ({summary['anomaly_pct']}%) lie far from the rest."
-            " They may be errors, fraud or special cases."
+            f"That is {summary['anomaly_pct']}% of the table."
+            " Look at each: wrong input, misuse and rare but true cases all look alike here."
         ),
         evidence=[", ".join(f"{c}={row[c]}" for c in columns if c in row) for row in top[:3]],
         matches=summary["anomaly_count"],
@@ -122,7 +122,7 @@ def outlier_finding(summary, top: list, columns: list[str]) -> Finding:
         columns=columns,
         predicate="is_anomaly",
         source="statistical",
-        note="Being an outlier does not explain why.",
+        note="The score says how far, not why.",
     )
 
 
@@ -131,9 +131,9 @@ def missing_finding(m, rows: int) -> Finding:
     return Finding(
         kind="missing",
         severity="info",
-        title=f"Missing data: {m['pct']}% of '{name}' is empty",
-        description=f"{m['missing']} of {rows} records have no {name}; averages leave them out.",
-        evidence=[f"{name}: {m['missing']} missing ({m['pct']}%)"],
+        title=f"Gaps in '{name}': {m['pct']}% of its cells",
+        description=f"Of {rows} rows, {m['missing']} lack {name}; its mean and quartiles rest on the others.",
+        evidence=[f"{name} without a value in {m['missing']} row(s)"],
         matches=m["missing"],
         pct=m["pct"],
         confidence=99,
@@ -147,9 +147,9 @@ def quality_finding(q, rows: int) -> Finding:
     return Finding(
         kind="quality",
         severity="info",
-        title=f"Data quality: {q['column']} — {q['issue']}",
-        description=f"Column '{q['column']}': {q['issue']}. Examples: {examples}.",
-        evidence=[f"examples: {examples}"] if examples else [q["issue"]],
+        title=f"Check {q['column']}: {q['issue']}",
+        description=f"{q['issue']} in '{q['column']}'; first seen: {examples}.",
+        evidence=[f"first seen: {examples}"] if examples else [q["issue"]],
         matches=q["bad_rows"],
         pct=share(q["bad_rows"], rows),
         confidence=95,
@@ -164,14 +164,14 @@ def cluster_finding(best, means: list, stats) -> Finding:
         kind="cluster",
         severity="moderate",
         title=(
-            f"Hidden subgroup: Cluster {best['cluster']} ({best['members']} records)"
-            " behaves differently"
+            f"Rows of group {best['cluster']} ({best['members']} in all)"
+            " form a type of their own"
         ),
-        description="A group that differs on several columns at once: "
+        description="Several columns set these rows apart together: "
         + "; ".join(f"{name}={mean}" for name, mean in shown[:4])
         + ".",
         evidence=[
-            f"{name}: {mean} (overall {round(stats[name].mean, 1)})" for name, mean in shown[:5]
+            f"{name}: {mean} (table: {round(stats[name].mean, 1)})" for name, mean in shown[:5]
         ],
         matches=best["members"],
         pct=best["pct"],
@@ -179,7 +179,7 @@ def cluster_finding(best, means: list, stats) -> Finding:
         columns=[name for name, _ in shown[:3]],
         predicate=f"{CLUSTER} = {best['cluster']}",
         source="clustering (k-means)",
-        note="A descriptive grouping: check before acting on it.",
+        note="Found by distance alone; the groups may have no meaning.",
     )
 
 
@@ -189,9 +189,9 @@ def formula_finding(rule: dict, examples: list, rows: int, predicate: str) -> Fi
         return Finding(
             kind="verified",
             severity="info",
-            title=f"Verified calculation: {rule['rule']} holds everywhere ✅",
-            description=f"All {rows} rows keep '{rule['rule']}' within tolerance.",
-            evidence=[f"{rule['rule']} holds in 100% of {rows} rows"],
+            title=f"Formula kept by every row: {rule['rule']}",
+            description=f"Within the tolerance, '{rule['rule']}' is true of each of the {rows} rows.",
+            evidence=[f"{rows} of {rows} rows agree"],
             matches=rows,
             pct=100.0,
             confidence=99,
@@ -205,19 +205,19 @@ def formula_finding(rule: dict, examples: list, rows: int, predicate: str) -> Fi
     return Finding(
         kind="formula",
         severity="critical",
-        title=f"Broken calculation: {rule['rule']} fails in {rule['violations']} row(s)",
+        title=f"Formula {rule['rule']} missed by {rule['violations']} row(s)",
         description=(
-            f"'{rule['rule']}' holds for {rule['hold_rate']}% of rows, so it looks like a formula;"
-            f" {rule['violations']} row(s) break it."
+            f"With {rule['hold_rate']}% of rows agreeing, '{rule['rule']}' was probably computed;"
+            f" {rule['violations']} row(s) disagree."
         ),
-        evidence=[*lines, f"rule holds in {rule['hold_rate']}% of rows"],
+        evidence=[*lines, f"{rule['hold_rate']}% of rows agree"],
         matches=rule["violations"],
         pct=share(rule["violations"], rows),
         confidence=int(min(93, 75 + rule["hold_rate"] // 5)),
         columns=columns,
         predicate=predicate,
         source="template",
-        note="An exact arithmetic check: compare with the source formula.",
+        note="Recomputed from the cells; the source may round differently.",
     )
 
 
@@ -226,12 +226,12 @@ def key_finding(key, examples: list[str]) -> Finding:
     return Finding(
         kind="duplicates",
         severity="moderate",
-        title=f"Duplicate keys: '{key['column']}' repeats {key['repeated_rows']} time(s)",
+        title=f"'{key['column']}' is no key: {key['repeated_rows']} row(s) share a value",
         description=(
-            f"{key['repeated_rows']} rows ({key['pct']}%) share their {key['column']} with another"
-            f" row ({shown}); a join on it counts them twice."
+            f"A join on {key['column']} would multiply {key['repeated_rows']} row(s) ({key['pct']}%),"
+            f" since their value occurs again, as {shown} do."
         ),
-        evidence=[f"repeated values: {shown}"],
+        evidence=[f"values that occur again: {shown}"],
         matches=key["repeated_rows"],
         pct=key["pct"],
         confidence=97,

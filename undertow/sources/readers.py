@@ -276,4 +276,4 @@ def _read(spark: SparkSession, path: str, kind: str, options: dict) -> Loaded:
         return read_parquet(spark, path, **options)
     if kind in ("xlsx", "xls"):
         raise UnusableTable(f"'{path}' is an Excel workbook, for which Spark has no reader")
-    raise UnusableTable(f"Unsupported file type '{kind}'")
+    raise UnusableTable(f"No reader for files of kind '{kind}'")
