@@ -17,7 +17,8 @@ a sort of all suffixes, and a document's lines only meet each other in a doublin
 A suffix whose line stands nowhere else is an interval of its own, so lines that occur once are
 dropped before the first round and break the sequence. Lines without a word are not part of it and
 stay. Counts and first places are combined before the shuffle; a line or run that a third of all
-documents hold is one row per task there, and its places are joined back, where Spark splits them.
+documents hold is one row per task there, and its places are joined back, where Spark splits them. What is
+joined back grows with the corpus, so all joins shuffle, at any size.
 
 Null texts stay null and have no lines. Rows that repeat both id and text count as one document and
 get the same result. Only `doc_id` and `text` are read; other columns stay as they are. An empty
@@ -55,8 +56,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         *NAMES, "j", name(F.col("row.line")).alias("line"),
         F.size(words(F.col("row.line"))).cast("long").alias("n"),
     )
-    often = rows.groupBy("line").count().where("count > 1").select("line")
-    return written(rows.join(often, "line", "left_semi"), "repeated-lines")
+    often = written(rows.groupBy("line").count().where("count > 1").select("line"), "repeated-line-ids")
+    return written(rows.join(often.hint("merge"), "line", "left_semi"), "repeated-lines")
 
 
 def windows(rows: DataFrame, least: int) -> DataFrame:
@@ -113,7 +114,8 @@ def later_copies(docs: DataFrame, least: int) -> DataFrame:
         found.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("name", "first")
     )
-    later = found.join(intervals, "name").where(F.col("place") > F.col("first"))
+    intervals = written(intervals, "intervals")
+    later = found.join(intervals.hint("merge"), "name").where(F.col("place") > F.col("first"))
     return (
         later.select(*NAMES, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("j"))
         .groupBy(*NAMES)
@@ -124,7 +126,7 @@ def later_copies(docs: DataFrame, least: int) -> DataFrame:
 def dedupe_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows with `text` less the later copies, `n_lines` (with a word) and `n_deleted`."""
     docs = docs.drop("n_lines", "n_deleted")
-    copies = written(later_copies(docs, least), "line-copies").toDF("_id", "_h", "_gone")
+    copies = written(later_copies(docs, least), "line-copies").toDF("_id", "_h", "_gone").hint("merge")
     marked = docs.withColumn("_name", name(F.col("text"))).join(
         copies,
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_name").eqNullSafe(F.col("_h")),
