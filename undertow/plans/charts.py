@@ -15,11 +15,12 @@ from undertow.session import small_frame
 SCATTER_ROWS = 600
 TREND_POINTS = 24
 LEAST_TREND_POINTS = 3
-# Grains that a trend may be drawn at, with their (shortest) length in seconds.
-GRAINS = (
-    ("second", 1), ("minute", 60), ("hour", 3_600), ("day", 86_400), ("week", 604_800),
-    ("month", 2_419_200), ("quarter", 7_776_000), ("year", 31_536_000),
+# Widths in seconds, up to a week, and calendar grains with their shortest length in days.
+WIDTHS = (
+    1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1_800, 3_600, 7_200, 10_800, 21_600, 43_200, 86_400,
+    172_800, 604_800,
 )
+GRAINS = (("month", 28), ("quarter", 90), ("year", 365))
 
 
 def scatter_points(
@@ -130,8 +131,12 @@ def fitting_grain(df: DataFrame, time: str, most: int) -> Column:
     if ends["low"] is None:
         return at
     seconds = (ends["high"] - ends["low"]).total_seconds()
-    for grain, length in GRAINS:
-        if seconds / length < most - 1:
+    for width in WIDTHS:
+        if seconds / width < most - 1:
+            start = F.floor(F.unix_seconds(at.cast("timestamp")) / width) * width
+            return F.timestamp_seconds(start).cast("timestamp_ntz")
+    for grain, days in GRAINS:
+        if seconds / (86_400 * days) < most - 1:
             return F.date_trunc(grain, at)
     years = -(-(ends["high"].year - ends["low"].year + 1) // most)
     return F.make_date(F.floor(F.year(at) / years) * years, F.lit(1), F.lit(1))
