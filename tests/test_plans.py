@@ -224,3 +224,17 @@ def test_a_table_may_have_columns_named_like_ours(spark):
     rows = investigate.investigate(got.scored, "score >= 20", got.numbers).rows
     means = {r["variable"]: r for r in rows.collect()}
     assert means["score"]["group_mean"] == 29.5 and means["score"]["rest_mean"] == 9.5
+
+
+def test_a_row_id_must_be_unique(spark):
+    frame = spark.createDataFrame([(i // 2, float(i)) for i in range(30)], "k int, x double")
+    with pytest.raises(ValueError, match="unique"):
+        undertow.audit(frame, "k")
+
+
+def test_a_table_of_null_words_is_refused_by_name(spark, tmp_path):
+    path = tmp_path / "empty.csv"
+    path.write_text("a,b\n" + "NA,null\n-,n/a\n" * 5)
+    loaded = undertow.read_table(spark, str(path))
+    with pytest.raises(ValueError, match="sheet"):
+        undertow.audit(loaded.table, log=loaded.log, name="sheet")

@@ -70,7 +70,7 @@ def correlations(df: DataFrame, stats: TableStats, columns: list[str] | None = N
         "a int, b int, pair int",
     )
     known = found.join(F.broadcast(numbered), ["a", "b"]).select("pair", "r")
-    return F.broadcast(listed_pairs.drop("r")).join(known, "pair", "left")
+    return listed_pairs.drop("r").join(F.broadcast(known), "pair", "left")
 
 
 def _matrix_correlations(scaled: DataFrame, width: int) -> DataFrame:

@@ -30,8 +30,8 @@ def column_profile(
     rows = F.coalesce(F.col("rows"), F.lit(0))
     missing = F.coalesce(F.col("missing"), F.lit(0))
     return (
-        F.broadcast(column_names(df, names))
-        .join(measured, "ordinal", "left")
+        column_names(df, names)
+        .join(F.broadcast(measured), "ordinal", "left")
         .select(
             "ordinal",
             "column",

@@ -15,6 +15,7 @@ from undertow.operators.ingest import repair, with_row_id
 from undertow.operators.statistics import TableStats, measure
 from undertow.plans import charts, findings, investigate, report
 from undertow.session import settled, side_by_side, small_frame, written
+from undertow.sources.validate import UnusableTable
 
 ROW_ID = "row_id"
 MOST_GROUPS = 20
@@ -148,10 +149,14 @@ def audit(
     key = row_id or (ROW_ID if ROW_ID not in table.columns else "_" + ROW_ID)
     if row_id is None:
         table = with_row_id(table, key)
-    if changed:
-        table = written(table)
     added = () if row_id else (key,)
     columns = flat_columns(table, added)
+    if not columns:
+        raise UnusableTable(f"'{name}' has no column with a value")
+    if changed:
+        table = written(table)
+    if row_id:
+        check_identity(table, row_id)
     stats = measure(table, numeric_columns(table, added))
     numbers = stats.numeric
     rows = stats.rows
@@ -200,6 +205,13 @@ def audit(
     )
 
 
+def check_identity(table: DataFrame, row_id: str) -> None:
+    """Raise unless every row has its own value: samples, ranks and drill-downs rely on it."""
+    keys = table.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(column(row_id)).alias("keys")).first()
+    if keys["rows"] != keys["keys"]:
+        raise ValueError(f"'{row_id}' names {keys['keys']} of {keys['rows']} rows; it must be unique and not null")
+
+
 def _segment_rule(gap) -> str:
     return f"CAST({quoted(gap['category'])} AS STRING) = {sql_text(gap['worst'])}"
 

@@ -261,8 +261,9 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, **option
 
     The format comes from the first bytes and the name unless `kind` gives it.
     """
-    loaded = _read(spark, path, kind or one_format(spark, path), options)
-    check_usable(loaded.table, path)
+    kind = kind or one_format(spark, path)
+    loaded = _read(spark, path, kind, options)
+    check_usable(loaded.table, path, from_text=kind != "parquet")
     return loaded
 
 
