@@ -25,34 +25,37 @@ def test_names_and_order():
 def test_stages_keep_all_columns(spark, stage, messy, nothing):
     found = stage(spark, messy, DATA)
     assert found.dtypes == messy.dtypes
-    assert {r["odd.name"] for r in found.collect()} <= {"l"}
+    assert {r["odd.name"] for r in found.collect()} <= {"j"}
     assert stage(spark, nothing, DATA).collect() == []
 
 
-def test_each_stage(spark, documents):
+def test_each_stage(spark, documents, tmp_path):
     rng = random.Random(2)
     vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(900)]
 
     def prose(n):
         return " ".join(rng.choices(vocabulary, k=n)).capitalize() + "."
 
-    passage = prose(60)
+    junk, passage = range(200, 240), prose(60)
     clean = [(i, "\n".join(prose(40) for _ in range(4)), "src" + "ab"[i % 2]) for i in range(40)]
     rows = [
         *clean,
-        (100, "ZX### QW$$$ " * 60, "srca"),
+        *((i, " ".join(f"ZX{rng.randrange(99)}### QW$$$" for _ in range(60)), "srca") for i in junk),
         (101, clean[0][1], "srca"),
         (102, prose(70) + "\n" + passage, "srca"),
         (103, passage + "\n" + prose(70), "srcb"),
         (104, clean[1][1].replace("\n", " "), "srcb"),
     ]
+    folder = str(tmp_path)
+    marks = [(i, int(i not in junk), 0) for i, _, _ in rows]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     docs, steps = documents(rows), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = written(stage(spark, docs, "/root/testdata/sf0.01"))
+        docs = written(stage(spark, docs, folder))
         steps.append({r["doc_id"]: r["text"] for r in docs.collect()})
     good, deduped, single, mixed = steps
     ids = {i for i, _, _ in rows}
-    assert good.keys() == ids - {100}
+    assert good.keys() == ids - set(junk)
     assert deduped.keys() == good.keys() - {101}
     assert passage in deduped[102] and passage not in deduped[103]
     assert all(deduped[i] == text for i, text, _ in clean)
