@@ -14,7 +14,8 @@ distinct words and word pairs: sorted 64-bit hashes with the block's own counts,
 All requests for a range meet in one task, which adds them up and answers each with the totals in the
 same order. So a pair costs a few bytes per block instead of a row per occurrence, a frequent word is
 one entry per block, and nothing is gathered that grows faster than the distinct pairs. The blocks
-then score their texts against the answers. Both the number of blocks and that of ranges follow the
+then score their texts against the answers. Texts travel compressed, keys as steps from one to the
+next, and numbers byte by byte of equal weight, so that the shuffle's own compression finds the zeros. Both the number of blocks and that of ranges follow the
 counted bytes. Of the model only the weights and four totals pass the driver.
 
 For the maximisation the held-out tokens are counted by bucket and the two estimates, rounded to an
@@ -29,6 +30,7 @@ result. Columns other than `doc_id` and `text` are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.words import fold
+from undertow.llm.words import fold, pieces
 from undertow.session import written
 
-BLOCK = 8 << 20  # bytes of text
-RANGE = 16 << 20  # bytes of text per hash range
+BLOCK = 4 << 20  # bytes of text
+RANGE = 8 << 20  # bytes of text per hash range
+BATCH_BYTES = 8 << 20
 HELD_OUT, TUNING = 1, 2  # remainders of the id's hash
 STEPS = 8  # per power of two
 ROUNDS = 100
@@ -50,6 +53,49 @@ WORDS, PAIRS = 0, 1
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
+def shrunk(values: np.ndarray) -> bytes:
+    """64-bit numbers with their first bytes first, then their second bytes, and so on."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def grown(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    return shrunk(np.diff(keys.view(np.int64), prepend=np.int64(0)))
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    return np.cumsum(grown(data)).view(np.uint64)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """block and `rows`: some texts of the block with their ids and folds, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in pieces(batches, BATCH_BYTES):
+            number = batch.column("block").to_numpy()
+            order = np.argsort(number, kind="stable")
+            batch, number = batch.take(pa.array(order)), number[order]
+            starts = np.flatnonzero(np.diff(number, prepend=-1))
+            rows = []
+            for start, end in zip(starts, [*starts[1:], len(number)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
+                    stream.write_batch(batch.slice(start, end - start))
+                rows.append(sink.getvalue().to_pybytes())
+            columns = [pa.array(number[starts], pa.int64()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "rows"])
+
+    return docs.mapInArrow(run, "block long, rows binary")
+
+
+def unpacked(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in rows["rows"].to_pylist())
+
+
 class Block:
     """The tokens of some texts as places in sorted distinct keys, and counts by role."""
 
@@ -97,7 +143,7 @@ def ask(docs: DataFrame, ranges: int) -> DataFrame:
     names = ["kind", "range", "block", "keys", "kept", "tuned"]
 
     def run(table: pa.Table) -> pa.Table:
-        block, number = block_of(table), table["block"][0].as_py()
+        block, number = block_of(unpacked(table)), table["block"][0].as_py()
         rows = []
         for kind in (WORDS, PAIRS):
             keys, (kept, tuned) = block.keys[kind], block.counts[kind]
@@ -106,10 +152,9 @@ def ask(docs: DataFrame, ranges: int) -> DataFrame:
             )
             for part in np.flatnonzero(np.diff(ends)).tolist():
                 some = slice(ends[part], ends[part + 1])
-                rows.append((
-                    kind, part, number, keys[some].tobytes(),
-                    kept[some].astype(np.int32).tobytes(), tuned[some].astype(np.int32).tobytes(),
-                ))
+                rows.append(
+                    (kind, part, number, steps(keys[some]), shrunk(kept[some]), shrunk(tuned[some]))
+                )
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
@@ -123,12 +168,10 @@ def answer(requests: DataFrame) -> DataFrame:
     names = ["kind", "range", "block", "kept", "tuned", "n_kept", "v_kept", "n_all", "v_all"]
 
     def run(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        asked = [keys_of(x) for x in table["keys"].to_pylist()]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         kept, tuned = (
-            np.bincount(
-                at, np.concatenate([np.frombuffer(x, np.int32) for x in table[c].to_pylist()]), len(keys)
-            ).astype(np.int64)
+            np.bincount(at, np.concatenate([grown(x) for x in table[c].to_pylist()]), len(keys)).astype(np.int64)
             for c in ("kept", "tuned")
         )
         every = kept + tuned
@@ -137,8 +180,8 @@ def answer(requests: DataFrame) -> DataFrame:
         parts = [at[end - len(x) : end] for x, end in zip(asked, ends)]
         columns = [
             table["kind"], table["range"], table["block"],
-            pa.array([kept[x].tobytes() for x in parts], pa.binary()),
-            pa.array([tuned[x].tobytes() for x in parts], pa.binary()),
+            pa.array([shrunk(kept[x]) for x in parts], pa.binary()),
+            pa.array([shrunk(tuned[x]) for x in parts], pa.binary()),
             *(pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64()) for x in sums),
         ]
         return pa.table(columns, names=names)
@@ -154,7 +197,7 @@ def totals(answers: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     rows = sorted(answers.select(["kind", "range", "kept", "tuned"]).to_pylist(), key=lambda r: (r["kind"], r["range"]))
     return {
         kind: tuple(
-            np.frombuffer(b"".join(r[c] for r in rows if r["kind"] == kind), np.int64)
+            np.concatenate([grown(r[c]) for r in rows if r["kind"] == kind])
             for c in ("kept", "tuned")
         )
         for kind in (WORDS, PAIRS)
@@ -194,7 +237,7 @@ def tuning_table(docs: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:
         if not table.num_rows:
             cells, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         else:
-            block, counts = block_of(table), totals(found)
+            block, counts = block_of(unpacked(table)), totals(found)
             word, pair = counts[WORDS][0], counts[PAIRS][0]
             context = word[block.context]
             after = rounded(pair[block.pair] / np.maximum(context, 1))
@@ -239,6 +282,7 @@ def score_blocks(docs: DataFrame, answers: DataFrame, model: Model) -> DataFrame
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], kind) for kind in kinds], names=names)
+        table = unpacked(table)
         block, counts = block_of(table), totals(found)
         word, pair = (counts[kind][0] + counts[kind][1] for kind in (WORDS, PAIRS))
         own = word[block.word]
@@ -271,13 +315,14 @@ def score(docs: DataFrame, block: int = BLOCK, hash_range: int = RANGE) -> DataF
     tuning = F.col("fold") == TUNING  # tuning texts have blocks of their own
     number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     docs = docs.withColumn("block", number * 2 + tuning.cast("long"))
-    answers = written(answer(ask(docs, ranges)), "counts")
+    texts = packed(docs)
+    answers = written(answer(ask(texts, ranges)), "counts")
     sums = answers.where(F.col("kind") == WORDS).agg(
         *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_kept", "v_kept", "n_all", "v_all"))
     )
     n_kept, v_kept, n_all, v_all = sums.first()
     of_tuning = answers.where(F.col("block") % 2 == 1)
-    table = tuning_table(docs.where(tuning), of_tuning, n_kept).toArrow()
+    table = tuning_table(packed(docs.where(tuning)), of_tuning, n_kept).toArrow()
     weights = maximise(table["cell"].to_numpy(), table["n"].to_numpy(), v_kept)
     model = Model(weights, n_all, v_all)
-    return score_blocks(docs, answers, model).withColumn("train_tokens", F.lit(n_all).cast("long"))
+    return score_blocks(texts, answers, model).withColumn("train_tokens", F.lit(n_all).cast("long"))
