@@ -19,7 +19,7 @@ SEED = 42
 # Rows that starting centres are drawn from: those with the smallest hash.
 START_ROWS = 1_000
 # Centres have settled once they move by less than this, in deviations.
-TOLERANCE = 0.001
+TOLERANCE = 0.01
 MOST_ROUNDS = 100
 
 
@@ -75,9 +75,10 @@ def fit_clusters(
     centres = np.stack([spread_out(points, k, np.random.default_rng([seed, r])) for r in range(restarts)])
     moving, costs = np.ones(restarts, dtype=bool), np.zeros(restarts)
     for _ in range(most_rounds):
-        moved, counted = one_round(cells, centres)
-        step = ((moved - centres) ** 2).sum((1, 2))
-        centres, costs, moving = moved, counted, step > tolerance**2
+        moved, costs[moving] = one_round(cells, centres[moving])
+        step = ((moved - centres[moving]) ** 2).sum((1, 2))
+        centres[moving] = moved
+        moving[moving] = step > tolerance**2
         if not moving.any():
             break
     best = int(costs.argmin())
@@ -104,11 +105,14 @@ def one_round(cells: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.nda
         costs = np.zeros((restarts, k))
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            # Squared distances less the square of the row itself, to all centres at once.
+            apart = (centres**2).sum(2).ravel() - 2 * rows @ centres.reshape(-1, width).T
+            square = (rows**2).sum(1)
             for r in range(restarts):
-                distances = ((rows[:, None, :] - centres[r]) ** 2).sum(2)
+                distances = apart[:, r * k : (r + 1) * k]
                 label = distances.argmin(1)
                 members[r] += np.bincount(label, minlength=k)
-                costs[r] += np.bincount(label, distances.min(1), k)
+                costs[r] += np.bincount(label, distances.min(1) + square, k)
                 for f in range(width):
                     sums[r, :, f] += np.bincount(label, rows[:, f], k)
         place = np.arange(restarts * k, dtype=np.int32)
