@@ -168,8 +168,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """Add `score` and `predicted` to every row, whose other columns stay."""
-    docs = docs.drop("score", "predicted", "_x")
-    with_x = docs.withColumn("_x", statistics(F.col("text")))
+    docs = docs.drop("score", "predicted")
+    names = docs.columns
+    # Names with dots do not pass an Arrow function, so columns travel by number.
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    with_x = docs.withColumn("_x", statistics(F.col(f"c{names.index('text')}")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, BATCH_BYTES):
@@ -178,5 +181,5 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
             yield batch.drop_columns(["_x"]).append_column("score", scores)
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = with_x.mapInArrow(run, schema)
+    scored = with_x.mapInArrow(run, schema).toDF(*names, "score")
     return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))

@@ -169,6 +169,7 @@ def count_long(docs: DataFrame, model: str, chunk: int, overlap: int) -> DataFra
         done = found if done is None else done.unionByName(found)
         left = left.join(counted.where("n_tokens is null").select("uid"), "uid", "left_semi")
         overlap *= WIDER
+        chunk = max(chunk, overlap)  # so that a round encodes each text twice at most
     keys = docs.select("uid", "doc_id", "n_bytes")
     if done is None:
         return keys.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_tokens"))
