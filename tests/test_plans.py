@@ -238,3 +238,18 @@ def test_a_table_of_null_words_is_refused_by_name(spark, tmp_path):
     loaded = undertow.read_table(spark, str(path))
     with pytest.raises(ValueError, match="sheet"):
         undertow.audit(loaded.table, log=loaded.log, name="sheet")
+
+
+def test_an_audit_may_list_everything(spark):
+    from undertow.plans.audit import Listed
+
+    values = [(i, *[999.0 if i == j else float(i % 7) for j in range(9)]) for i in range(80)]
+    names = ", ".join(f"mark{j} double" for j in range(9))
+    frame = spark.createDataFrame(values, f"k int, {names}")
+
+    def issues(listed):
+        done = undertow.audit(frame, "k", method=ZSCORE, with_clusters=False, repaired=True, listed=listed)
+        return done.findings.where("kind = 'quality'").count()
+
+    assert issues(Listed()) == 6
+    assert issues(Listed(*[None] * 7)) >= 9

@@ -132,14 +132,17 @@ def rescue(scored: DataFrame, rows: int, row_id: str) -> DataFrame:
     return scored.withColumn(FLAG, column(row_id).isin([row[0] for row in found]))
 
 
-def top_rows(scored: DataFrame, row_id: str, most: int = TOP_ROWS, keep: int = 10) -> DataFrame:
+def top_rows(
+    scored: DataFrame, row_id: str, most: int | None = TOP_ROWS, keep: int = 10
+) -> DataFrame:
     """The highest scores with the first columns; low ones stay only when flagged."""
     added = (SCORE, ZMAX, FLAG)
     shown = [c for c in scored.columns if c not in added and c != row_id][:keep]
+    ordered = scored.select(column(row_id), *added, *[column(c) for c in shown]).orderBy(
+        *highest_first(row_id)
+    )
     return (
-        scored.select(column(row_id), *added, *[column(c) for c in shown])
-        .orderBy(*highest_first(row_id))
-        .limit(most)
+        (ordered if most is None else ordered.limit(most))
         .where((F.col(SCORE) >= 0.45) | F.col(FLAG))
         .withColumn(SCORE, F.round(SCORE, 3))
         .withColumn(ZMAX, F.round(ZMAX, 2))

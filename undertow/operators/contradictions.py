@@ -165,21 +165,23 @@ def contradiction_counts(
     )
 
 
-def top_contradictions(counts: DataFrame, most: int = 4) -> DataFrame:
+def top_contradictions(counts: DataFrame, most: int | None = 4) -> DataFrame:
     """The larger direction of each pair, largest first; ties keep pair order, "high" first."""
     larger = Window.partitionBy("pair").orderBy(F.desc("matches"), "direction")
-    return (
+    ordered = (
         counts.withColumn("place", F.row_number().over(larger))
         .where("place = 1")
         .drop("place")
         .orderBy(F.desc("matches"), "pair")
-        .limit(most)
     )
+    return ordered if most is None else ordered.limit(most)
 
 
-def contradictions(df: DataFrame, stats: TableStats, **settings) -> list[Contradiction]:
+def contradictions(
+    df: DataFrame, stats: TableStats, most: int | None = 4, **settings
+) -> list[Contradiction]:
     """The top contradictions as plain values with the predicate of their rows."""
-    found = top_contradictions(contradiction_counts(df, stats, **settings)).collect()
+    found = top_contradictions(contradiction_counts(df, stats, **settings), most).collect()
     return [
         Contradiction(
             f["col_a"],

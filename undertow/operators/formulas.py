@@ -180,7 +180,7 @@ def _tally(cells: DataFrame, rules: list[Formula], columns: list[str], tol: Tole
     )
 
 
-def searched_columns(stats: TableStats, leave_out: tuple[str, ...] = (), most: int = 8) -> list[str]:
+def searched_columns(stats: TableStats, leave_out: tuple[str, ...] = (), most: int | None = 8) -> list[str]:
     return [n for n in stats.numeric if n not in leave_out][:most]
 
 
@@ -242,8 +242,8 @@ def ranked_rules(
     df: DataFrame,
     rules: DataFrame,
     columns: list[str],
-    broken: int = 3,
-    verified: int = 1,
+    broken: int | None = 3,
+    verified: int | None = 1,
     most_overlap: float = 0.5,
     tolerance: Tolerance = Tolerance(),
 ) -> list[dict]:
@@ -256,7 +256,7 @@ def ranked_rules(
     rows.sort(key=lambda r: (-r["violations"], -r["hold_rate"], r["rule_no"]))
     open_rules = [r for r in rows if r["violations"]]
     kept: list[dict] = []
-    while open_rules and len(kept) < broken:
+    while open_rules and (broken is None or len(kept) < broken):
         head = open_rules.pop(0)
         kept.append(head)
         if not open_rules or len(kept) == broken:

@@ -120,5 +120,6 @@ def segment_gaps(
     )
 
 
-def top_segments(gaps: DataFrame, most: int = 4) -> DataFrame:
-    return gaps.orderBy(F.desc("spread_pct"), "cat_ordinal", "num_ordinal").limit(most)
+def top_segments(gaps: DataFrame, most: int | None = 4) -> DataFrame:
+    ordered = gaps.orderBy(F.desc("spread_pct"), "cat_ordinal", "num_ordinal")
+    return ordered if most is None else ordered.limit(most)

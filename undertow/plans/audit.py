@@ -21,6 +21,22 @@ ROW_ID = "row_id"
 MOST_GROUPS = 20
 
 
+@dataclass(frozen=True)
+class Listed:
+    """How many of each kind an audit lists; None lists all. Counts always cover every row.
+
+    `formula_columns` are the number columns that formulas are searched among.
+    """
+
+    contradictions: int | None = 4
+    segments: int | None = 4
+    issues: int | None = 6
+    keys: int | None = 3
+    formula_columns: int | None = 8
+    broken_formulas: int | None = 3
+    kept_formulas: int | None = 1
+
+
 @dataclass(frozen=True)
 class Audit:
     """Everything found about one table. The frames are small, or lazy views of the table."""
@@ -44,6 +60,7 @@ class Audit:
     formula_examples: DataFrame
     findings: DataFrame
     scores: DataFrame
+    listed: Listed = Listed()
 
     def investigate(self, finding_id: str) -> investigate.Investigation:
         """Compare a finding's rows with the rest of the table."""
@@ -80,7 +97,9 @@ class Audit:
             drawn["segment"] = charts.segment_bars(self.segments.limit(1))
         if "formula" in top:
             names = top["formula"]["columns"]
-            searched = formulas.searched_columns(self.stats)
+            searched = formulas.searched_columns(
+                self.stats, (self.row_id,), self.listed.formula_columns
+            )
             first = [
                 row["rule_no"] for row in self.formula_examples.select("rule_no").distinct().collect()
                 if formulas.formula_at(row["rule_no"], searched).text in top["formula"]["title"]
@@ -130,11 +149,13 @@ def audit(
     with_clusters: bool = True,
     seed: int = 42,
     repaired: bool = False,
+    listed: Listed = Listed(),
 ) -> Audit:
     """Audit a table. `row_id` names its unique column; without one, rows are numbered.
 
     A table that had to be repaired or numbered is written once to the shared folder, so that the
-    scans that follow read pruned columns instead of parsing text again.
+    scans that follow read pruned columns instead of parsing text again. `listed` says how many of
+    each kind of finding to list.
     """
     if not repaired:
         fixed = repair(df, log)
@@ -161,7 +182,7 @@ def audit(
     numbers = stats.numeric
     rows = stats.rows
 
-    part = _Part(table, key, columns, stats, method, with_clusters, seed)
+    part = _Part(table, key, columns, stats, method, with_clusters, seed, listed)
     done = side_by_side(
         spark,
         {
@@ -201,7 +222,7 @@ def audit(
     )
     return Audit(
         name, table, key, columns, numbers, categories, stats, notes, profiled, scored, summary,
-        top, gaps, missing, issues, clustered, examples, findings.ranked(frame), scores,
+        top, gaps, missing, issues, clustered, examples, findings.ranked(frame), scores, listed,
     )
 
 
@@ -227,6 +248,7 @@ class _Part:
     method: str | None
     with_clusters: bool
     seed: int
+    listed: Listed
 
     def columns_and_segments(self):
         """Profile, categories, segment gaps, missing columns and repeating keys."""
@@ -242,9 +264,12 @@ class _Part:
         ]
         judged = segments.judged_columns(stats)
         means = segments.group_means(table, judged, categories)
-        gaps = settled(segments.top_segments(segments.segment_gaps(means, stats)))
+        gaps = settled(
+            segments.top_segments(segments.segment_gaps(means, stats), self.listed.segments)
+        )
         missing = profile.columns_with_gaps(profiled)
-        repeated = keys.key_columns(table, counted).orderBy("ordinal").collect()
+        repeated = keys.key_columns(table, counted, most=self.listed.keys)
+        repeated = repeated.orderBy("ordinal").collect()
         samples: dict[str, list[str]] = {}
         chosen = keys.key_examples(table, [r["column"] for r in repeated])
         for row in chosen.collect():
@@ -257,7 +282,7 @@ class _Part:
 
     def contradictions(self) -> list[findings.Finding]:
         table, stats = self.table, self.stats
-        breaks = contradictions.contradictions(table, stats)
+        breaks = contradictions.contradictions(table, stats, self.listed.contradictions)
         groups = {str(i): c.predicate for i, c in enumerate(breaks)}
         pairs = {str(i): (c.col_a, c.col_b) for i, c in enumerate(breaks)}
         if not breaks:
@@ -301,7 +326,9 @@ class _Part:
         return scored, summary, settled(anomalies.top_rows(scored, self.key))
 
     def quality(self) -> DataFrame:
-        return quality.quality_issues(self.table, self.stats, self.key, columns=self.names)
+        return quality.quality_issues(
+            self.table, self.stats, self.key, columns=self.names, most=self.listed.issues
+        )
 
     def clusters(self):
         """The label, the profile, and the hidden subgroup with its means, if there is one."""
@@ -324,9 +351,11 @@ class _Part:
     def formulas(self):
         """Example rows and findings of the broken and verified rules."""
         table, stats = self.table, self.stats
-        searched = formulas.searched_columns(stats, (self.key,))
+        searched = formulas.searched_columns(stats, (self.key,), self.listed.formula_columns)
         rules = formulas.formula_rules(table, stats, searched)
-        rules = formulas.ranked_rules(table, rules, searched)
+        rules = formulas.ranked_rules(
+            table, rules, searched, self.listed.broken_formulas, self.listed.kept_formulas
+        )
         broken = [formulas.as_formula(r) for r in rules if r["violations"]]
         shown = table.select(column(self.key), *[column(n) for n in self.names if n != self.key])
         violating = formulas.violating_rows(shown, broken, searched, self.key)
