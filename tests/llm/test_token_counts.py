@@ -31,7 +31,7 @@ def test_whole_texts(spark, documents, chunk, overlap):
 
 
 def test_messy_ids_and_empty_table(messy, nothing):
-    rows = token_counts.count(messy, PATH, 60, 8).collect()
+    rows = token_counts.count(messy, PATH, 2000, 16).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(i) for i, _, _ in MESSY)
     assert token_counts.count(nothing, PATH).collect() == []
 
