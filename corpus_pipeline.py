@@ -17,14 +17,16 @@ from undertow.session import written
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
-    """`row` holds the whole document; only what an operator reads stands beside it."""
-    return docs.select(F.struct(*columns(docs)).alias("row"), "doc_id", "text", *more)
+    """`row` holds the document but for its text; only what an operator reads stands beside it."""
+    return docs.select(F.struct(*columns(docs, "text")).alias("row"), "doc_id", "text", *more)
 
 
-def unpacked(rows: DataFrame, docs: DataFrame, new_text: bool = False) -> DataFrame:
-    """The columns of `docs`, with the text that stands beside the row if it is new."""
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")} if new_text else {}
-    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, with the text that stands beside the row."""
+    text = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        text["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(text.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of long runs of lines, and documents of which nothing else is left."""
     deduped = lines.dedupe_lines(packed(docs))
-    return unpacked(deduped.where("n_deleted = 0 or n_deleted < n_lines"), docs, new_text=True)
+    return unpacked(deduped.where("n_deleted = 0 or n_deleted < n_lines"), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source by its target: a row per use of a document, the last one cut at the budget."""
     rows = packed(docs, F.col("source"), word_count(F.col("text")).alias("size"))
-    return unpacked(mixing.copies(mixing.mix(rows)), docs, new_text=True)
+    return unpacked(mixing.copies(mixing.mix(rows)), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ on the cut counts with the words that still fit.
 Prefix sums are distributed: keys are uniform, so equal key ranges hold about equal numbers of rows,
 however large a source is. Ranges are summed first, their totals are added up per source, and only
 then is each range sorted and added up by itself. The number of ranges follows the counted rows;
-the result does not depend on it.
+the result does not depend on it. Documents are read twice and nothing but range totals is kept aside.
 
 Null ids share the key of the empty text, null sources are a source of their own, a null size counts
 as 0. Ties of key, id and size are broken by nothing: such rows are interchangeable in the result.
@@ -28,7 +28,7 @@ WEIGHTS = (3, 1, 2)
 #: The mix takes SHARE of all words, and no source more than CAP times its own.
 SHARE, CAP = (3, 2), 2
 ROWS_PER_RANGE = 4_096
-KEY_BITS = 24
+KEY_BITS = 16
 BROADCAST_SOURCES = 20_000
 ADDED = ("source_size", "target", "start", "taken", "epochs", "cut")
 
@@ -95,14 +95,17 @@ def mix(docs: DataFrame) -> DataFrame:
         "size": F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")),
         "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
     })
-    docs = written(docs, "mix")
-    bits = min(KEY_BITS, max(0, (docs.count() // ROWS_PER_RANGE).bit_length()))
-    key_range = F.shiftright(
-        F.conv(F.substring("_key", 1, KEY_BITS // 4), 16, 10).cast("int"), KEY_BITS - bits
+    finest = F.conv(F.substring("_key", 1, KEY_BITS // 4), 16, 10).cast("int")
+    ranges = docs.groupBy("source", finest.alias("_range")).agg(
+        F.sum("size").alias("range_size"), F.count("*").alias("n")
     )
-    docs = docs.withColumn("_range", key_range)
-    ranges = docs.groupBy("source", "_range").agg(F.sum("size").alias("range_size"))
     ranges = written(ranges, "mix-ranges")
+    rows = ranges.agg(F.sum("n")).first()[0] or 0
+    wider = KEY_BITS - min(KEY_BITS, (rows // ROWS_PER_RANGE).bit_length())
+    docs = docs.withColumn("_range", F.shiftright(finest, wider))
+    ranges = ranges.groupBy("source", F.shiftright("_range", wider).alias("_range")).agg(
+        F.sum("range_size").alias("range_size")
+    )
     sources = written(
         targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))), "mix-sources"
     ).withColumnRenamed("source", "_source")

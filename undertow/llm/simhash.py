@@ -205,11 +205,22 @@ def link(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """Keep one row of each component: that with the smallest doc_id (null last)."""
-    rows = docs.select("*", F.monotonically_increasing_id().alias("_uid"))
-    rows = written(rows.withColumn("_fp", fingerprint(F.col("text"), shingle)), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_uid").alias("uid"))
-    least = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least"))
-    kept = grouped(least, hot).groupBy("root").agg(F.min("least").alias("least"))
-    kept = written(kept.select(F.col("least.uid").alias("_uid")), "kept")
-    return rows.join(kept, "_uid", "left_semi").select(*columns(docs))
+    """Keep one row of each component: that with the smallest doc_id (null last).
+
+    Rows that repeat both id and text count as one. Only ids and hashes are kept aside; the rows meet
+    what is kept in a join that shuffles at any size.
+    """
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("_h").alias("h"))
+    rows = docs.withColumn("_h", mark)
+    prints = rows.select(key.alias("key"), fingerprint(F.col("text"), shingle).alias("fp"))
+    prints = written(prints, "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("key").alias("least"))
+    kept = grouped(least, hot).groupBy("root").agg(F.min("least").alias("key"))
+    kept = written(kept.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_mark")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_mark"))
+    return (
+        rows.join(kept.hint("merge"), same, "left_semi")
+        .dropDuplicates(["doc_id", "_h"])
+        .select(*columns(docs))
+    )
