@@ -342,7 +342,7 @@ def clusters(spark, folder):
     """Seeded k-means over every row; which seeds are drawn depends on the engine."""
     table = planted(spark, folder)
     stats = measure(table, MEASURES)
-    fitted = fit_clusters(table, stats, MEASURES)
+    fitted = fit_clusters(table, stats, MEASURES, row_id="order_id")
     return cluster_profile(table, fitted.label, MEASURES, stats.rows)
 
 
@@ -355,7 +355,7 @@ def clusters_settled(spark, folder):
     """Whatever the seeds: every row has its nearest centre, and a centre is the mean of its rows."""
     table = planted(spark, folder)
     stats = measure(table, MEASURES)
-    fitted = fit_clusters(table, stats, MEASURES)
+    fitted = fit_clusters(table, stats, MEASURES, row_id="order_id")
     distances = [
         sum(((f - F.lit(v)) ** 2 for f, v in zip(fitted.features, c)), F.lit(0.0)) for c in fitted.centres
     ]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from undertow.operators import contradictions as c
 from undertow.operators import formulas, keys, quality, segments
 from undertow.operators.anomalies import FOREST, ZSCORE, anomaly_summary, score_rows, top_rows
-from undertow.operators.clusters import cluster_profile, fit_clusters, hidden_subgroup
+from undertow.operators.clusters import cluster_profile, fit_clusters, hidden_subgroup, spread_out
 from undertow.operators.compare import compare_groups, contributing_factor, evidence
 from undertow.operators.duplicates import duplicate_rows
 from undertow.operators.forest import average_path, contamination
@@ -403,6 +403,42 @@ def test_clusters(rows):
     assert (best["cluster"], best["members"]) == (2, 30)
 
 
+def test_clusters_of_few_different_rows(spark):
+    # Three groups far apart, each of nine points that 3,000 rows share.
+    place = F.col("id") % 27
+    group = (place / 9).cast("int")
+    frame = spark.range(81_000).select(
+        (F.when(group == 1, 1000.0).when(group == 2, 500.0).otherwise(0.0) + place % 3).alias("x"),
+        (F.when(group == 2, 866.0).otherwise(0.0) + (place / 3).cast("int") % 3).alias("y"),
+    )
+    stats = measure(frame, ["x", "y"])
+    fitted = fit_clusters(frame, stats, ["x", "y"])
+    profile = cluster_profile(frame, fitted.label, ["x", "y"], stats.rows)
+    assert {r["cluster"]: r["members"] for r in profile.collect()} == {0: 27_000, 1: 27_000, 2: 27_000}
+
+
+def test_starting_centres_come_from_all_rows(spark):
+    n = F.col("id")
+    # One point holds nearly all rows; the two others are rare.
+    value = F.when(n == 7_777, 50.0).when(n % 5_000 == 1, -20.0).otherwise(1.0)
+    drawn = spark.range(20_000).select(value.alias("f0"), value.alias("f1"), F.xxhash64("id").alias("row"))
+    starts = spread_out(drawn, 3, 10)
+    assert all(sorted(c[:, 0].tolist()) == [-20.0, 1.0, 50.0] for c in starts)
+    assert np.array_equal(starts, spread_out(drawn.repartition(7), 3, 10))
+    only = drawn.where("f0 < 0").unionAll(drawn.where("f0 = 50"))
+    assert all(set(c[:, 0]) == {-20.0, 50.0} for c in spread_out(only, 3, 5))
+
+
+def test_starting_centres_are_drawn_by_squared_distance(spark):
+    value = F.when(F.col("id") % 2 == 0, 0.0).when(F.col("id") % 4 == 1, 1.0).otherwise(3.0)
+    drawn = spark.range(8_000).select(value.alias("f0"), F.lit(0.0).alias("f1"), F.xxhash64("id").alias("row"))
+    starts = spread_out(drawn, 2, 400)[:, :, 0]
+    first = [(starts[:, 0] == v).mean() for v in (0.0, 1.0, 3.0)]
+    assert np.allclose(first, [0.5, 0.25, 0.25], atol=0.08)
+    after = starts[starts[:, 0] == 0.0, 1]
+    assert abs((after == 3.0).mean() - 0.9) < 0.08
+
+
 def test_too_few_rows_for_clusters(rows):
     frame = rows([(float(i), float(i)) for i in range(11)], "x double, y double")
     assert fit_clusters(frame, measure(frame), ["x", "y"]) is None

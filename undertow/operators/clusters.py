@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.functions.cells import number, percent_change
+from undertow.functions.cells import number, percent_change, quoted
 from undertow.operators.statistics import TableStats, standardised
 from undertow.session import written
 
 RESTARTS = 10
 SEED = 42
-# Rows that starting centres are drawn from: those with the smallest hash.
-START_ROWS = 1_000
 # Centres have settled once they move by less than this, in deviations.
 TOLERANCE = 0.01
 MOST_ROUNDS = 100
@@ -58,21 +56,23 @@ def fit_clusters(
     seed: int = SEED,
     most_rounds: int = MOST_ROUNDS,
     tolerance: float = TOLERANCE,
+    row_id: str | None = None,
 ) -> Clustering | None:
     """Best of several k-means runs, all of them over every row.
 
     The scaled columns are written once. Each round is one scan of them that moves the centres of
-    all restarts together: a task passes on a row of sums per restart and cluster.
+    all restarts together: a task passes on a row of sums per restart and cluster. Starting centres
+    are drawn from every row too, by the hash of `row_id`, or of a number given when writing.
     """
     if len(columns) < 2 or stats.rows < 12:
         return None
     k = k or (3 if stats.rows >= 30 else 2)
     features = standardised(stats, columns)
     names = [f"f{i}" for i in range(len(columns))]
-    cells = written(df.select(*[f.alias(n) for f, n in zip(features, names)]), "scaled")
-    start = cells.orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(START_ROWS).toArrow()
-    points = np.stack([start[n].to_numpy() for n in names], 1)
-    centres = np.stack([spread_out(points, k, np.random.default_rng([seed, r])) for r in range(restarts)])
+    row = F.monotonically_increasing_id() if row_id is None else F.col(quoted(row_id))
+    scaled = df.select(*[f.alias(n) for f, n in zip(features, names)], F.xxhash64(F.lit(seed), row).alias("row"))
+    drawn = written(scaled, "scaled")
+    centres, cells = spread_out(drawn, k, restarts), drawn.drop("row")
     moving, costs = np.ones(restarts, dtype=bool), np.zeros(restarts)
     for _ in range(most_rounds):
         moved, costs[moving] = one_round(cells, centres[moving])
@@ -85,14 +85,58 @@ def fit_clusters(
     return Clustering(sorted(centres[best].tolist()), features, not moving[best])
 
 
-def spread_out(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Starting centres (k-means++): each next one is likelier the further it is from the others."""
-    chosen = [points[rng.integers(len(points))]]
-    while len(chosen) < k:
-        apart = np.min([((points - c) ** 2).sum(1) for c in chosen], axis=0)
-        total = apart.sum()
-        chosen.append(points[rng.choice(len(points), p=apart / total if total else None)])
-    return np.array(chosen)
+def spread_out(drawn: DataFrame, k: int, restarts: int) -> np.ndarray:
+    """Starting centres (k-means++): each next one is likelier the further it is from the others.
+
+    `drawn` has the scaled columns and a hash of each row. A scan draws the next centre of every
+    restart: rows race by -log(u) over their squared distance, with a u of their own, so each wins
+    as often as its share of all squared distances. Once all rows are on a centre, the first repeats.
+    """
+    names = [n for n in drawn.columns if n != "row"]
+    centres = np.empty((restarts, 0, len(names)))
+    schema = "restart int, time double, row long, " + ", ".join(f"{n} double" for n in names)
+    for turn in range(k):
+
+        def race(batches: Iterator[pa.RecordBatch], centres=centres, turn=turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                row = batch.column("row").to_numpy(zero_copy_only=False)
+                points = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1)
+                first, times = [], []
+                for r in range(restarts):
+                    apart = np.ones(len(row))
+                    if turn:
+                        apart = np.min([((points - c) ** 2).sum(1) for c in centres[r]], axis=0)
+                    time = np.full(len(row), np.inf)
+                    np.divide(-np.log(units(row, turn * restarts + r)), apart, out=time, where=apart > 0)
+                    first.append(int(time.argmin()))
+                    times.append(time[first[-1]])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(restarts, dtype=np.int32)), pa.array(times), pa.array(row[first]),
+                        *(pa.array(points[first, f]) for f in range(len(names))),
+                    ],
+                    names=["restart", "time", "row", *names],
+                )
+
+        won = drawn.mapInArrow(race, schema).groupBy("restart").agg(
+            F.min(F.struct("time", "row", *names)).alias("first")
+        )
+        chosen = np.empty((restarts, 1, len(names)))
+        for r, first in won.collect():
+            alone = turn and np.isinf(first["time"])
+            chosen[r, 0] = centres[r, 0] if alone else [first[n] for n in names]
+        centres = np.concatenate([centres, chosen], axis=1)
+    return centres
+
+
+def units(row: np.ndarray, draw: int) -> np.ndarray:
+    """A number between 0 and 1 for each row hash and draw (the mixing steps of SplitMix64)."""
+    mixed = row.view(np.uint64) + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((mixed ^ mixed >> np.uint64(31)) >> np.uint64(11)) / 2.0**53 + 2.0**-54
 
 
 def one_round(cells: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

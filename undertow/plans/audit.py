@@ -335,7 +335,7 @@ class _Part:
         table, stats = self.table, self.stats
         if not self.with_clusters:
             return None
-        fitted = clusters.fit_clusters(table, stats, stats.numeric, seed=self.seed)
+        fitted = clusters.fit_clusters(table, stats, stats.numeric, seed=self.seed, row_id=self.key)
         if fitted is None:
             return None
         profiled = settled(
