@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, lines, mixing, quality, simhash
+from undertow.llm import bpe, lines, mixing, overlap, quality
 from undertow.llm.words import columns, word_count
 from undertow.session import written
 
@@ -44,7 +44,7 @@ def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    return unpacked(simhash.dedupe(packed(docs)), docs)
+    return unpacked(overlap.dedupe(packed(docs)), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

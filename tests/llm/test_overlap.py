@@ -1,0 +1,97 @@
+"""Near copies by shared runs of words, against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from undertow.llm import overlap, simhash
+
+from llm.conftest import LINE, MESSY
+
+
+def runs(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def linked(a, b):
+    x, y = runs(a), runs(b)
+    if 5 * len(x & y) >= 4 * len(x | y) > 0:
+        return True
+    prints = [simhash.vote((t or "").encode(), 3) & (2**64 - 1) for t in (a, b)]
+    return (prints[0] ^ prints[1]).bit_count() <= 2
+
+
+def survivors(rows):
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and linked(rows[a][1], rows[b][1]):
+                old = root[a]
+                root = [root[b] if r == old else r for r in root]
+    return sorted(min(rows[n][0] for n in range(len(rows)) if root[n] == r) for r in set(root))
+
+
+def edited(rng, groups=25):
+    rows = []
+    for _ in range(groups):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(4, 250))]
+        for _ in range(rng.randrange(1, 7)):
+            rows.append((len(rows) * 7 % 101 + 101 * len(rows), " ".join(words).title(), "a"))
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = "edited"
+    return rows
+
+
+@pytest.mark.parametrize("common_in", [overlap.COMMON, 1])
+def test_all_pairs(documents, monkeypatch, common_in):
+    monkeypatch.setattr(overlap, "COMMON", common_in)
+    rng = random.Random(5)
+    rows = edited(rng)
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, text + " " + line if n % 3 else text, s) for n, (i, text, s) in enumerate(rows)]
+    rows += [(i, text, s) for i, text, s in MESSY if i is not None and i != 6]
+    docs = documents(rows)
+    found = overlap.dedupe(docs)
+    assert found.columns == docs.columns
+    assert sorted(r["doc_id"] for r in found.collect()) == survivors(rows)
+
+
+def test_prefixes_and_parity_miss_no_pair():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 4, 5, 9, 10, 44, 45, 300):
+        for _ in range(100):
+            a = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+            drop = rng.integers(0, size // 5 + 1)
+            b = np.unique(np.concatenate([a[rng.permutation(size)[drop:]], rng.integers(0, 99, rng.integers(0, 2))]))
+            if not overlap.alike(a, b):
+                continue
+            common = rng.choice(a, size // 2)
+            assert np.isin(overlap.prefix(a, common), overlap.prefix(b, common)).any()
+            differ = sum(int(x).bit_count() for x in (overlap.parity(a) ^ overlap.parity(b)).view("<u8"))
+            assert 9 * differ <= len(a) + len(b)
+            x, y = (np.frombuffer(overlap.counts(v), np.uint8).astype(int) for v in (a, b))
+            assert 9 * np.abs(x - y).sum() <= len(a) + len(b)
+
+
+def test_the_stage_drops_lightly_edited_copies(spark, documents):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = [(0, " ".join(words), "a")]
+    for i in range(1, 20):
+        copy = list(words)
+        for _ in range(3):
+            copy[rng.randrange(200)] = f"new{i}"
+        rows.append((i, " ".join(copy), "a"))
+    rows.append((50, " ".join(f"v{rng.randrange(900)}" for _ in range(200)), "b"))
+    kept = corpus_pipeline.one_of_near_copies(spark, documents(rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 50]
+
+
+def test_null_ids_and_empty_tables(documents, nothing):
+    assert overlap.dedupe(documents([(None, LINE, "a"), (None, LINE, "a"), (9, LINE, "a")])).count() == 1
+    assert overlap.dedupe(nothing).collect() == []

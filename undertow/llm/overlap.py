@@ -1,0 +1,224 @@
+"""Near copies by the words they share: all pairs whose sets of five-word runs overlap by 0.8.
+
+A text is lower-cased (A-Z) and cut into words as for SimHash; its set holds the XXH64 of each run of
+five consecutive words (of all its words if there are fewer). Two texts are linked if their sets have
+a Jaccard similarity of 0.8 or more, or if their SimHash fingerprints differ in at most two bits.
+
+Candidates come from prefix filtering, which misses nothing: with one order of all hashes, two sets
+that overlap by 0.8 share a hash among the first fifth (and one) of each. Any order does; hashes that
+a sixteenth of the texts shows to be common go last, so that common lines call few texts together.
+Pairs must also pass bounds that no linked pair fails: by the sizes of the sets, by 512 bits of parity,
+and by 512 counts, which differ by no more than the sets do. What passes is settled on the texts.
+
+Only components matter, so pairs within one are not tried again. Links to one centre a hash come first,
+a number that grows with the texts and not with the square of a group; what is then still apart within a
+bucket meets pair by pair. Texts without words are copies of each other.
+
+Sets are named by 64 bits. Null, empty and repeated rows are treated as in `simhash`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from undertow.llm import simhash
+from undertow.llm.components import components
+from undertow.llm.words import columns
+from undertow.session import written
+
+WORDS = 5
+# Texts whose hashes are counted: one in so many. A hash in COMMON of them is common.
+ONE_IN, COMMON, MOST_COMMON = 16, 8, 10_000
+PARITY = 8  # longs
+
+
+def hashes(text: bytes) -> np.ndarray:
+    """The set of a text, ascending."""
+    words = text.translate(simhash.LOWER).split()
+    if not words:
+        return np.empty(0, dtype="<i8")
+    joined, width = b" ".join(words), min(WORDS, len(words))
+    ends = np.cumsum([len(word) + 1 for word in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
+    parts = map(joined.__getitem__, map(slice, starts.tolist(), ends[width - 1 :].tolist()))
+    found = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=simhash.SEED), parts), "<u8", len(starts))
+    return np.unique(found.view("<i8"))
+
+
+def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, one of which any set that overlaps by 0.8 has among its first."""
+    most = len(found) - (4 * len(found) + 4) // 5 + 1
+    late = np.isin(found, common, assume_unique=True)
+    return np.concatenate([found[~late], found[late]])[:most]
+
+
+def tallies(found: np.ndarray) -> np.ndarray:
+    """How many of the set fall to each of 512 places, at most 255 (which brings no two apart)."""
+    places = (found & (64 * PARITY - 1)).astype(np.int64)
+    return np.bincount(places, minlength=64 * PARITY)
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    return np.packbits((tallies(found) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def counts(found: np.ndarray) -> bytes:
+    return np.minimum(tallies(found), 255).astype(np.uint8).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def common_hashes(texts: DataFrame) -> np.ndarray:
+    """Hashes in many texts of a fixed share of them, at most MOST_COMMON."""
+
+    @F.arrow_udf("array<long>")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([hashes(x.as_py() or b"") for x in batch.cast(pa.large_binary())], pa.list_(pa.int64()))
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0)
+    counted = some.select(F.explode(sets(F.col("text").cast("string"))).alias("hash")).groupBy("hash").count()
+    top = counted.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "hash").limit(MOST_COMMON)
+    return np.sort(top.select("hash").toArrow()["hash"].to_numpy().astype(np.int64))
+
+
+def described(text: Column, common: np.ndarray) -> Column:
+    """fp (SimHash), name and size of the set, its prefix, parity and counts."""
+    longs = pa.list_(pa.int64())
+    kind = pa.struct([
+        ("fp", pa.int64()), ("name", pa.int64()), ("size", pa.int32()), ("prefix", longs), ("parity", longs),
+        ("counts", pa.binary()),
+    ])
+
+    def one(raw: bytes) -> dict:
+        fp, found = simhash.vote(raw, simhash.SHINGLE), hashes(raw)
+        name = xxhash.xxh64_intdigest(np.int64(fp).tobytes() + found.tobytes())
+        return {
+            "fp": fp, "name": int(np.uint64(name).astype(np.int64)), "size": len(found),
+            "prefix": prefix(found, common) if len(found) else found,
+            "parity": parity(found), "counts": counts(found),
+        }
+
+    @F.arrow_udf(
+        "struct<fp: long, name: long, size: int, prefix: array<long>, parity: array<long>, counts: binary>"
+    )
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([one(x.as_py() or b"") for x in batch.cast(pa.large_binary())], kind)
+
+    return run(text.cast("string"))
+
+
+@F.arrow_udf(T.LongType())
+def differ(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """What two sets differ by at least, from their counts."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, 64 * PARITY) for x in batch)
+        yield pa.array(np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64))
+
+
+@F.arrow_udf(T.BooleanType())
+def overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kept = lru_cache(256)(hashes)
+    for a, b in batches:
+        sides = zip(a.cast(pa.large_binary()), b.cast(pa.large_binary()))
+        yield pa.array([alike(kept(x.as_py()), kept(y.as_py())) for x, y in sides], pa.bool_())
+
+
+def possible() -> Column:
+    """No pair that overlaps by 0.8 fails this."""
+    a, b = F.col("a.size"), F.col("b.size")
+    differ = sum(
+        (F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITY)), F.lit(0)
+    )
+    return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (9 * differ <= a + b)
+
+
+def joined(roots: DataFrame, names: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`roots` (name, root) with the components merged that a pair of overlapping texts connects."""
+    met = pairs.select(F.least("a.name", "b.name").alias("x"), F.greatest("a.name", "b.name").alias("y")).distinct()
+    sized = names.select("name", "size", "counts")
+    both = met.join(sized.toDF("x", "a", "p"), "x").join(sized.toDF("y", "b", "q"), "y")
+    close = written(both.where(9 * differ("p", "q") <= F.col("a") + F.col("b")).select("x", "y"), "close")
+    # A text moves once to the pairs it is in, and only pairs move on.
+    sides = close.select("x", "y", F.explode(F.array("x", "y")).alias("name"))
+    told = sides.join(texts, "name").groupBy("x", "y").agg(
+        F.min_by("text", "name").alias("p"), F.max_by("text", "name").alias("q")
+    )
+    linked = told.where(overlap("p", "q")).select("x", "y")
+    edges = linked.join(roots.toDF("x", "a"), "x").join(roots.toDF("y", "b"), "y").select("a", "b")
+    higher = components(edges).toDF("root", "top")
+    moved = roots.join(higher, "root", "left").select("name", F.coalesce("top", "root").alias("root"))
+    return written(moved, "roots")
+
+
+def merged(
+    roots: DataFrame, names: DataFrame, placed: DataFrame, texts: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """`roots` after all links; `placed` is (hash, name), `texts` gives (name, text) of names."""
+    # One shuffle serves to drop repeats and to count.
+    met = placed.repartition("hash").dropDuplicates(["hash", "name"])
+    several = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1")
+    shared = written(several.select("hash", "name"), "shared-hashes")
+
+    def members(roots: DataFrame) -> DataFrame:
+        """Buckets that hold more than one component."""
+        now = shared.join(roots, "name").select("hash", "name", "root")
+        mixed = now.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        full = now.join(mixed.select("hash"), "hash", "left_semi")
+        full = full.join(names.select("name", "size", "parity"), "name")
+        return written(full.select("hash", F.struct("name", "size", "root", "parity").alias("m")), "buckets")
+
+    met = members(roots)
+    texts = written(texts(met.select("m.name").distinct()), "candidates")
+    centre = met.groupBy("hash").agg(F.min_by("m", F.xxhash64("m.name")).alias("b"))
+    pairs = met.withColumnRenamed("m", "a").join(centre, "hash")
+    roots = joined(roots, names, texts, pairs.where((F.col("a.root") != F.col("b.root")) & possible()))
+    met = members(roots)
+    pairs = met.withColumnRenamed("m", "a").join(met.withColumnRenamed("m", "b"), "hash")
+    return joined(roots, names, texts, pairs.where((F.col("a.root") < F.col("b.root")) & possible()))
+
+
+def dedupe(docs: DataFrame, hot: int = simhash.HOT) -> DataFrame:
+    """Keep one row of each component: that with the smallest doc_id (null last).
+
+    Rows that repeat both id and text count as one.
+    """
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("_h").alias("h"))
+    rows = docs.withColumn("_h", mark)
+    what = described(F.col("text"), common_hashes(docs.select("text")))
+    prints = written(rows.select(key.alias("key"), what.alias("d")).select("key", "d.*"), "fingerprints")
+    names = prints.groupBy("name").agg(
+        F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("fp", "size", "parity", "counts")]
+    )
+    names = written(names, "names")
+    roots = written(simhash.grouped(names.select("name", "fp"), hot).select("name", "root"), "roots")
+    placed = prints.select("name", F.explode("prefix").alias("hash"))
+    # One row a name stands for it; its text is found by id and hash.
+    owner = names.select("name", F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_mark"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        few = owner.join(wanted, "name", "left_semi")
+        return rows.select("doc_id", "_h", "text").join(few.hint("merge"), same).select("name", "text")
+
+    roots = merged(roots, names, placed, texts)
+    kept = names.join(roots, "name").groupBy("root").agg(F.min("key").alias("key"))
+    kept = written(kept.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_mark")), "kept")
+    return (
+        rows.join(kept.hint("merge"), same, "left_semi")
+        .dropDuplicates(["doc_id", "_h"])
+        .select(*columns(docs))
+    )
