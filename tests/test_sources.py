@@ -179,3 +179,16 @@ def test_folders_of_json_documents(spark, tmp_path):
     put(tmp_path / "e" / "b.json", '{"a": [3], "b": ["z"]}')
     table = read_table(spark, str(tmp_path / "e"), kind="json").table
     assert sorted((r["a"], r["b"]) for r in table.collect()) == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_long_lines_stand_in_several_files(spark, monkeypatch):
+    from registry import sources
+
+    paths, read = [], sources.read_table
+    monkeypatch.setattr(sources, "read_table", lambda s, path, kind: paths.append(path) or read(s, path, kind))
+    folder = "/root/testdata/sf0.001"
+    found = sources.read_csv_long_lines(spark, folder).first()
+    assert spark.read.text(paths[0]).select("_metadata.file_path").distinct().count() > 1
+    stray = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderkey % 97 = 0").count()
+    total = spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert (found["kept"], found["left_out"]) == (total - stray, stray)
