@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, language, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
+from undertow.llm import bpe, interactions, language, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
 from undertow.llm.words import fold, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,58 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.col("fold") == language.HELD_OUT).alias("held_out"), "n_tokens", "n_known",
         "train_tokens", "base_score", "score",
     )
+
+
+INTERACTIONS_SQL = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT s.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END)
+         || (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text)
+             THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN s.doc_id > min(s.doc_id) OVER (PARTITION BY md5(text)) THEN 'E' ELSE '' END) AS fails
+  FROM split s LEFT JOIN marks m ON s.doc_id = m.doc_id),
+classes AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM failing GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+joined AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails = own AS only_this,
+         contains(fails, own) AS failed,
+         before <> '' AND regexp_matches(fails, '[' || before || '_]') AS earlier
+  FROM classes, steps),
+summed AS (
+  SELECT part, filter_order, step, own,
+         CAST(sum(CASE WHEN NOT failed AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN failed AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN failed AND earlier THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN only_this THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN failed AND NOT earlier THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN failed AND NOT earlier THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM joined GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
+@register("op13_filter_interactions", INTERACTIONS_SQL)
+def filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove at every step of all their orders, per language."""
+    return interactions.audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
