@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, interactions, language, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
+from undertow.llm import alignment, bpe, interactions, language, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
 from undertow.llm.words import fold, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +288,10 @@ FROM summed
 def filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove at every step of all their orders, per language."""
     return interactions.audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+@register("op12_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How two tokenizers' tokens line up in every document, and how usual its links are."""
+    models = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(load(spark, folder, "documents"), *models, digest=True)
