@@ -43,12 +43,17 @@ from undertow.llm.words import pieces
 from undertow.session import written
 
 SPACE = "▁"  # how the model of pieces spells a space
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Groups with more links than this are expanded over their distinct ids.
 LARGE_GROUP = 256
 B_BITS = 16
-#: What regular expressions of different libraries may see differently, or stumble over.
-ODD = re.compile("[\x1c-\x1f\x85᠎​-‏ -  -⁤﻿]|\\s{2000}|\\S{4000}")
+#: First and last code points that regular expressions of different libraries may see differently.
+ODD_CODES = (
+    (0x1C, 0x1F), (0x85, 0x85), (0x180E, 0x180E), (0x200B, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064),
+    (0xFEFF, 0xFEFF),
+)
+#: These, and runs that they might stumble over.
+ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_CODES) + r"]|\s{2000}|\S{4000}")
 
 BLOCKS = "block long, pairs binary, in_docs binary, docs binary, links binary"
 DOC_FIELDS = [

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import alignment, bpe, interactions, language, lines, mixing, neighbours, quality, rules, secrets, simhash, token_counts
+from undertow.llm import alignment, bpe, interactions, language, lines, mixing, neighbours, quality, rules, secrets, simhash, suffixes, token_counts
 from undertow.llm.words import fold, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,3 +295,15 @@ def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """How two tokenizers' tokens line up in every document, and how usual its links are."""
     models = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return alignment.align(load(spark, folder, "documents"), *models, digest=True)
+
+
+@register("op11_suffix_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document less the passages of 50 bytes and more that stand in earlier ones."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.dedupe(docs).select(
+        "doc_id", "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
