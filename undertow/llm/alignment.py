@@ -24,6 +24,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import count
 
@@ -52,9 +53,12 @@ ODD_CODES = (
     (0x1C, 0x1F), (0x85, 0x85), (0x180E, 0x180E), (0x200B, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064),
     (0xFEFF, 0xFEFF),
 )
-#: These, and runs that they might stumble over.
-ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_CODES) + r"]|\s{2000}|\S{4000}")
+ODD = {chr(code) for first, last in ODD_CODES for code in range(first, last + 1)}
+#: Runs of white space or of anything else that regular expressions might stumble over.
+LONG_RUN = 2_000
+LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
 
+NO_IDS = np.zeros(0, dtype=np.int32)
 BLOCKS = "block long, pairs binary, in_docs binary, docs binary, links binary"
 DOC_FIELDS = [
     ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -90,21 +94,25 @@ class ByteLevel:
             "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens={}
         )
         self.path, self.exact = path, None
-        self.settled = set(map(chr, range(128)))
+        self.settled = set(map(chr, range(128))) - ODD
 
     def is_settled(self, text: str) -> bool:
         """Whether all characters have been assigned since Unicode 3.2, and none is odd."""
         fresh = set(text) - self.settled
-        self.settled |= {x for x in fresh if unicodedata.ucd_3_2_0.category(x) != "Cn"}
-        return fresh <= self.settled and not ODD.search(text)
-
-    def encode(self, text: str) -> list[int]:
+        self.settled |= {x for x in fresh if x not in ODD and unicodedata.ucd_3_2_0.category(x) != "Cn"}
+        if not fresh <= self.settled:
+            return False
+        if len(text) < LONG_RUN:
+            return True
+        return max(map(len, text.split()), default=0) < LONG_RUN and not LONG_SPACE.search(text)
+
+    def encode(self, text: str) -> np.ndarray:
         if self.is_settled(text):
-            return self.fast.encode_ordinary(text)
+            return self.fast.encode_to_numpy(text, disallowed_special=())
         if self.exact is None:
             self.exact = Tokenizer.from_file(self.path)
             self.exact.encode_special_tokens = True
-        return self.exact.encode(text, add_special_tokens=False).ids
+        return as_array(self.exact.encode(text, add_special_tokens=False).ids)
 
 
 class PieceModel:
@@ -118,15 +126,23 @@ class PieceModel:
             for number, piece in enumerate(map(self.model.id_to_piece, range(self.model.get_piece_size())))
         ]
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+    def encode(self, text: str) -> np.ndarray | None:
+        """None if the ids do not spell a space and the text."""
+        ids = self.model.encode(text)
+        if b"".join(map(self.spelling.__getitem__, ids)) != b" " + text.encode("utf-8"):
+            return None
+        return as_array(ids)
+
+
+def as_array(ids: list[int]) -> np.ndarray:
+    return np.frombuffer(array("i", ids), dtype=np.int32)
 
 
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
     """Numbers of A and of B tokens up to each byte offset where tokens of both end."""
     upto_a, upto_b = dict(zip(ends_a.tolist(), count(1))), dict(zip(ends_b.tolist(), count(1)))
     shared = sorted(upto_a.keys() & upto_b.keys())
-    return [upto_a[end] for end in shared], [upto_b[end] for end in shared]
+    return list(map(upto_a.__getitem__, shared)), list(map(upto_b.__getitem__, shared))
 
 
 def spelt(sides: list[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]) -> list[str]:
@@ -180,30 +196,29 @@ class Aligner:
         ]
         self.zstd = zstandard.ZstdCompressor(level=3)
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        whole = b" " + text.encode("utf-8")
-        found = []
-        for side, given in ((self.b, text), (self.a, " " + text)):
-            ids = side.encode(given)
-            if b"".join(map(side.spelling.__getitem__, ids)) != whole:
-                return [], []
-            found.append(ids)
-        return found[1], found[0]
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides, if both spell the text. Bytes are only grouped by A, so their number tells."""
+        ids_b = self.b.encode(text) if text else None
+        if ids_b is not None:
+            ids_a = self.a.encode(" " + text)
+            if self.sizes[0][ids_a].sum() == self.sizes[1][ids_b].sum():
+                return ids_a, ids_b
+        return NO_IDS, NO_IDS
 
     def block(self, number: int, doc_ids: list, texts: list) -> pa.RecordBatch:
         """One row for some documents: their pairs, and per document its counts and pairs."""
         ids, cuts, per_doc = ([], []), ([], []), []
         n_tokens = [0, 0]
         for text in texts:
-            both = self.tokens(text) if text else ([], [])
-            upto = common_ends(*(np.cumsum(size[x]) for size, x in zip(self.sizes, both))) if both[0] else ([], [])
+            both = self.tokens(text)
+            upto = common_ends(*(np.cumsum(size[x]) for size, x in zip(self.sizes, both)))
             for side in (0, 1):
-                cuts[side].append(np.array(upto[side], dtype=np.int64) + n_tokens[side])
-                ids[side].append(np.array(both[side], dtype=np.int64))
+                cuts[side].append(as_array(upto[side]) + np.int64(n_tokens[side]))
+                ids[side].append(both[side])
                 n_tokens[side] += len(both[side])
             per_doc.append((len(both[0]), len(both[1]), len(upto[0])))
         n_a, n_b, n_groups = map(np.array, zip(*per_doc))
-        ids_a, ids_b = map(np.concatenate, ids)
+        ids_a, ids_b = (np.concatenate(x).astype(np.int64) for x in ids)
         ends_a, ends_b = map(np.concatenate, cuts)
         starts_a, starts_b = (np.concatenate([[0], x])[:-1] if len(x) else x for x in (ends_a, ends_b))
         sizes_a, sizes_b = ends_a - starts_a, ends_b - starts_b

@@ -53,7 +53,6 @@ MOST_RANGES, SAMPLES_PER_RANGE, SAMPLES_PER_TEXT = 4_096, 64, 8
 BATCH_BYTES, CHUNK = 4 << 20, 1 << 20
 RUN_RECORDS, RECORDS_AT_ONCE = 200_000, 20_000
 ADDED = ("n_bytes", "removed", "kept")
-SPANS = pa.list_(pa.int64())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,17 +118,55 @@ def text_bytes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(value.as_buffer() if value.is_valid else b"", dtype=np.uint8)
 
 
-def by_document(doc: np.ndarray, tag: np.ndarray, values: list[np.ndarray], name: str) -> pa.RecordBatch:
-    """One row per document with all its values side by side in a list."""
-    order = np.lexsort((tag, doc))
-    doc, tag = doc[order], tag[order]
+def document_cuts(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Where neighbours of one document begin, and the end."""
     new = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
-    at = np.concatenate([[0], np.flatnonzero(new) + 1, [len(doc)]]) if len(doc) else np.zeros(1, dtype=np.int64)
-    flat = np.stack([x[order] for x in values], 1).ravel()
-    lists = pa.ListArray.from_arrays(pa.array(at * len(values), pa.int32()), pa.array(flat, pa.int64()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[at[:-1]], pa.int64()), pa.array(tag[at[:-1]], pa.int64()), lists], names=["doc", "tag", name]
-    )
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(doc)]]) if len(doc) else np.zeros(1, dtype=np.int64)
+
+
+def united(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same spans of each document, with those that meet or overlap made one."""
+    if not len(doc):
+        return doc, tag, start, end
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+    at = document_cuts(doc, tag)
+    shift = np.repeat(np.arange(len(at) - 1), np.diff(at)) * (end.max() + 2)  # documents in a row
+    far = np.maximum.accumulate(end + shift)
+    new = np.append(True, (start + shift)[1:] > far[:-1])
+    last = np.append(new[1:], True)
+    return doc[new], tag[new], start[new], (far - shift)[last]
+
+
+def routed(doc: np.ndarray, tag: np.ndarray, values: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
+    """Packed rows, one for each bucket that some of the documents fall into."""
+    bucket = (tag & np.int64(0x7FFFFFFFFFFFFFFF)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    arrays = [x[order] for x in (doc, tag, *values)]
+    at = cuts(bucket[order])
+    blobs = [pack(*(x[begin:end] for x in arrays)) for begin, end in zip(at[:-1], at[1:])]
+    return pa.table({
+        "bucket": pa.array(bucket[order][at[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary()),
+    })
+
+
+def gathered(rows: DataFrame, name: str, width: int) -> DataFrame:
+    """doc, tag and the list of all values that were routed for the document; spans are united."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = [unpack(x, *(np.int64,) * (2 + width)) for x in group.column("blob").to_pylist()]
+        doc, tag, *values = (np.concatenate(x) for x in zip(*blobs))
+        if width == 2:
+            doc, tag, *values = united(doc, tag, *values)
+        else:
+            order = np.lexsort((tag, doc))
+            doc, tag, *values = (x[order] for x in (doc, tag, *values))
+        at = document_cuts(doc, tag)
+        flat = np.stack(values, 1).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(at * width, pa.int32()), pa.array(flat, pa.int64()))
+        return pa.table({"doc": doc[at[:-1]], "tag": tag[at[:-1]], name: lists})
+
+    return rows.groupBy("bucket").applyInArrow(run, f"doc long, tag long, {name} array<long>")
 
 
 # 1. Anchors that stand in more than one document.
@@ -165,8 +202,8 @@ def dealt_anchors(texts: DataFrame, length: int, slots: int) -> DataFrame:
     return texts.mapInArrow(run, "slot int, blob binary")
 
 
-def shared_anchors(dealt: DataFrame, hot: int) -> DataFrame:
-    """doc, tag and `keys`: twice the name of each anchor that others hold too, plus 1 if it is hot."""
+def shared_anchors(dealt: DataFrame, hot: int, slots: int) -> DataFrame:
+    """Routed to each document: twice the name of each anchor that others hold too, plus 1 if it is hot."""
 
     def run(group: pa.Table) -> pa.Table:
         blobs = [unpack(x, np.int64, np.int64, np.uint32, np.uint8) for x in group.column("blob").to_pylist()]
@@ -184,9 +221,9 @@ def shared_anchors(dealt: DataFrame, hot: int) -> DataFrame:
         keys[order] = np.repeat(np.where(several, 2 * names[order][at[:-1]] + (n > hot), -1), n)
         chosen = np.flatnonzero(keys >= 0)
         owner = owner[chosen]
-        return pa.Table.from_batches([by_document(doc[owner], tag[owner], [keys[chosen]], "keys")])
+        return routed(doc[owner], tag[owner], (keys[chosen],), slots)
 
-    return dealt.groupBy("slot").applyInArrow(run, "doc long, tag long, keys array<long>")
+    return dealt.groupBy("slot").applyInArrow(run, "bucket int, blob binary")
 
 
 # 2. Sorted, front-coded runs.
@@ -235,8 +272,8 @@ class Records:
         row[:, -1] = n_left
         return row
 
-    def runs(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """slot, run and settled spans, for every slot that these records fall into."""
+    def runs(self) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+        """A run for every slot that these records fall into, and one row of spans that are settled here."""
         rows, lo, doc, tag, hot = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
         room = self.length
@@ -268,14 +305,18 @@ class Records:
         bounds = np.append(heads, len(lo))
         for begin, finish in zip(at[:-1], at[1:]):
             here, whole = slice(begin, finish), slice(bounds[begin], bounds[finish])
-            kept, gone = stays[whole], ~stays[whole]
+            kept = stays[whole]
             run = pack(
                 lcp[here].astype(np.uint8), n_right[here].astype(np.uint8), n_left[here].astype(np.uint8),
                 rows[here, :room][rest[here]], rows[here, room + 1 : -1][before[here]],
                 first[here], n_places[here], tag[whole][kept], lo[whole][kept].astype(np.uint32),
             )
-            settled = pack(doc[whole][gone], tag[whole][gone], start[whole][gone], end[whole][gone])
-            yield int(head_slot[begin]), run, settled
+            yield int(head_slot[begin]), run, None
+        gone = ~stays
+        if gone.any():
+            # Whatever slot takes them passes them on; the spans of a document are one by now.
+            spans = united(doc[gone], tag[gone], start[gone], end[gone])
+            yield int(spans[1][0] & 0x7FFFFFFF) % self.slots, None, pack(*spans)
 
 
 RUN = (np.uint8, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.uint32, np.int64, np.uint32)
@@ -413,10 +454,19 @@ def repeated_windows(
     return gone
 
 
-def judged(group: pa.Table, length: int) -> pa.Table:
-    """doc, tag and `spans` (start, end, start, end ...) of what the windows of one slot remove."""
+def judged(group: pa.Table, length: int, slots: int) -> pa.Table:
+    """The spans that the windows of one slot remove, routed to their documents."""
+    found = [unpack(x, *(np.int64,) * 4) for x in group.column("settled").drop_null().to_pylist()]
+    runs = [unpack(x, *RUN) for x in group.column("run").drop_null().to_pylist()]
+    if runs:
+        found.append(removed_by(runs, length))
+    doc, tag, start, end = united(*(np.concatenate(x) for x in zip(*found)))
+    return routed(doc, tag, (start, end), slots)
+
+
+def removed_by(runs: list[list[np.ndarray]], length: int) -> tuple[np.ndarray, ...]:
+    """doc, tag, start and end of every stretch of windows that stand in earlier documents too."""
     room = length - GRAM
-    runs = [unpack(x, *RUN) for x in group.column("run").to_pylist()]
     run, place, lcp = merge([decoded(x[0], x[1], x[3].tobytes()) for x in runs])
     starts = np.cumsum([0] + [len(x[0]) for x in runs])
     order = starts[run] + place
@@ -439,10 +489,7 @@ def judged(group: pa.Table, length: int) -> pa.Table:
     which = np.repeat(np.arange(len(record)), times)
     at = np.repeat(first_place[record] - np.cumsum(times) + times, times) + np.arange(len(which))
     anchor = los[at] + n_left[record[which]]
-    found = [(doc[record[which]], tags[at], anchor - far[which], anchor - near[which] + length)]
-    found += [unpack(x, *(np.int64,) * 4) for x in group.column("settled").to_pylist()]
-    doc, tag, start, end = (np.concatenate(x) for x in zip(*found))
-    return pa.Table.from_batches([by_document(doc, tag, [start, end], "spans")])
+    return doc[record[which]], tags[at], anchor - far[which], anchor - near[which] + length
 
 
 # Texts and their marks.
@@ -489,11 +536,7 @@ def cut(texts: DataFrame, length: int, schema: T.StructType) -> DataFrame:
                 if not first[i]:
                     found = [(0, len(data))] if len(data) >= length else []
                 elif spans[i].is_valid:
-                    start, end = spans[i].values.to_numpy().reshape(-1, 2).T
-                    order = np.argsort(start)
-                    start, end = start[order], np.maximum.accumulate(end[order])
-                    new = np.append(True, start[1:] > end[:-1])
-                    found = list(zip(start[new].tolist(), end[np.append(new[1:], True)].tolist()))
+                    found = spans[i].values.to_numpy().reshape(-1, 2).tolist()
                 else:
                     found = []
                 raw, at, rest = data.tobytes(), 0, []
@@ -528,15 +571,14 @@ def dedupe(
     texts = base.repartition("doc", "tag")  # the one shuffle of texts: all reads below reuse it
     names = base.select("doc", "tag", F.unhex(F.md5(F.col("text").cast("binary"))).alias("h"))
     firsts = names.groupBy("h", "tag").agg(F.min("doc").alias("doc")).select("doc", "tag").distinct()
-    alone = texts.join(firsts.hint("merge"), ["doc", "tag"], "left_semi")
-    keys = shared_anchors(dealt_anchors(alone, length, slots), hot)
-    keys = keys.groupBy("doc", "tag").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    alone = texts.join(firsts.hint("merge"), ["doc", "tag"])  # a semi join would be moved below the shuffle
+    keys = gathered(shared_anchors(dealt_anchors(alone, length, slots), hot, slots), "keys", 1)
     with_keys = texts.join(keys.hint("merge"), ["doc", "tag"])
     runs = sorted_runs(with_keys, length, slots, splitters, run_records)
     spans = runs.groupBy("slot").applyInArrow(
-        lambda group: judged(group, length), "doc long, tag long, spans array<long>"
+        lambda group: judged(group, length, slots), "bucket int, blob binary"
     )
-    spans = spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = gathered(spans, "spans", 2)
     marks = firsts.join(spans.hint("merge"), ["doc", "tag"], "left").withColumn("first", F.lit(True))
     marked = texts.join(marks.hint("merge"), ["doc", "tag"], "left")
     kinds = {field.name: field for field in base.schema.fields}
