@@ -243,3 +243,71 @@ def read_csv_mixed_files(spark, folder):
     files.select("file", text.alias("text")).repartition("file").write.partitionBy("file").text(path)
     loaded = read_table(spark, f"{path}/*/*.txt", "csv")
     return order_totals(repair(loaded.table.select(*plain), loaded.log).table)
+
+
+@register(
+    "read_csv_quoted_blocks",
+    """SELECT lang, count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids,
+    CAST(sum(length(text)) AS BIGINT) AS chars,
+    CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS breaks
+    FROM documents GROUP BY lang""",
+)
+def read_csv_quoted_blocks(spark, folder):
+    """Texts of many lines in quoted cells: the blocks of each file are parsed side by side."""
+    docs = load(spark, folder, "documents").select("doc_id", "lang", F.col("text").alias("body"))
+    path = new_path(spark, "quoted")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    table = read_table(spark, path, "csv").table
+    return table.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.sum(F.col("doc_id").cast("bigint")).alias("ids"),
+        F.coalesce(F.sum(F.length("body")), F.lit(0)).cast("bigint").alias("chars"),
+        F.sum(F.coalesce(F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))), F.lit(0)))
+        .cast("bigint").alias("breaks"),
+    )
+
+
+def order_files(spark, folder, header, line, ending="csv"):
+    """Files of a thousand orders, each with a header and lines that may depend on its number."""
+    orders = order_text(spark, folder).withColumn("file", F.floor(F.col("Order Key").cast("bigint") / 1000))
+    files = orders.groupBy("file", header.alias("header")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    path = new_path(spark, ending)
+    text = F.array_join(F.concat(F.array("header"), "lines"), "\n")
+    files.select("file", text.alias("text")).repartition("file").write.partitionBy("file").text(path)
+    return f"{path}/*/*.txt"
+
+
+@register(
+    "read_csv_wider_file",
+    """SELECT o_orderstatus AS status, count(*) AS orders,
+    count(*) FILTER (WHERE (o_orderkey // 1000) % 2 = 1) AS with_total,
+    round(sum(CASE WHEN (o_orderkey // 1000) % 2 = 1 THEN o_totalprice END), 2) AS total
+    FROM orders GROUP BY o_orderstatus""",
+)
+def read_csv_wider_file(spark, folder):
+    """Every second file has two more columns; the others get NULL there, and no row is lost."""
+    wide = F.col("file") % 2 == 1
+    cells = [F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("Total", "Order Key", "Status", "Day")]
+    header = F.when(wide, "Total,Order Key,Status,Day").otherwise("Order Key,Status")
+    line = F.when(wide, F.concat_ws(",", *cells)).otherwise(F.concat_ws(",", *cells[1:3]))
+    loaded = read_table(spark, order_files(spark, folder, header, line), "csv")
+    money = F.regexp_replace("Total", "[$,]", "").cast("double")
+    return loaded.table.groupBy(F.col("Status").alias("status")).agg(
+        F.count(F.lit(1)).alias("orders"), F.count("Total").alias("with_total"),
+        F.round(F.sum(money), 2).alias("total"),
+    )
+
+
+@register("read_txt_mixed_separators", ORDER_TOTALS)
+def read_txt_mixed_separators(spark, folder):
+    """Each file of a folder has the separator that its own first lines show."""
+    names = ("Order Key", "Status", "Total", "Day")
+    which = (F.col("file") % 4).cast("int")
+
+    def by_file(make):
+        return F.element_at(F.array(*[make(s) for s in ("\t", "|", ";", ",")]), which + 1)
+
+    header = by_file(lambda s: F.lit(s.join(names)))
+    line = by_file(lambda s: F.concat_ws(s, *[F.concat(F.lit('"'), F.col(n), F.lit('"')) for n in names]))
+    loaded = read_table(spark, order_files(spark, folder, header, line, "txt"), "txt")
+    return order_totals(repair(loaded.table, loaded.log).table)

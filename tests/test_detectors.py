@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -454,3 +455,37 @@ def test_counts_add_up(spark, values):
         assert row["distinct_values"] == len(set(present))
         assert row["missing"] == len(values) - len(present)
         assert row["repeated_rows"] == sum(present.count(v) > 1 for v in present)
+
+
+def test_ledger_of_violations(rows):
+    rng = random.Random(4)
+    values = []
+    for i in range(400):
+        a, b, c = (float(rng.randrange(1, 50)) for _ in range(3))
+        total, product = a + b, b * c
+        if i % 9 == 0:
+            total += 500
+        if i % 6 == 0:
+            product += 700
+        values.append((i, a, b, c, None if i % 50 == 7 else total, None if i % 40 == 3 else product))
+    frame = rows(values, "k int, a double, b double, c double, total double, product double").repartition(5)
+    names = ["a", "b", "c", "total", "product"]
+    rules = [r for r in formulas.candidates(names) if (r.c, r.op) in (("total", "+"), ("product", "×"), ("a", "−"))]
+    broken = {r.number: {x["k"] for x in frame.where(r.predicate()).select("k").collect()} for r in rules}
+    want = {
+        (x, y): len(broken[x] & broken[y]) for x in broken for y in broken if broken[x] & broken[y]
+    }
+    ledger = formulas.violation_ledger(frame, rules)
+    assert {(r["rule_a"], r["rule_b"]): r["rows"] for r in ledger.collect()} == want
+    listed = formulas.violating_rows(frame, rules, names, "k").select("rule_no", "row_id").collect()
+    assert {(r[0], r[1]) for r in listed} == {(n, k) for n, ks in broken.items() for k in ks}
+    assert formulas.violation_ledger(frame.limit(0), rules).collect() == []
+    assert formulas.violation_ledger(frame, []).collect() == []
+
+
+def test_ledger_is_one_scan_and_rows_are_not_multiplied(rows):
+    frame = rows([(1, 1.0, 2.0, 3.0)], "k int, a double, b double, c double")
+    rules = formulas.candidates(["a", "b", "c"])
+    for result in (formulas.violation_ledger(frame, rules), formulas.violating_rows(frame, rules, [], "k")):
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Generate" not in plan

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from undertow.operators.ingest import repair
+from undertow.sources import quoted
 from undertow.sources.readers import read_table
 from undertow.sources.sniff import folder_formats
 from undertow.sources.validate import UnusableTable, check_usable, is_binary
@@ -192,3 +196,89 @@ def test_long_lines_stand_in_several_files(spark, monkeypatch):
     stray = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderkey % 97 = 0").count()
     total = spark.read.parquet(f"{folder}/orders.parquet").count()
     assert (found["kept"], found["left_out"]) == (total - stray, stray)
+
+
+def test_files_wider_than_the_first(spark, tmp_path):
+    put(tmp_path / "w" / "a.csv", "x,y\n1,2\n3,4\n")
+    put(tmp_path / "w" / "b.csv", "Report,,,\n,,,\nz,x,y,u\n5,6,7,8\n9,10,11,12\n13,14,15,16,17\n")
+    put(tmp_path / "w" / "c.csv", "y,x\n18,19\n20,21,22\n")
+    loaded = read_table(spark, str(tmp_path / "w"))
+    assert loaded.table.columns == ["z", "x", "y", "u"]
+    assert {tuple(r) for r in loaded.table.collect()} == {
+        (None, "1", "2", None), (None, "3", "4", None), ("5", "6", "7", "8"), ("9", "10", "11", "12"),
+        (None, "19", "18", None),
+    }
+    assert [note[3] for note in loaded.log if note[1] == "long lines"] == [
+        "2 line(s) with more than their header's fields left out"
+    ]
+    put(tmp_path / "w" / "d.csv", "x,other\n1,2\n")
+    with pytest.raises(UnusableTable, match="d.csv.*other"):
+        read_table(spark, str(tmp_path / "w"))
+
+
+def test_separators_of_each_file(spark, tmp_path):
+    for name, sep in zip("abcd", ",;|\t"):
+        put(tmp_path / "s" / f"{name}.txt", f"key{sep}value\n{name}{sep}1\n")
+    table = read_table(spark, str(tmp_path / "s")).table
+    assert sorted(map(tuple, table.collect())) == [(name, "1") for name in "abcd"]
+
+
+def messy_records(rng, n):
+    parts = ['"', "\n", "\r\n", ",", "x", "word ", '""', ";"]
+    return [[f"{i}", "".join(rng.choices(parts, k=rng.randrange(12))), rng.choice(["", "plain", 'stray " mark'])]
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("seed, block", [(1, "700"), (2, "64m")])
+def test_quoted_line_breaks_across_blocks(spark, tmp_path, seed, block):
+    rng = random.Random(seed)
+    want = []
+    for name in ("a", "b"):
+        rows = messy_records(rng, 120)
+        rows[40][1] = "a long cell\n" * 200
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+        writer.writerows([["key", "value", "kind"], *rows])
+        # A quote inside an unquoted cell is text.
+        text = out.getvalue().replace('"stray "" mark"', 'stray " mark')
+        put(tmp_path / "q" / f"{name}.csv", text)
+        want += [tuple(cell or None for cell in row) for row in rows]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        loaded = read_table(spark, str(tmp_path / "q"))
+        assert loaded.table.columns == ["key", "value", "kind"]
+        assert sorted(map(str, loaded.table.collect())) == sorted(
+            f"Row(key={k!r}, value={v!r}, kind={x!r})" for k, v, x in want
+        )
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_blocks_of_a_quoted_file_are_parsed_by_several_tasks(spark, tmp_path):
+    path = put(tmp_path / "m.csv", "a,b\n" + "".join(f'{i},"two\nlines"\n' for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        parsed = quoted.parsed_blocks(spark, path, "UTF-8", ",", 13)
+        assert parsed.where(f"kind = {quoted.RECORD}").select(F.spark_partition_id()).distinct().count() > 3
+        both = parsed.where(f"kind = {quoted.RECORD}").groupBy("given").count().collect()
+        extra = sum(r["count"] for r in both if r["given"] == quoted.INSIDE)
+        assert extra <= parsed.select("_block").distinct().count()  # the readings soon agree
+        assert read_table(spark, path).table.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_quote_left_open(spark, tmp_path):
+    table = read_table(spark, put(tmp_path / "o.csv", 'a,b\n1,"x\ny"\n2,"never closed\n3,z\n')).table
+    assert table.where("a = '1'").first()["b"] == "x\ny"
+
+
+@pytest.mark.parametrize("line, state, after", [
+    ('a,"b', 0, 1), ('a,"b"', 0, 0), ('a,"b""', 0, 1), ('a,"b"""', 0, 0), ('a, "b', 0, 0), ('5" x,"', 0, 1),
+    ('b",c', 1, 0), ('b""', 1, 1), ('b"",c",d', 1, 0), ('b",""', 1, 0), ('b","', 1, 1), ("plain", 1, 1),
+    ("plain", 0, 0), ('"",""', 0, 0), ('"', 0, 1), ('"', 1, 0), ('b"x"y,"z', 1, 1),
+])
+def test_states_of_lines(line, state, after):
+    assert quoted.line_states(",")(line, state) == after

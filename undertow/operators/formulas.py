@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -12,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undertow.functions.cells import column, number, quoted, text_columns
 from undertow.operators.statistics import TableStats
@@ -91,40 +91,42 @@ def mirrored(rule: Formula, columns: list[str]) -> Formula | None:
     return formula_at(_place(columns, rule.b, rule.a, rule.c, rule.op), columns)
 
 
-def _checked(df: DataFrame, rules: list[Formula], columns: list[str], tol: Tolerance, keep=()):
-    """One row per input row and rule that can be checked there: rule_no, recorded, expected, ok.
+def _expected(a: np.ndarray, b: np.ndarray, op: str) -> np.ndarray:
+    """What a formula makes of its two sides; NaN where it makes nothing finite."""
+    if op == "÷":
+        b = np.where(np.abs(b) > 1e-9, b, np.nan)
+    value = {"+": np.add, "−": np.subtract, "×": np.multiply, "÷": np.divide}[op](a, b)
+    return np.where(np.isfinite(value), value, np.nan)
 
-    The rule numbers are one literal array exploded inside the scan, and a number spells out its
-    columns and operation, so the plan stays small. Callers pass only the few rules that hold.
-    """
-    width, ops = len(columns), len(OPERATIONS)
-    numbers = F.expr(f"array({', '.join(str(r.number) for r in rules)})")
-    cells = df.select(
-        *keep, F.array(*[number(n) for n in columns]).alias("v"), F.explode(numbers).alias("rule_no")
-    )
-    a, b, c = (
-        F.expr(f"v[(rule_no div {ops * step}) % {width}]") for step in (width * width, width, 1)
-    )
-    op = F.expr(f"rule_no % {ops}")
-    expected = (
-        F.when(op == 0, a + b)
-        .when(op == 1, a - b)
-        .when(op == 2, a * b)
-        .when(F.abs(b) > 1e-9, a / F.when(F.abs(b) > 1e-9, b))
-    )
-    kept = [k for k in cells.columns if k not in ("v", "rule_no")]
-    off = F.abs(F.col("recorded") - F.col("expected"))
-    ok = (off / F.greatest(F.abs("recorded"), F.lit(1.0)) <= tol.relative) | (off <= tol.absolute)
-    return (
-        cells.select(
-            *kept,
-            "rule_no",
-            c.alias("recorded"),
-            F.when(F.abs(expected) < math.inf, expected).alias("expected"),
-        )
-        .withColumn("valid", F.col("recorded").isNotNull() & F.col("expected").isNotNull())
-        .withColumn("ok", F.col("valid") & ok)
-    )
+
+def _off(recorded: np.ndarray, expected: np.ndarray, tol: Tolerance) -> tuple[np.ndarray, np.ndarray]:
+    """Where a rule can be checked, and where it holds."""
+    off = np.abs(recorded - expected)
+    held = (off / np.maximum(np.abs(recorded), 1.0) <= tol.relative) | (off <= tol.absolute)
+    return ~np.isnan(off), held
+
+
+def _numbers(batch: pa.RecordBatch, names: list[str]) -> dict[str, np.ndarray]:
+    return {
+        name: np.array(batch.column(f"c{i}").to_numpy(zero_copy_only=False), dtype=float)
+        for i, name in enumerate(names)
+    }
+
+
+def _violations(
+    batch: pa.RecordBatch, rules: list[Formula], names: list[str], tol: Tolerance
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per rule: which rows of the batch break it, what all rows record and what the rule expects."""
+    cells = _numbers(batch, names)
+    with np.errstate(all="ignore"):
+        for rule in rules:
+            expected = _expected(cells[rule.a], cells[rule.b], rule.op)
+            valid, held = _off(cells[rule.c], expected, tol)
+            yield valid & ~held, cells[rule.c], expected
+
+
+def _sides(rules: list[Formula]) -> list[str]:
+    return list(dict.fromkeys(name for rule in rules for name in (rule.a, rule.b, rule.c)))
 
 
 def _tally(cells: DataFrame, rules: list[Formula], columns: list[str], tol: Tolerance) -> DataFrame:
@@ -139,28 +141,20 @@ def _tally(cells: DataFrame, rules: list[Formula], columns: list[str], tol: Tole
         sides.setdefault(side, []).append((at, columns.index(rule.c)))
     numbers = [rule.number for rule in rules]
 
-    def expect(a: np.ndarray, b: np.ndarray, op: str) -> np.ndarray:
-        if op == "÷":
-            b = np.where(np.abs(b) > 1e-9, b, np.nan)
-        value = {"+": np.add, "−": np.subtract, "×": np.multiply, "÷": np.divide}[op](a, b)
-        return np.where(np.isfinite(value), value, np.nan)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         valid, held = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64)
         low, high = np.full(len(numbers), np.inf), np.full(len(numbers), -np.inf)
         for batch in batches:
-            grid = [np.array(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
+            grid = list(_numbers(batch, columns).values())
             with np.errstate(all="ignore"):
                 for (a, b, op), recorded in sides.items():
-                    expected = expect(grid[a], grid[b], op)
+                    expected = _expected(grid[a], grid[b], op)
                     if np.isnan(expected).all():
                         continue
                     bounds = np.nanmin(expected), np.nanmax(expected)
                     for at, c in recorded:
-                        off = np.abs(grid[c] - expected)
-                        size = np.maximum(np.abs(grid[c]), 1.0)
-                        ok = (off / size <= tol.relative) | (off <= tol.absolute)
-                        valid[at] += np.count_nonzero(~np.isnan(off))
+                        checked, ok = _off(grid[c], expected, tol)
+                        valid[at] += np.count_nonzero(checked)
                         held[at] += np.count_nonzero(ok)
                         low[at], high[at] = min(low[at], bounds[0]), max(high[at], bounds[1])
         yield pa.RecordBatch.from_arrays(
@@ -238,6 +232,35 @@ def formula_rules(
     )
 
 
+def violation_ledger(df: DataFrame, rules: list[Formula], tolerance: Tolerance = Tolerance()) -> DataFrame:
+    """(rule_a, rule_b, rows) for all pairs of rules that some row breaks both, a rule with itself included.
+
+    One scan for all rules. A row's broken rules are the bits of a mask; a task counts its masks and
+    passes on what they say of pairs, so rows are neither multiplied nor shuffled.
+    """
+    schema = "rule_a int, rule_b int, rows long"
+    if not rules:
+        return small_frame(df.sparkSession, [], schema)
+    names, numbers = _sides(rules), np.array([rule.number for rule in rules], dtype=np.int32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros((len(rules), len(rules)), dtype=np.int64)
+        for batch in batches:
+            broken = np.stack([bad for bad, _, _ in _violations(batch, rules, names, tolerance)], 1)
+            broken = broken[broken.any(1)]
+            if not len(broken):
+                continue
+            masks, rows = np.unique(np.packbits(broken, axis=1), axis=0, return_counts=True)
+            bits = np.unpackbits(masks, axis=1, count=len(rules)).astype(np.int64)
+            pairs += bits.T @ (bits * rows[:, None])
+        a, b = np.nonzero(pairs)
+        columns = numbers[a], numbers[b], pairs[a, b]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["rule_a", "rule_b", "rows"])
+
+    cells = df.select(*[number(n).alias(f"c{i}") for i, n in enumerate(names)])
+    return cells.mapInArrow(count, schema).groupBy("rule_a", "rule_b").agg(F.sum("rows").alias("rows"))
+
+
 def ranked_rules(
     df: DataFrame,
     rules: DataFrame,
@@ -256,19 +279,20 @@ def ranked_rules(
     rows.sort(key=lambda r: (-r["violations"], -r["hold_rate"], r["rule_no"]))
     open_rules = [r for r in rows if r["violations"]]
     kept: list[dict] = []
-    while open_rules and (broken is None or len(kept) < broken):
-        head = open_rules.pop(0)
-        kept.append(head)
-        if not open_rules or len(kept) == broken:
+    shared: dict[tuple[int, int], int] = {}
+    if len(open_rules) > 1:
+        ledger = violation_ledger(df, [as_formula(r) for r in open_rules], tolerance)
+        shared = {(r["rule_a"], r["rule_b"]): r["rows"] for r in ledger.collect()}
+
+    def overlaps(one: dict, other: dict) -> bool:
+        both = shared.get((one["rule_no"], other["rule_no"]), 0)
+        return both > most_overlap * (one["violations"] + other["violations"] - both)
+
+    for rule in open_rules:
+        if broken is not None and len(kept) == broken:
             break
-        shared = shared_violations(df, head, open_rules, columns, tolerance)
-        open_rules = [
-            r
-            for r in open_rules
-            if shared.get(r["rule_no"], 0)
-            <= most_overlap
-            * (head["violations"] + r["violations"] - shared.get(r["rule_no"], 0))
-        ]
+        if not any(overlaps(taken, rule) for taken in kept):
+            kept.append(rule)
     return kept + [r for r in rows if not r["violations"]][:verified]
 
 
@@ -276,16 +300,6 @@ def as_formula(row: dict) -> Formula:
     return Formula(row["rule_no"], row["col_a"], row["op"], row["col_b"], row["col_c"])
 
 
-def shared_violations(
-    df: DataFrame, head: dict, others: list[dict], columns: list[str], tolerance: Tolerance
-) -> dict[int, int]:
-    """Rows violating both `head` and each other rule: one scan over the rows `head` blames."""
-    blamed = df.where(as_formula(head).predicate(tolerance))
-    checked = _checked(blamed, [as_formula(r) for r in others], columns, tolerance)
-    counted = checked.where("valid AND NOT ok").groupBy("rule_no").agg(F.count(F.lit(1)).alias("n"))
-    return {row["rule_no"]: row["n"] for row in counted.collect()}
-
-
 def row_label(df: DataFrame, row_id: str, longest: int = 24) -> Column:
     """A short text naming a row: its first text cell of at most 24 characters, else its id."""
     named = []
@@ -314,12 +328,32 @@ def violating_rows(
         lambda one, other: one | other,
         [F.coalesce(F.expr(r.predicate(tolerance)), F.lit(False)) for r in rules],
     )
-    keep = (column(row_id).alias("row_id"), row_label(df, row_id).alias("label"))
-    return (
-        _checked(df.where(broken), rules, columns, tolerance, keep)
-        .where("valid AND NOT ok")
-        .select("rule_no", "row_id", "label", "recorded", "expected")
+    names = _sides(rules)
+    cells = df.where(broken).select(
+        column(row_id).alias("row_id"), row_label(df, row_id).alias("label"),
+        *[number(n).alias(f"c{i}") for i, n in enumerate(names)],
     )
+    kinds = {f.name: f.dataType for f in cells.schema.fields}
+    schema = T.StructType([
+        T.StructField("rule_no", T.IntegerType()), T.StructField("row_id", kinds["row_id"]),
+        T.StructField("label", kinds["label"]), T.StructField("recorded", T.DoubleType()),
+        T.StructField("expected", T.DoubleType()),
+    ])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rule, (bad, recorded, expected) in zip(rules, _violations(batch, rules, names, tolerance)):
+                at = np.flatnonzero(bad)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), rule.number, dtype=np.int32)),
+                        batch.column("row_id").take(pa.array(at)), batch.column("label").take(pa.array(at)),
+                        pa.array(recorded[at]), pa.array(expected[at]),
+                    ],
+                    names=schema.names,
+                )
+
+    return cells.mapInArrow(listed, schema)
 
 
 def violation_examples(violations: DataFrame, most: int = 5) -> DataFrame:

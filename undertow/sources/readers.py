@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +21,16 @@ from undertow.operators.ingest import (
     needs_header_search,
     unique_names,
 )
-from undertow.session import settled
+from undertow.session import written
+from undertow.sources.quoted import BLOCK, FILE, LINE, read_records
 from undertow.sources.sniff import folder_formats
 from undertow.sources.validate import UnusableTable, check_usable
 
 SEPARATORS = (",", "\t", ";", "|")
 HEAD_LINES = 20
 EXTRA = "_extra_field"
-FILE, BLOCK, LINE = "_file", "_block", "_line"
+#: Distinct headers that a folder may hold.
+MOST_HEADERS = 1_000
 
 
 @dataclass(frozen=True)
@@ -65,6 +69,25 @@ def guess_separator(lines: list[str]) -> str:
     return best if counts[best] else ","
 
 
+def file_heads(spark: SparkSession, path: str, encoding: str, separator: str | None) -> DataFrame:
+    """(file, separator, widths) of every file: the number of fields in each of its first lines.
+
+    Lines are numbered as the reader numbers them, without empty ones.
+    """
+    lines = spark.read.option("encoding", encoding).text(path).where("trim(value) <> ''")
+    first = numbered_lines(lines.where("_metadata.file_block_start = 0"), HEAD_LINES)
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        lines = group.sort_values(LINE)["value"].tolist()
+        own = separator or guess_separator(lines)
+        widths = [len(row) for row in csv.reader(lines, delimiter=own)]
+        return pd.DataFrame({FILE: [group[FILE].iloc[0]], "separator": [own], "widths": [widths]})
+
+    return first.where(F.col(LINE).isNotNull()).select(FILE, LINE, "value").groupBy(FILE).applyInPandas(
+        look, f"{FILE} string, separator string, widths array<int>"
+    )
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -74,11 +97,13 @@ def read_delimited(
 ) -> Loaded:
     """Delimited text as string columns under the header of the file.
 
-    Short lines are filled with NULL; lines with more fields than the header are left out, and the
-    log says how many. Each file of a folder has its own header: if its first line cannot be one,
-    the most header-like of the next ones is, and the title lines above it are left out. Files may
-    order their columns differently; a file with other columns is refused. Where quotes span lines,
-    a file is read by one task, unless `multi_line` says otherwise.
+    Short lines are filled with NULL; lines with more fields than their file's header are left out, and
+    the log says how many. Each file of a folder has its own header and, if none is given, its own
+    separator: if its first line cannot be the header, the most header-like of the next ones is, and the
+    title lines above it are left out. Files may order their columns differently, and leave out some of
+    those of the widest file; a file with a column that the widest lacks is refused by name. Where quotes
+    span lines, the blocks of a file are parsed side by side (see `quoted`); only a file that ends within
+    quotes is read by one task.
     """
     found_encoding, open_quotes = text_facts(spark, path)
     encoding = encoding or found_encoding
@@ -86,6 +111,13 @@ def read_delimited(
     lines = [line for line in head_lines(spark, path, encoding) if line.strip()]
     if not lines:
         raise UnusableTable(f"No table in '{path}'")
+    many = len(spark.read.text(path).inputFiles()) > 1
+    if multi_line:
+        loaded = read_quoted(spark, path, encoding, separator, lines)
+        if loaded:
+            return loaded
+    if many:
+        return read_folder(spark, path, encoding, separator, multi_line)
     separator = separator or guess_separator(lines)
     rows = list(csv.reader(lines, delimiter=separator))
     widths = [len(row) for row in rows]
@@ -93,9 +125,30 @@ def read_delimited(
     first = rows[0] + [None] * (usual - len(rows[0]))
     titled = needs_header_search(first)
     width = usual if titled else len(rows[0])
-    raw = [f"_c{i}" for i in range(width)]
+    raw = raw_names(width)
+    reader = delimited_reader(spark, separator, encoding, multi_line, raw)
+    plain = reader.option("header", True).csv(path)
+    if titled and len(rows) > 4:
+        grid = reader.option("header", False).csv(path)
+        return under_headers(numbered_lines(grid, HEADER_LINES + 1), raw)
+    log: list[tuple[int, str, str | None, str]] = []
+    names = unique_names(first[:width])
+    table = plain.where(column(EXTRA).isNull()).select(*raw)
+    too_long = plain.where(column(EXTRA).isNotNull()).count()
+    if too_long:
+        log.append((0, "long lines", None, f"{too_long} line(s) with more than {width} fields left out"))
+    return Loaded(table.toDF(*names), log)
+
+
+def raw_names(width: int) -> list[str]:
+    return [f"_c{i}" for i in range(width)]
+
+
+def delimited_reader(
+    spark: SparkSession, separator: str, encoding: str, multi_line: bool, raw: list[str]
+) -> DataFrameReader:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, EXTRA]])
-    reader = (
+    return (
         spark.read.schema(schema)
         .option("sep", separator)
         .option("encoding", encoding)
@@ -104,33 +157,123 @@ def read_delimited(
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
-    plain = reader.option("header", True).csv(path)
+
+
+def read_folder(
+    spark: SparkSession, path: str, encoding: str, separator: str | None, multi_line: bool
+) -> Loaded:
+    """Files of their own widths and separators: as wide a grid as any file's first lines need."""
+    heads = written(file_heads(spark, path, encoding, separator), "file-heads")
+    seen = heads.groupBy("separator").agg(F.max(F.array_max("widths")).alias("width")).collect()
+    raw = raw_names(max(row["width"] for row in seen))
+    parts = []
+    for row in seen:  # of the few separators there are
+        reader = delimited_reader(spark, row["separator"], encoding, multi_line, raw)
+        grid = numbered_lines(reader.option("header", False).csv(path), HEADER_LINES + 1)
+        if len(seen) > 1:
+            own = heads.where(F.col("separator") == row["separator"]).select(FILE)
+            grid = grid.join(own, FILE, "left_semi")
+        parts.append(grid)
+    return under_headers(reduce(DataFrame.unionByName, parts), raw, heads.select(FILE, "widths"))
+
+
+def read_quoted(
+    spark: SparkSession, path: str, encoding: str, separator: str | None, lines: list[str]
+) -> Loaded | None:
+    """Files whose quotes span lines; None if one of them ends within quotes."""
+    kinds = [separator]
+    if separator is None:
+        heads = written(file_heads(spark, path, encoding, None), "file-heads")
+        kinds = [row[0] for row in heads.select("separator").distinct().collect()]
+    parts = []
+    for kind in kinds:
+        records = read_records(spark, path, encoding, kind, HEADER_LINES + 1)
+        if not records.sound:
+            return None
+        rows = records.rows
+        if len(kinds) > 1:
+            rows = rows.join(heads.where(F.col("separator") == kind).select(FILE), FILE, "left_semi")
+        parts.append(rows)
+    rows = reduce(DataFrame.unionByName, parts)
+    early = rows.where(F.col(LINE).isNotNull())
+    raw = raw_names(early.agg(F.max(F.size("cells"))).first()[0] or 1)
+    sizes = early.groupBy(FILE).agg(F.sort_array(F.collect_list(F.struct(LINE, F.size("cells").alias("n")))).alias("l"))
+    grid = rows.select(
+        FILE, LINE, *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(raw)],
+        F.array_join(F.slice("cells", len(raw) + 1, F.greatest(F.size("cells"), F.lit(1))), "").alias(EXTRA),
+    ).withColumn(EXTRA, F.when(F.col(EXTRA) != "", F.col(EXTRA)))
+    return under_headers(grid, raw, sizes.select(FILE, F.col("l.n").alias("widths")))
+
+
+def most_frequent(widths: Column) -> Column:
+    """The number that occurs most often, the larger one of equally frequent ones."""
+    counted = F.transform(
+        F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("n"), w.alias("w"))
+    )
+    return F.array_max(counted)["w"]
+
+
+def under_headers(grid: DataFrame, raw: list[str], widths: DataFrame | None = None) -> Loaded:
+    """The lines below each file's header, under the columns of the widest file.
+
+    `grid` has the file, the number of each early line, and cells as wide as any header; `widths` has
+    the number of fields in each early line. Nothing about single files reaches the driver: only the
+    distinct headers do, and no more than `MOST_HEADERS`.
+    """
+    if widths is None:
+        found = file_headers(grid.withColumn("_usual", F.lit(len(raw))), raw)
+        found = found.withColumn("own_width", F.lit(len(raw)))
+    else:
+        usual = widths.select(FILE, most_frequent(F.col("widths")).alias("_usual"))
+        found = file_headers(grid.where(F.col(LINE).isNotNull()).join(usual, FILE), raw)
+        own = F.coalesce(F.get("widths", F.col("header_line")), F.lit(len(raw)))
+        found = found.join(widths, FILE, "left").withColumn("own_width", own).drop("widths")
+    headers = written(found.withColumn("header", F.slice("header", 1, F.col("own_width"))), "headers")
+    kinds = headers.groupBy("header").agg(F.min(FILE).alias("example"), F.max("header_line").alias("top"))
+    shown = kinds.orderBy("example").limit(MOST_HEADERS + 1).collect()
+    if not shown:
+        raise UnusableTable("No header in any file")
+    if len(shown) > MOST_HEADERS:
+        raise UnusableTable(f"Files with more than {MOST_HEADERS} different headers")
+    own_names = {tuple(row["header"]): unique_names(row["header"]) for row in shown}
+    widest = max(len(row["header"]) for row in shown)
+    names = next(own_names[tuple(row["header"])] for row in shown if len(row["header"]) == widest)
+    for row in shown:
+        mine = own_names[tuple(row["header"])]
+        if not set(mine) <= set(names):
+            raise UnusableTable(f"Files with different columns: '{row['example']}' has {mine}, another {names}")
+    cells = F.array(*[column(c) for c in raw])
+    beyond = F.slice(F.col("_cells"), F.col("own_width") + 1, len(raw))
+    below = grid.select(FILE, LINE, EXTRA, cells.alias("_cells")).join(headers, FILE, "left").where(
+        F.col(LINE).isNull() | (F.col(LINE) > F.coalesce("header_line", F.lit(-1)))
+    )
+    fits = F.col(EXTRA).isNull() & ~F.exists(beyond, lambda cell: cell.isNotNull())
+    kept = below.where(F.coalesce(fits, F.lit(True)))
     log: list[tuple[int, str, str | None, str]] = []
-    names = unique_names(first[:width])
-    table = plain.where(column(EXTRA).isNull()).select(*raw)
-    many = len(plain.inputFiles()) > 1
-    if many or titled and len(rows) > 4:
-        grid = reader.option("header", False).csv(path)
-        headers = settled(file_headers(grid, raw))
-        shown = headers.orderBy(FILE).collect()
-        plainly = all(row["header_line"] == 0 and row["header"] == first[:width] for row in shown)
-        if shown and not plainly:
-            names = unique_names(shown[0]["header"])
-            table = below_headers(grid, raw, headers, shown, names)
-            if top := max(row["header_line"] for row in shown):
-                log.append((0, "header", None, f"Header in line {top + 1}; {top} line(s) above it left out"))
-    too_long = plain.where(column(EXTRA).isNotNull()).count()
-    if too_long:
-        text = f"{too_long} line(s) with more than {width} fields left out"
-        log.append((len(log), "long lines", None, text))
-    return Loaded(table.toDF(*names), log)
+    if top := max(row["top"] for row in shown):
+        log.append((0, "header", None, f"Header in line {top + 1}; {top} line(s) above it left out"))
+    if too_long := below.where(~fits).count():
+        width = widest if len({len(row["header"]) for row in shown}) == 1 else "their header's"
+        log.append((len(log), "long lines", None, f"{too_long} line(s) with more than {width} fields left out"))
+    if len(own_names) == 1:
+        return Loaded(kept.select(*[F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), log)
+    # Where each column stands in a file follows from its header, of which there are few.
+    places = F.create_map(*[
+        x for header, mine in own_names.items() for x in (
+            F.to_json(F.array(*[F.lit(cell).cast("string") for cell in header])),
+            F.array(*[F.lit(mine.index(name) if name in mine else -1) for name in names]),
+        )
+    ])
+    placed = kept.withColumn("_places", F.element_at(places, F.to_json("header")))
+    at = [F.get("_places", F.lit(i)) for i in range(len(names))]
+    return Loaded(placed.select(*[F.when(p >= 0, F.get("_cells", p)).alias(n) for p, n in zip(at, names)]), log)
 
 
 def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
     """Number the first lines of every file; later lines get NULL.
 
     A task reads the lines of a file split in order, and only the split at the start of a file is
-    counted, so nothing is shuffled or sorted.
+    counted, so nothing is shuffled or sorted, and later splits never leave the JVM.
     """
     located = grid.select(
         F.col("_metadata.file_path").alias(FILE),
@@ -138,6 +281,8 @@ def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
         "*",
     )
     schema = T.StructType([*located.schema.fields, T.StructField(LINE, T.IntegerType())])
+    later = located.where(F.col(BLOCK) != 0).withColumn(LINE, F.lit(None).cast("int"))
+    located = located.where(F.col(BLOCK) == 0)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, passed = None, 0
@@ -161,23 +306,26 @@ def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
                 [*batch.columns, numbers], names=[*batch.schema.names, LINE]
             )
 
-    return located.mapInArrow(number, schema)
+    return located.mapInArrow(number, schema).unionByName(later)
 
 
 def file_headers(grid: DataFrame, raw: list[str]) -> DataFrame:
-    """(file, header_line, header) of each file: its first line if that can be a header."""
-    starts = numbered_lines(grid.where("_metadata.file_block_start = 0"), HEADER_LINES + 1)
-    early = starts.where(F.col(LINE).isNotNull() & column(EXTRA).isNull())
-    cells = F.transform(F.array(*[column(c) for c in raw]), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    """(file, header_line, header) of each file: its first line if that can be a header.
+
+    `_usual` is the number of fields that most of the file's first lines have.
+    """
+    early = grid.where(F.col(LINE).isNotNull() & column(EXTRA).isNull())
+    all_cells = F.transform(F.array(*[column(c) for c in raw]), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    cells = F.slice(all_cells, 1, F.col("_usual"))
     digits = F.forall(cells, lambda c: c.rlike("^[0-9]+$"))
     blank = F.size(F.filter(cells, lambda c: c.isin("", "nan", "None") | c.startswith("Unnamed")))
-    fit = ~digits & (blank < 0.4 * len(raw))
+    fit = ~digits & (blank < 0.4 * F.col("_usual"))
     first = early.where(F.col(LINE) == 0).select(
         FILE, fit.alias("fit"), F.array(*[column(c) for c in raw]).alias("own")
     )
     # A first line that is found unfit is not searched again.
     shifted = early.where(F.col(LINE) >= 1).withColumn("_at", F.col(LINE) - 1)
-    searched = best_header(shifted, FILE, "_at", raw)
+    searched = best_header(shifted, FILE, "_at", raw, "_usual")
     use_own = F.col("fit") | F.col("header").isNull()
     return first.join(searched, FILE, "left").select(
         FILE,
@@ -186,28 +334,6 @@ def file_headers(grid: DataFrame, raw: list[str]) -> DataFrame:
     )
 
 
-def below_headers(
-    grid: DataFrame, raw: list[str], headers: DataFrame, shown: list, names: list[str]
-) -> DataFrame:
-    """The lines below each file's header, with the columns of every file in the same order."""
-    orders = {tuple(row["header"]) for row in shown}
-    wanted = [name.strip() for name in names]
-    for header in orders:
-        if sorted(unique_names(list(header))) != sorted(wanted):
-            raise UnusableTable(f"Files with different columns: {wanted} and {unique_names(list(header))}")
-    numbered = numbered_lines(grid, HEADER_LINES + 1).where(column(EXTRA).isNull())
-    kept = numbered.join(headers, FILE, "left").where(
-        F.col(LINE).isNull() | (F.col(LINE) > F.coalesce("header_line", F.lit(-1)))
-    )
-    if len(orders) == 1:
-        return kept.select(*raw)
-    cells = F.array(*[column(c) for c in raw])
-    own = F.transform("header", lambda c: F.trim(c))
-    return kept.select(
-        *[F.get(cells, (F.array_position(own, n) - 1).cast("int")).alias(c) for c, n in zip(raw, wanted)]
-    )
-
-
 def read_json(spark: SparkSession, path: str) -> Loaded:
     """JSON as a list of records, `{columns, data}`, `{column: [values]}`, or one record per line.
 
