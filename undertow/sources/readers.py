@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +70,7 @@ def guess_separator(lines: list[str]) -> str:
 
 
 def file_heads(spark: SparkSession, path: str, encoding: str, separator: str | None) -> DataFrame:
-    """(file, separator, widths) of every file: the number of fields in each of its first lines.
+    """file, line, separator and cells of the first lines of every file.
 
     Lines are numbered as the reader numbers them, without empty ones.
     """
@@ -78,13 +78,15 @@ def file_heads(spark: SparkSession, path: str, encoding: str, separator: str | N
     first = numbered_lines(lines.where("_metadata.file_block_start = 0"), HEAD_LINES)
 
     def look(group: pd.DataFrame) -> pd.DataFrame:
-        lines = group.sort_values(LINE)["value"].tolist()
+        group = group.sort_values(LINE)
+        lines = group["value"].tolist()
         own = separator or guess_separator(lines)
-        widths = [len(row) for row in csv.reader(lines, delimiter=own)]
-        return pd.DataFrame({FILE: [group[FILE].iloc[0]], "separator": [own], "widths": [widths]})
+        rows = [next(csv.reader([line], delimiter=own), []) for line in lines]
+        cells = [[cell or None for cell in row] for row in rows]
+        return pd.DataFrame({FILE: group[FILE], LINE: group[LINE], "separator": own, "cells": cells})
 
     return first.where(F.col(LINE).isNotNull()).select(FILE, LINE, "value").groupBy(FILE).applyInPandas(
-        look, f"{FILE} string, separator string, widths array<int>"
+        look, f"{FILE} string, {LINE} int, separator string, cells array<string>"
     )
 
 
@@ -130,7 +132,11 @@ def read_delimited(
     plain = reader.option("header", True).csv(path)
     if titled and len(rows) > 4:
         grid = reader.option("header", False).csv(path)
-        return under_headers(numbered_lines(grid, HEADER_LINES + 1), raw)
+        early = numbered_lines(grid.where("_metadata.file_block_start = 0"), HEADER_LINES + 1)
+        early = early.where(F.col(LINE).isNotNull() & column(EXTRA).isNull()).select(
+            "*", F.lit(None).cast("array<int>").alias("_widths"), F.lit(width).alias("_usual")
+        )
+        return under_headers(Grid(numbered_lines(grid, HEADER_LINES + 1), located(grid)), early, raw)
     log: list[tuple[int, str, str | None, str]] = []
     names = unique_names(first[:width])
     table = plain.where(column(EXTRA).isNull()).select(*raw)
@@ -164,17 +170,28 @@ def read_folder(
 ) -> Loaded:
     """Files of their own widths and separators: as wide a grid as any file's first lines need."""
     heads = written(file_heads(spark, path, encoding, separator), "file-heads")
-    seen = heads.groupBy("separator").agg(F.max(F.array_max("widths")).alias("width")).collect()
+    seen = heads.groupBy("separator").agg(F.max(F.size("cells")).alias("width")).collect()
     raw = raw_names(max(row["width"] for row in seen))
-    parts = []
+    numbered, plain = [], []
     for row in seen:  # of the few separators there are
         reader = delimited_reader(spark, row["separator"], encoding, multi_line, raw)
-        grid = numbered_lines(reader.option("header", False).csv(path), HEADER_LINES + 1)
-        if len(seen) > 1:
-            own = heads.where(F.col("separator") == row["separator"]).select(FILE)
-            grid = grid.join(own, FILE, "left_semi")
-        parts.append(grid)
-    return under_headers(reduce(DataFrame.unionByName, parts), raw, heads.select(FILE, "widths"))
+        grid = reader.option("header", False).csv(path)
+        for parts, frame in ((numbered, numbered_lines(grid, HEADER_LINES + 1)), (plain, located(grid))):
+            if len(seen) > 1:
+                own = heads.where(F.col("separator") == row["separator"]).select(FILE).distinct()
+                frame = frame.join(own, FILE, "left_semi")
+            parts.append(frame)
+    grid = Grid(reduce(DataFrame.unionByName, numbered), reduce(DataFrame.unionByName, plain))
+    return under_headers(grid, early_lines(heads, raw), raw)
+
+
+def early_lines(heads: DataFrame, raw: list[str]) -> DataFrame:
+    """The first lines of every file as a grid, each with the number of cells of all of its file's."""
+    file = Window.partitionBy(FILE)
+    sizes = F.sort_array(F.collect_list(F.struct(LINE, F.size("cells").alias("n"))).over(file))
+    cells = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(raw)]
+    early = heads.select(FILE, LINE, *cells, F.lit(None).cast("string").alias(EXTRA), sizes["n"].alias("_widths"))
+    return early.withColumn("_usual", most_frequent(F.col("_widths"))).where(F.col(LINE) <= HEADER_LINES)
 
 
 def read_quoted(
@@ -184,7 +201,7 @@ def read_quoted(
     kinds = [separator]
     if separator is None:
         heads = written(file_heads(spark, path, encoding, None), "file-heads")
-        kinds = [row[0] for row in heads.select("separator").distinct().collect()]
+        kinds = sorted(row[0] for row in heads.select("separator").distinct().collect())
     parts = []
     for kind in kinds:
         records = read_records(spark, path, encoding, kind, HEADER_LINES + 1)
@@ -192,17 +209,29 @@ def read_quoted(
             return None
         rows = records.rows
         if len(kinds) > 1:
-            rows = rows.join(heads.where(F.col("separator") == kind).select(FILE), FILE, "left_semi")
+            rows = rows.join(heads.where(F.col("separator") == kind).select(FILE).distinct(), FILE, "left_semi")
         parts.append(rows)
     rows = reduce(DataFrame.unionByName, parts)
     early = rows.where(F.col(LINE).isNotNull())
     raw = raw_names(early.agg(F.max(F.size("cells"))).first()[0] or 1)
-    sizes = early.groupBy(FILE).agg(F.sort_array(F.collect_list(F.struct(LINE, F.size("cells").alias("n")))).alias("l"))
+    beyond = F.array_join(F.slice("cells", len(raw) + 1, F.greatest(F.size("cells"), F.lit(1))), "")
     grid = rows.select(
         FILE, LINE, *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(raw)],
-        F.array_join(F.slice("cells", len(raw) + 1, F.greatest(F.size("cells"), F.lit(1))), "").alias(EXTRA),
-    ).withColumn(EXTRA, F.when(F.col(EXTRA) != "", F.col(EXTRA)))
-    return under_headers(grid, raw, sizes.select(FILE, F.col("l.n").alias("widths")))
+        F.when(beyond != "", beyond).alias(EXTRA),
+    )
+    return under_headers(Grid(grid, grid), early_lines(early, raw), raw)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """All lines of all files with their file and cells: once with early lines numbered, once as they come."""
+
+    numbered: DataFrame
+    plain: DataFrame
+
+
+def located(grid: DataFrame) -> DataFrame:
+    return grid.select(F.col("_metadata.file_path").alias(FILE), "*")
 
 
 def most_frequent(widths: Column) -> Column:
@@ -213,21 +242,14 @@ def most_frequent(widths: Column) -> Column:
     return F.array_max(counted)["w"]
 
 
-def under_headers(grid: DataFrame, raw: list[str], widths: DataFrame | None = None) -> Loaded:
+def under_headers(grid: Grid, early: DataFrame, raw: list[str]) -> Loaded:
     """The lines below each file's header, under the columns of the widest file.
 
-    `grid` has the file, the number of each early line, and cells as wide as any header; `widths` has
-    the number of fields in each early line. Nothing about single files reaches the driver: only the
+    `early` has the first lines of every file, numbered, in cells as wide as any header. Nothing about single files reaches the driver: only the
     distinct headers do, and no more than `MOST_HEADERS`.
     """
-    if widths is None:
-        found = file_headers(grid.withColumn("_usual", F.lit(len(raw))), raw)
-        found = found.withColumn("own_width", F.lit(len(raw)))
-    else:
-        usual = widths.select(FILE, most_frequent(F.col("widths")).alias("_usual"))
-        found = file_headers(grid.where(F.col(LINE).isNotNull()).join(usual, FILE), raw)
-        own = F.coalesce(F.get("widths", F.col("header_line")), F.lit(len(raw)))
-        found = found.join(widths, FILE, "left").withColumn("own_width", own).drop("widths")
+    own_width = F.coalesce(F.get("_widths", F.col("header_line")), F.lit(len(raw)))
+    found = file_headers(early, raw).withColumn("own_width", own_width).drop("_widths")
     headers = written(found.withColumn("header", F.slice("header", 1, F.col("own_width"))), "headers")
     kinds = headers.groupBy("header").agg(F.min(FILE).alias("example"), F.max("header_line").alias("top"))
     shown = kinds.orderBy("example").limit(MOST_HEADERS + 1).collect()
@@ -243,20 +265,22 @@ def under_headers(grid: DataFrame, raw: list[str], widths: DataFrame | None = No
         if not set(mine) <= set(names):
             raise UnusableTable(f"Files with different columns: '{row['example']}' has {mine}, another {names}")
     cells = F.array(*[column(c) for c in raw])
-    beyond = F.slice(F.col("_cells"), F.col("own_width") + 1, len(raw))
-    below = grid.select(FILE, LINE, EXTRA, cells.alias("_cells")).join(headers, FILE, "left").where(
-        F.col(LINE).isNull() | (F.col(LINE) > F.coalesce("header_line", F.lit(-1)))
-    )
+    beyond = F.slice(cells, F.col("own_width") + 1, len(raw))
     fits = F.col(EXTRA).isNull() & ~F.exists(beyond, lambda cell: cell.isNotNull())
-    kept = below.where(F.coalesce(fits, F.lit(True)))
+    fits = F.coalesce(fits, F.lit(True))  # a file of long lines alone has no header
+    below = F.col(LINE).isNull() | (F.col(LINE) > F.coalesce("header_line", F.lit(-1)))
+    kept = grid.numbered.join(headers, FILE, "left").where(below & fits)
+    # Counted without numbering all lines: of those above a header only few can be too long.
+    too_long = grid.plain.join(headers, FILE, "left").where(~fits).count()
+    too_long -= early.select(FILE, LINE, *raw, EXTRA).join(headers, FILE).where(~below & ~fits).count() if too_long else 0
     log: list[tuple[int, str, str | None, str]] = []
     if top := max(row["top"] for row in shown):
         log.append((0, "header", None, f"Header in line {top + 1}; {top} line(s) above it left out"))
-    if too_long := below.where(~fits).count():
+    if too_long:
         width = widest if len({len(row["header"]) for row in shown}) == 1 else "their header's"
         log.append((len(log), "long lines", None, f"{too_long} line(s) with more than {width} fields left out"))
     if len(own_names) == 1:
-        return Loaded(kept.select(*[F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), log)
+        return Loaded(kept.select(*[column(c).alias(n) for c, n in zip(raw, names)]), log)
     # Where each column stands in a file follows from its header, of which there are few.
     places = F.create_map(*[
         x for header, mine in own_names.items() for x in (
@@ -266,14 +290,14 @@ def under_headers(grid: DataFrame, raw: list[str], widths: DataFrame | None = No
     ])
     placed = kept.withColumn("_places", F.element_at(places, F.to_json("header")))
     at = [F.get("_places", F.lit(i)) for i in range(len(names))]
-    return Loaded(placed.select(*[F.when(p >= 0, F.get("_cells", p)).alias(n) for p, n in zip(at, names)]), log)
+    return Loaded(placed.select(*[F.when(p >= 0, F.get(cells, p)).alias(n) for p, n in zip(at, names)]), log)
 
 
 def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
     """Number the first lines of every file; later lines get NULL.
 
     A task reads the lines of a file split in order, and only the split at the start of a file is
-    counted, so nothing is shuffled or sorted, and later splits never leave the JVM.
+    counted, so nothing is shuffled or sorted.
     """
     located = grid.select(
         F.col("_metadata.file_path").alias(FILE),
@@ -281,8 +305,6 @@ def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
         "*",
     )
     schema = T.StructType([*located.schema.fields, T.StructField(LINE, T.IntegerType())])
-    later = located.where(F.col(BLOCK) != 0).withColumn(LINE, F.lit(None).cast("int"))
-    located = located.where(F.col(BLOCK) == 0)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, passed = None, 0
@@ -306,29 +328,28 @@ def numbered_lines(grid: DataFrame, keep: int) -> DataFrame:
                 [*batch.columns, numbers], names=[*batch.schema.names, LINE]
             )
 
-    return located.mapInArrow(number, schema).unionByName(later)
+    return located.mapInArrow(number, schema)
 
 
-def file_headers(grid: DataFrame, raw: list[str]) -> DataFrame:
+def file_headers(early: DataFrame, raw: list[str]) -> DataFrame:
     """(file, header_line, header) of each file: its first line if that can be a header.
 
-    `_usual` is the number of fields that most of the file's first lines have.
+    `_usual` is the number of fields that most of the file's first lines have; `_widths` stays.
     """
-    early = grid.where(F.col(LINE).isNotNull() & column(EXTRA).isNull())
     all_cells = F.transform(F.array(*[column(c) for c in raw]), lambda c: F.trim(F.coalesce(c, F.lit(""))))
     cells = F.slice(all_cells, 1, F.col("_usual"))
     digits = F.forall(cells, lambda c: c.rlike("^[0-9]+$"))
     blank = F.size(F.filter(cells, lambda c: c.isin("", "nan", "None") | c.startswith("Unnamed")))
     fit = ~digits & (blank < 0.4 * F.col("_usual"))
     first = early.where(F.col(LINE) == 0).select(
-        FILE, fit.alias("fit"), F.array(*[column(c) for c in raw]).alias("own")
+        FILE, "_widths", fit.alias("fit"), F.array(*[column(c) for c in raw]).alias("own")
     )
     # A first line that is found unfit is not searched again.
     shifted = early.where(F.col(LINE) >= 1).withColumn("_at", F.col(LINE) - 1)
     searched = best_header(shifted, FILE, "_at", raw, "_usual")
     use_own = F.col("fit") | F.col("header").isNull()
     return first.join(searched, FILE, "left").select(
-        FILE,
+        FILE, "_widths",
         F.when(use_own, 0).otherwise(F.col("header_line") + 1).alias("header_line"),
         F.when(use_own, F.col("own")).otherwise(F.col("header")).alias("header"),
     )
