@@ -489,3 +489,28 @@ def test_ledger_is_one_scan_and_rows_are_not_multiplied(rows):
     for result in (formulas.violation_ledger(frame, rules), formulas.violating_rows(frame, rules, [], "k")):
         plan = result._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Generate" not in plan
+
+
+def test_group_tables_of_all_categories_in_one_pass(rows):
+    rng = random.Random(9)
+    values = [
+        (i, rng.choice(["x", "y", None]), rng.choice("abcdefghijk"), rng.choice([True, False]),
+         rng.choice([None, float("nan"), 1.5, 2.5, 1e9]), i % 7)
+        for i in range(600)
+    ]
+    frame = rows(values, "k int, g string, many string, flag boolean, v double, w int").repartition(6)
+    means = segments.group_means(frame, ["v", "w"], ["g", "many", "flag"])
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    want = {}
+    for at, name in ((1, "g"), (3, "flag")):
+        for group in {r[at] for r in values} - {None}:
+            mine = [r for r in values if r[at] == group]
+            for number, place in (("v", 4), ("w", 5)):
+                held = [r[place] for r in mine if r[place] is not None and r[place] == r[place]]
+                want[name, str(group).lower(), number] = (len(mine), pytest.approx(sum(held) / len(held)))
+    assert {(r["category"], r["grp"], r["number"]): (r["size"], r["mean"]) for r in means.collect()} == want
+    assert segments.group_means(frame.limit(0), ["v"], ["g"]).collect() == []
+    alone = frame.withColumn("v", F.when(F.col("g") == "x", F.col("v")))
+    kept = {r["grp"]: r["mean"] for r in segments.group_means(alone, ["v"], ["g"]).collect()}
+    assert kept["y"] is None and kept["x"] is not None

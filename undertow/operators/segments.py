@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,9 @@ def group_means(
     """Mean of every number per group of every usable category, from one scan and one shuffle.
 
     (category, cat_ordinal, grp, size, number, num_ordinal, mean). A category is usable with 2 to
-    `most_groups` groups of at least `least_rows` rows. Each task shuffles one partial row per
-    group, however uneven the groups are.
+    `most_groups` groups of at least `least_rows` rows. Each task adds up its rows in a table of its own
+    for all categories and numbers together, and shuffles one row per group, however uneven the groups
+    are; a category that shows more groups than allowed within a task is given up there.
     """
     schema = (
         "category string, cat_ordinal int, grp string, size bigint, number string,"
@@ -40,17 +45,25 @@ def group_means(
         *[column(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)],
     )
     numeric = [f"n{i}" for i in range(len(numbers))]
-    long = cells.unpivot(numeric, [f"c{i}" for i in range(len(categories))], "slot", "grp")
-    grouped = (
-        long.where("grp IS NOT NULL")
-        .groupBy("slot", "grp")
-        .agg(F.count(F.lit(1)).alias("size"), *[F.avg(n).alias(n) for n in numeric])
+    added = [f"{kind}{i}" for kind in ("sum", "held") for i in range(len(numbers))]
+    kinds = ["double"] * len(numbers) + ["long"] * len(numbers)
+    totals = cells.mapInArrow(
+        _group_totals(len(numbers), len(categories), most_groups),
+        "slot string, grp string, size long, " + ", ".join(f"{n} {k}" for n, k in zip(added, kinds)),
     )
+    grouped = totals.groupBy("slot", "grp").agg(F.sum("size").alias("size"), *[F.sum(n).alias(n) for n in added])
+    means = [
+        F.when(F.col(f"held{i}") > 0, F.col(f"sum{i}") / F.col(f"held{i}")).alias(n) for i, n in enumerate(numeric)
+    ]
     whole = Window.partitionBy("slot")
     usable = (
-        grouped.withColumn("groups", F.count(F.lit(1)).over(whole))
+        grouped.select("slot", "grp", "size", *means)
+        .withColumn("groups", F.count(F.lit(1)).over(whole))
         .withColumn("smallest", F.min("size").over(whole))
-        .where(F.col("groups").between(2, most_groups) & (F.col("smallest") >= least_rows))
+        .withColumn("given_up", F.max(F.col("grp").isNull()).over(whole))
+        .where(
+            F.col("groups").between(2, most_groups) & (F.col("smallest") >= least_rows) & ~F.col("given_up")
+        )
     )
     cat_ordinal = F.substring("slot", 2, 9).cast("int")
     per_number = F.array(
@@ -70,6 +83,50 @@ def group_means(
     )
 
 
+def _group_totals(
+    numbers: int, categories: int, most_groups: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sizes, sums and counts of each group; a row without a group marks a category that is given up."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: list[dict[str, np.ndarray] | None] = [{} for _ in range(categories)]
+        for batch in batches:
+            values = np.array(
+                [batch.column(i).to_numpy(zero_copy_only=False) for i in range(numbers)], dtype=float
+            ).reshape(numbers, batch.num_rows)
+            held = ~np.isnan(values)
+            values = np.where(held, values, 0.0)
+            for at, table in enumerate(tables):
+                if table is None:
+                    continue
+                coded = batch.column(numbers + at).dictionary_encode()
+                groups = coded.dictionary.to_pylist()
+                if len(table.keys() | set(groups)) > most_groups:
+                    tables[at] = None
+                    continue
+                rows = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+                code, n = coded.indices.drop_null().to_numpy(), len(groups)
+                totals = [np.bincount(code, minlength=n)]
+                totals += [np.bincount(code, weights, n) for weights in (*values[:, rows], *held[:, rows])]
+                for group, row in zip(groups, np.stack(totals, 1).astype(float)):
+                    table[group] = table.get(group, 0.0) + row
+        rows = [
+            (f"c{at}", group, *found)
+            for at, table in enumerate(tables)
+            for group, found in ({None: np.zeros(1 + 2 * numbers)} if table is None else table).items()
+        ]
+        names = ["slot", "grp", "size", *(f"{k}{i}" for k in ("sum", "held") for i in range(numbers))]
+        kinds = [pa.string()] * 2 + [pa.int64()] + [pa.float64()] * numbers + [pa.int64()] * numbers
+        cells = list(zip(*rows)) or [()] * len(names)
+        columns = [
+            pa.array([int(x) for x in column] if kind == pa.int64() else column, kind)
+            for column, kind in zip(cells, kinds)
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return add_up
+
+
 def segment_gaps(
     means: DataFrame,
     stats: TableStats,
