@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from undertow.operators import contradictions, keys, quality, segments
 from undertow.operators.anomalies import ZSCORE, score_rows
 from undertow.operators.contradictions import correlations
-from undertow.operators.frequencies import column_counts, top_values, value_counts
+from undertow.operators.frequencies import (
+    HEAD,
+    column_counts,
+    common,
+    hashed_counts,
+    top_values,
+    value_counts,
+)
 from undertow.operators.statistics import measure
 from undertow.session import new_path, written
 
@@ -53,6 +60,37 @@ def test_top_values_are_cut_before_the_shuffle(skewed):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_long_texts_are_shuffled_as_hashes(spark):
+    """Unique texts of 4,000 characters, a hot one among them, shuffle less than 200 bytes each."""
+    hot = F.lit("h" * 4000)
+    text = F.when(F.col("id") % 3 == 0, hot).otherwise(F.repeat(F.md5(F.col("id").cast("string")), 125))
+    frame = written(spark.range(3 * HOT).select(text.alias("t")).repartition(6), "long-texts")
+    counts = column_counts(hashed_counts(frame))
+    got = counts.first()
+    assert (got["distinct_values"], got["repeated_rows"]) == (2 * HOT + 1, HOT)
+    steps = plan(hashed_counts(frame))
+    assert "hashpartitioning(slot" in steps and "substring(value" in steps
+    top = common(frame, ["t"], 2).orderBy("place").collect()
+    assert [(r["value"][:1], len(r["value"]), r["freq"]) for r in top][:1] == [("h", 4000, HOT)]
+    assert top[1]["value"] == frame.where("t < 'h'").agg(F.min("t")).first()[0]
+
+
+def test_common_values_equal_a_full_count(spark):
+    """Ties, texts that begin alike, gaps, texts around the cut, numbers and odd column names."""
+    start = "b" * HEAD
+    values = [None, "", "a", "b" * (HEAD - 1), start, start + "x", start + "w", start + "é", "z" * 90, "c"]
+    table = [(values[i * i % 10], values[i % 7], i % 4 if i % 5 else None) for i in range(200)]
+    table += [(start + str(i), start + "y" * i, 7) for i in range(20)]
+    frame = spark.createDataFrame(table, "`odd.name` string, c1 string, n int")
+    names = frame.columns
+    for k, least in ((1, 1), (5, 1), (5, 2), (8, 2), (500, 1)):
+        kept = value_counts(frame, names).where(F.col("freq") >= least)
+        want = sorted(map(tuple, top_values(kept, k).select("ordinal", "value", "freq", "place").collect()))
+        got = common(frame, names, k, least).select("ordinal", "value", "freq", "place")
+        assert sorted(map(tuple, got.collect())) == want
+    assert common(frame.limit(0), names).count() == 0
+
+
 def test_examples_are_cut_before_the_shuffle(skewed):
     rules = [quality.Rule("x", "range", "", "x > 1")]
     assert "WindowGroupLimit" in plan(quality.rule_examples(skewed, rules, "k"))

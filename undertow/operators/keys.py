@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions import vocabulary as words
 from undertow.functions.cells import flat_columns
-from undertow.operators.frequencies import column_counts, top_values, value_counts
+from undertow.operators.frequencies import column_counts, common, hashed_counts
 from undertow.operators.profile import column_names
 from undertow.session import small_frame
 
@@ -25,7 +25,7 @@ def key_columns(
     """
     names = flat_columns(df)
     if per_column is None:
-        per_column = column_counts(value_counts(df, names))
+        per_column = column_counts(hashed_counts(df, names))
     present = F.col("rows") - F.col("missing")
     ratio = F.col("distinct_values") / F.nullif(present, F.lit(0))
     named = F.lit(False)
@@ -55,7 +55,7 @@ def key_examples(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     labels = F.broadcast(column_names(df, columns).select("ordinal", "column"))
     example = F.concat(F.col("value"), F.lit(" ×"), F.col("freq").cast("string"))
     return (
-        top_values(value_counts(df, columns).where("freq > 1"), k)
+        common(df, columns, k, least=2)
         .join(labels, "ordinal")
         .select("column", "place", "value", "freq", example.alias("example"))
     )

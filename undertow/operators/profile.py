@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions.cells import column, flat_columns, role_of
-from undertow.operators.frequencies import column_counts, top_values, value_counts
+from undertow.operators.frequencies import column_counts, common, hashed_counts
 from undertow.operators.statistics import TableStats
 from undertow.session import small_frame
 
@@ -26,7 +26,7 @@ def column_profile(
     `per_column` may bring `column_counts` measured before.
     """
     names = flat_columns(df) if columns is None else columns
-    measured = column_counts(value_counts(df, names)) if per_column is None else per_column
+    measured = column_counts(hashed_counts(df, names)) if per_column is None else per_column
     rows = F.coalesce(F.col("rows"), F.lit(0))
     missing = F.coalesce(F.col("missing"), F.lit(0))
     return (
@@ -99,6 +99,6 @@ def number_profile(df: DataFrame, stats: TableStats, decimals: int = 2) -> DataF
 def common_values(df: DataFrame, names: list[str], k: int = 5) -> DataFrame:
     """Top values of the named columns: (column, place, value, freq)."""
     labels = F.broadcast(column_names(df, names).select("ordinal", "column"))
-    return top_values(value_counts(df, names), k).join(labels, "ordinal").select(
+    return common(df, names, k).join(labels, "ordinal").select(
         "column", "place", "value", "freq"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from undertow.functions.cells import column, flat_columns, numeric_columns, quoted, sql_text
 from undertow.operators import anomalies, clusters, compare, contradictions, formulas, keys
 from undertow.operators import profile, quality, segments
-from undertow.operators.frequencies import column_counts, value_counts
+from undertow.operators.frequencies import column_counts, hashed_counts
 from undertow.operators.ingest import repair, with_row_id
 from undertow.operators.statistics import TableStats, measure
 from undertow.plans import charts, findings, investigate, report
@@ -253,7 +253,7 @@ class _Part:
     def columns_and_segments(self):
         """Profile, categories, segment gaps, missing columns and repeating keys."""
         table, stats = self.table, self.stats
-        counted = settled(column_counts(value_counts(table, self.names)))
+        counted = settled(column_counts(hashed_counts(table, self.names)))
         profiled = settled(profile.column_profile(table, self.names, counted))
         by_column = profiled.orderBy("ordinal").collect()
         numeric = numeric_columns(table)
