@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions.cells import listed, quoted, sql_double, sql_text
@@ -18,6 +18,8 @@ from undertow.session import small_frame
 
 PAIRS_PER_SCAN = 120
 SUMS_PER_SCAN = 40
+TILE = 256
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -40,14 +42,10 @@ def correlations(df: DataFrame, stats: TableStats, columns: list[str] | None = N
     far. Pairs with a constant side give NULL.
     """
     names = stats.numeric if columns is None else columns
-    pairs = list(combinations(names, 2))
-    schema = "pair int, col_a string, col_b string, r double"
     varying = [n for n in names if stats[n].spread]
-    listed_pairs = small_frame(
-        df.sparkSession, [(i, a, b, None) for i, (a, b) in enumerate(pairs)], schema
-    )
+    pairs = _pairs(df, names)
     if len(varying) < 2:
-        return listed_pairs
+        return pairs.withColumn("r", F.lit(None).cast("double"))
     scaled = df.selectExpr(
         *[
             f"(CAST({quoted(n)} AS DOUBLE) - {sql_double(stats[n].mean)})"
@@ -56,46 +54,86 @@ def correlations(df: DataFrame, stats: TableStats, columns: list[str] | None = N
         ]
     )
     complete = all(stats[n].non_null == stats.rows for n in varying)
-    slots = list(combinations(range(len(varying)), 2))
-    if complete and len(slots) <= SUMS_PER_SCAN:
+    width = len(varying)
+    if complete and width * (width - 1) // 2 <= SUMS_PER_SCAN:
+        slots = list(combinations(range(width), 2))
         totals = scaled.agg(*[F.expr(f"sum(z{a} * z{b}) AS xy_{a}_{b}") for a, b in slots])
         rows = [[str(a), str(b), f"xy_{a}_{b} / {stats.rows - 1}D"] for a, b in slots]
         found = listed(totals, ["a", "b", "r"], rows)
     else:
-        found = _matrix_correlations(scaled, len(varying))
-    place = {pair: i for i, pair in enumerate(pairs)}
-    numbered = small_frame(
-        df.sparkSession,
-        [(a, b, place[varying[a], varying[b]]) for a, b in slots],
-        "a int, b int, pair int",
+        found = _matrix_correlations(scaled, width)
+    place = {name: i for i, name in enumerate(names)}
+    places = F.array(*[F.lit(place[n]) for n in varying])
+    at = [F.element_at(places, F.col(side) + 1) for side in ("a", "b")]
+    known = found.select(_pair_number(*at, len(names)).alias("pair"), "r")
+    return pairs.join(F.broadcast(known), "pair", "left")
+
+
+def _pair_number(a: Column, b: Column, n: int) -> Column:
+    """Place of (a, b), a < b, among all pairs of n in order."""
+    rows_before = F.floor(a * (F.lit(2 * n - 1) - a) / 2)
+    return (rows_before + b - a - 1).cast("int")
+
+
+def _pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """(pair, col_a, col_b) of all pairs in order, listed by tasks."""
+    n = len(names)
+    if n < 2:
+        return small_frame(df.sparkSession, [], "pair int, col_a string, col_b string")
+    labels = F.array(*[F.lit(name) for name in names])
+    rows = df.sparkSession.range(n - 1, numPartitions=1 + n // TILE).select(F.col("id").cast("int").alias("a"))
+    rows = rows.select("a", F.explode(F.sequence(F.col("a") + 1, F.lit(n - 1))).alias("b"))
+    return rows.select(
+        _pair_number(F.col("a"), F.col("b"), n).alias("pair"),
+        F.element_at(labels, F.col("a") + 1).alias("col_a"),
+        F.element_at(labels, F.col("b") + 1).alias("col_b"),
     )
-    known = found.join(F.broadcast(numbered), ["a", "b"]).select("pair", "r")
-    return listed_pairs.drop("r").join(F.broadcast(known), "pair", "left")
 
 
-def _matrix_correlations(scaled: DataFrame, width: int) -> DataFrame:
-    """(a, b, r) from the sums over shared rows, added up by matrix products within each task."""
-    first, second = np.triu_indices(width, 1)
+def _tile_sums(scaled: DataFrame, low: int, high: int, width: int) -> DataFrame:
+    """Sums over shared rows of columns low..high-1 with all later ones, a row per pair and task.
+
+    A task holds six matrices of at most `TILE` rows, and multiplies some `CELLS` cells at a time.
+    """
+    first, second = np.nonzero(np.arange(low, high)[:, None] < np.arange(low, width))
+    step = max(1, CELLS // (width - low))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, x, xx, xy = (np.zeros((width, width)) for _ in range(4))
-        for batch in batches:
-            cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            held = ~np.isnan(cells)
-            cells[~held] = 0.0
-            held = held.astype(float)
-            n += held.T @ held
-            x += cells.T @ held
-            xx += (cells * cells).T @ held
-            xy += cells.T @ cells
-        upper, lower = (first, second), (second, first)
-        sums = [n[upper], x[upper], x[lower], xx[upper], xx[lower], xy[upper]]
+        n, x, y, xx, yy, xy = (np.zeros((high - low, width - low)) for _ in range(6))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                held = ~np.isnan(cells)
+                cells[~held] = 0.0
+                held = held.astype(float)
+                left, there = cells[:, : high - low].T, held[:, : high - low].T
+                n += there @ held
+                x += left @ held
+                y += there @ cells
+                xy += left @ cells
+                xx += (left * left) @ held
+                np.multiply(cells, cells, out=cells)
+                yy += there @ cells
+        sums = [part[first, second] for part in (n, x, y, xx, yy, xy)]
+        pair = [pa.array((side + low).astype(np.int32)) for side in (first, second)]
         names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
-        pair = [pa.array(side.astype(np.int32)) for side in upper]
         yield pa.RecordBatch.from_arrays([*pair, *map(pa.array, sums)], names=names)
 
     schema = "a int, b int, n double, x double, y double, xx double, yy double, xy double"
-    sums = scaled.mapInArrow(add_up, schema).groupBy("a", "b").agg(
+    return scaled.select(*[f"z{i}" for i in range(low, width)]).mapInArrow(add_up, schema)
+
+
+def _matrix_correlations(scaled: DataFrame, width: int) -> DataFrame:
+    """(a, b, r) from the sums over shared rows, added up by matrix products within each task.
+
+    Wide tables are cut into bands of `TILE` columns, each met with the columns from it on; all bands
+    run as one job, so memory of a task grows with the width and not with its square.
+    """
+    bands = [
+        _tile_sums(scaled, low, min(low + TILE, width), width) for low in range(0, width - 1, TILE)
+    ]
+    sums = reduce(DataFrame.unionByName, bands).groupBy("a", "b").agg(
         *[F.sum(s).alias(s) for s in ("n", "x", "y", "xx", "yy", "xy")]
     )
     # What rounding leaves of a constant is no variance.
