@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,34 @@ def test_spans(spark, documents):
     assert kinds == set(secrets.KINDS)
 
 
+def test_searches_from_inside_find_what_patterns_find():
+    plain = {
+        "web_token": r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+        "url_password": r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{4,}@",
+    }
+    searches, rng = secrets.compiled(), random.Random(8)
+    tokens = ["eyJ", "eyJ" + "a" * 10, ".", ".", "-", "_", "A1" * 6, "é", " ", "b", "."]
+    urls = ["://", "a", "+b.", "-", "_", "A", ":", "@", "/", "pass", "user", "1", " ", "é", "x://u:12345@"]
+    found = 0
+    for _ in range(20000):
+        for kind, parts in (("web_token", tokens), ("url_password", urls)):
+            text = "".join(rng.choices(parts, k=14))
+            want = [m.span() for m in re.finditer(plain[kind], text, re.A)]
+            assert list(searches[kind](text)) == want, text
+            found += len(want)
+    assert found > 1000
+
+
+def test_long_texts_take_time_in_proportion():
+    searches = secrets.compiled()
+    shapes = ("a.", "a.b://", "eyJ-", "eyJ-a.", "://a:", "-----BEGIN A ", "token ", "xoxb-", "ghp_-", "AKIA-", "akia 0f")
+    for shape in shapes:
+        text = shape * (1_000_000 // len(shape)) + " :// private key"
+        start = time.process_time()
+        secrets.scan_text(text, searches)
+        assert time.process_time() - start < 5, shape
+
+
 def test_only_unseen_blobs_are_scanned(spark, messy, monkeypatch):
     ledger = secrets.Ledger(spark)
     blobs = len({text or "" for _, text, _ in MESSY})

@@ -17,7 +17,7 @@ and null ids give a row each. An empty table gives an empty result and adds noth
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +38,22 @@ BASE = {
 #: Further kinds, whose shape alone gives a secret away.
 MORE = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
-    "web_token": r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "host_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
     "chat_token": r"\bxox[abprs]-[A-Za-z0-9-]{20,}",
-    "url_password": r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{4,}@",
 }
-KINDS = (*BASE, *MORE)
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Kinds with a beginning that long texts may repeat without end. They are searched from the sign in
+#: their middle: what follows it (group 1), the characters before it, and how those must begin.
+#: So a text is read a fixed number of times, where a search from the left would start anew at each.
+INSIDE = {
+    "web_token": (
+        r"\.(?=(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}))",
+        LOWER.upper() + LOWER + DIGITS + "_-",
+        r"\beyJ[A-Za-z0-9_-]{10}",
+    ),
+    "url_password": (r":(?=(//[^\s/:@]+:[^\s/:@]{4,}@))", LOWER + DIGITS + "+.-", r"\b[a-z]"),
+}
+KINDS = (*BASE, *MORE, *INSIDE)
 #: A text without any of these (in lower case) has no match of the kind.
 NEEDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
@@ -63,15 +73,43 @@ def accepted(kind: str, match: re.Match) -> bool:
     return kind != "access" or len(match[0]) >= 18
 
 
-def scan_text(text: str, patterns: dict[str, re.Pattern]) -> list[dict]:
+def from_inside(text: str, middle: re.Pattern, letters: str, opening: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping spans of letters, the middle and what follows it."""
+    low = 0
+    for match in middle.finditer(text):
+        at = match.start()
+        if at < low:
+            continue
+        run = low + len(text[low:at].rstrip(letters))
+        first = opening.search(text, run, at)
+        if first:
+            yield first.start(), match.end(1)
+        low = match.end(1) if first else at + 1
+
+
+def compiled() -> dict[str, Callable[[str], Iterable[tuple[int, int]]]]:
+    """A search for the spans of each kind."""
+
+    def plain(kind: str, pattern: str) -> Callable[[str], Iterable[tuple[int, int]]]:
+        search = re.compile(pattern, re.ASCII)
+        return lambda text: (m.span() for m in search.finditer(text) if accepted(kind, m))
+
+    def inside(middle: str, letters: str, opening: str) -> Callable[[str], Iterable[tuple[int, int]]]:
+        parts = re.compile(middle, re.ASCII), letters, re.compile(opening, re.ASCII)
+        return lambda text: from_inside(text, *parts)
+
+    found = {kind: plain(kind, pattern) for kind, pattern in (BASE | MORE).items()}
+    return found | {kind: inside(*parts) for kind, parts in INSIDE.items()}
+
+
+def scan_text(text: str, searches: dict[str, Callable[[str], Iterable[tuple[int, int]]]]) -> list[dict]:
     """Findings by start, then kind as listed; places are code points, the end exclusive."""
     low = text.lower()
     found = [
-        {"kind": kind, "start": match.start(), "end": match.end()}
-        for kind, pattern in patterns.items()
+        {"kind": kind, "start": start, "end": end}
+        for kind, search in searches.items()
         if kind not in NEEDS or any(word in low for word in NEEDS[kind])
-        for match in pattern.finditer(text)
-        if accepted(kind, match)
+        for start, end in search(text)
     ]
     return sorted(found, key=lambda span: (span["start"], KINDS.index(span["kind"])))
 
@@ -81,9 +119,9 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = {name: re.compile(pattern, re.ASCII) for name, pattern in (BASE | MORE).items()}
+        searches = compiled()
         for batch in pieces(batches, BATCH_BYTES):
-            spans = [scan_text(text, patterns) for text in batch.column("text").to_pylist()]
+            spans = [scan_text(text, searches) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("blob"),
