@@ -5,7 +5,9 @@ import pytest
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size string, score string,"
     " predicted string, row string, fp string, block string, uid string, j long, start string,"
-    " failed string, `odd.name` string, target string, n_lines string, epochs string"
+    " failed string, `odd.name` string, target string, n_lines string, epochs string,"
+    " place string, _h string, _id string, _mark string, _gone string, _name string, _key string,"
+    " _range string, _before string, _rest string, _source string, _use string"
 )
 
 
@@ -15,7 +17,7 @@ def documents(spark):
 
     def build(rows):
         full = [
-            (i, text, "en", source, None if text is None else len(text), *"abcdefg", 7, *"hijklm")
+            (i, text, "en", source, None if text is None else len(text), *"abcdefg", 7, *"hijklmnopqrstuvwxy")
             for i, text, source in rows
         ]
         return spark.createDataFrame(full, SCHEMA)

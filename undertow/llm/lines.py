@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.words import WORD, columns, let, words
+from undertow.llm.words import WORD, columns, let, spare, words
 from undertow.session import written
 
 LEAST = 50  # words
@@ -126,13 +126,14 @@ def later_copies(docs: DataFrame, least: int) -> DataFrame:
 def dedupe_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows with `text` less the later copies, `n_lines` (with a word) and `n_deleted`."""
     docs = docs.drop("n_lines", "n_deleted")
-    copies = written(later_copies(docs, least), "line-copies").toDF("_id", "_h", "_gone").hint("merge")
-    marked = docs.withColumn("_name", name(F.col("text"))).join(
+    known, h, deleted, mark = spare(docs, "_id", "_h", "_gone", "_name")
+    copies = written(later_copies(docs, least), "line-copies").toDF(known, h, deleted).hint("merge")
+    marked = docs.withColumn(mark, name(F.col("text"))).join(
         copies,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_name").eqNullSafe(F.col("_h")),
+        F.col("doc_id").eqNullSafe(F.col(known)) & F.col(mark).eqNullSafe(F.col(h)),
         "left",
     )
-    text, gone = F.col("text"), F.col("_gone")
+    text, gone = F.col("text"), F.col(deleted)
     lines = F.split(text, "\n", -1)
 
     def without(rows: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.words import WORD
+from undertow.llm.words import WORD, spare
 from undertow.session import written
 
 WEIGHTS = (3, 1, 2)
@@ -91,59 +91,63 @@ def mix(docs: DataFrame) -> DataFrame:
     `epochs` counts whole uses of the document, `cut` the words of one further use; `taken` is
     epochs * size + cut.
     """
-    docs = docs.drop(*ADDED).withColumns({
+    docs = docs.drop(*ADDED)
+    place, part, key, before, left, named = spare(
+        docs, "place", "_range", "_key", "_before", "_rest", "_source"
+    )
+    docs = docs.withColumns({
         "size": F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")),
-        "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
+        key: F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
     })
-    finest = F.conv(F.substring("_key", 1, KEY_BITS // 4), 16, 10).cast("int")
-    ranges = docs.groupBy("source", finest.alias("_range")).agg(
+    finest = F.conv(F.substring(key, 1, KEY_BITS // 4), 16, 10).cast("int")
+    ranges = docs.groupBy("source", finest.alias(part)).agg(
         F.sum("size").alias("range_size"), F.count("*").alias("n")
     )
     ranges = written(ranges, "mix-ranges")
     rows = ranges.agg(F.sum("n")).first()[0] or 0
     wider = KEY_BITS - min(KEY_BITS, (rows // ROWS_PER_RANGE).bit_length())
-    docs = docs.withColumn("_range", F.shiftright(finest, wider))
-    ranges = ranges.groupBy("source", F.shiftright("_range", wider).alias("_range")).agg(
+    docs = docs.withColumn(part, F.shiftright(finest, wider))
+    ranges = ranges.groupBy("source", F.shiftright(part, wider).alias(part)).agg(
         F.sum("range_size").alias("range_size")
     )
     sources = written(
         targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))), "mix-sources"
-    ).withColumnRenamed("source", "_source")
+    ).withColumnsRenamed({"source": named, "place": place})
     few = sources.count() <= BROADCAST_SOURCES
 
-    def of_source(table: DataFrame, part: DataFrame) -> DataFrame:
-        same = F.col("source").eqNullSafe(F.col("_source"))
-        return table.join(F.broadcast(part) if few else part, same).drop("_source")
+    def of_source(table: DataFrame, sources: DataFrame) -> DataFrame:
+        same = F.col("source").eqNullSafe(F.col(named))
+        return table.join(F.broadcast(sources) if few else sources, same).drop(named)
 
     ranges = of_source(ranges, sources).select(
-        "place", "source_size", "target", "_range",
+        place, "source_size", "target", part,
         F.coalesce(
             F.sum("range_size").over(
-                Window.partitionBy("place").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+                Window.partitionBy(place).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
             ),
             F.lit(0),
-        ).alias("_before"),
+        ).alias(before),
     )
-    placed = of_source(docs, sources.select("_source", "place"))
+    placed = of_source(docs, sources.select(named, place))
     within = (
-        Window.partitionBy("place", "_range")
-        .orderBy("_key", F.asc_nulls_first("doc_id"), "size")
+        Window.partitionBy(place, part)
+        .orderBy(key, F.asc_nulls_first("doc_id"), "size")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     whole = F.floor("target").cast("long")
     size, source_size = F.col("size"), F.col("source_size")
     rest = whole - F.col("epochs") * source_size
     return (
-        placed.join(ranges, ["place", "_range"])
-        .withColumn("start", F.col("_before") + F.sum("size").over(within) - size)
+        placed.join(ranges, [place, part])
+        .withColumn("start", F.col(before) + F.sum("size").over(within) - size)
         .withColumn(
             "epochs",
             F.when(source_size > 0, F.floor(whole / source_size)).otherwise(0).cast("long"),
         )
-        .withColumn("_rest", rest)
-        .withColumn("cut", F.greatest(F.lit(0).cast("long"), F.least(size, F.col("_rest") - F.col("start"))))
+        .withColumn(left, rest)
+        .withColumn("cut", F.greatest(F.lit(0).cast("long"), F.least(size, F.col(left) - F.col("start"))))
         .withColumn("taken", F.col("epochs") * size + F.col("cut"))
-        .drop("place", "_range", "_key", "_before", "_rest")
+        .drop(place, part, key, before, left)
     )
 
 
@@ -153,14 +157,15 @@ def copies(mixed: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     short = F.array_join(F.slice(words, 1, F.greatest(F.col("cut"), F.lit(1)).cast("int")), "")
     uses = F.col("epochs") + F.when(F.col("cut") > 0, 1).otherwise(0)
+    (use,) = spare(mixed, "_use")
     return (
         mixed.where(uses > 0)
-        .withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), uses)))
+        .withColumn(use, F.explode(F.sequence(F.lit(1).cast("long"), uses)))
         .withColumn(
             "text",
             F.when(
-                (F.col("_use") > F.col("epochs")) & (F.col("cut") < F.col("size")), short
+                (F.col(use) > F.col("epochs")) & (F.col("cut") < F.col("size")), short
             ).otherwise(F.col("text")),
         )
-        .drop("_use")
+        .drop(use)
     )

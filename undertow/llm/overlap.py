@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from undertow.llm import simhash
 from undertow.llm.components import components
-from undertow.llm.words import columns
+from undertow.llm.words import columns, spare
 from undertow.session import written
 
 WORDS = 5
@@ -195,9 +195,9 @@ def dedupe(docs: DataFrame, hot: int = simhash.HOT) -> DataFrame:
 
     Rows that repeat both id and text count as one.
     """
-    mark = F.md5(F.coalesce("text", F.lit("")))
-    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("_h").alias("h"))
-    rows = docs.withColumn("_h", mark)
+    h, known, mark = spare(docs, "_h", "_id", "_mark")
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(h).alias("h"))
+    rows = docs.withColumn(h, F.md5(F.coalesce("text", F.lit(""))))
     what = described(F.col("text"), common_hashes(docs.select("text")))
     prints = written(rows.select(key.alias("key"), what.alias("d")).select("key", "d.*"), "fingerprints")
     names = prints.groupBy("name").agg(
@@ -207,18 +207,18 @@ def dedupe(docs: DataFrame, hot: int = simhash.HOT) -> DataFrame:
     roots = written(simhash.grouped(names.select("name", "fp"), hot).select("name", "root"), "roots")
     placed = prints.select("name", F.explode("prefix").alias("hash"))
     # One row a name stands for it; its text is found by id and hash.
-    owner = names.select("name", F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_mark"))
+    owner = names.select("name", F.col("key.doc_id").alias(known), F.col("key.h").alias(mark))
+    same = F.col("doc_id").eqNullSafe(F.col(known)) & (F.col(h) == F.col(mark))
 
     def texts(wanted: DataFrame) -> DataFrame:
         few = owner.join(wanted, "name", "left_semi")
-        return rows.select("doc_id", "_h", "text").join(few.hint("merge"), same).select("name", "text")
+        return rows.select("doc_id", h, "text").join(few.hint("merge"), same).select("name", "text")
 
     roots = merged(roots, names, placed, texts)
     kept = names.join(roots, "name").groupBy("root").agg(F.min("key").alias("key"))
-    kept = written(kept.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_mark")), "kept")
+    kept = written(kept.select(F.col("key.doc_id").alias(known), F.col("key.h").alias(mark)), "kept")
     return (
         rows.join(kept.hint("merge"), same, "left_semi")
-        .dropDuplicates(["doc_id", "_h"])
+        .dropDuplicates(["doc_id", h])
         .select(*columns(docs))
     )

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.components import components
-from undertow.llm.words import columns
+from undertow.llm.words import columns, spare
 from undertow.session import written
 
 SHINGLE, SEED = 3, 42
@@ -210,17 +210,17 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame
     Rows that repeat both id and text count as one. Only ids and hashes are kept aside; the rows meet
     what is kept in a join that shuffles at any size.
     """
-    mark = F.md5(F.coalesce("text", F.lit("")))
-    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("_h").alias("h"))
-    rows = docs.withColumn("_h", mark)
+    h, known, mark = spare(docs, "_h", "_id", "_mark")
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(h).alias("h"))
+    rows = docs.withColumn(h, F.md5(F.coalesce("text", F.lit(""))))
     prints = rows.select(key.alias("key"), fingerprint(F.col("text"), shingle).alias("fp"))
     prints = written(prints, "fingerprints")
     least = prints.groupBy("fp").agg(F.min("key").alias("least"))
     kept = grouped(least, hot).groupBy("root").agg(F.min("least").alias("key"))
-    kept = written(kept.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_mark")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_mark"))
+    kept = written(kept.select(F.col("key.doc_id").alias(known), F.col("key.h").alias(mark)), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(known)) & (F.col(h) == F.col(mark))
     return (
         rows.join(kept.hint("merge"), same, "left_semi")
-        .dropDuplicates(["doc_id", "_h"])
+        .dropDuplicates(["doc_id", h])
         .select(*columns(docs))
     )

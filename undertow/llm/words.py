@@ -31,6 +31,18 @@ def columns(docs: DataFrame, *but: str) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in docs.columns if name not in but]
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Names for working columns: the given ones, longer where `docs` has a column of that name."""
+    taken = {name.lower() for name in docs.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
