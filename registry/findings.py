@@ -350,6 +350,20 @@ def chart_scatter(spark, folder):
     return points.withColumn("y", F.round("y", 4))
 
 
+@register(
+    "chart_scatter_sample",
+    with_planted(
+        f"""{HIGH} SELECT order_id AS row_id, spend_plan AS x, round(final_result, 4) AS y, inside AS flagged
+        FROM g WHERE spend_plan IS NOT NULL AND final_result IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY inside ORDER BY md5(order_id::VARCHAR), order_id) <= 300"""
+    ),
+)
+def chart_scatter_sample(spark, folder):
+    table, _, groups, pairs = high_group(spark, folder)
+    points = charts.scatter_sample(table, *pairs["high"], groups["high"], "order_id")
+    return points.withColumn("y", F.round("y", 4))
+
+
 @register(
     "chart_segment_bars",
     on_planted(

@@ -21,6 +21,7 @@ from undertow.operators.frequencies import (
     value_counts,
 )
 from undertow.operators.statistics import measure
+from undertow.plans import charts
 from undertow.session import new_path, written
 
 SMALL = "/root/testdata/sf0.001"
@@ -95,6 +96,20 @@ def test_common_values_equal_a_full_count(spark):
     assert common(frame.limit(0), names).count() == 0
 
 
+def test_rare_flags_are_drawn_on_any_partitioning(spark):
+    """Three flagged rows among 9,000 all show, and the points do not depend on the partitions."""
+    frame = spark.range(9000).select("id", F.col("id").alias("x"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("y"))
+    rule = "id IN (4001, 5002, 8003, 7)"
+    shown = []
+    for parts in (1, 7):
+        points = charts.scatter_sample(frame.repartition(parts), "x", "y", rule, "id", 100)
+        assert "WindowGroupLimit" in plan(points)
+        shown.append(sorted(map(tuple, points.collect())))
+    assert shown[0] == shown[1] and len(shown[0]) == 53
+    assert sum(flagged for *_, flagged in shown[0]) == 3
+    assert charts.scatter_sample(frame, "x", "y", rule, "id", None).count() == frame.where("y IS NOT NULL").count()
+
+
 def test_examples_are_cut_before_the_shuffle(skewed):
     rules = [quality.Rule("x", "range", "", "x > 1")]
     assert "WindowGroupLimit" in plan(quality.rule_examples(skewed, rules, "k"))

@@ -78,8 +78,14 @@ class Audit:
         names = [n for n in self.columns if n not in self.numbers]
         return profile.common_values(self.table, names)
 
-    def charts(self) -> dict[str, DataFrame]:
-        """The data of every chart some finding calls for."""
+    def charts(
+        self, sampled: bool = False, points: int | None = charts.SCATTER_ROWS
+    ) -> dict[str, DataFrame]:
+        """The data of every chart some finding calls for.
+
+        Scatter charts show the first `points` rows, or `sampled` ones of both kinds; None shows all.
+        """
+        scatter = charts.scatter_sample if sampled else charts.scatter_points
         drawn: dict[str, DataFrame] = {}
         top = {}
         for row in findings.ranked(self.findings).collect():
@@ -87,11 +93,11 @@ class Audit:
         if "contradiction" in top:
             a, b = top["contradiction"]["columns"]
             rule = top["contradiction"]["predicate"]
-            drawn["contradiction"] = charts.scatter_points(self.scored, a, b, rule, self.row_id)
+            drawn["contradiction"] = scatter(self.scored, a, b, rule, self.row_id, points)
         elif self.anomalies.first()["anomaly_count"] >= 3 and len(self.numbers) >= 2:
             a, b = self.numbers[:2]
-            drawn["outliers"] = charts.scatter_points(
-                self.scored, a, b, "is_anomaly", self.row_id
+            drawn["outliers"] = scatter(
+                self.scored, a, b, "is_anomaly", self.row_id, points
             )
         if "segment" in top:
             drawn["segment"] = charts.segment_bars(self.segments.limit(1))
@@ -118,9 +124,9 @@ class Audit:
             drawn["distribution"] = charts.histogram(self.table, target, self.stats)
             time = charts.time_column(self.table)
             if time:
-                points = settled(charts.trend(self.table, time, cited or self.numbers[0]))
-                if points.count() >= charts.LEAST_TREND_POINTS:
-                    drawn["trend"] = points
+                line = settled(charts.trend(self.table, time, cited or self.numbers[0]))
+                if line.count() >= charts.LEAST_TREND_POINTS:
+                    drawn["trend"] = line
         return drawn
 
     def report(self) -> DataFrame:

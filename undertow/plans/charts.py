@@ -24,11 +24,30 @@ GRAINS = (("month", 28), ("quarter", 90), ("year", 365))
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, predicate: str, row_id: str, most: int = SCATTER_ROWS
+    df: DataFrame, x: str, y: str, predicate: str, row_id: str, most: int | None = SCATTER_ROWS
 ) -> DataFrame:
     """(row_id, x, y, flagged) of the first rows in row order that have both values."""
-    first = df.orderBy(column(row_id)).limit(most)
-    return first.where(number(x).isNotNull() & number(y).isNotNull()).select(
+    return _points(df if most is None else df.orderBy(column(row_id)).limit(most), x, y, predicate, row_id)
+
+
+def scatter_sample(
+    df: DataFrame, x: str, y: str, predicate: str, row_id: str, most: int | None = SCATTER_ROWS
+) -> DataFrame:
+    """(row_id, x, y, flagged) of up to `most` / 2 flagged rows and as many others with both values.
+
+    Rows are taken in the order of the MD5 of their id (as text, then the id), so the points are the
+    same however the table is cut into files and tasks, and flagged ones show however rare they are. A
+    task passes on no more rows of each kind than are shown; what two tables give can be cut again.
+    """
+    points = _points(df, x, y, predicate, row_id)
+    if most is None:
+        return points
+    drawn = Window.partitionBy("flagged").orderBy(F.md5(F.col("row_id").cast("string").cast("binary")), "row_id")
+    return points.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= most // 2).drop("place")
+
+
+def _points(df: DataFrame, x: str, y: str, predicate: str, row_id: str) -> DataFrame:
+    return df.where(number(x).isNotNull() & number(y).isNotNull()).select(
         column(row_id).alias("row_id"),
         number(x).alias("x"),
         number(y).alias("y"),
