@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, lines, mixing, overlap, quality
+from undertow.llm import bpe, lines, mixing, quality, simhash
 from undertow.llm.words import columns, word_count
 from undertow.session import written
 
@@ -43,8 +43,8 @@ def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    return unpacked(overlap.dedupe(packed(docs)), docs)
+    """Keep one document of each group whose fingerprints of three-word runs differ in two bits or fewer."""
+    return unpacked(simhash.dedupe(packed(docs)), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids of every text."""
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ("ids",))
+    """doc_id, n_tokens, the token ids of every text, and the digest of the text they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(docs, path, ("ids", "decoded_sha256"))
 
 
 STAGES = [
