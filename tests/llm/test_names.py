@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from undertow.llm import lines, mixing, overlap, simhash
+from undertow.llm import lines, mixing, simhash
 from undertow.llm.words import spare, word_count
 
 CHANGED = {"text", "size", "n_lines", "n_deleted", *mixing.ADDED}
@@ -19,7 +19,7 @@ def used(docs):
     return mixing.copies(mixed(docs))
 
 
-@pytest.mark.parametrize("operator", [mixed, used, lines.dedupe_lines, simhash.dedupe, overlap.dedupe])
+@pytest.mark.parametrize("operator", [mixed, used, lines.dedupe_lines, simhash.dedupe])
 def test_values_stay(messy, operator):
     result = operator(messy)
     kept = [name for name in messy.columns if name not in CHANGED]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -64,15 +65,19 @@ def test_each_stage(spark, documents, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
-    want = sorted(library.encode(r["text"]).ids for r in docs.collect())
-    assert sorted(r["ids"] for r in encoded) == want
+    want = []
+    for row in docs.collect():
+        ids = library.encode(row["text"], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((ids, hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted((r["ids"], r["decoded_sha256"]) for r in encoded) == sorted(want)
 
 
 def test_messy_rows_pass(spark, messy):
     docs = messy
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, DATA))
-    assert docs.columns == ["doc_id", "n_tokens", "ids"] and docs.count() <= 3 * len(MESSY)
+    assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and docs.count() <= 3 * len(MESSY)
 
 
 def test_run(spark):
