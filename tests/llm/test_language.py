@@ -31,6 +31,28 @@ def counted(rows):
     return words, pairs
 
 
+def of_order_3(text, rows, weights):
+    """The mix of four estimates, every run and context counted by its tokens."""
+    runs, contexts = Counter(), Counter()
+    for _, other in rows:
+        line = [b"", b"", *tokens(other)]
+        for at in range(2, len(line)):
+            for n in (1, 2, 3):
+                runs[tuple(line[at - n + 1 : at + 1])] += 1
+                contexts[tuple(line[at - n + 1 : at])] += 1
+    line, total = [b"", b"", *tokens(text)], 0.0
+    distinct = len({run for run in runs if len(run) == 1})
+    for at in range(2, len(line)):
+        two, one = contexts[line[at - 2], line[at - 1]], contexts[line[at - 1],]
+        bucket = 64 + two.bit_length() if two else one.bit_length()
+        parts = [
+            runs[tuple(line[at - 2 : at + 1])] / max(two, 1), runs[tuple(line[at - 1 : at + 1])] / max(one, 1),
+            runs[line[at],] / contexts[()], 1 / (distinct + 1),
+        ]
+        total += math.log10(sum(w * p for w, p in zip(weights[bucket], parts)))
+    return total
+
+
 def scores(text, words, pairs, weights):
     n, v = sum(words.values()), len(words)
     base = model = 0.0
@@ -64,10 +86,34 @@ def test_against_dictionaries(documents, monkeypatch):
     assert got == want
 
 
-def test_blocks_do_not_matter(documents):
+def test_order_3_against_dictionaries(documents, monkeypatch):
+    weights = []
+    maximise = language.maximise
+    monkeypatch.setattr(language, "maximise", lambda *a: weights.append(maximise(*a)) or weights[0])
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["The", "cat", "sat", "é", "mat\n"], k=rng.randrange(30)))) for i in range(120)]
+    rows += [(i, text) for i, text, _ in MESSY]
+    found = language.score(documents([(*row, "a") for row in rows]), block=2000, hash_range=1500, order=3).collect()
+    train = [row for row in rows if role(row[0]) != 1]
+    assert weights[0].shape == (128, 4) and len(found) == len(rows)
+    want = Counter((i, len(tokens(text)), round(of_order_3(text, train, weights[0]), 6)) for i, text in rows)
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in found) == want
+
+
+def test_repeated_rows_are_dealt_over_blocks(documents):
+    docs = documents([(7, "the same row " * 20, "a")] * 400).repartition(4).select(
+        "doc_id", language.fold(language.F.col("doc_id")).alias("fold"), "text"
+    )
+    blocks = language.packed(docs, 4000).collect()
+    least = 400 * 260 // 6000  # a block has half its size more at most
+    assert len(blocks) >= least and len({r["block"] for r in blocks}) == len(blocks)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_blocks_do_not_matter(documents, order):
     docs = documents([(i, f"a b c {i % 7} d e {i % 3}", "a") for i in range(60)])
-    one = {r["doc_id"]: r["score"] for r in language.score(docs).collect()}
-    many = {r["doc_id"]: r["score"] for r in language.score(docs, block=100, hash_range=60).collect()}
+    one = {r["doc_id"]: r["score"] for r in language.score(docs, order=order).collect()}
+    many = {r["doc_id"]: r["score"] for r in language.score(docs, block=100, hash_range=60, order=order).collect()}
     assert one == pytest.approx(many)
 
 
