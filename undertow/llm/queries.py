@@ -227,8 +227,8 @@ def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op8_lm_scoring")
 def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's log10 probability under a unigram base and the interpolated trigram model."""
-    scored = language.score(load(spark, folder, "documents"), order=3)
+    """Every document's log10 probability under a unigram base and the interpolated bigram model."""
+    scored = language.score(load(spark, folder, "documents"))
     return scored.select(
         "doc_id", (F.col("fold") == language.HELD_OUT).alias("held_out"), "n_tokens", "n_known",
         "train_tokens", "base_score", "score",
