@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 from undertow.llm.words import fold, pieces
 from undertow.session import written
 
-BLOCK = 4 << 20  # bytes of text
-RANGE = 8 << 20  # bytes of text per hash range
+BLOCK = 2 << 20  # bytes of text
+RANGE = 4 << 20  # bytes of text per hash range
 HELD_OUT, TUNING = 1, 2  # remainders of the id's hash
 STEPS = 8  # per power of two
 ROUNDS = 100
