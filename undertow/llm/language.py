@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.words import fold, pieces
-from undertow.session import written
+from undertow.session import new_path, written
 
 BLOCK = 2 << 20  # bytes of text
 RANGE = 4 << 20  # bytes of text per hash range
@@ -366,7 +366,10 @@ def score(docs: DataFrame, block: int = BLOCK, hash_range: int = RANGE, order: i
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id")).alias("fold"), "text"
     )
-    texts = written(packed(docs, block), "text-blocks")
+    path = new_path(docs.sparkSession, "text-blocks")
+    few = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1"}  # long rows, packed already
+    packed(docs, block).write.options(**few).parquet(path)
+    texts = docs.sparkSession.read.parquet(path)
     answers = written(answer(ask(texts, ranges, order)), "counts")
     sums = answers.where(F.col("kind") == WORDS).agg(
         *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_kept", "v_kept", "n_all", "v_all"))
