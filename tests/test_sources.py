@@ -282,3 +282,12 @@ def test_a_quote_left_open(spark, tmp_path):
 ])
 def test_states_of_lines(line, state, after):
     assert quoted.line_states(",")(line, state) == after
+
+
+@pytest.mark.parametrize("cell, names", [("café", ["Größe", "Ort"]), ('"ca\nfé"', ["Größe", "Ort"])])
+def test_folder_in_latin1(spark, tmp_path, cell, names):
+    for i in range(2):
+        (tmp_path / f"{i}.csv").write_bytes(f"Größe,Ort\n{i},{cell}\n".encode("latin1"))
+    table = read_table(spark, str(tmp_path), "csv").table
+    assert table.columns == names
+    assert sorted(map(tuple, table.collect())) == [(str(i), cell.strip('"')) for i in range(2)]

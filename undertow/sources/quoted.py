@@ -129,9 +129,18 @@ class Block:
         yield (*self.key, EITHER, STATES, None, None, None, outside, inside)
 
 
+def decoded(lines: DataFrame, encoding: str) -> DataFrame:
+    """Lines as text. Spark's text reader passes on the bytes of a line, whatever encoding it is given."""
+    if encoding.upper().replace("-", "") == "UTF8":
+        text = F.make_valid_utf8("value")
+    else:
+        text = F.decode(F.col("value").cast("binary"), encoding)
+    return lines.withColumn("value", text)
+
+
 def parsed_blocks(spark: SparkSession, path: str, encoding: str, separator: str, keep: int) -> DataFrame:
     """Records and pieces of all blocks; the first `keep` records of every file are numbered."""
-    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).select(
+    lines = decoded(spark.read.option("lineSep", "\n").text(path), encoding).select(
         F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK), "value"
     )
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(),

@@ -22,7 +22,7 @@ from undertow.operators.ingest import (
     unique_names,
 )
 from undertow.session import written
-from undertow.sources.quoted import BLOCK, FILE, LINE, read_records
+from undertow.sources.quoted import BLOCK, FILE, LINE, decoded, read_records
 from undertow.sources.sniff import folder_formats
 from undertow.sources.validate import UnusableTable, check_usable
 
@@ -55,11 +55,10 @@ def text_facts(spark: SparkSession, path: str) -> tuple[str, bool]:
 
 def head_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
     """The first lines of one file: the first by name."""
-    reader = spark.read.option("encoding", encoding)
-    files = sorted(reader.text(path).inputFiles())
+    files = sorted(spark.read.text(path).inputFiles())
     if not files:
         return []
-    return [row[0] for row in reader.text(files[0]).limit(HEAD_LINES).collect()]
+    return [row[0] for row in decoded(spark.read.text(files[0]), encoding).limit(HEAD_LINES).collect()]
 
 
 def guess_separator(lines: list[str]) -> str:
@@ -74,7 +73,7 @@ def file_heads(spark: SparkSession, path: str, encoding: str, separator: str | N
 
     Lines are numbered as the reader numbers them, without empty ones.
     """
-    lines = spark.read.option("encoding", encoding).text(path).where("trim(value) <> ''")
+    lines = decoded(spark.read.text(path), encoding).where("trim(value) <> ''")
     first = numbered_lines(lines.where("_metadata.file_block_start = 0"), HEAD_LINES)
 
     def look(group: pd.DataFrame) -> pd.DataFrame:
