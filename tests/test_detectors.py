@@ -514,3 +514,12 @@ def test_group_tables_of_all_categories_in_one_pass(rows):
     alone = frame.withColumn("v", F.when(F.col("g") == "x", F.col("v")))
     kept = {r["grp"]: r["mean"] for r in segments.group_means(alone, ["v"], ["g"]).collect()}
     assert kept["y"] is None and kept["x"] is not None
+
+
+def test_header_score_looks_at_each_cell_once(rows):
+    from undertow.operators.ingest import header_score
+
+    table = rows([("Total", "$1,200", " ", "inf"), ("Name", "Unit", None, "n/a")], "a string, b string, c string, d string")
+    score = header_score(table, table.columns)
+    assert str(score).upper().count("RLIKE") <= 6 * len(table.columns)
+    assert [r[0] for r in table.select(score).collect()] == [None, 7.5]

@@ -12,6 +12,7 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 EDGE_SPACE = f"^{SPACE}|{SPACE}$"
 DRESSED = r"[$€₹,\\()%]|" + SPACE
+MAYBE_NUMBER = rf"^(?:{SPACE}|[,$€₹()%])*[+-]?[,$€₹]*(?:[\d.]|[iI][,$€₹]*[nN]|[nN][,$€₹]*[aA])"
 HEADER_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 
 
@@ -106,11 +107,19 @@ def number_from_text(c: Column) -> Column:
     return F.when(bracketed, -value).otherwise(value)
 
 
+def is_filled(c: Column) -> Column:
+    """Whether a text cell holds more than white space; NULL if it is missing."""
+    return c.rlike(f"(?!{SPACE})(?s:.)")
+
+
 def reads_as_number(c: Column) -> Column:
-    """Whether a text cell looks like a number to the header search (never NULL)."""
-    bare = F.btrim(F.regexp_replace(strip(c), "[,$€₹]", ""), F.lit("()% "))
+    """Whether a text cell looks like a number to the header search (never NULL).
+
+    How the cell begins rules out most words; only the others are undressed.
+    """
+    bare = F.btrim(F.translate(strip(c), ",$€₹", ""), F.lit("()% "))
     word = ~F.lower(bare).isin(*words.HEADER_NON_NUMBERS)
-    return F.coalesce(word & bare.rlike(HEADER_NUMBER), F.lit(False))
+    return F.coalesce(c.rlike(MAYBE_NUMBER) & bare.rlike(HEADER_NUMBER) & word, F.lit(False))
 
 
 def is_date_like(c: Column) -> Column:
