@@ -4,6 +4,7 @@ import csv
 import io
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -291,3 +292,17 @@ def test_folder_in_latin1(spark, tmp_path, cell, names):
     table = read_table(spark, str(tmp_path), "csv").table
     assert table.columns == names
     assert sorted(map(tuple, table.collect())) == [(str(i), cell.strip('"')) for i in range(2)]
+
+
+def test_files_of_a_thousand_orders_lie_in_one_folder(spark, tmp_path):
+    from registry.sources import order_files
+
+    orders = spark.range(3500).selectExpr(
+        "id AS o_orderkey", "'O' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+        "DATE'2024-01-31' AS o_orderdate",
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    path = order_files(spark, str(tmp_path), F.lit("Order Key"), F.col("Order Key"))
+    shown = list(Path(path).glob("**/part-*"))
+    assert len(shown) == 4 and {p.parent for p in shown} == {Path(path)}
+    assert sum(len(p.read_text().split()) for p in shown) == 3500 + 4 * 2  # "Order Key" is two words
