@@ -306,3 +306,14 @@ def test_files_of_a_thousand_orders_lie_in_one_folder(spark, tmp_path):
     shown = list(Path(path).glob("**/part-*"))
     assert len(shown) == 4 and {p.parent for p in shown} == {Path(path)}
     assert sum(len(p.read_text().split()) for p in shown) == 3500 + 4 * 2  # "Order Key" is two words
+
+
+def test_heads_of_many_files_are_read_by_several_tasks(spark, tmp_path):
+    from undertow.session import written
+    from undertow.sources.readers import file_heads
+
+    for i in range(24):
+        (tmp_path / f"{i}.txt").write_text(f"a{';|'[i % 2]}b\n{i}{';|'[i % 2]}2\n")
+    heads = written(file_heads(spark, str(tmp_path), "UTF-8", None))
+    assert len(heads.inputFiles()) > 1
+    assert {tuple(r) for r in heads.groupBy("separator").count().collect()} == {(";", 24), ("|", 24)}

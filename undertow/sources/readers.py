@@ -84,7 +84,11 @@ def file_heads(spark: SparkSession, path: str, encoding: str, separator: str | N
         cells = [[cell or None for cell in row] for row in rows]
         return pd.DataFrame({FILE: group[FILE], LINE: group[LINE], "separator": own, "cells": cells})
 
-    return first.where(F.col(LINE).isNotNull()).select(FILE, LINE, "value").groupBy(FILE).applyInPandas(
+    # An explicit number of partitions keeps the few lines of many files from being merged into one slow task.
+    dealt = first.where(F.col(LINE).isNotNull()).select(FILE, LINE, "value").repartition(
+        spark.sparkContext.defaultParallelism, FILE
+    )
+    return dealt.groupBy(FILE).applyInPandas(
         look, f"{FILE} string, {LINE} int, separator string, cells array<string>"
     )
 
