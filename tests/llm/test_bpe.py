@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -82,3 +83,35 @@ def test_kept_words_are_bounded(codec, library, monkeypatch):
 
 def test_empty_table(nothing):
     assert bpe.encode(nothing, PATH).collect() == []
+
+
+def test_memory_of_new_words_is_bounded(codec, monkeypatch):
+    """What encoding needs besides the kept words does not grow with the new words of a batch."""
+    rng = random.Random(4)
+    words = list({"".join(rng.choices("abcdeinorst", k=rng.randrange(4, 20))) for _ in range(60_000)})
+
+    def peak(count):
+        fresh = bpe.Codec.of(dict(vars(codec), words={}, older={}))
+        tracemalloc.start()
+        fresh.keep(set(words[:count]))
+        kept, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return most - kept
+
+    assert peak(60_000) < 2 * peak(15_000)
+
+
+def test_words_in_use_outlive_a_generation(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_WORDS", 3)
+    fresh = bpe.Codec.of(dict(vars(codec), words={}, older={}))
+    fresh.keep({"one", "two", "three", "four"})
+    seen = []
+    monkeypatch.setattr(fresh, "encode_words", lambda spelt: seen.extend(spelt) or codec.encode_words(spelt))
+    fresh.keep({"one", "five", "\0<|endoftext|>"})
+    assert seen == ["five" + bpe.END]
+    assert fresh.words["one"] == codec_entry(codec, "one") and fresh.words.keys() == {"one", "five", "\0<|endoftext|>"}
+
+
+def codec_entry(codec, word):
+    codec.keep({word})
+    return codec.words[word]

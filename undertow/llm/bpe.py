@@ -2,7 +2,8 @@
 
 The vocabulary is the public one of a tokenizer file: lower-cased words, split by a pattern, spelt in
 bytes, the last byte marked as a word's end, merged by rank. Words are encoded once per task and kept
-(up to a bound). New words of a batch go through three steps:
+(up to a bound). New words go through three steps, some 131,072 letters at a time, so that a worker's
+memory depends neither on the batch nor on how many of its words are new:
 
 1. Guess: from left to right take the longest token that the rest of the word starts with.
 2. Verify: a sequence is the encoder's own exactly if each token is what its own letters encode to
@@ -37,11 +38,13 @@ from tokenizers import Tokenizer
 from undertow.llm.words import pieces
 
 END = "\n"  # stands for the mark of a word's end; no byte is spelt so
-MOST_WORDS = 300_000  # kept per Python worker
+MOST_WORDS = 100_000  # kept per Python worker, of each of two generations
+MOST_LETTERS = 1 << 17  # encoded at once, or a single word
 LONG_WORD = 64  # bytes
 SYMBOLS = 512  # more than any character that spells a byte
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 512 << 10
 NEVER = np.iinfo(np.int64).max
+LAST = np.iinfo(np.int32).max  # later than any rank: when a part stays
 
 # Fixed by the tokenizer: what splits a text into words, and what counts as white space.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
@@ -56,7 +59,11 @@ def byte_spelling() -> dict[int, str]:
 
 
 class Codec:
-    """Tables of one vocabulary. They are as large as its file, so Spark may broadcast them."""
+    """Tables of one vocabulary. They are as large as its file, so Spark may broadcast them.
+
+    Each Python worker holds its own copy: `tables` leaves out what only building them needs, and the
+    library comes without its vocabulary, for it only normalizes and splits.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -67,9 +74,10 @@ class Codec:
             return token.removesuffix(mark) + END if token.endswith(mark) else token
 
         self.ids = {spelt(token): number for token, number in model["vocab"].items()}
-        self.names = {number: token for token, number in model["vocab"].items()}
+        self.letters = {text: n for text, n in self.ids.items() if len(text.removesuffix(END)) <= 1}
+        names = {number: token for token, number in model["vocab"].items()}
         self.special = {token["content"]: token["id"] for token in spec["added_tokens"]}
-        self.names |= {number: token for token, number in self.special.items()}
+        names |= {number: token for token, number in self.special.items()}
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         merges = np.array(
             [
@@ -79,9 +87,10 @@ class Codec:
             dtype=np.int64,
         ).reshape(-1, 3)
         self.products = merges[:, 2]
-        self.size = max(self.names) + 1
-        self.ranks = {(int(a), int(b)): (rank, int(c)) for rank, (a, b, c) in enumerate(merges)}
+        self.size = max(names) + 1
+        self.names = [names.get(number) for number in range(self.size)]
         keys = merges[:, 0] * self.size + merges[:, 1]
+        self.ranks = {key: rank for rank, key in enumerate(keys.tolist())}
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], order.astype(np.int64)
         self.set_parts(merges)
@@ -92,8 +101,13 @@ class Codec:
         self.settled = set(map(chr, range(128)))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") \
             if self.special else None
-        self.library = Tokenizer.from_file(path)
+        bare = {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        self.library = Tokenizer.from_str(json.dumps(spec | bare))
         self.words: dict[str, tuple[str, str, int]] = {}
+        self.older: dict[str, tuple[str, str, int]] = {}
+
+    def tables(self) -> dict:
+        return {name: table for name, table in vars(self).items() if name != "ids"}
 
     @classmethod
     def of(cls, tables: dict) -> Codec:
@@ -110,12 +124,12 @@ class Codec:
         self.rank, self.left, self.right = rank, left, right
 
         def edge(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            parts, goes = [np.arange(self.size)], [np.full(self.size, NEVER)]
+            parts, goes = [np.arange(self.size)], [np.full(self.size, LAST)]
             while (parts[-1] >= 0).any():
                 now = parts[-1]
                 parts.append(np.where(now >= 0, step[now], -1))
                 goes.append(np.where(now >= 0, rank[now], -1))
-            return np.stack(parts[:-1], 1), np.stack(goes[:-1], 1)
+            return np.stack(parts[:-1], 1).astype(np.int32), np.stack(goes[:-1], 1).astype(np.int32)
 
         self.right_parts, self.right_goes = edge(right)
         self.left_parts, self.left_goes = edge(left)
@@ -141,7 +155,7 @@ class Codec:
         self.ends = np.array(ends, dtype=np.int64)
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
+        key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_ranks[at], NEVER)
 
@@ -159,7 +173,7 @@ class Codec:
                 if not len(rows):
                     break
                 rank = self.merge_rank(x[rows], y)
-                end = NEVER if until is None else until[rows]
+                end = LAST if until is None else until[rows]
                 crosses = (rank < np.minimum(x_goes[rows], end)) & (
                     rank <= self.left_goes[b[rows], j]
                 )
@@ -212,27 +226,27 @@ class Codec:
     def merge_long(self, tokens: list[int]) -> list[int]:
         """Merge by lowest rank, leftmost first, with a heap over the pairs."""
         after, before = [*range(1, len(tokens)), -1], [*range(-1, len(tokens) - 1)]
-        ranks = self.ranks
+        ranks, size = self.ranks, self.size
         heap = [
-            (ranks[pair][0], at, *pair)
-            for at, pair in enumerate(zip(tokens, tokens[1:]))
-            if pair in ranks
+            (ranks[a * size + b], at, a, b)
+            for at, (a, b) in enumerate(zip(tokens, tokens[1:]))
+            if a * size + b in ranks
         ]
         heapq.heapify(heap)
         while heap:
-            _, at, a, b = heapq.heappop(heap)
+            rank, at, a, b = heapq.heappop(heap)
             right = after[at]
             if tokens[at] != a or right < 0 or tokens[right] != b:
                 continue
-            tokens[at], tokens[right] = ranks[a, b][1], -1
+            tokens[at], tokens[right] = int(self.products[rank]), -1
             after[at] = after[right]
             if after[at] >= 0:
                 before[after[at]] = at
             for left in (before[at], at):
                 if left >= 0 and after[left] >= 0:
-                    pair = (tokens[left], tokens[after[left]])
-                    if pair in ranks:
-                        heapq.heappush(heap, (ranks[pair][0], left, *pair))
+                    a, b = tokens[left], tokens[after[left]]
+                    if a * size + b in ranks:
+                        heapq.heappush(heap, (ranks[a * size + b], left, a, b))
         return [token for token in tokens if token >= 0]
 
     def merge_short(self, rows: np.ndarray) -> np.ndarray:
@@ -265,7 +279,7 @@ class Codec:
         return rows
 
     def exact(self, spelt: list[str]) -> list[list[int]]:
-        first = [[self.ids[x] for x in (*word[:-2], word[-2:])] for word in spelt]
+        first = [[self.letters[x] for x in (*word[:-2], word[-2:])] for word in spelt]
         done: dict[int, list[int]] = {}
         for width in (8, 12, 16, 24, LONG_WORD):
             chosen = [n for n, x in enumerate(first) if n not in done and len(x) <= width]
@@ -329,20 +343,32 @@ class Codec:
         return fresh <= self.settled
 
     def keep(self, words: set[str]) -> None:
-        """Encode the words of a batch that are not kept yet."""
+        """Encode the words of a batch that are not kept yet.
+
+        Once `words` is full it becomes the older generation, from which words in use come back.
+        """
         if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        fresh = [word for word in words if word not in self.words]
-        plain = [word for word in fresh if word[0] != "\0" or word[1:] not in self.special]
-        spelt = [
-            word.encode("utf-8").decode("latin-1").translate(self.spelling) + END for word in plain
-        ]
-        known = dict(zip(plain, self.encode_words(spelt)))
-        for word in fresh:
-            tokens = known[word] if word in known else [self.special[word[1:]]]
-            self.words[word] = (
-                " ".join(map(str, tokens)), self.decode(tokens), len(tokens)
-            )
+            self.words, self.older = {}, self.words
+        fresh = []
+        for word in words:
+            if word not in self.words:
+                if word in self.older:
+                    self.words[word] = self.older[word]
+                elif word[0] == "\0" and word[1:] in self.special:
+                    self.keep_tokens(word, [self.special[word[1:]]])
+                else:
+                    fresh.append(word)
+        part, spelt, letters = 0, [], 0
+        for place, word in enumerate(fresh, 1):
+            spelt.append(word.encode("utf-8").decode("latin-1").translate(self.spelling) + END)
+            letters += len(spelt[-1])
+            if letters >= MOST_LETTERS or place == len(fresh):
+                for known, tokens in zip(fresh[part:place], self.encode_words(spelt)):
+                    self.keep_tokens(known, tokens)
+                part, spelt, letters = place, [], 0
+
+    def keep_tokens(self, word: str, tokens: list[int]) -> None:
+        self.words[word] = (" ".join(map(str, tokens)), self.decode(tokens), len(tokens))
 
     def decode(self, tokens: list[int]) -> str:
         """Token strings joined by a space: the vocabulary's file names no decoder."""
@@ -360,7 +386,7 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decod
     `ids` are the tokens, `decoded` is the text they decode to; the digests are those of the decimal
     ids joined by one space, and of the decoded text.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(vars(Codec(path)))
+    tables = docs.sparkSession.sparkContext.broadcast(Codec(path).tables())
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
