@@ -13,6 +13,7 @@ from undertow.operators import contradictions as c
 from undertow.operators import formulas, keys, quality, segments
 from undertow.operators.anomalies import FOREST, ZSCORE, anomaly_summary, score_rows, top_rows
 from undertow.operators.clusters import cluster_profile, fit_clusters, hidden_subgroup, spread_out
+from undertow.operators import clusters
 from undertow.operators.compare import compare_groups, contributing_factor, evidence
 from undertow.operators.duplicates import duplicate_rows
 from undertow.operators.forest import average_path, contamination
@@ -440,6 +441,36 @@ def test_starting_centres_are_drawn_by_squared_distance(spark):
     assert abs((after == 3.0).mean() - 0.9) < 0.08
 
 
+def test_rounds_read_few_packed_rows(rows, monkeypatch):
+    """A round hands blocks to Python, not single rows, and moves centres as plain loops do."""
+    frame = blobs(rows)
+    seen, plain = [], clusters.one_round
+
+    def watched(cells, centres):
+        moved, costs = plain(cells, centres)
+        seen.append((cells.count(), centres.copy(), moved, costs))
+        return moved, costs
+
+    monkeypatch.setattr(clusters, "one_round", watched)
+    stats = measure(frame, ["x", "y"])
+    fitted = fit_clusters(frame, stats, ["x", "y"], restarts=3)
+    points = np.array(frame.select(*fitted.features).collect())
+    for blocks, centres, moved, costs in seen:
+        assert blocks <= 16
+        apart = ((points[:, None, None] - centres) ** 2).sum(3)
+        label = apart.argmin(2)
+        assert np.allclose(costs, apart.min(2).sum(0))
+        for r, c in np.ndindex(centres.shape[:2]):
+            own = points[label[:, r] == c]
+            assert np.allclose(moved[r, c], own.mean(0) if len(own) else centres[r, c])
+
+
+def test_rows_between_centres_belong_to_the_first():
+    near = np.array([[[True, False, True, False], [True, True, True, False], [False, True, True, False]]])
+    assert clusters.first_of(near).argmax(1).tolist() == [[0, 1, 0, 0]]
+    assert near.sum(1).tolist() == [[1, 1, 1, 1]]
+
+
 def test_too_few_rows_for_clusters(rows):
     frame = rows([(float(i), float(i)) for i in range(11)], "x double, y double")
     assert fit_clusters(frame, measure(frame), ["x", "y"]) is None

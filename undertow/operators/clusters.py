@@ -19,6 +19,7 @@ SEED = 42
 # Centres have settled once they move by less than this, in deviations.
 TOLERANCE = 0.01
 MOST_ROUNDS = 100
+BLOCK_BYTES, BLOCKS = 2048, 256  # in a packed row, and rows that are unpacked at once
 
 
 @dataclass(frozen=True)
@@ -60,9 +61,11 @@ def fit_clusters(
 ) -> Clustering | None:
     """Best of several k-means runs, all of them over every row.
 
-    The scaled columns are written once. Each round is one scan of them that moves the centres of
-    all restarts together: a task passes on a row of sums per restart and cluster. Starting centres
-    are drawn from every row too, by the hash of `row_id`, or of a number given when writing.
+    The scaled columns are written once, and once more packed in blocks of a few rows, since the many
+    rounds would spend most of their time on handing single rows to Python. Each round is one scan of
+    the blocks that moves the centres of all restarts together: a task passes on a row of sums per
+    restart and cluster. Starting centres are drawn from every row too, by the hash of `row_id`, or of
+    a number given when writing.
     """
     if len(columns) < 2 or stats.rows < 12:
         return None
@@ -72,7 +75,7 @@ def fit_clusters(
     row = F.monotonically_increasing_id() if row_id is None else F.col(quoted(row_id))
     scaled = df.select(*[f.alias(n) for f, n in zip(features, names)], F.xxhash64(F.lit(seed), row).alias("row"))
     drawn = written(scaled, "scaled")
-    centres, cells = spread_out(drawn, k, restarts), drawn.drop("row")
+    centres, cells = spread_out(drawn, k, restarts), written(packed(drawn.drop("row")), "blocks")
     moving, costs = np.ones(restarts, dtype=bool), np.zeros(restarts)
     for _ in range(most_rounds):
         moved, costs[moving] = one_round(cells, centres[moving])
@@ -139,31 +142,59 @@ def units(row: np.ndarray, draw: int) -> np.ndarray:
     return ((mixed ^ mixed >> np.uint64(31)) >> np.uint64(11)) / 2.0**53 + 2.0**-54
 
 
+def packed(cells: DataFrame) -> DataFrame:
+    """(points): blocks of rows, the numbers of each one after another; 10,000 blocks, a batch, hold some 20 MB."""
+    step = max(1, BLOCK_BYTES // (8 * len(cells.columns)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            blocks = [rows[at : at + step].tobytes() for at in range(0, len(rows), step)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["points"])
+
+    return cells.mapInArrow(pack, "points binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """The rows of some blocks at a time, a column for each row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCKS):
+            blocks = batch.column(0).slice(at, BLOCKS).to_pylist()
+            yield np.frombuffer(b"".join(blocks)).reshape(-1, width).T
+
+
+def first_of(near: np.ndarray) -> np.ndarray:
+    """Of the centres that are nearest to a row (restart, centre, row), only the first; if none, centre 0."""
+    taken = near[:, 0].copy()
+    for c in range(1, near.shape[1]):
+        near[:, c] &= ~taken
+        taken |= near[:, c]
+    near[:, 0] |= ~taken
+    return near
+
+
 def one_round(cells: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of each centre's rows, and the cost of each restart's present centres."""
+    """The mean of each centre's packed rows, and the cost of each restart's present centres."""
     restarts, k, width = centres.shape
-    names = cells.columns
+    names = [f"f{i}" for i in range(width)]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, members = np.zeros((restarts, k, width)), np.zeros((restarts, k), dtype=np.int64)
-        costs = np.zeros((restarts, k))
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        sums, members, costs = (np.zeros((restarts * k, n)) for n in (width, 1, 1))
+        for points in unpacked(batches, width):
             # Squared distances less the square of the row itself, to all centres at once.
-            apart = (centres**2).sum(2).ravel() - 2 * rows @ centres.reshape(-1, width).T
-            square = (rows**2).sum(1)
-            for r in range(restarts):
-                distances = apart[:, r * k : (r + 1) * k]
-                label = distances.argmin(1)
-                members[r] += np.bincount(label, minlength=k)
-                costs[r] += np.bincount(label, distances.min(1) + square, k)
-                for f in range(width):
-                    sums[r, :, f] += np.bincount(label, rows[:, f], k)
+            apart = (centres**2).sum(2).reshape(-1, 1) - 2 * centres.reshape(-1, width) @ points
+            apart = apart.reshape(restarts, k, -1)
+            least = apart.min(1)
+            own = first_of(apart == least[:, None]).reshape(restarts * k, -1).astype(float)
+            sums += own @ points.T
+            members += own.sum(1, keepdims=True)
+            paid = (least + (points**2).sum(0)).repeat(k, 0)
+            costs += (own * paid).sum(1, keepdims=True)
         place = np.arange(restarts * k, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(place), pa.array(members.ravel()), pa.array(costs.ravel()),
-                *(pa.array(sums[:, :, f].ravel()) for f in range(width)),
+                pa.array(place), pa.array(members.ravel().astype(np.int64)), pa.array(costs.ravel()),
+                *(pa.array(sums[:, f]) for f in range(width)),
             ],
             names=["place", "members", "cost", *names],
         )
