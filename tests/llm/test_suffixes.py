@@ -140,3 +140,47 @@ def test_query_digest(spark):
     rows = {r["doc_id"]: r for r in suffixes.dedupe(docs).collect()}
     assert bytes(rows[2]["kept"]) == b"start " and rows[1]["removed"] == []
     assert hashlib.sha256(bytes(rows[1]["kept"])).digest() == hashlib.sha256(text.encode()).digest()
+
+
+def random_texts(spark, n, size, seed):
+    rng = random.Random(seed)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop", k=size))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    return docs.selectExpr("doc_id AS doc", "xxhash64(text) AS tag", "text").sortWithinPartitions("doc", "tag")
+
+
+def test_names_of_anchors_do_not_grow_with_the_slots(spark):
+    """Four bytes and a part of one for each half, however many slots share them out."""
+    texts = random_texts(spark, 300, 3_000, 1)
+    halves = sum(len(suffixes.anchors(np.frombuffer(r["text"].encode(), np.uint8), 50)[0]) for r in texts.collect())
+    sizes = []
+    for slots in (8, 200):
+        rows = suffixes.dealt_anchors(texts, 50, slots).collect()
+        sizes.append(sum(len(x) for row in rows for x in row[2:] if x) / halves)
+    assert sizes[1] < 6 and sizes[1] - sizes[0] < 1.2
+
+
+def test_strings_of_sixteen_bytes_that_repeat_by_chance_make_no_record(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=20)) for _ in range(40)]
+    fresh = lambda: "".join(rng.choices("qrstuvwxyz", k=25))
+    rows = [(i, "".join(rng.choice(words) + fresh() for _ in range(20))) for i in range(40)]
+    passage = "".join(rng.choices("ABCDEFGH", k=60))
+    rows += [(50, fresh() + passage), (51, fresh() + passage + fresh())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs = docs.selectExpr("doc_id AS doc", "xxhash64(text) AS tag", "text").sortWithinPartitions("doc", "tag")
+    found = suffixes.of_documents(suffixes.shared_anchors(suffixes.dealt_anchors(docs, 50, 4), 1000, 4)).collect()
+    assert sorted(row["doc"] for row in found) == [50, 51]
+
+
+def test_a_string_is_hot_by_its_part_of_a_slot():
+    """3,000 places of one string are many in a small slot and few in a large one."""
+    rng = np.random.default_rng(5)
+    for others, is_hot in ((10_000, True), (1_000_000, False)):
+        half, string = rng.integers(0, 3, 3_000), np.uint32(77 << suffixes.HALF_BITS)  # in three wordings
+        lone = np.arange(others, dtype=np.uint32) + np.uint32(100 << suffixes.HALF_BITS)
+        names = np.concatenate([string + half.astype(np.uint32), lone])
+        shared, hot = suffixes.held_by_others(names, np.arange(len(names)), 1_000)
+        assert shared[:3_000].all() and not shared[3_000:].any()
+        assert (hot == (shared & is_hot)).all()
+    assert not suffixes.held_by_others(np.zeros(5_000, np.uint32), np.zeros(5_000, np.int64), 1)[0].any()

@@ -8,8 +8,12 @@ its anchor: equal windows have their anchor at the same place, and neighbours mo
 one suffix in eighteen stands for all windows. An anchor's record is the suffix that starts at it, as
 far as its windows reach, and the bytes before it, read backwards.
 
-1. Hashes of anchors are dealt out over slots, and those that stand in one document only are dropped:
-   no window there can repeat. What is left goes back to the documents.
+1. An anchor's windows are parted by the side of it that they mostly lie on. All windows of a half hold one
+   string about two thirds of `length` long, which in a large corpus seldom repeats by chance, while 16
+   bytes mostly do. Hashes of these strings are dealt out over slots, and halves whose string stands in one
+   document only are dropped: no window there can repeat. A slot gets four bytes a half and says back one
+   bit; the documents of a block of texts are told by their number within it, so neither grows with the
+   number of slots.
 2. Each task sorts the suffixes of its documents, folds equal records into one (only the smallest
    document matters to others, later ones are settled at once) and writes one run per key range, front
    coded: length of the prefix shared with the suffix before, and the rest.
@@ -20,9 +24,11 @@ far as its windows reach, and the bytes before it, read backwards.
    agree to the right; the same array of the bytes before, backwards, says so to the left. Both numbers
    name a window's class, whose smallest document keeps it.
 
-Ranges are cut at strings drawn from a bounded sample of texts; it affects balance only. Anchors that
-stand in over `HOT` places are not ranged by their suffix: each of their windows is a record of its own,
-dealt out by the hash of its bytes, so a passage found everywhere is one record per task and window.
+Ranges are cut at strings drawn from a bounded sample of texts; it affects balance only. Anchors whose shared
+halves stand in over `HOT` places, and in over a 64th of what their slot holds, are not ranged by their suffix:
+each of their windows is a record of its own, dealt out by the hash of its bytes, so a passage found
+everywhere is one record per task and window. A bound that did not grow with the slots would, in a large
+corpus, turn anchors with a place or two in each task into some seventeen records each.
 Texts meet the marks by (document, hash of text): they are shuffled once, and Spark reuses that. Equal
 texts are told by a 128-bit hash; only the first takes part, the others go whole.
 
@@ -39,6 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +54,9 @@ from undertow.llm.words import columns, pieces
 
 LENGTH, GRAM = 50, 16
 FIRST = -(1 << 63)  # stands for a null id
-HOT = 1_000  # places of one 16-byte string
+HOT, SLOT_SHARE = 1_000, 64  # places of one 16-byte string; and the part of a slot that they are
+HALF_BITS = 20  # of a name, for the half; 12 more and the slot are for the 16-byte string
+NAMES_AT_ONCE = 1_000_000
 SLOT_BYTES = 64 << 20  # of texts, whose anchors or records one slot takes on average
 MOST_RANGES, SAMPLES_PER_RANGE, SAMPLES_PER_TEXT = 4_096, 64, 8
 BATCH_BYTES, CHUNK = 4 << 20, 1 << 20
@@ -74,8 +83,12 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place, first and last window, and 48-bit name of every anchor of a text."""
-    found = []
+    """Place, first and last window, and name of each half of every anchor of a text.
+
+    One half are the windows that start over `half` bytes before the anchor, the other those that start
+    nearer. The upper 44 bits of a name hash the anchor's string, the lower ones what all windows of the half hold.
+    """
+    half, found = (length - GRAM) // 2, []
     for start in range(0, len(data) - length + 1, CHUNK):
         part = data[start : start + CHUNK + length - 1]
         h, span = mixed(part.astype(np.uint64) + np.uint64(1)), 1
@@ -83,15 +96,33 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
             h, span = paired(h[:-span], h[span:]), span * 2
         ranked = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         at = (least_of(ranked, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        near = np.arange(len(at)) >= at - half
+        lo = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (near[1:] != near[:-1])]))
         hi = np.append(lo[1:], len(at)) - 1
-        names = mixed(h[at[lo]] + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
-        found.append((at[lo] + start, lo + start, hi + start, names.astype(np.int64)))
+        at, near = at[lo], near[lo]
+        names = np.empty(len(at), dtype=np.uint64)
+        for of, begin, end in ((near, 0, length - half), (~near, -half - 1, GRAM)):
+            names[of] = spelled(h, at[of] + begin, end - begin, int(begin < 0))
+        names >>= np.uint64(64 - HALF_BITS)
+        names |= mixed(h[at] + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(-1 << HALF_BITS & (1 << 64) - 1)
+        found.append((at + start, lo + start, hi + start, names))
     if not found:
-        return (np.zeros(0, dtype=np.int64),) * 4
+        return (*(np.zeros(0, dtype=np.int64),) * 3, np.zeros(0, dtype=np.uint64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def spelled(h: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of the strings of `size` bytes at these places, of those of `GRAM` bytes within them."""
+    total = np.full(len(at), seed, dtype=np.uint64)
+    for step in [*range(0, size - GRAM, GRAM), size - GRAM]:
+        total = paired(total, h[at + step])
+    return total
+
+
+def slots_of(names: np.ndarray, slots: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(x) for x in arrays], dtype=np.int64)
     return zstandard.compress(b"".join([sizes.tobytes(), *(x.tobytes() for x in arrays)]), 1)
@@ -150,80 +181,165 @@ def routed(doc: np.ndarray, tag: np.ndarray, values: tuple[np.ndarray, ...], buc
     })
 
 
-def gathered(rows: DataFrame, name: str, width: int) -> DataFrame:
-    """doc, tag and the list of all values that were routed for the document; spans are united."""
+def gathered(rows: DataFrame) -> DataFrame:
+    """doc, tag and the united list of all spans that were routed for the document."""
 
     def run(group: pa.Table) -> pa.Table:
-        blobs = [unpack(x, *(np.int64,) * (2 + width)) for x in group.column("blob").to_pylist()]
-        doc, tag, *values = (np.concatenate(x) for x in zip(*blobs))
-        if width == 2:
-            doc, tag, *values = united(doc, tag, *values)
-        else:
-            order = np.lexsort((tag, doc))
-            doc, tag, *values = (x[order] for x in (doc, tag, *values))
+        blobs = [unpack(x, *(np.int64,) * 4) for x in group.column("blob").to_pylist()]
+        doc, tag, *values = united(*(np.concatenate(x) for x in zip(*blobs)))
         at = document_cuts(doc, tag)
         flat = np.stack(values, 1).ravel()
-        lists = pa.ListArray.from_arrays(pa.array(at * width, pa.int32()), pa.array(flat, pa.int64()))
-        return pa.table({"doc": doc[at[:-1]], "tag": tag[at[:-1]], name: lists})
+        lists = pa.ListArray.from_arrays(pa.array(at * 2, pa.int32()), pa.array(flat, pa.int64()))
+        return pa.table({"doc": doc[at[:-1]], "tag": tag[at[:-1]], "spans": lists})
+
+    return rows.groupBy("bucket").applyInArrow(run, "doc long, tag long, spans array<long>")
+
+
+# 1. Halves of anchors that stand in more than one document.
 
-    return rows.groupBy("bucket").applyInArrow(run, f"doc long, tag long, {name} array<long>")
 
+class Names:
+    """Names of the halves of some documents' anchors, gathered to be dealt out as one block."""
 
-# 1. Anchors that stand in more than one document.
+    def __init__(self, slots: int):
+        self.slots, self.task, self.blocks = slots, TaskContext.get().partitionId(), 0
+        self.documents: list[tuple[int, int]] = []
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, names: np.ndarray, doc: int, tag: int) -> None:
+        self.documents.append((doc, tag))
+        self.parts.append(names)
+        self.size += len(names)
+
+    def block(self) -> pa.RecordBatch:
+        """A row for each slot, with the number of documents since the last name and 32 bits of each; and who they are."""
+        names = np.concatenate(self.parts)
+        which = np.repeat(np.arange(len(self.parts), dtype=np.uint32), [len(x) for x in self.parts])
+        slot = slots_of(names, self.slots)
+        order = np.argsort(slot, kind="stable")
+        slot, which, names = slot[order], which[order], names[order].astype(np.uint32)
+        at = cuts(slot)
+        who = [pack(planes(np.diff(which[a:b], prepend=np.uint32(0)))) for a, b in zip(at[:-1], at[1:])]
+        what = [pack(names[a:b]) for a, b in zip(at[:-1], at[1:])]
+        directory = pack(*np.array(self.documents, dtype=np.int64).T)
+        dealt = [*slot[at[:-1]].tolist(), (self.task + self.blocks) % self.slots]
+        number = [(self.task << 32) + self.blocks] * len(dealt)
+        self.documents, self.parts, self.size, self.blocks = [], [], 0, self.blocks + 1
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(dealt, pa.int32()), pa.array(number, pa.int64()),
+                pa.array([*who, directory], pa.binary()), pa.array([*what, None], pa.binary()),
+            ],
+            names=["slot", "block", "who", "names"],
+        )
+
+
+def planes(values: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all, then the next: small numbers pack well so."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def dealt_anchors(texts: DataFrame, length: int, slots: int) -> DataFrame:
-    """Per slot and batch: the documents, how many anchors each has there, and their names."""
+    """Per slot and block of texts: the names of halves, and what tells their documents.
+
+    Texts must come in the order of (doc, tag), so that a task that is run again numbers them as before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last = Names(slots), None
         for batch in pieces(batches, BATCH_BYTES):
-            names = [anchors(data, length)[3] for data in text_bytes(batch)]
-            which = np.repeat(np.arange(len(names)), [len(x) for x in names])
-            names = np.concatenate(names) if names else np.zeros(0, dtype=np.int64)
-            slot = names % slots
-            order = np.lexsort((which, slot))
-            slot, which, names = slot[order], which[order], names[order]
-            doc, tag = (batch.column(x).to_numpy() for x in ("doc", "tag"))
-            at, rows = cuts(slot), []
-            for begin, end in zip(at[:-1], at[1:]):
-                runs = cuts(which[begin:end])
-                here = which[begin + runs[:-1]]
-                blob = pack(
-                    doc[here], tag[here], np.diff(runs).astype(np.uint32),
-                    np.ascontiguousarray(names[begin:end].view(np.uint8).reshape(-1, 8)[:, :6]).ravel(),
-                )
-                rows.append((int(slot[begin]), blob))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["slot", "blob"],
-                )
+            doc, tag = (batch.column(x).to_pylist() for x in ("doc", "tag"))
+            for i, data in enumerate(text_bytes(batch)):
+                if len(data) < length or last == (last := (doc[i], tag[i])):
+                    continue
+                names.add(anchors(data, length)[3], doc[i], tag[i])
+                if names.size >= NAMES_AT_ONCE:
+                    yield names.block()
+        if names.size:
+            yield names.block()
 
-    return texts.mapInArrow(run, "slot int, blob binary")
+    return texts.mapInArrow(run, "slot int, block long, who binary, names binary")
 
 
 def shared_anchors(dealt: DataFrame, hot: int, slots: int) -> DataFrame:
-    """Routed to each document: twice the name of each anchor that others hold too, plus 1 if it is hot."""
+    """Said back to each block: which halves others hold too, as bits, and which of them are hot."""
+
+    def run(group: pa.Table) -> pa.Table:
+        passed = group.filter(group.column("names").is_null())
+        group = group.filter(group.column("names").is_valid())
+        who = group.column("who").to_pylist()
+        parts = [unpack(x, np.uint32)[0] for x in group.column("names").to_pylist()]
+        at = np.cumsum([0, *(len(x) for x in parts)])
+        bits = [[]] * len(parts)
+        if parts:
+            # Numbers over all blocks: no two documents share one.
+            owner = np.concatenate([np.cumsum(unplaned(unpack(x, np.uint8)[0]), dtype=np.int64) for x in who])
+            owner += np.repeat(np.cumsum([0, *(owner[at[1:-1] - 1] + 1)]), np.diff(at))
+            shared, is_hot = held_by_others(np.concatenate(parts), owner, hot)
+            flags = [(shared[a:b], is_hot[a:b]) for a, b in zip(at[:-1], at[1:])]
+            bits = [pack(np.packbits(x), np.packbits(y) if y.any() else np.zeros(0, np.uint8)) for x, y in flags]
+        slot = group.column("slot").to_pylist()
+        return pa.table({
+            "block": pa.array([*group.column("block").to_pylist(), *passed.column("block").to_pylist()], pa.int64()),
+            "place": pa.array([*slot, *[-1] * len(passed)], pa.int32()),
+            "who": pa.array([*who, *passed.column("who").to_pylist()], pa.binary()),
+            "bits": pa.array([*bits, *[None] * len(passed)], pa.binary()),
+        })
+
+    return dealt.groupBy("slot").applyInArrow(run, "block long, place int, who binary, bits binary")
+
+
+def held_by_others(names: np.ndarray, owner: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which names of a slot stand in more than one document, and which of these are of a hot string; `owner` ascends."""
+    ranked = np.sort(names.astype(np.uint64) << np.uint64(32) | np.arange(len(names), dtype=np.uint64))
+    order = (ranked & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = cuts(ranked >> np.uint64(32))
+    n = np.diff(at)
+    several = owner[order[at[:-1]]] != owner[order[at[1:] - 1]]
+    string = names[order[at[:-1]]] >> np.uint32(HALF_BITS)
+    places = np.bincount(string, weights=n * several)
+    is_hot = several & (places[string] > max(hot, len(names) // SLOT_SHARE))
+    found = np.empty((2, len(names)), dtype=bool)
+    found[:, order] = np.repeat(np.stack([several, is_hot]), n, axis=1)
+    return found[0], found[1]
+
+
+def of_documents(answers: DataFrame) -> DataFrame:
+    """Each document with shared halves, once: a bit for each of its halves in the order of slots, then of places."""
 
     def run(group: pa.Table) -> pa.Table:
-        blobs = [unpack(x, np.int64, np.int64, np.uint32, np.uint8) for x in group.column("blob").to_pylist()]
-        doc, tag, sizes, raw = (np.concatenate(x) for x in zip(*blobs))
-        wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-        wide[:, :6] = raw.reshape(-1, 6)
-        names = wide.view(np.int64).ravel()
-        owner = np.repeat(np.arange(len(doc)), sizes)
-        order = np.argsort(names)
-        at = cuts(names[order])
-        holders = doc[owner[order]]
-        several = np.minimum.reduceat(holders, at[:-1]) != np.maximum.reduceat(holders, at[:-1])
-        n = np.diff(at)
-        keys = np.empty(len(names), dtype=np.int64)
-        keys[order] = np.repeat(np.where(several, 2 * names[order][at[:-1]] + (n > hot), -1), n)
-        chosen = np.flatnonzero(keys >= 0)
-        owner = owner[chosen]
-        return routed(doc[owner], tag[owner], (keys[chosen],), slots)
-
-    return dealt.groupBy("slot").applyInArrow(run, "bucket int, blob binary")
+        rows = sorted(zip(*(group.column(x).to_pylist() for x in ("place", "who", "bits"))), key=lambda row: row[0])
+        doc, tag = unpack(rows[0][1], np.int64, np.int64)
+        which, flags = [], []
+        for _, who, bits in rows[1:]:
+            which.append(np.cumsum(unplaned(unpack(who, np.uint8)[0]), dtype=np.int64))
+            n = len(which[-1])
+            flags.append(np.stack([np.unpackbits(x, count=n) if len(x) else np.zeros(n, np.uint8) for x in unpack(bits, *(np.uint8,) * 2)]))
+        which = np.concatenate(which)
+        order = np.argsort(which, kind="stable")
+        which, flags = which[order], np.concatenate(flags, axis=1)[:, order]
+        n = np.bincount(which, minlength=len(doc))
+        any_of = [np.bincount(which, weights=x, minlength=len(doc)) > 0 for x in flags]
+        taken = np.flatnonzero(any_of[0])
+        columns = []
+        for flag, has in zip(flags, any_of):
+            size = np.where(has, -(-n // 8), 0)  # whole bytes for each document
+            end = np.cumsum(size)
+            padded = np.zeros(8 * int(end[-1]), dtype=np.uint8)
+            rank = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            here = has[which]
+            padded[(8 * (end - size)[which] + rank)[here]] = flag[here]
+            raw = np.packbits(padded).tobytes()
+            columns.append(pa.array([raw[e - s : e] for s, e in zip(size[taken], end[taken])], pa.binary()))
+        return pa.table({"doc": doc[taken], "tag": tag[taken], "shared": columns[0], "hot": columns[1]})
+
+    found = answers.groupBy("block").applyInArrow(run, "doc long, tag long, shared binary, hot binary")
+    return found.dropDuplicates(["doc", "tag"])  # rows that repeat a document are said the same
 
 
 # 2. Sorted, front-coded runs.
@@ -238,17 +354,21 @@ class Records:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, data: np.ndarray, doc: int, tag: int, keys: np.ndarray) -> Iterator[None]:
+    def add(self, data: np.ndarray, doc: int, tag: int, shared: bytes, hot: bytes) -> Iterator[None]:
         """Take in the shared anchors of a text, some at a time."""
         at, lo, hi, names = anchors(data, self.length)
-        keys = np.unique(keys)
-        place = np.minimum(np.searchsorted(keys >> 1, names), len(keys) - 1)
-        chosen = keys[place] >> 1 == names
-        hot = (keys[place] & 1 == 1)[chosen]
-        at, lo, hi = at[chosen], lo[chosen], hi[chosen]
+        order = np.argsort(slots_of(names, self.slots), kind="stable")
+        flags = np.zeros((2, len(at)), dtype=bool)
+        for flag, bits in zip(flags, (shared, hot)):
+            if bits:
+                flag[order] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(at))
+        hot, plain = flags[1], flags[0] & ~flags[1]
         each = (hi - lo + 1)[hot]
         window = np.repeat(lo[hot] - np.cumsum(each) + each, each) + np.arange(each.sum())
-        for at, lo, hi, is_hot in ((at[~hot], lo[~hot], hi[~hot], False), (window, window, window, True)):
+        at, lo, hi = at[plain], lo[plain], hi[plain]
+        new = np.append(True, (at[1:] != at[:-1]) | (lo[1:] != hi[:-1] + 1))[: len(at)]  # halves that meet are one
+        at, lo, hi = at[new], lo[new], hi[np.append(new[1:], True)[: len(at)]]
+        for at, lo, hi, is_hot in ((at, lo, hi, False), (window, window, window, True)):
             for begin in range(0, len(at), RECORDS_AT_ONCE):
                 here = slice(begin, begin + RECORDS_AT_ONCE)
                 rows = self.context(data, at[here], lo[here], hi[here])
@@ -346,8 +466,7 @@ def sorted_runs(
         for batch in pieces(batches, BATCH_BYTES):
             doc, tag = (batch.column(x).to_numpy() for x in ("doc", "tag"))
             for i, data in enumerate(text_bytes(batch)):
-                keys = batch.column("keys")[i]
-                for _ in records.add(data, doc[i], tag[i], keys.values.to_numpy()):
+                for _ in records.add(data, doc[i], tag[i], *(batch.column(x)[i].as_py() for x in ("shared", "hot"))):
                     if records.size >= most:
                         yield from flushed()
         if records.size:
@@ -572,13 +691,13 @@ def dedupe(
     names = base.select("doc", "tag", F.unhex(F.md5(F.col("text").cast("binary"))).alias("h"))
     firsts = names.groupBy("h", "tag").agg(F.min("doc").alias("doc")).select("doc", "tag").distinct()
     alone = texts.join(firsts.hint("merge"), ["doc", "tag"])  # a semi join would be moved below the shuffle
-    keys = gathered(shared_anchors(dealt_anchors(alone, length, slots), hot, slots), "keys", 1)
+    keys = of_documents(shared_anchors(dealt_anchors(alone, length, slots), hot, slots))
     with_keys = texts.join(keys.hint("merge"), ["doc", "tag"])
     runs = sorted_runs(with_keys, length, slots, splitters, run_records)
     spans = runs.groupBy("slot").applyInArrow(
         lambda group: judged(group, length, slots), "bucket int, blob binary"
     )
-    spans = gathered(spans, "spans", 2)
+    spans = gathered(spans)
     marks = firsts.join(spans.hint("merge"), ["doc", "tag"], "left").withColumn("first", F.lit(True))
     marked = texts.join(marks.hint("merge"), ["doc", "tag"], "left")
     kinds = {field.name: field for field in base.schema.fields}
