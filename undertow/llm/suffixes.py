@@ -319,7 +319,8 @@ def of_documents(answers: DataFrame) -> DataFrame:
         for _, who, bits in rows[1:]:
             which.append(np.cumsum(unplaned(unpack(who, np.uint8)[0]), dtype=np.int64))
             n = len(which[-1])
-            flags.append(np.stack([np.unpackbits(x, count=n) if len(x) else np.zeros(n, np.uint8) for x in unpack(bits, *(np.uint8,) * 2)]))
+            both = unpack(bits, np.uint8, np.uint8)
+            flags.append(np.stack([np.unpackbits(x, count=n) if len(x) else np.zeros(n, np.uint8) for x in both]))
         which = np.concatenate(which)
         order = np.argsort(which, kind="stable")
         which, flags = which[order], np.concatenate(flags, axis=1)[:, order]
